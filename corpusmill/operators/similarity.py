@@ -60,26 +60,31 @@ def one_to_many_cosine(images: DataFrame, captions: DataFrame, image_key: str =
 
 # ---------------------------------------------------------------- E4 top-k
 
-def _blocks(df: DataFrame, id_col: str, vec: str, n_blocks: int, name: str) -> DataFrame:
-    """One row per block: (block, ids array<bigint>, vecs array<array<double>>).
+def _blocks(df: DataFrame, id_col: str, vec: str, n_blocks: int, name: str,
+            group_cols=()) -> DataFrame:
+    """One row per (group, block): (group..., block, rows array<struct<id, v>>).
     Block = hash of the id, so blocks are balanced whatever the id layout."""
-    return (df.select(F.col(id_col).cast("bigint").alias("id"), V.as_double_array(vec).alias("v"))
+    g = [F.col(c) for c in group_cols]
+    return (df.select(*g, F.col(id_col).cast("bigint").alias("id"), V.as_double_array(vec).alias("v"))
               .withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
-              .groupBy(name)
+              .groupBy(*group_cols, name)
               .agg(F.collect_list(F.struct("id", "v")).alias(name + "_rows")))
 
 
-def _block_topk_fn(k: int, scale: float):
+def _block_topk_fn(k: int, scale: float, group_cols=()):
+    group_cols = list(group_cols)
+
     def fn(batches):
         for pdf in batches:
-            out_q, out_c, out_s, out_r = [], [], [], []
-            for qrows, crows in zip(pdf["q_rows"], pdf["c_rows"]):
-                qids = np.fromiter((r["id"] for r in qrows), dtype=np.int64, count=len(qrows))
-                cids = np.fromiter((r["id"] for r in crows), dtype=np.int64, count=len(crows))
-                if len(qids) == 0 or len(cids) == 0:
+            parts = []
+            for r in range(len(pdf)):
+                qrows, crows = pdf["q_rows"].iat[r], pdf["c_rows"].iat[r]
+                if len(qrows) == 0 or len(crows) == 0:
                     continue
-                Q = np.stack([np.asarray(r["v"], dtype=np.float64) for r in qrows])
-                C = np.stack([np.asarray(r["v"], dtype=np.float64) for r in crows])
+                qids = np.fromiter((x["id"] for x in qrows), dtype=np.int64, count=len(qrows))
+                cids = np.fromiter((x["id"] for x in crows), dtype=np.int64, count=len(crows))
+                Q = np.stack([np.asarray(x["v"], dtype=np.float64) for x in qrows])
+                C = np.stack([np.asarray(x["v"], dtype=np.float64) for x in crows])
                 order = np.argsort(cids, kind="stable")
                 cids, C = cids[order], C[order]
                 S = (Q @ C.T) * scale
@@ -89,51 +94,60 @@ def _block_topk_fn(k: int, scale: float):
                 top = np.argsort(-R, axis=1, kind="stable")[:, :kk]
                 rows = np.repeat(np.arange(len(qids)), kk)
                 cols = top.reshape(-1)
-                out_q.append(qids[rows])
-                out_c.append(cids[cols])
-                out_s.append(S[rows, cols])
-                out_r.append(np.tile(np.arange(1, kk + 1, dtype=np.int64), len(qids)))
-            if out_q:
-                yield pd.DataFrame({"q": np.concatenate(out_q), "c": np.concatenate(out_c),
-                                    "score": np.concatenate(out_s), "rank": np.concatenate(out_r)})
+                part = {c: np.repeat(pdf[c].iat[r], len(rows)) for c in group_cols}
+                part.update(q=qids[rows], c=cids[cols], score=S[rows, cols],
+                            rank=np.tile(np.arange(1, kk + 1, dtype=np.int64), len(qids)))
+                parts.append(pd.DataFrame(part))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
     return fn
 
 
 def topk_scores(queries: DataFrame, candidates: DataFrame, k: int,
                 q_id: str = "query_id", c_id: str = "cand_id", vec: str = "vec",
                 scale: float = 1.0, block_size: int = DEFAULT_BLOCK,
-                n_candidates: int | None = None, n_queries: int | None = None) -> DataFrame:
+                n_candidates: int | None = None, n_queries: int | None = None,
+                group_cols=()) -> DataFrame:
     """E4 + E6: for each query the ``k`` candidates with the highest scaled dot
     product, ties broken by the smaller candidate id.
 
-    Returns ``(q_id, c_id, score, rank)`` with ``rank`` 1..k (fewer when there
-    are fewer candidates).  Ids must be integral.
+    With ``group_cols`` a query only meets candidates of its own group (one
+    job for a whole sweep of datasets / languages / prompt sets).
+    Returns ``(group..., q_id, c_id, score, rank)`` with ``rank`` 1..k (fewer
+    when there are fewer candidates).  Ids must be integral.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
+    group_cols = list(group_cols)
     n_c = n_candidates if n_candidates is not None else candidates.count()
     n_q = n_queries if n_queries is not None else queries.count()
-    out_schema = T.StructType([T.StructField(q_id, T.LongType()), T.StructField(c_id, T.LongType()),
-                               T.StructField("score", T.DoubleType()),
-                               T.StructField("rank", T.LongType())])
+    out_schema = T.StructType(
+        [queries.schema[c] for c in group_cols]
+        + [T.StructField(q_id, T.LongType()), T.StructField(c_id, T.LongType()),
+           T.StructField("score", T.DoubleType()), T.StructField("rank", T.LongType())])
     spark = queries.sparkSession
     if n_c == 0 or n_q == 0:
         return spark.createDataFrame([], out_schema)
+    # block counts from the overall sizes: a group smaller than a block just
+    # gives fewer, smaller blocks
     n_cb = max(1, math.ceil(n_c / block_size))
     n_qb = max(1, math.ceil(n_q / block_size))
-    cb = _blocks(candidates, c_id, vec, n_cb, "cb").withColumnRenamed("cb_rows", "c_rows")
-    qb = (_blocks(queries, q_id, vec, n_qb, "qb").withColumnRenamed("qb_rows", "q_rows")
+    cb = _blocks(candidates, c_id, vec, n_cb, "cb", group_cols).withColumnRenamed("cb_rows", "c_rows")
+    qb = (_blocks(queries, q_id, vec, n_qb, "qb", group_cols).withColumnRenamed("qb_rows", "q_rows")
           .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1)))))
-    pairs = qb.join(cb, on="cb", how="inner").select("q_rows", "c_rows")
-    local = pairs.mapInPandas(_block_topk_fn(k, float(scale)),
-                              schema="q long, c long, score double, rank long")
+    pairs = qb.join(cb, on=group_cols + ["cb"], how="inner").select(*group_cols, "q_rows", "c_rows")
+    gschema = "".join(f"{queries.schema[c].name} {queries.schema[c].dataType.simpleString()}, "
+                      for c in group_cols)
+    local = pairs.mapInPandas(_block_topk_fn(k, float(scale), group_cols),
+                              schema=gschema + "q long, c long, score double, rank long")
+    g = [F.col(c) for c in group_cols]
     if n_cb == 1:
         # one candidate block: the block-local ranks are already global (no merge shuffle)
-        return local.select(F.col("q").alias(q_id), F.col("c").alias(c_id), "score", "rank")
-    w = Window.partitionBy("q").orderBy(F.desc(V.rank_score("score")), F.asc("c"))
+        return local.select(*g, F.col("q").alias(q_id), F.col("c").alias(c_id), "score", "rank")
+    w = Window.partitionBy(*g, "q").orderBy(F.desc(V.rank_score("score")), F.asc("c"))
     return (local.drop("rank").withColumn("rank", F.row_number().over(w).cast("bigint"))
                  .filter(F.col("rank") <= k)
-                 .select(F.col("q").alias(q_id), F.col("c").alias(c_id), "score", "rank"))
+                 .select(*g, F.col("q").alias(q_id), F.col("c").alias(c_id), "score", "rank"))
 
 
 def all_scores(queries: DataFrame, candidates: DataFrame, q_id: str = "query_id",
@@ -145,3 +159,19 @@ def all_scores(queries: DataFrame, candidates: DataFrame, q_id: str = "query_id"
     n_c = n_candidates if n_candidates is not None else candidates.count()
     return topk_scores(queries, candidates, max(1, n_c), q_id=q_id, c_id=c_id, vec=vec,
                        scale=scale, block_size=block_size, n_candidates=n_c)
+
+
+def scored_samples(images: DataFrame, captions: DataFrame, n_original: int,
+                   image_key: str = "image_id") -> DataFrame:
+    """D3 array form: per image the extended caption list (originals then
+    generated, by ``pos``), the generated ones alone, and the aligned
+    similarity list.  ``captions``: (image_id, pos, text, vec).
+    Returns (image_id, captions, generated, similarities)."""
+    long = one_to_many_cosine(images, captions, image_key=image_key)
+    st = F.struct(F.col("pos"), F.col("text"), F.col("sim"))
+    g = long.groupBy(image_key).agg(F.array_sort(F.collect_list(st)).alias("__l"))
+    return g.select(image_key,
+                    F.transform("__l", lambda x: x["text"]).alias("captions"),
+                    F.transform(F.filter("__l", lambda x: x["pos"] >= n_original),
+                                lambda x: x["text"]).alias("generated"),
+                    F.transform("__l", lambda x: x["sim"]).alias("similarities"))

@@ -6,7 +6,7 @@ is joins, windows partitioned by the query, and aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import vectors as V
@@ -82,3 +82,223 @@ def retrieval_report(images: DataFrame, texts: DataFrame, ks=RECALL_KS,
 def mean_recall(report: DataFrame) -> DataFrame:
     """Mean over k of the hit recall, per direction."""
     return report.groupBy("direction").agg(F.avg("recall").alias("mean_recall"))
+
+
+# ---------------------------------------------------------------- E1 / E2
+
+def expand_prompts(classes: DataFrame, templates, name: str = "name",
+                   class_idx: str = "class_idx") -> DataFrame:
+    """Every class x every template, classes outer and templates inner;
+    ``{}`` is formatted with the class name, ``[CLASS]`` replaced by it.
+
+    ``templates`` is a list of strings (a narrow ``posexplode`` of a literal
+    array per class row: no join) or a DataFrame (dataset, tpl_idx, template)
+    joined to ``classes`` on ``dataset``; it is broadcast only when its size
+    is checked to be small, else joined by shuffle."""
+    if isinstance(templates, (list, tuple)):
+        arr = F.array(*[F.lit(t) for t in templates])
+        x = classes.select("*", F.posexplode(arr).alias("tpl_idx", "template"))
+    else:
+        t = templates.select("dataset", "tpl_idx", "template")
+        if t.count() <= 100_000:
+            t = F.broadcast(t)
+        x = classes.join(t, "dataset", "inner")
+    filled = F.replace(F.replace(F.col("template"), F.lit("{}"), F.col(name)), F.lit("[CLASS]"), F.col(name))
+    return x.withColumn("tpl_idx", F.col("tpl_idx").cast("bigint")).withColumn("prompt", filled)
+
+
+def first_alias(aliases) -> Column:
+    """A class given as a list of aliases is named by its first alias;
+    a plain name (one-element list) stays as it is."""
+    a = F.col(aliases) if isinstance(aliases, str) else aliases
+    return F.try_element_at(a, F.lit(1))
+
+
+# ---------------------------------------------------------------- E3
+
+def class_prototypes(prompt_vecs: DataFrame, variant: str = "a", class_idx: str = "class_idx",
+                     vec: str = "vec", group_cols=()) -> DataFrame:
+    """One vector per class from its prompt vectors (prompt ensemble).
+
+    a: normalise each prompt vector, mean, normalise;
+    b: mean then normalise, but a single prompt is used as is;
+    c: mean of the raw vectors, then normalise.
+    The mean is a partial aggregate over (class, dimension), so a class with
+    very many prompts is combined map-side."""
+    keys = list(group_cols) + [class_idx]
+    src = prompt_vecs.select(*keys, V.as_double_array(vec).alias("__v"))
+    if variant == "a":
+        src = src.withColumn("__v", V.l2_normalize("__v"))
+    elif variant not in ("b", "c"):
+        raise ValueError("variant must be a, b or c")
+    per_dim = (src.select(*keys, F.posexplode("__v").alias("__d", "__x"))
+                  .groupBy(*keys, "__d").agg(F.avg("__x").alias("__m"), F.count(F.lit(1)).alias("__n")))
+    proto = (per_dim.groupBy(*keys)
+                    .agg(F.array_sort(F.collect_list(F.struct("__d", "__m"))).alias("__l"),
+                         F.max("__n").alias("n_prompts"))
+                    .withColumn("__mean", F.transform("__l", lambda s: s["__m"])))
+    if variant == "b":
+        # a single prompt's raw vector is its mean: only the normalisation is skipped
+        out = F.when(F.col("n_prompts") == 1, F.col("__mean")).otherwise(V.l2_normalize("__mean"))
+    else:
+        out = V.l2_normalize("__mean")
+    return proto.select(*keys, out.alias(vec), "n_prompts")
+
+
+# ---------------------------------------------------------------- E4 scale
+
+def logit_scale(kind="fixed100", logit_scale_param: float | None = None) -> float:
+    """E4 scale: 100, a fixed 20, or exp(learned logit scale) clamped at
+    ln(100)."""
+    import math
+    if kind == "fixed100":
+        return 100.0
+    if kind == "fixed20":
+        return 20.0
+    if kind == "learned":
+        return math.exp(min(float(logit_scale_param), math.log(100.0)))
+    raise ValueError(kind)
+
+
+# ---------------------------------------------------------------- E5 / E6 / E12
+
+def class_scores(images: DataFrame, prototypes: DataFrame, scale: float = 100.0,
+                 image_id: str = "image_id", class_idx: str = "class_idx", vec: str = "vec",
+                 normalize_images: bool = True, group_cols=()) -> DataFrame:
+    """E4 against the class prototypes: (group..., image_id, class_idx, logit,
+    rank) for every class (the class list is bounded; images are not)."""
+    im = images
+    if normalize_images:
+        im = S.l2_normalize(images.select(*group_cols, image_id, vec), vec)
+    return (S.all_scores(im.select(*group_cols, image_id, vec), prototypes.select(*group_cols, class_idx, vec),
+                         q_id=image_id, c_id=class_idx, vec=vec, scale=scale, group_cols=group_cols)
+             .withColumnRenamed("score", "logit"))
+
+
+def softmax(scores: DataFrame, image_id: str = "image_id", logit: str = "logit",
+            group_cols=()) -> DataFrame:
+    """E5: class probabilities per image: exp(l - max) / sum(exp(l - max))."""
+    w = Window.partitionBy(*group_cols, image_id)
+    z = F.exp(F.col(logit) - F.max(logit).over(w))
+    return scores.withColumn("__z", z).withColumn("prob", F.col("__z") / F.sum("__z").over(w)).drop("__z")
+
+
+def predictions(probs: DataFrame, targets: DataFrame, image_id: str = "image_id",
+                class_idx: str = "class_idx", target: str = "target", group_cols=()) -> DataFrame:
+    """E5: (image_id, pred, confidence, target): argmax class (smaller class
+    on ties) and its probability."""
+    keys = list(group_cols) + [image_id]
+    best = (probs.groupBy(*keys)
+                 .agg(F.max_by(F.col(class_idx), F.struct(V.rank_score("prob"), -F.col(class_idx))).alias("pred"),
+                      F.max("prob").alias("confidence")))
+    return best.join(targets.select(*keys, target), keys, "inner")
+
+
+def topk_classes(images: DataFrame, prototypes: DataFrame, k: int, image_id: str = "image_id",
+                 class_idx: str = "class_idx", vec: str = "vec") -> DataFrame:
+    """The k best classes per image, descending: (image_id, rank, class_idx, score)."""
+    return S.topk_scores(images.select(image_id, vec), prototypes.select(class_idx, vec), k,
+                         q_id=image_id, c_id=class_idx, vec=vec)
+
+
+def topk_accuracy(scores: DataFrame, targets: DataFrame, ks=(1, 5, 10), image_id: str = "image_id",
+                  class_idx: str = "class_idx", target: str = "target", group_cols=()) -> DataFrame:
+    """Share of images whose true class is among the top k, per k
+    (k above the class count is capped: everything is a hit), plus the
+    plain average over the ks as k = 0.  Returns (group..., k, accuracy)."""
+    keys = list(group_cols) + [image_id]
+    t = targets.select(*keys, F.col(target).alias("__t"))
+    hit_rank = (scores.join(t, keys).filter(F.col(class_idx) == F.col("__t"))
+                      .select(*keys, F.col("rank").alias("__r")))
+    allq = t.join(hit_rank, keys, "left")
+    per_k = (with_ks(allq, ks).groupBy(*group_cols, "k")
+             .agg(F.avg(F.when(F.col("__r") <= F.col("k"), 1.0).otherwise(0.0)).alias("accuracy")))
+    avg = per_k.groupBy(*group_cols).agg(F.avg("accuracy").alias("accuracy")).withColumn("k", F.lit(0).cast("bigint"))
+    return per_k.unionByName(avg)
+
+
+# ---------------------------------------------------------------- E7 / E8
+
+def retrieval_list(queries: DataFrame, candidates: DataFrame, k: int, q_id: str, c_id: str,
+                   vec: str = "vec", normalize: bool = True) -> DataFrame:
+    """For every query its k best candidates, descending:
+    (q_id, rank, c_id, score).  All queries at once, keyed by query."""
+    q, c = queries.select(q_id, vec), candidates.select(c_id, vec)
+    if normalize:
+        q, c = S.l2_normalize(q, vec).select(q_id, vec), S.l2_normalize(c, vec).select(c_id, vec)
+    return S.topk_scores(q, c, k, q_id=q_id, c_id=c_id, vec=vec)
+
+
+# ---------------------------------------------------------------- E13 / E14
+
+def class_subset(images: DataFrame, prototypes: DataFrame, subset: DataFrame, target: str = "target",
+                 class_idx: str = "class_idx") -> tuple:
+    """Keep the images of the subset classes and re-index targets and
+    prototypes to the class's position in the subset.  ``subset`` is (pos,
+    class_idx).  Returns (images, prototypes) with ``class_idx``/``target``
+    = position."""
+    sub = subset.select(F.col("pos").cast("bigint").alias("__new"), F.col(class_idx).alias("__old"))
+    im = (images.join(F.broadcast(sub), images[target] == sub["__old"], "inner")
+                .drop(target, "__old").withColumnRenamed("__new", target))
+    pr = (prototypes.join(F.broadcast(sub), prototypes[class_idx] == sub["__old"], "inner")
+                    .drop(class_idx, "__old").withColumnRenamed("__new", class_idx))
+    return im, pr
+
+
+def subset_accuracy(scores: DataFrame, targets: DataFrame, n_subset_classes: int,
+                    images_per_class: int | None = None, image_id: str = "image_id",
+                    target: str = "target") -> DataFrame:
+    """Top-1 hits divided by (subset classes x images per class) when
+    ``images_per_class`` is given (the reference's fixed 50), else by the
+    number of subset images."""
+    top1 = scores.filter(F.col("rank") == 1).select(image_id, F.col("class_idx").alias("__p"))
+    j = targets.select(image_id, target).join(top1, image_id, "left")
+    hits = F.sum(F.when(F.col("__p") == F.col(target), 1).otherwise(0)).cast("double")
+    den = (F.lit(float(n_subset_classes * images_per_class)) if images_per_class
+           else F.count(F.lit(1)).cast("double"))
+    return j.agg((hits / den).alias("accuracy"), F.count(F.lit(1)).alias("n_images"))
+
+
+def sweep_missing(requested: DataFrame, available: DataFrame, keys) -> DataFrame:
+    """The (language, prompt set) combinations that are requested but
+    have no classes or prompts: listed, then skipped."""
+    return requested.join(available.select(*keys).distinct(), list(keys), "left_anti")
+
+
+# ---------------------------------------------------------------- E15 / E16 / E17
+
+def vocabulary_from_annotations(ann: DataFrame, label_col: str, id_col: str = "id",
+                                cols=("id", "fine_grained_label", "translated_fine_grained_label",
+                                      "translated_coarse_grained_label")) -> DataFrame:
+    """E15 (annotation table): distinct label rows, ordered by numeric id;
+    target = id - 1.  Returns (target, label, n_files)."""
+    d = ann.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_files"))
+    return d.select((F.col(id_col) - 1).cast("bigint").alias("target"), F.col(label_col).alias("label"), "n_files")
+
+
+def vocabulary_last_wins(rows: DataFrame, id_col: str, name_col: str, pos: str = "pos") -> DataFrame:
+    """E15 (id -> name list): later rows overwrite the name, order of first
+    appearance.  Returns (class_id, name, first_pos)."""
+    return rows.groupBy(id_col).agg(F.max_by(name_col, pos).alias("name"), F.min(pos).alias("first_pos")) \
+               .withColumnRenamed(id_col, "class_id")
+
+
+def gather(rows: DataFrame, index: DataFrame, row_idx: str = "row_idx") -> DataFrame:
+    """``rows[index]`` - reorder / subset / repeat rows by an index list
+    given as (pos, idx); the output order is ``pos``."""
+    return index.select(F.col("pos").cast("bigint").alias("pos"), F.col("idx").alias(row_idx)) \
+                .join(rows, row_idx, "inner")
+
+
+def multi_hot(images: DataFrame, pairs: DataFrame, classes: list, image: str = "image",
+              class_col: str = "class_name") -> DataFrame:
+    """(image, class_idx, class_name, present) for every image x class
+    of the (bounded) class list; duplicates collapse, absent -> 0, images
+    without objects -> all zeros."""
+    arr = F.array(*[F.struct(F.lit(i).cast("bigint").alias("class_idx"), F.lit(c).alias(class_col))
+                    for i, c in enumerate(classes)])
+    grid = images.select(image).distinct().select(image, F.explode(arr).alias("__c")) \
+                 .select(image, "__c.class_idx", F.col("__c." + class_col).alias(class_col))
+    seen = pairs.select(image, class_col).distinct().withColumn("__p", F.lit(1))
+    return grid.join(seen, [image, class_col], "left") \
+               .select(image, "class_idx", class_col, F.coalesce("__p", F.lit(0)).cast("bigint").alias("present"))

@@ -56,3 +56,91 @@ FROM img i CROSS JOIN ks
 LEFT JOIN npos n ON n.image_id = i.image_id
 LEFT JOIN tp ON tp.image_id = i.image_id AND tp.k = ks.k
 """
+
+# ---------------------------------------------------------------- D
+CAP = ("cap AS (SELECT t.vec_id AS text_id, t.vec_id // 6 AS image_id, t.vec_id % 6 - 1 AS pos, d.text, "
+       "CAST(t.embedding AS DOUBLE[]) AS vec FROM embeddings t LEFT JOIN documents d ON d.doc_id = t.vec_id "
+       "WHERE t.vec_id % 6 <> 0)")
+D3 = ("d3 AS (SELECT c.image_id, c.pos, c.text, list_dot_product(c.vec, i.vec) / "
+      "(sqrt(list_dot_product(c.vec, c.vec)) * sqrt(list_dot_product(i.vec, i.vec))) AS sim "
+      "FROM cap c JOIN img i ON i.image_id = c.image_id)")
+PAIRS = ("pi AS (SELECT vec_id // 2 AS pair_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id % 2 = 0), "
+         "pt AS (SELECT vec_id // 2 AS pair_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id % 2 = 1), "
+         "pc AS (SELECT pi.pair_id, list_dot_product(pi.vec, pt.vec) / (sqrt(list_dot_product(pi.vec, pi.vec)) * "
+         "sqrt(list_dot_product(pt.vec, pt.vec))) AS sim FROM pi JOIN pt ON pi.pair_id = pt.pair_id)")
+CAPS = ("caps AS (SELECT doc_id AS image, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, "
+        "unnest(string_split(text, chr(10))) AS text FROM documents), "
+        "capsx AS (SELECT image, row_number() OVER (PARTITION BY image ORDER BY pos) - 1 AS pos, text "
+        "FROM caps WHERE text <> '')")
+TFIDF = (CAPS + ", ndocs AS (SELECT image, count(*) AS n FROM capsx GROUP BY image), "
+         "tok AS (SELECT image, pos, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS token FROM capsx), "
+         "tf AS (SELECT image, pos, token, count(*) AS tf FROM tok GROUP BY ALL), "
+         "dfq AS (SELECT image, token, count(*) AS df FROM tf GROUP BY ALL), "
+         "raw AS (SELECT tf.image, tf.pos, tf.token, tf.tf * (ln((1.0 + n.n) / (1.0 + dfq.df)) + 1.0) AS raw "
+         "FROM tf JOIN dfq USING (image, token) JOIN ndocs n USING (image)), "
+         "nrm AS (SELECT image, pos, sqrt(sum(raw * raw)) AS nrm FROM raw GROUP BY ALL), "
+         "w AS (SELECT raw.image, raw.pos, raw.token, raw.raw / nrm.nrm AS w FROM raw JOIN nrm USING (image, pos))")
+
+ORACLE["d1_l2_normalize"] = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm FROM e),
+x AS (SELECT vec_id, nrm, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM n)
+SELECT vec_id, dim, CASE WHEN nrm > 0 THEN round(x / nrm, 6) END AS x, nrm = 0 AS is_zero FROM x
+"""
+
+ORACLE["d2_paired_cosine"] = f"WITH {PAIRS} SELECT pair_id, round(sim, 6) AS sim FROM pc"
+
+ORACLE["d3_one_to_many_cosine"] = f"WITH {IMG}, {CAP}, {D3} SELECT image_id, pos, round(sim, 6) AS sim FROM d3"
+
+ORACLE["d4_filter_pairs"] = f"""
+WITH {PAIRS}
+SELECT row_number() OVER (ORDER BY pair_id) - 1 AS idx, pair_id, round(sim, 6) AS sim
+FROM pc WHERE round(sim, 9) >= 0.2
+"""
+
+ORACLE["d5_caption_pool"] = f"""
+WITH {IMG}, {CAP}, {D3},
+lists AS (SELECT image_id, list(text ORDER BY pos) FILTER (WHERE pos < 2) AS orig,
+                 list(text ORDER BY pos) FILTER (WHERE pos >= 2) AS gen FROM d3 GROUP BY image_id),
+pool AS (SELECT image_id, list_concat(coalesce(orig, []), coalesce(gen[1:2], [])) AS pool FROM lists)
+SELECT image_id, generate_subscripts(pool, 1) - 1 AS idx, unnest(pool) AS text FROM pool
+"""
+
+ORACLE["d6_filter_by_ranking"] = f"""
+WITH {IMG}, {CAP}, {D3},
+r AS (SELECT image_id, pos, row_number() OVER (PARTITION BY image_id ORDER BY round(sim, 9) DESC, pos DESC) AS rn,
+             least(3, count(*) OVER (PARTITION BY image_id)) AS m FROM d3)
+SELECT image_id, m - rn AS out_pos, pos AS src_pos FROM r WHERE rn <= 3
+"""
+
+ORACLE["d7_filter_by_threshold"] = f"""
+WITH {IMG}, {CAP}, {D3}
+SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY pos) - 1 AS out_pos, pos AS src_pos
+FROM d3 WHERE round(sim, 9) >= 0.2
+"""
+
+ORACLE["d12_drop_empty"] = f"""
+WITH {IMG}, {CAP}, {D3}
+SELECT image_id, count(*) AS n_kept FROM d3 WHERE round(sim, 9) >= 0.2 GROUP BY image_id
+"""
+
+ORACLE["d13_random_caption"] = f"""
+WITH {IMG}, {CAP}, {D3},
+n AS (SELECT image_id, count(*) AS n FROM d3 GROUP BY image_id)
+SELECT image_id, n, ('0x' || substr(md5(concat_ws('|', image_id, 7, 1)), 1, 8))::BIGINT % n AS pick FROM n
+"""
+
+ORACLE["d8_tfidf"] = f"WITH {TFIDF} SELECT image, pos, token, round(w, 6) AS w FROM w"
+
+ORACLE["d9_caption_pair_similarity"] = f"""
+WITH {TFIDF}
+SELECT a.image, a.pos AS pos_a, b.pos AS pos_b, round(sum(a.w * b.w), 6) AS sim
+FROM w a JOIN w b ON a.image = b.image AND a.token = b.token AND a.pos < b.pos
+GROUP BY a.image, a.pos, b.pos
+"""
+
+ORACLE["d15_batches"] = """
+WITH h AS (SELECT doc_id, ('0x' || substr(md5(concat_ws('|', doc_id, 3, 0)), 1, 8))::BIGINT AS h FROM documents),
+i AS (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) - 1 AS idx FROM h)
+SELECT doc_id, idx, idx // 64 AS batch_id, idx % 64 AS slot FROM i
+"""

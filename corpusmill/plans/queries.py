@@ -51,3 +51,124 @@ def e9_true_recall(spark: SparkSession, d: str) -> DataFrame:
     top = Z.retrieval_topk(im, tx, 10, "image_id", "text_id", "key", "key")
     rec = Z.true_recall(top, im, tx, "image_id", "key", "key")
     return rec.select("image_id", "k", _r("recall").alias("recall"))
+
+
+# ---------------------------------------------------------------- D: similarity and selection
+
+from corpusmill.functions import hashing as H  # noqa: E402
+from corpusmill.operators import diversity as DV  # noqa: E402
+from corpusmill.operators import sample as SM  # noqa: E402
+from corpusmill.operators import select as SEL  # noqa: E402
+
+
+def _scored(spark, d):
+    return S.scored_samples(views.img(spark, d), views.caption_embeddings(spark, d), views.ORIGINAL_CAPTIONS)
+
+
+@register("d1_l2_normalize")
+def d1_l2_normalize(spark, d):
+    e = views.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    n = S.l2_normalize(e, "vec")
+    return n.select("vec_id", F.posexplode("vec").alias("dim", "x"), "vec_is_zero") \
+            .select("vec_id", F.col("dim").cast("bigint").alias("dim"), _r("x").alias("x"),
+                    F.col("vec_is_zero").alias("is_zero"))
+
+
+@register("d2_paired_cosine")
+def d2_paired_cosine(spark, d):
+    p = S.paired_cosine(views.pair_images(spark, d), views.pair_texts(spark, d), "pair_id")
+    return p.select("pair_id", _r("sim").alias("sim"))
+
+
+@register("d3_one_to_many_cosine")
+def d3_one_to_many_cosine(spark, d):
+    s = _scored(spark, d)
+    return s.select("image_id", F.posexplode("similarities").alias("pos", "sim")) \
+            .select("image_id", F.col("pos").cast("bigint").alias("pos"), _r("sim").alias("sim"))
+
+
+@register("d4_filter_pairs")
+def d4_filter_pairs(spark, d):
+    p = S.paired_cosine(views.pair_images(spark, d), views.pair_texts(spark, d), "pair_id")
+    f = SEL.filter_pairs(p.withColumn("sim", V.rank_score("sim")), "sim", 0.2, ["pair_id"])
+    return f.select("idx", "pair_id", _r("sim").alias("sim"))
+
+
+@register("d5_caption_pool")
+def d5_caption_pool(spark, d):
+    s = _scored(spark, d).withColumn("orig", F.slice("captions", 1, views.ORIGINAL_CAPTIONS))
+    pool = s.select("image_id", SEL.caption_pool("orig", "generated", "pt", 2).alias("pool"))
+    return pool.select("image_id", F.posexplode("pool").alias("idx", "text")) \
+               .withColumn("idx", F.col("idx").cast("bigint"))
+
+
+@register("d6_filter_by_ranking")
+def d6_filter_by_ranking(spark, d):
+    s = _scored(spark, d)
+    p = s.select("image_id", SEL.top_k_by_similarity_pos("captions", "similarities", 3).alias("p"))
+    return p.select("image_id", F.posexplode("p").alias("out_pos", "src_pos")) \
+            .select("image_id", F.col("out_pos").cast("bigint").alias("out_pos"),
+                    F.col("src_pos").cast("bigint").alias("src_pos"))
+
+
+@register("d7_filter_by_threshold")
+def d7_filter_by_threshold(spark, d):
+    s = _scored(spark, d)
+    p = s.select("image_id", SEL.above_threshold_pos("captions", "similarities", 0.2).alias("p"))
+    return p.select("image_id", F.posexplode("p").alias("out_pos", "src_pos")) \
+            .select("image_id", F.col("out_pos").cast("bigint").alias("out_pos"),
+                    F.col("src_pos").cast("bigint").alias("src_pos"))
+
+
+@register("d12_drop_empty")
+def d12_drop_empty(spark, d):
+    s = _scored(spark, d)
+    p = s.select("image_id", SEL.above_threshold("captions", "similarities", 0.2).alias("pool"))
+    return SEL.drop_empty(p, "pool").select("image_id", F.size("pool").cast("bigint").alias("n_kept"))
+
+
+@register("d13_random_caption")
+def d13_random_caption(spark, d):
+    s = _scored(spark, d)
+    return s.select("image_id", F.size("captions").cast("bigint").alias("n"),
+                    SM.random_caption_index("captions", "image_id", seed=7, epoch=1).alias("pick"))
+
+
+@register("d8_tfidf")
+def d8_tfidf(spark, d):
+    w = DV.tfidf(views.caps(spark, d))
+    return w.select("image", "pos", "token", _r("w").alias("w"))
+
+
+@register("d9_caption_pair_similarity")
+def d9_caption_pair_similarity(spark, d):
+    p = DV.pair_similarity(DV.tfidf(views.caps(spark, d)))
+    return p.select("image", "pos_a", "pos_b", _r("sim").alias("sim"))
+
+
+@register("d10_diversity_pruning")
+def d10_diversity_pruning(spark, d):
+    """Greedy loop: no SQL form; checked by rows and against numpy in tests."""
+    return DV.prune_similar(views.caps(spark, d), k_min=3, thr=0.3).select("image", "pos")
+
+
+@register("d11_threshold_diversity")
+def d11_threshold_diversity(spark, d):
+    """D7 on the image-caption similarity, then the diversity loop."""
+    long = S.one_to_many_cosine(views.img(spark, d), views.caption_embeddings(spark, d))
+    kept = DV.threshold_then_diversity(long.select(F.col("image_id").alias("image"), "pos", "text", "sim"),
+                                       "sim", threshold=0.15, k_min=3)
+    return kept.select("image", "pos")
+
+
+@register("d14_seeded_shuffle")
+def d14_seeded_shuffle(spark, d):
+    """Seeded full shuffle of the documents (order lives in the partitions)."""
+    return SM.seeded_shuffle(views.documents(spark, d).select("doc_id"), "doc_id", seed=3, epoch=0) \
+             .select("doc_id", "shuffle_h")
+
+
+@register("d15_batches")
+def d15_batches(spark, d):
+    b = SM.batches(views.documents(spark, d).select("doc_id"), "doc_id", 64, seed=3, epoch=0, hash_kind="md5")
+    return b.select("doc_id", "idx", "batch_id", "slot")

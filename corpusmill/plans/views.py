@@ -123,3 +123,14 @@ def tsv_pages(spark, sf_dir) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", "url",
                     F.regexp_extract("html", r"<title>(.*?)</title>", 1).alias("caption"))
+
+
+def caption_embeddings(spark, sf_dir) -> DataFrame:
+    """(text_id, image_id, pos, text, vec): caption vectors with their text
+    (the document whose doc_id equals the caption's vec_id).  Positions 0-1
+    stand for the original captions, 2-4 for generated ones."""
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("text_id"), "text")
+    return txt(spark, sf_dir).join(d, "text_id", "left").select("text_id", "image_id", "pos", "text", "vec")
+
+
+ORIGINAL_CAPTIONS = 2   # positions below this are original captions, the rest generated
