@@ -15,28 +15,29 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators.indexing import prefix_sum
 
-# Metric of each evaluation dataset (metadata of the reference).
+# Metric of each evaluation dataset (from the reference's
+# dataset metadata files).
 DATASET_METRIC = {
     "caltech-101": "mean-per-class",
-    "fgvc-aircraft": "mean-per-class",
-    "oxford-flower-102": "mean-per-class",
-    "oxford-iiit-pets": "mean-per-class",
-    "voc-2007-classification": "11point_mAP",
-    "hateful-memes": "roc_auc",
     "cifar-10": "accuracy",
     "cifar-100": "accuracy",
     "country211": "accuracy",
     "dtd": "accuracy",
-    "eurosat-clip": "accuracy",
+    "eurosat_clip": "accuracy",
     "fer-2013": "accuracy",
+    "fgvc-aircraft-2013b-variants102": "mean-per-class",
+    "oxford-flower-102": "mean-per-class",
     "food-101": "accuracy",
     "gtsrb": "accuracy",
+    "hateful-memes": "roc_auc",
     "kitti-distance": "accuracy",
     "mnist": "accuracy",
+    "oxford-iiit-pets": "mean-per-class",
     "patch-camelyon": "accuracy",
     "rendered-sst2": "accuracy",
     "resisc45_clip": "accuracy",
     "stanford-cars": "accuracy",
+    "voc-2007-classification": "11point_mAP",
 }
 METRICS = ("accuracy", "mean-per-class", "11point_mAP", "roc_auc")
 

@@ -144,3 +144,222 @@ WITH h AS (SELECT doc_id, ('0x' || substr(md5(concat_ws('|', doc_id, 3, 0)), 1,
 i AS (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) - 1 AS idx FROM h)
 SELECT doc_id, idx, idx // 64 AS batch_id, idx % 64 AS slot FROM i
 """
+
+# ---------------------------------------------------------------- E / F
+PR = "pr AS (SELECT vec_id AS prompt_id, CAST(label AS BIGINT) AS class_idx, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id % 5 = 0)"
+TI = ("ti AS (SELECT vec_id AS image_id, CAST(label AS BIGINT) AS target, CAST(embedding AS DOUBLE[]) AS vec "
+      "FROM embeddings WHERE vec_id % 5 <> 0)")
+TIN = "tin AS (SELECT image_id, target, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec FROM ti)"
+
+
+def proto_cte(variant: str, src: str = "pr", name: str = "proto", keys: str = "class_idx") -> str:
+    """Prototype CTEs: a = normalise, mean, normalise; b = mean, normalise
+    unless one prompt; c = mean, normalise."""
+    if variant == "a":
+        first = f"{name}_n AS (SELECT {keys}, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS v FROM {src})"
+    else:
+        first = f"{name}_n AS (SELECT {keys}, vec AS v FROM {src})"
+    body = (f"{first}, "
+            f"{name}_d AS (SELECT {keys}, generate_subscripts(v, 1) AS dim, unnest(v) AS x FROM {name}_n), "
+            f"{name}_m AS (SELECT {keys}, dim, avg(x) AS m, count(*) AS cnt FROM {name}_d GROUP BY ALL), "
+            f"{name}_l AS (SELECT {keys}, list(m ORDER BY dim) AS v, max(cnt) AS n_prompts FROM {name}_m GROUP BY ALL), ")
+    if variant == "b":
+        out = (f"{name} AS (SELECT {keys}, CASE WHEN n_prompts = 1 THEN v ELSE "
+               f"list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) END AS vec FROM {name}_l)")
+    else:
+        out = f"{name} AS (SELECT {keys}, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS vec FROM {name}_l)"
+    return body + out
+
+
+CLS = (f"{PR}, {TI}, {TIN}, {proto_cte('a')}, "
+       "sc AS (SELECT t.image_id, p.class_idx, 100.0 * list_dot_product(t.vec, p.vec) AS logit FROM tin t, proto p), "
+       "scr AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(logit, 9) DESC, class_idx) AS rnk FROM sc), "
+       "pb AS (SELECT image_id, class_idx, logit, exp(logit - max(logit) OVER (PARTITION BY image_id)) AS z FROM sc), "
+       "probs AS (SELECT image_id, class_idx, logit, z / sum(z) OVER (PARTITION BY image_id) AS prob FROM pb), "
+       "preds AS (SELECT p.image_id, arg_max(p.class_idx, (round(p.prob, 9), -p.class_idx)) AS pred, max(p.prob) AS confidence, "
+       "any_value(t.target) AS target FROM probs p JOIN ti t USING (image_id) GROUP BY p.image_id)")
+
+MAP = ("lab AS (SELECT p.image_id, p.class_idx, p.prob, CASE WHEN p.class_idx = t.target THEN 1 ELSE 0 END AS present "
+       "FROM probs p JOIN ti t USING (image_id)), "
+       "o AS (SELECT class_idx, row_number() OVER w AS rnk, sum(present) OVER w AS tp, "
+       "sum(present) OVER (PARTITION BY class_idx) AS npos FROM lab "
+       "WINDOW w AS (PARTITION BY class_idx ORDER BY round(prob, 9) DESC, image_id ROWS UNBOUNDED PRECEDING)), "
+       "r AS (SELECT class_idx, CAST(tp AS DOUBLE) / rnk AS prec, (tp * 10) // npos AS tmax FROM o WHERE npos > 0), "
+       "ts AS (SELECT unnest(range(0, 11)) AS i), "
+       "ip AS (SELECT r.class_idx, ts.i, max(prec) AS p FROM r JOIN ts ON r.tmax >= ts.i GROUP BY ALL), "
+       "ap AS (SELECT class_idx, sum(p) / 11.0 AS ap FROM ip GROUP BY class_idx), "
+       "mapr AS (SELECT avg(ap) AS map, count(*) AS classes FROM ap)")
+
+BIN = "bin AS (SELECT l.doc_id, l.quality AS label, CAST(d.n_chars AS DOUBLE) AS score FROM labels l JOIN documents d USING (doc_id))"
+AUC = (f"{BIN}, g AS (SELECT score, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS p, "
+       "sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS n FROM bin GROUP BY score), "
+       "cg AS (SELECT p, n, sum(n) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) AS cn FROM g), "
+       "aucr AS (SELECT sum(p * (cn - n + n / 2.0)) / (CAST(sum(p) AS DOUBLE) * CAST(sum(n) AS DOUBLE)) AS auc FROM cg)")
+
+ORACLE["e1_prompt_expansion"] = """
+WITH c AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS class_idx
+           FROM (SELECT DISTINCT event_type AS name FROM events)),
+t AS (SELECT generate_subscripts(l, 1) - 1 AS tpl_idx, unnest(l) AS template
+      FROM (SELECT ['a centered satellite photo of {}.', 'a centered satellite photo of a {}.',
+                    'a centered satellite photo of the {}.'] AS l))
+SELECT c.class_idx, t.tpl_idx, replace(replace(t.template, '{}', c.name), '[CLASS]', c.name) AS prompt FROM c, t
+"""
+
+ORACLE["e2_first_alias"] = "SELECT item_id AS class_idx, string_split(text, ' ')[1] AS name FROM benchmark"
+
+ORACLE["e3_class_prototypes"] = f"""
+WITH {PR}, {proto_cte('a', name='pa')}, {proto_cte('b', name='pb')}, {proto_cte('c', name='pc')},
+u AS (SELECT class_idx, 'a' AS variant, vec FROM pa UNION ALL SELECT class_idx, 'b', vec FROM pb
+      UNION ALL SELECT class_idx, 'c', vec FROM pc)
+SELECT class_idx, variant, generate_subscripts(vec, 1) - 1 AS dim, round(unnest(vec), 6) AS x FROM u
+"""
+
+ORACLE["e4_scaled_logits"] = f"WITH {CLS} SELECT image_id, class_idx, round(logit, 6) AS logit FROM sc"
+ORACLE["e5_softmax"] = f"WITH {CLS} SELECT image_id, class_idx, round(prob, 6) AS prob FROM probs"
+ORACLE["e5_predictions"] = f"WITH {CLS} SELECT image_id, pred, round(confidence, 6) AS confidence, target FROM preds"
+ORACLE["e6_topk_classes"] = f"WITH {CLS} SELECT image_id, rnk AS rank, class_idx FROM scr WHERE rnk <= 5"
+
+ORACLE["e7_text_to_image"] = f"""
+WITH {IMG}, {TXT}, {IMGN}, {TXTN}, {SCORES},
+r AS (SELECT text_id, image_id, score, row_number() OVER (PARTITION BY text_id ORDER BY round(score, 9) DESC, image_id) AS rnk FROM s)
+SELECT text_id, rnk AS rank, image_id, round(score, 6) AS score FROM r WHERE rnk <= 5
+"""
+
+ORACLE["e8_image_to_text"] = f"""
+WITH {IMG}, {TXT}, {IMGN}, {TXTN}, {SCORES},
+r AS (SELECT image_id, text_id, score, row_number() OVER (PARTITION BY image_id ORDER BY round(score, 9) DESC, text_id) AS rnk FROM s)
+SELECT image_id, rnk AS rank, text_id, round(score, 6) AS score FROM r WHERE rnk <= 5
+"""
+
+ORACLE["e12_topk_accuracy"] = f"""
+WITH {CLS}, ks AS (SELECT unnest([1, 5, 10])::BIGINT AS k),
+h AS (SELECT t.image_id, s.rnk FROM ti t LEFT JOIN scr s ON s.image_id = t.image_id AND s.class_idx = t.target),
+pk AS (SELECT k, avg(CASE WHEN rnk <= k THEN 1.0 ELSE 0.0 END) AS accuracy FROM h, ks GROUP BY k)
+SELECT k, round(accuracy, 6) AS accuracy FROM pk
+UNION ALL SELECT 0::BIGINT AS k, round(avg(accuracy), 6) FROM pk
+"""
+
+ORACLE["e13_class_subset"] = f"""
+WITH {PR}, {TI}, sub AS (SELECT generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS class_idx FROM (SELECT [2, 4, 6, 8] AS l)),
+tis AS (SELECT t.image_id, s.pos AS target, list_transform(t.vec, lambda x: x / sqrt(list_dot_product(t.vec, t.vec))) AS vec
+        FROM ti t JOIN sub s ON t.target = s.class_idx),
+prs AS (SELECT s.pos AS class_idx, p.vec FROM pr p JOIN sub s ON p.class_idx = s.class_idx),
+{proto_cte('a', src='prs')},
+sc AS (SELECT t.image_id, t.target, p.class_idx, 100.0 * list_dot_product(t.vec, p.vec) AS logit FROM tis t, proto p),
+top1 AS (SELECT image_id, target, class_idx, row_number() OVER (PARTITION BY image_id ORDER BY round(logit, 9) DESC, class_idx) AS rnk FROM sc)
+SELECT round(CAST(sum(CASE WHEN class_idx = target THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS accuracy, count(*) AS n_images
+FROM top1 WHERE rnk = 1
+"""
+
+SWEEP = (f"{PR}, {TI}, lg AS (SELECT doc_id AS vec_id, lang FROM documents), "
+         "prl AS (SELECT lg.lang, 'ensemble' AS prompt_set, p.class_idx, p.vec FROM pr p JOIN lg ON lg.vec_id = p.prompt_id), "
+         "til AS (SELECT lg.lang, 'ensemble' AS prompt_set, t.image_id, t.target, "
+         "list_transform(t.vec, lambda x: x / sqrt(list_dot_product(t.vec, t.vec))) AS vec FROM ti t JOIN lg ON lg.vec_id = t.image_id), "
+         f"{proto_cte('a', src='prl', keys='lang, prompt_set, class_idx')}")
+
+ORACLE["e14_sweep_accuracy"] = f"""
+WITH {SWEEP},
+sc AS (SELECT t.lang, t.prompt_set, t.image_id, t.target, p.class_idx,
+              row_number() OVER (PARTITION BY t.lang, t.prompt_set, t.image_id
+                                 ORDER BY round(100.0 * list_dot_product(t.vec, p.vec), 9) DESC, p.class_idx) AS rnk
+       FROM til t JOIN proto p ON p.lang = t.lang AND p.prompt_set = t.prompt_set),
+h AS (SELECT t.lang, t.prompt_set, t.image_id, s.rnk FROM til t
+      LEFT JOIN sc s ON s.lang = t.lang AND s.prompt_set = t.prompt_set AND s.image_id = t.image_id AND s.class_idx = t.target),
+ks AS (SELECT unnest([1, 5])::BIGINT AS k),
+pk AS (SELECT lang, prompt_set, k, avg(CASE WHEN rnk <= k THEN 1.0 ELSE 0.0 END) AS accuracy FROM h, ks GROUP BY ALL)
+SELECT lang, prompt_set, k, round(accuracy, 6) AS accuracy FROM pk
+UNION ALL SELECT lang, prompt_set, 0::BIGINT, round(avg(accuracy), 6) FROM pk GROUP BY lang, prompt_set
+"""
+
+ORACLE["e14_sweep_skipped"] = f"""
+WITH {SWEEP}, req AS (SELECT unnest(['de', 'en', 'es', 'fr', 'pt']) AS lang, 'ensemble' AS prompt_set)
+SELECT r.lang, r.prompt_set FROM req r WHERE NOT EXISTS (SELECT 1 FROM prl p WHERE p.lang = r.lang AND p.prompt_set = r.prompt_set)
+"""
+
+ORACLE["e15_vocabulary"] = """
+WITH r AS (SELECT conv_id, role, row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos FROM conversations)
+SELECT conv_id AS class_id, arg_max(role, pos) AS name, min(pos) AS first_pos FROM r GROUP BY conv_id
+"""
+
+ORACLE["e16_gather"] = """
+WITH idx AS (SELECT row_number() OVER (ORDER BY doc_id DESC) - 1 AS pos, doc_id AS idx FROM labels)
+SELECT i.pos, d.doc_id, d.lang FROM idx i JOIN documents d ON d.doc_id = i.idx
+"""
+
+ORACLE["e17_multi_hot"] = """
+WITH c AS (SELECT class_name, row_number() OVER (ORDER BY class_name) - 1 AS class_idx
+           FROM (SELECT DISTINCT event_type AS class_name FROM events)),
+im AS (SELECT DISTINCT user_id AS image FROM events),
+p AS (SELECT DISTINCT user_id AS image, event_type AS class_name FROM events)
+SELECT im.image, c.class_idx, c.class_name, CASE WHEN p.image IS NULL THEN 0 ELSE 1 END::BIGINT AS present
+FROM im CROSS JOIN c LEFT JOIN p ON p.image = im.image AND p.class_name = c.class_name
+"""
+
+ORACLE["f1_accuracy"] = f"WITH {CLS} SELECT round(avg(CASE WHEN pred = target THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM preds"
+
+ORACLE["f2_mean_per_class"] = f"""
+WITH {CLS}, pc AS (SELECT target, avg(CASE WHEN pred = target THEN 1.0 ELSE 0.0 END) AS r FROM preds GROUP BY target)
+SELECT round(avg(r), 6) AS mean_per_class FROM pc
+"""
+
+ORACLE["f3_map_11_point"] = f"WITH {CLS}, {MAP} SELECT round(map, 6) AS map, classes FROM mapr"
+
+ORACLE["f4_roc_auc"] = f"WITH {AUC} SELECT round(auc, 6) AS auc FROM aucr"
+
+ORACLE["f5_metric_dispatch"] = f"""
+WITH {CLS}, {MAP}, {AUC},
+res AS (SELECT 'cifar-10' AS dataset, 'accuracy' AS metric, avg(CASE WHEN pred = target THEN 1.0 ELSE 0.0 END) AS value FROM preds
+        UNION ALL
+        SELECT 'caltech-101', 'mean-per-class', avg(r) FROM
+          (SELECT target, avg(CASE WHEN pred = target THEN 1.0 ELSE 0.0 END) AS r FROM preds GROUP BY target)
+        UNION ALL SELECT 'voc-2007-classification', '11point_mAP', map FROM mapr
+        UNION ALL SELECT 'hateful-memes', 'roc_auc', auc FROM aucr)
+SELECT dataset, metric, round(value * 100.0, 6) AS result FROM res
+"""
+
+INB = ("pi AS (SELECT vec_id // 2 AS pair_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id % 2 = 0), "
+       "pt AS (SELECT vec_id // 2 AS pair_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id % 2 = 1), "
+       "pp AS (SELECT pi.pair_id FROM pi JOIN pt USING (pair_id)), "
+       "b AS (SELECT a.pair_id // 50 AS batch_id, a.pair_id AS i, c.pair_id AS j, 20.0 * list_dot_product(a.vec, c.vec) AS l "
+       "FROM pi a JOIN pt c ON a.pair_id // 50 = c.pair_id // 50 "
+       "WHERE a.pair_id IN (SELECT pair_id FROM pp) AND c.pair_id IN (SELECT pair_id FROM pp)), "
+       "mr AS (SELECT batch_id, i, max(l) AS m FROM b GROUP BY ALL), "
+       "lr AS (SELECT b.batch_id, b.i, any_value(mr.m) + ln(sum(exp(b.l - mr.m))) AS lse FROM b JOIN mr USING (batch_id, i) GROUP BY ALL), "
+       "mc AS (SELECT batch_id, j, max(l) AS m FROM b GROUP BY ALL), "
+       "lc AS (SELECT b.batch_id, b.j, any_value(mc.m) + ln(sum(exp(b.l - mc.m))) AS lse FROM b JOIN mc USING (batch_id, j) GROUP BY ALL), "
+       "dg AS (SELECT batch_id, i, l FROM b WHERE i = j), "
+       "ce AS (SELECT d.batch_id, avg(lr.lse - d.l) AS ce_r, avg(lc.lse - d.l) AS ce_c FROM dg d "
+       "JOIN lr ON lr.batch_id = d.batch_id AND lr.i = d.i JOIN lc ON lc.batch_id = d.batch_id AND lc.j = d.i GROUP BY d.batch_id), "
+       "ar AS (SELECT batch_id, i, j, row_number() OVER (PARTITION BY batch_id, i ORDER BY l DESC, j) AS rr, "
+       "row_number() OVER (PARTITION BY batch_id, j ORDER BY l DESC, i) AS rc FROM b)")
+
+ORACLE["f7_contrastive_loss"] = f"WITH {INB} SELECT batch_id, round((ce_r + ce_c) / 2.0, 6) AS loss FROM ce"
+
+ORACLE["f8_in_batch_accuracy"] = f"""
+WITH {INB}
+SELECT batch_id,
+       round(CAST(sum(CASE WHEN rr = 1 AND i = j THEN 1 ELSE 0 END) AS DOUBLE) / count(DISTINCT i), 6) AS acc_image,
+       round(CAST(sum(CASE WHEN rc = 1 AND i = j THEN 1 ELSE 0 END) AS DOUBLE) / count(DISTINCT j), 6) AS acc_text
+FROM ar GROUP BY batch_id
+"""
+
+ORACLE["f9_classification_loss"] = f"""
+WITH {CLS},
+m AS (SELECT image_id, max(logit) AS m FROM sc GROUP BY image_id),
+l AS (SELECT s.image_id, any_value(m.m) + ln(sum(exp(s.logit - m.m))) AS lse FROM sc s JOIN m USING (image_id) GROUP BY s.image_id),
+t AS (SELECT s.image_id, s.logit AS tl FROM sc s JOIN ti USING (image_id) WHERE s.class_idx = ti.target),
+top AS (SELECT image_id, class_idx FROM scr WHERE rnk = 1)
+SELECT round(avg(l.lse - t.tl), 6) AS loss,
+       round(avg(CASE WHEN top.class_idx = ti.target THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM l JOIN t USING (image_id) JOIN top USING (image_id) JOIN ti USING (image_id)
+"""
+
+ORACLE["f10_run_summary"] = """
+WITH per AS (SELECT lang AS model, source AS dataset, avg(CAST(n_chars AS DOUBLE)) AS mean,
+                    stddev_samp(CAST(n_chars AS DOUBLE)) AS std, count(*) AS runs FROM documents GROUP BY ALL),
+u AS (SELECT * FROM per UNION ALL
+      SELECT model, '__average__', avg(mean), NULL::DOUBLE, NULL::BIGINT FROM per GROUP BY model),
+b AS (SELECT dataset, mean AS bm FROM u WHERE model = 'en')
+SELECT u.model, u.dataset, round(u.mean, 6) AS mean, round(u.std, 6) AS std, u.runs, round(u.mean - b.bm, 6) AS diff
+FROM u LEFT JOIN b USING (dataset)
+"""

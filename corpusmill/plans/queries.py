@@ -172,3 +172,241 @@ def d14_seeded_shuffle(spark, d):
 def d15_batches(spark, d):
     b = SM.batches(views.documents(spark, d).select("doc_id"), "doc_id", 64, seed=3, epoch=0, hash_kind="md5")
     return b.select("doc_id", "idx", "batch_id", "slot")
+
+
+# ---------------------------------------------------------------- E: classification
+
+from corpusmill.operators import metrics as M  # noqa: E402
+from corpusmill.operators.indexing import global_index  # noqa: E402
+
+# One of the reference's template lists (satellite images).
+EUROSAT_TEMPLATES = [
+    "a centered satellite photo of {}.",
+    "a centered satellite photo of a {}.",
+    "a centered satellite photo of the {}.",
+]
+SUBSET_CLASSES = [2, 4, 6, 8]       # classes covered by the "language" of E13
+SWEEP_LANGS = ["de", "en", "es", "fr", "pt"]
+
+
+def _protos(spark, d, variant="a"):
+    return Z.class_prototypes(views.prompts(spark, d), variant)
+
+
+def _class_scores(spark, d):
+    return Z.class_scores(views.test_images(spark, d), _protos(spark, d), scale=100.0)
+
+
+def _probs(spark, d):
+    return Z.softmax(_class_scores(spark, d))
+
+
+def _preds(spark, d):
+    return Z.predictions(_probs(spark, d), views.test_images(spark, d))
+
+
+@register("e1_prompt_expansion")
+def e1_prompt_expansion(spark, d):
+    names = views.table(spark, d, "events").select(F.col("event_type").alias("name")).distinct()
+    classes = global_index(names, ["name"], col="class_idx")
+    x = Z.expand_prompts(classes, EUROSAT_TEMPLATES)
+    return x.select("class_idx", "tpl_idx", "prompt")
+
+
+@register("e2_first_alias")
+def e2_first_alias(spark, d):
+    b = views.table(spark, d, "benchmark")
+    return b.select(F.col("item_id").alias("class_idx"), Z.first_alias(F.split("text", " ")).alias("name"))
+
+
+@register("e3_class_prototypes")
+def e3_class_prototypes(spark, d):
+    out = None
+    for v in ("a", "b", "c"):
+        p = _protos(spark, d, v).select("class_idx", F.lit(v).alias("variant"),
+                                         F.posexplode("vec").alias("dim", "x"))
+        out = p if out is None else out.unionByName(p)
+    return out.select("class_idx", "variant", F.col("dim").cast("bigint").alias("dim"), _r("x").alias("x"))
+
+
+@register("e4_scaled_logits")
+def e4_scaled_logits(spark, d):
+    return _class_scores(spark, d).select("image_id", "class_idx", _r("logit").alias("logit"))
+
+
+@register("e5_softmax")
+def e5_softmax(spark, d):
+    return _probs(spark, d).select("image_id", "class_idx", _r("prob").alias("prob"))
+
+
+@register("e5_predictions")
+def e5_predictions(spark, d):
+    return _preds(spark, d).select("image_id", "pred", _r("confidence").alias("confidence"), "target")
+
+
+@register("e6_topk_classes")
+def e6_topk_classes(spark, d):
+    im = S.l2_normalize(views.test_images(spark, d).select("image_id", "vec"))
+    t = Z.topk_classes(im, _protos(spark, d), 5)
+    return t.select("image_id", "rank", "class_idx")
+
+
+@register("e7_text_to_image")
+def e7_text_to_image(spark, d):
+    r = Z.retrieval_list(views.txt(spark, d), views.img(spark, d), 5, "text_id", "image_id")
+    return r.select("text_id", "rank", "image_id", _r("score").alias("score"))
+
+
+@register("e8_image_to_text")
+def e8_image_to_text(spark, d):
+    r = Z.retrieval_list(views.img(spark, d), views.txt(spark, d), 5, "image_id", "text_id")
+    return r.select("image_id", "rank", "text_id", _r("score").alias("score"))
+
+
+@register("e12_topk_accuracy")
+def e12_topk_accuracy(spark, d):
+    acc = Z.topk_accuracy(_class_scores(spark, d), views.test_images(spark, d), ks=(1, 5, 10))
+    return acc.select("k", _r("accuracy").alias("accuracy"))
+
+
+@register("e13_class_subset")
+def e13_class_subset(spark, d):
+    sub = spark.createDataFrame(list(enumerate(SUBSET_CLASSES)), "pos bigint, class_idx bigint")
+    im, pr = Z.class_subset(views.test_images(spark, d), _protos(spark, d), sub)
+    sc = Z.class_scores(im, pr, scale=100.0)
+    acc = Z.subset_accuracy(sc, im, len(SUBSET_CLASSES))
+    return acc.select(_r("accuracy").alias("accuracy"), "n_images")
+
+
+def _lang_of_vec(spark, d):
+    return views.documents(spark, d).select(F.col("doc_id").alias("vec_id"), F.col("lang"))
+
+
+def _sweep_inputs(spark, d):
+    lang = _lang_of_vec(spark, d)
+    pr = views.prompts(spark, d).join(lang.withColumnRenamed("vec_id", "prompt_id"), "prompt_id") \
+                                .withColumn("prompt_set", F.lit("ensemble"))
+    im = views.test_images(spark, d).join(lang.withColumnRenamed("vec_id", "image_id"), "image_id") \
+                                   .withColumn("prompt_set", F.lit("ensemble"))
+    return im, pr
+
+
+@register("e14_sweep_accuracy")
+def e14_sweep_accuracy(spark, d):
+    im, pr = _sweep_inputs(spark, d)
+    g = ["lang", "prompt_set"]
+    protos = Z.class_prototypes(pr, "a", group_cols=g)
+    sc = Z.class_scores(im, protos, scale=100.0, group_cols=g)
+    acc = Z.topk_accuracy(sc, im, ks=(1, 5), group_cols=g)
+    return acc.select("lang", "prompt_set", "k", _r("accuracy").alias("accuracy"))
+
+
+@register("e14_sweep_skipped")
+def e14_sweep_skipped(spark, d):
+    _, pr = _sweep_inputs(spark, d)
+    req = spark.createDataFrame([(l, "ensemble") for l in SWEEP_LANGS], "lang string, prompt_set string")
+    return Z.sweep_missing(req, pr, ["lang", "prompt_set"])
+
+
+@register("e15_vocabulary")
+def e15_vocabulary(spark, d):
+    rows = global_index(views.turns(spark, d).select("conv_id", "turn", "role"), ["conv_id", "turn"], col="pos")
+    return Z.vocabulary_last_wins(rows, "conv_id", "role", "pos").select("class_id", "name", "first_pos")
+
+
+@register("e16_gather")
+def e16_gather(spark, d):
+    lab = views.table(spark, d, "labels").select("doc_id")
+    index = global_index(lab, [F.desc("doc_id")], col="pos").select("pos", F.col("doc_id").alias("idx"))
+    rows = views.documents(spark, d).select(F.col("doc_id").alias("row_idx"), "lang")
+    return Z.gather(rows, index).select("pos", F.col("row_idx").alias("doc_id"), "lang")
+
+
+@register("e17_multi_hot")
+def e17_multi_hot(spark, d):
+    obj = views.objects(spark, d)
+    names = obj.select("class_name").distinct()
+    if names.count() > 10_000:
+        raise ValueError("class list too large for a literal grid")
+    classes = sorted(r[0] for r in names.collect())
+    return Z.multi_hot(obj, obj, classes)
+
+
+# ---------------------------------------------------------------- F: metrics
+
+@register("f1_accuracy")
+def f1_accuracy(spark, d):
+    return M.accuracy(_preds(spark, d)).select(_r("accuracy").alias("accuracy"))
+
+
+@register("f2_mean_per_class")
+def f2_mean_per_class(spark, d):
+    return M.mean_per_class(_preds(spark, d)).select(_r("mean_per_class").alias("mean_per_class"))
+
+
+def _map(spark, d):
+    probs = _probs(spark, d)
+    labels = probs.select("image_id", "class_idx").join(views.test_images(spark, d).select("image_id", "target"),
+                                                        "image_id") \
+                  .select("image_id", "class_idx", (F.col("class_idx") == F.col("target")).cast("int").alias("present"))
+    return M.map_11_point(probs, labels)
+
+
+@register("f3_map_11_point")
+def f3_map_11_point(spark, d):
+    return _map(spark, d).select(_r("map").alias("map"), "classes")
+
+
+@register("f4_roc_auc")
+def f4_roc_auc(spark, d):
+    return M.roc_auc(views.bin_scores(spark, d)).select(_r("auc").alias("auc"))
+
+
+@register("f5_metric_dispatch")
+def f5_metric_dispatch(spark, d):
+    preds = _preds(spark, d)
+    res = (M.accuracy(preds).select(F.lit("cifar-10").alias("dataset"), F.lit("accuracy").alias("metric"),
+                                    F.col("accuracy").alias("value"))
+           .unionByName(M.mean_per_class(preds).select(F.lit("caltech-101").alias("dataset"),
+                                                       F.lit("mean-per-class").alias("metric"),
+                                                       F.col("mean_per_class").alias("value")))
+           .unionByName(_map(spark, d).select(F.lit("voc-2007-classification").alias("dataset"),
+                                              F.lit("11point_mAP").alias("metric"), F.col("map").alias("value")))
+           .unionByName(M.roc_auc(views.bin_scores(spark, d)).select(F.lit("hateful-memes").alias("dataset"),
+                                                                      F.lit("roc_auc").alias("metric"),
+                                                                      F.col("auc").alias("value"))))
+    meta = M.metadata_table(spark, ["cifar-10", "caltech-101", "voc-2007-classification", "hateful-memes"])
+    return M.dispatch(res, meta).select("dataset", "metric", _r("result").alias("result"))
+
+
+def _pairs(spark, d):
+    i = views.pair_images(spark, d).withColumnRenamed("vec", "img_vec")
+    t = views.pair_texts(spark, d).withColumnRenamed("vec", "txt_vec")
+    return i.join(t, "pair_id").withColumn("batch_id", (F.col("pair_id") / views.PAIR_BATCH).cast("bigint"))
+
+
+@register("f7_contrastive_loss")
+def f7_contrastive_loss(spark, d):
+    m = M.in_batch_metrics(_pairs(spark, d), scale=20.0)
+    return m.select("batch_id", _r("loss").alias("loss"))
+
+
+@register("f8_in_batch_accuracy")
+def f8_in_batch_accuracy(spark, d):
+    m = M.in_batch_metrics(_pairs(spark, d), scale=20.0)
+    return m.select("batch_id", _r("acc_image").alias("acc_image"), _r("acc_text").alias("acc_text"))
+
+
+@register("f9_classification_loss")
+def f9_classification_loss(spark, d):
+    r = M.classification_loss(_class_scores(spark, d), views.test_images(spark, d))
+    return r.select(_r("loss").alias("loss"), _r("accuracy").alias("accuracy"))
+
+
+@register("f10_run_summary")
+def f10_run_summary(spark, d):
+    res = views.documents(spark, d).select(F.col("lang").alias("model"), F.col("source").alias("dataset"),
+                                           F.col("n_chars").cast("double").alias("value"))
+    s = M.run_summary(res, baseline="en")
+    return s.select("model", "dataset", _r("mean").alias("mean"), _r("std").alias("std"), "runs",
+                    _r("diff").alias("diff"))
