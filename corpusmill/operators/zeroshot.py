@@ -177,10 +177,16 @@ def class_scores(images: DataFrame, prototypes: DataFrame, scale: float = 100.0,
 
 def softmax(scores: DataFrame, image_id: str = "image_id", logit: str = "logit",
             group_cols=()) -> DataFrame:
-    """E5: class probabilities per image: exp(l - max) / sum(exp(l - max))."""
+    """E5: class probabilities per image: exp(l - max) / sum(exp(l - max)),
+    plus ``log_prob`` (log-softmax), which orders classes like ``prob`` but
+    keeps tiny probabilities apart when ranks use rounded scores."""
     w = Window.partitionBy(*group_cols, image_id)
-    z = F.exp(F.col(logit) - F.max(logit).over(w))
-    return scores.withColumn("__z", z).withColumn("prob", F.col("__z") / F.sum("__z").over(w)).drop("__z")
+    sh = F.col(logit) - F.max(logit).over(w)
+    return (scores.withColumn("__sh", sh).withColumn("__z", F.exp("__sh"))
+                  .withColumn("__sz", F.sum("__z").over(w))
+                  .withColumn("prob", F.col("__z") / F.col("__sz"))
+                  .withColumn("log_prob", F.col("__sh") - F.log(F.col("__sz")))
+                  .drop("__sh", "__z", "__sz"))
 
 
 def predictions(probs: DataFrame, targets: DataFrame, image_id: str = "image_id",

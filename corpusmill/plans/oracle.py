@@ -174,16 +174,17 @@ def proto_cte(variant: str, src: str = "pr", name: str = "proto", keys: str = "c
 CLS = (f"{PR}, {TI}, {TIN}, {proto_cte('a')}, "
        "sc AS (SELECT t.image_id, p.class_idx, 100.0 * list_dot_product(t.vec, p.vec) AS logit FROM tin t, proto p), "
        "scr AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(logit, 9) DESC, class_idx) AS rnk FROM sc), "
-       "pb AS (SELECT image_id, class_idx, logit, exp(logit - max(logit) OVER (PARTITION BY image_id)) AS z FROM sc), "
-       "probs AS (SELECT image_id, class_idx, logit, z / sum(z) OVER (PARTITION BY image_id) AS prob FROM pb), "
+       "pb AS (SELECT image_id, class_idx, logit, logit - max(logit) OVER (PARTITION BY image_id) AS sh FROM sc), "
+       "probs AS (SELECT image_id, class_idx, logit, exp(sh) / sum(exp(sh)) OVER (PARTITION BY image_id) AS prob, "
+       "sh - ln(sum(exp(sh)) OVER (PARTITION BY image_id)) AS log_prob FROM pb), "
        "preds AS (SELECT p.image_id, arg_max(p.class_idx, (round(p.prob, 9), -p.class_idx)) AS pred, max(p.prob) AS confidence, "
        "any_value(t.target) AS target FROM probs p JOIN ti t USING (image_id) GROUP BY p.image_id)")
 
-MAP = ("lab AS (SELECT p.image_id, p.class_idx, p.prob, CASE WHEN p.class_idx = t.target THEN 1 ELSE 0 END AS present "
+MAP = ("lab AS (SELECT p.image_id, p.class_idx, p.log_prob, CASE WHEN p.class_idx = t.target THEN 1 ELSE 0 END AS present "
        "FROM probs p JOIN ti t USING (image_id)), "
        "o AS (SELECT class_idx, row_number() OVER w AS rnk, sum(present) OVER w AS tp, "
        "sum(present) OVER (PARTITION BY class_idx) AS npos FROM lab "
-       "WINDOW w AS (PARTITION BY class_idx ORDER BY round(prob, 9) DESC, image_id ROWS UNBOUNDED PRECEDING)), "
+       "WINDOW w AS (PARTITION BY class_idx ORDER BY round(log_prob, 9) DESC, image_id ROWS UNBOUNDED PRECEDING)), "
        "r AS (SELECT class_idx, CAST(tp AS DOUBLE) / rnk AS prec, (tp * 10) // npos AS tmax FROM o WHERE npos > 0), "
        "ts AS (SELECT unnest(range(0, 11)) AS i), "
        "ip AS (SELECT r.class_idx, ts.i, max(prec) AS p FROM r JOIN ts ON r.tmax >= ts.i GROUP BY ALL), "
