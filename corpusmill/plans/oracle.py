@@ -364,3 +364,160 @@ b AS (SELECT dataset, mean AS bm FROM u WHERE model = 'en')
 SELECT u.model, u.dataset, round(u.mean, 6) AS mean, round(u.std, 6) AS std, u.runs, round(u.mean - b.bm, 6) AS diff
 FROM u LEFT JOIN b USING (dataset)
 """
+
+# ---------------------------------------------------------------- B / C / A
+STRIP = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+CONV = "conv AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS row FROM conversations)"
+ZIP = (f"{CONV}, "
+       "z AS (SELECT o.row AS pos, o.conv_id AS image_id, o.text AS en, o.role AS pt1, d.text AS pt2 "
+       "FROM conv o JOIN documents d ON d.doc_id = o.row)")
+PAGES = "pg AS (SELECT page_id, url, regexp_extract(html, '<title>(.*?)</title>', 1) AS caption FROM pages)"
+LINES = "list_filter(string_split(text, chr(10)), lambda x: x <> '')"
+
+ORACLE["b1_positional_zip"] = f"WITH {ZIP} SELECT pos, image_id, length(en) AS en_len, pt1, length(pt2) AS pt2_len FROM z"
+
+ORACLE["b2_group_captions"] = f"""
+WITH {ZIP},
+io AS (SELECT image_id, min(pos) AS image_order FROM z GROUP BY image_id),
+en AS (SELECT image_id, 'en' AS lang, row_number() OVER (PARTITION BY image_id ORDER BY pos) - 1 AS idx, en AS text FROM z),
+ptx AS (SELECT image_id, pos, 0 AS sub, pt1 AS t FROM z UNION ALL SELECT image_id, pos, 1, trim(pt2, {STRIP}) FROM z),
+pt AS (SELECT image_id, 'pt' AS lang, row_number() OVER (PARTITION BY image_id ORDER BY pos, sub) - 1 AS idx, t AS text FROM ptx)
+SELECT u.image_id, io.image_order, u.lang, u.idx, md5(u.text) AS text_md5
+FROM (SELECT * FROM en UNION ALL SELECT * FROM pt) u JOIN io USING (image_id)
+"""
+
+ORACLE["b3_split_translations"] = f"""
+WITH {CONV},
+im AS (SELECT 'doc' || doc_id AS image, {LINES} AS en FROM documents WHERE source = 'src1'),
+tr AS (SELECT row, left(img, length(img) - 2) AS image, text FROM
+       (SELECT row, 'doc' || conv_id || '#' || turn AS img, text FROM conv)),
+trs AS (SELECT image, list(text ORDER BY row) AS pt FROM tr WHERE image IN (SELECT image FROM im) GROUP BY image),
+s AS (SELECT im.image, im.en, coalesce(trs.pt, []) AS pt FROM im LEFT JOIN trs USING (image)),
+e AS (SELECT image, 'en' AS lang, CASE WHEN len(en) = 0 THEN [NULL] ELSE en END AS l FROM s
+      UNION ALL SELECT image, 'pt', CASE WHEN len(pt) = 0 THEN [NULL] ELSE pt END FROM s)
+SELECT image, lang, CASE WHEN l[1] IS NULL AND len(l) = 1 THEN NULL ELSE generate_subscripts(l, 1) - 1 END AS idx,
+       md5(unnest(l)) AS text_md5 FROM e
+"""
+
+ORACLE["b4_select_split"] = """
+SELECT 'doc' || doc_id AS image, md5(text) AS caption_md5, 1::BIGINT AS n_pt, 0::BIGINT AS n_en
+FROM documents WHERE source = 'src3'
+"""
+
+B5 = (f"{PAGES}, s AS (SELECT lpad(CAST(page_id // 10000 AS VARCHAR), 5, '0') || lpad(CAST(page_id % 10000 AS VARCHAR), 4, '0') AS key, "
+      "caption, page_id FROM pg), "
+      "j AS (SELECT s.key, s.caption, s.page_id AS row, d.text AS t1, b.text AS t2 FROM s "
+      "LEFT JOIN documents d ON d.doc_id = s.page_id LEFT JOIN benchmark b ON b.item_id = s.page_id)")
+
+ORACLE["b5_insert_translations"] = f"""
+WITH {B5},
+ok AS (SELECT * FROM j WHERE t1 IS NOT NULL AND t2 IS NOT NULL)
+SELECT key, 'en' AS lang, 0::BIGINT AS idx, md5(caption) AS text_md5 FROM ok WHERE caption IS NOT NULL
+UNION ALL SELECT key, 'pt', 0::BIGINT, md5(t1) FROM ok
+UNION ALL SELECT key, 'pt', 1::BIGINT, md5(trim(t2, {STRIP})) FROM ok
+"""
+
+ORACLE["b5_missing_rows"] = f"WITH {B5} SELECT key, row FROM j WHERE t1 IS NULL OR t2 IS NULL"
+
+ORACLE["b6_dedup_first"] = "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text"
+
+ORACLE["b7_image_id"] = f"""
+WITH {PAGES}
+SELECT page_id, coalesce(nullif(regexp_extract(url, '/([0-9]+)$', 1), ''), 'p' || page_id) AS image_id FROM pg
+"""
+
+B8 = ("b8 AS (SELECT doc_id AS image, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS caption "
+      f"FROM (SELECT doc_id, {LINES} AS l FROM documents))")
+
+ORACLE["b8_explode_for_translation"] = f"WITH {B8} SELECT image, pos, md5(caption) AS caption_md5 FROM b8"
+
+ORACLE["b9_partitioned_export"] = f"""
+WITH {B8}, i AS (SELECT image, pos, row_number() OVER (ORDER BY image, pos) - 1 AS idx FROM b8)
+SELECT image, pos, idx, idx // 1000 AS part FROM i
+"""
+
+ORACLE["b10_merge_translations"] = f"""
+WITH {CONV},
+tr AS (SELECT trim(' ' || CAST(conv_id AS VARCHAR), {STRIP}) AS image, row, trim(text, {STRIP}) AS t FROM conv),
+s AS (SELECT CAST(doc_id AS VARCHAR) AS image FROM documents),
+j AS (SELECT s.image, tr.row, tr.t FROM s LEFT JOIN tr USING (image))
+SELECT image, CASE WHEN t IS NULL THEN NULL ELSE row_number() OVER (PARTITION BY image ORDER BY row) - 1 END AS idx,
+       md5(t) AS text_md5 FROM j
+"""
+
+ORACLE["b11_quarantine"] = f"""
+WITH {PAGES}
+SELECT page_id, CASE WHEN NOT coalesce(caption <> '', false) THEN 'no_title'
+                     WHEN NOT coalesce(NOT regexp_matches(caption, '[%*#]{{3}}'), false) THEN 'junk_title' END AS reject_reason
+FROM pg
+"""
+
+ORACLE["b12_union_datasets"] = """
+SELECT 'documents' AS source, doc_id AS id, length(text) AS n_chars, lang FROM documents
+UNION ALL SELECT 'benchmark', item_id, length(text), NULL FROM benchmark
+"""
+
+ORACLE["b13_language_select"] = f"""
+WITH s AS (SELECT doc_id, {LINES} AS l FROM documents WHERE lang = 'fr')
+SELECT doc_id, generate_subscripts(l, 1) - 1 AS idx, md5(unnest(l)) AS text_md5 FROM s
+"""
+
+ORACLE["b14_translator_slice"] = """
+WITH r AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p,
+                  count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+k AS (SELECT conv_id, text, p FROM r WHERE n = 1 OR p % 2 = 0)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY p) - 1 AS idx, md5(text) AS text_md5 FROM k
+"""
+
+ORACLE["c2_caption_fanout"] = f"""
+WITH {PAGES},
+pr AS (SELECT generate_subscripts(l, 1) - 1 AS prompt_idx, unnest(l) AS prompt FROM (SELECT
+  ['the foreground features', 'a photo of', 'a picture of', 'this is a scene depicting', 'an image of',
+   'portrait of a', 'this image captures a moment of', 'a painting of', 'an art of', 'the picture shows'] AS l))
+SELECT pg.page_id AS image, pr.prompt_idx, pr.prompt || ' ' || trim(pg.caption, {STRIP}) AS caption FROM pg, pr
+"""
+
+ORACLE["c3_translate_memory"] = """
+SELECT concat_ws('_', conv_id, turn) AS key, md5(text) AS original_md5, md5('>>por<< ' || text) AS translated_md5,
+       'conversations' AS dataset_name FROM conversations
+"""
+
+ORACLE["c4_masked_mean_pool"] = f"""
+WITH {TXT},
+d AS (SELECT image_id AS id, CASE WHEN pos < 4 THEN 1.0 ELSE 0.0 END AS m, generate_subscripts(vec, 1) - 1 AS dim,
+             unnest(vec) AS x FROM txt)
+SELECT id, dim, round(CASE WHEN sum(m) = 0 THEN NULL ELSE sum(m * x) / sum(m) END, 6) AS x FROM d GROUP BY id, dim
+"""
+
+ORACLE["a2_sharded_sink"] = """
+WITH i AS (SELECT doc_id AS image, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents)
+SELECT idx, idx // 10000 AS shard, 'sample' || lpad(CAST(idx AS VARCHAR), 5, '0') AS key, image FROM i
+"""
+
+ORACLE["a3_resume"] = """
+WITH t AS (SELECT doc_id AS image FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+i AS (SELECT image, 30000 + row_number() OVER (ORDER BY image) - 1 AS idx FROM t)
+SELECT idx, idx // 10000 AS shard, 'sample' || lpad(CAST(idx AS VARCHAR), 5, '0') AS key, image FROM i
+"""
+
+ORACLE["a5_csv_to_tsv"] = f"""
+WITH {PAGES}, r AS (SELECT row_number() OVER (ORDER BY page_id) - 1 AS record, caption FROM pg)
+SELECT record, trim(caption, {STRIP}) AS col0 FROM r WHERE record >= 10
+"""
+
+ORACLE["a6_caption_url_export"] = f"WITH {PAGES} SELECT caption, url FROM pg"
+
+ORACLE["a11_prediction_export"] = f"""
+WITH {CLS}, ri AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS row_idx FROM ti)
+SELECT ri.row_idx, p.class_idx, round(p.prob, 6) AS prob FROM probs p JOIN ri USING (image_id)
+"""
+
+ORACLE["a12_peek"] = f"""
+WITH {CAPS} SELECT image, pos, md5(text) AS text_md5 FROM capsx ORDER BY image, pos LIMIT 5
+"""
+
+ORACLE["a12_duplicate_captions"] = f"""
+WITH s AS (SELECT doc_id AS image, {LINES} AS l FROM documents),
+r AS (SELECT image, unnest(l[3:]) AS text FROM s WHERE len(l) >= 3)
+SELECT image, md5(text) AS text_md5, count(*) AS n FROM r GROUP BY image, text HAVING count(*) > 1
+"""

@@ -411,3 +411,269 @@ def f10_run_summary(spark, d):
     s = M.run_summary(res, baseline="en")
     return s.select("model", "dataset", _r("mean").alias("mean"), _r("std").alias("std"), "runs",
                     _r("diff").alias("diff"))
+
+
+# ---------------------------------------------------------------- B: corpus construction
+
+from corpusmill.functions import text as TX  # noqa: E402
+from corpusmill.operators import corpus as CP  # noqa: E402
+from corpusmill.operators import infer as INF  # noqa: E402
+from corpusmill.operators.indexing import chunk  # noqa: E402
+
+
+def _conv_rows(spark, d):
+    """Conversation turns numbered in file order (conv_id, turn)."""
+    return global_index(views.turns(spark, d), ["conv_id", "turn"], col="row")
+
+
+def _zipped(spark, d):
+    conv = _conv_rows(spark, d)
+    orig = conv.select(F.col("row").alias("pos"), F.col("conv_id").alias("image_id"), F.col("text").alias("caption"))
+    t1 = conv.select(F.col("row").alias("pos"), F.col("conv_id").alias("image_id"), F.col("role").alias("caption"))
+    t2 = views.transl(spark, d).select(F.col("row").alias("pos"), "caption")
+    return CP.positional_zip(orig, t1, t2)
+
+
+@register("b1_positional_zip")
+def b1_positional_zip(spark, d):
+    z = _zipped(spark, d)
+    return z.select("pos", "image_id", F.length("en").cast("bigint").alias("en_len"), "pt1",
+                    F.length("pt2").cast("bigint").alias("pt2_len"))
+
+
+@register("b2_group_captions")
+def b2_group_captions(spark, d):
+    g = CP.group_captions(_zipped(spark, d))
+    en = g.select("image_id", "image_order", F.lit("en").alias("lang"), F.posexplode("captions_en").alias("idx", "text"))
+    pt = g.select("image_id", "image_order", F.lit("pt").alias("lang"), F.posexplode("captions_pt").alias("idx", "text"))
+    return en.unionByName(pt).select("image_id", "image_order", "lang", F.col("idx").cast("bigint").alias("idx"),
+                                     F.md5("text").alias("text_md5"))
+
+
+@register("b3_split_translations")
+def b3_split_translations(spark, d):
+    docs = views.documents(spark, d)
+    manifest = docs.select(F.concat(F.lit("doc"), F.col("doc_id")).alias("filename"), F.col("source").alias("split"),
+                           F.transform(TX.nonblank_lines("text"), lambda x: F.struct(x.alias("raw"))).alias("sentences"))
+    conv = _conv_rows(spark, d)
+    tr = conv.select("row", F.concat(F.lit("doc"), F.col("conv_id"), F.lit("#"), F.col("turn")).alias("image"),
+                     F.col("text").alias("caption"))
+    s = CP.split_with_translations(manifest, tr, "src1")
+    en = s.select("image", F.lit("en").alias("lang"), F.posexplode_outer("captions_en").alias("idx", "text"))
+    pt = s.select("image", F.lit("pt").alias("lang"), F.posexplode_outer("captions_pt").alias("idx", "text"))
+    return en.unionByName(pt).select("image", "lang", F.col("idx").cast("bigint").alias("idx"),
+                                     F.md5("text").alias("text_md5"))
+
+
+@register("b4_select_split")
+def b4_select_split(spark, d):
+    rows = views.documents(spark, d).select(F.col("source").alias("split"),
+                                            F.concat(F.lit("doc"), F.col("doc_id")).alias("filename"),
+                                            F.col("text").alias("caption"))
+    s = CP.select_split(rows, "src3")
+    return s.select("image", F.md5(F.get("captions_pt", 0)).alias("caption_md5"),
+                    F.size("captions_pt").cast("bigint").alias("n_pt"), F.size("captions_en").cast("bigint").alias("n_en"))
+
+
+def _b5(spark, d):
+    p = views.tsv_pages(spark, d)
+    samples = p.select(F.concat(F.lpad((F.col("page_id") / 10000).cast("bigint").cast("string"), 5, "0"),
+                                F.lpad((F.col("page_id") % 10000).cast("string"), 4, "0")).alias("key"), "caption")
+    t1 = views.transl(spark, d).select("row", "caption")
+    t2 = views.table(spark, d, "benchmark").select(F.col("item_id").alias("row"), F.col("text").alias("caption"))
+    return CP.insert_translations(samples, t1, t2)
+
+
+@register("b5_insert_translations")
+def b5_insert_translations(spark, d):
+    ins, _ = _b5(spark, d)
+    en = ins.select("key", F.lit("en").alias("lang"), F.posexplode("captions_en").alias("idx", "text"))
+    pt = ins.select("key", F.lit("pt").alias("lang"), F.posexplode("captions_pt").alias("idx", "text"))
+    return en.unionByName(pt).select("key", "lang", F.col("idx").cast("bigint").alias("idx"),
+                                     F.md5("text").alias("text_md5"))
+
+
+@register("b5_missing_rows")
+def b5_missing_rows(spark, d):
+    _, miss = _b5(spark, d)
+    return miss.select("key", "row")
+
+
+@register("b6_dedup_first")
+def b6_dedup_first(spark, d):
+    docs = views.documents(spark, d).select("doc_id", "text")
+    return CP.dedup_keep_first(docs, "text", "doc_id").select("doc_id")
+
+
+@register("b7_image_id")
+def b7_image_id(spark, d):
+    p = views.tsv_pages(spark, d)
+    s = p.select(F.nullif(F.regexp_extract("url", r"/([0-9]+)$", 1), F.lit("")).alias("image"),
+                 F.concat(F.lit("p"), F.col("page_id")).alias("key"), "page_id")
+    return s.select("page_id", CP.image_id("image", "key").alias("image_id"))
+
+
+def _b8(spark, d):
+    s = views.caption_lists(spark, d).withColumnRenamed("captions", "generated_captions_en")
+    return CP.explode_for_translation(s)
+
+
+@register("b8_explode_for_translation")
+def b8_explode_for_translation(spark, d):
+    return _b8(spark, d).select("image", "pos", F.md5("caption").alias("caption_md5"))
+
+
+@register("b9_partitioned_export")
+def b9_partitioned_export(spark, d):
+    e = global_index(_b8(spark, d), ["image", "pos"], col="idx")
+    return chunk(e, "idx", 1000, "part").select("image", "pos", "idx", "part")
+
+
+@register("b10_merge_translations")
+def b10_merge_translations(spark, d):
+    samples = views.documents(spark, d).select(F.col("doc_id").cast("string").alias("image"))
+    conv = _conv_rows(spark, d)
+    tr = conv.select("row", F.concat(F.lit(" "), F.col("conv_id").cast("string")).alias("image"),
+                     F.col("text").alias("translated_caption"))
+    m = CP.merge_translations(samples, tr)
+    return m.select("image", F.posexplode_outer("generated_captions_pt").alias("idx", "text")) \
+            .select("image", F.col("idx").cast("bigint").alias("idx"), F.md5("text").alias("text_md5"))
+
+
+@register("b11_quarantine")
+def b11_quarantine(spark, d):
+    p = views.tsv_pages(spark, d)
+    good, bad = CP.quarantine(p, {"no_title": F.col("caption") != "",
+                                  "junk_title": ~F.col("caption").rlike("[%*#]{3}")})
+    return good.select("page_id", F.lit(None).cast("string").alias("reject_reason")) \
+               .unionByName(bad.select("page_id", "reject_reason"))
+
+
+@register("b12_union_datasets")
+def b12_union_datasets(spark, d):
+    u = CP.union_datasets({
+        "documents": views.documents(spark, d).select(F.col("doc_id").alias("id"), "text", "lang"),
+        "benchmark": views.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"),
+    })
+    return u.select("source", "id", F.length("text").cast("bigint").alias("n_chars"), "lang")
+
+
+@register("b13_language_select")
+def b13_language_select(spark, d):
+    docs = views.documents(spark, d)
+    m = docs.select("doc_id", F.create_map(F.col("lang"), TX.nonblank_lines("text")).alias("captions"))
+    sel = m.select("doc_id", CP.captions_for_language("captions", "fr").alias("c"))
+    return sel.select("doc_id", F.posexplode("c").alias("idx", "text")) \
+              .select("doc_id", F.col("idx").cast("bigint").alias("idx"), F.md5("text").alias("text_md5"))
+
+
+@register("b14_translator_slice")
+def b14_translator_slice(spark, d):
+    lists = CP.ordered_list(views.turns(spark, d), "conv_id", "turn", "text", "captions_pt")
+    s = lists.select("conv_id", CP.translator_slice(F.array().cast("array<string>"), "captions_pt", "pt",
+                                                    "marian").alias("c"))
+    return s.select("conv_id", F.posexplode("c").alias("idx", "text")) \
+            .select("conv_id", F.col("idx").cast("bigint").alias("idx"), F.md5("text").alias("text_md5"))
+
+
+# ---------------------------------------------------------------- C: inference plumbing
+
+def _identity_captioner():
+    # stands in for the captioning model: returns the image's own caption
+    return lambda pdf: pdf["caption"].tolist()
+
+
+def _identity_translator():
+    return lambda s: s.tolist()
+
+
+@register("c1_embed_column")
+def c1_embed_column(spark, d):
+    """Every document text embedded by a pluggable encoder in Arrow batches
+    (a hashed bag-of-tokens stands in for the text model)."""
+    docs = views.documents(spark, d).select("doc_id", "text")
+    return INF.embed(docs, "text", lambda: INF.hashed_bow_encoder(64)).select("doc_id", "vec")
+
+
+@register("c2_caption_fanout")
+def c2_caption_fanout(spark, d):
+    imgs = views.tsv_pages(spark, d).select(F.col("page_id").alias("image"), "caption")
+    out = INF.caption_fanout(imgs, _identity_captioner)
+    return out.select("image", "prompt_idx", "caption")
+
+
+@register("c3_translate_memory")
+def c3_translate_memory(spark, d):
+    rows = views.turns(spark, d).select(F.concat_ws("_", "conv_id", "turn").alias("key"),
+                                        F.col("text").alias("original_sentence"),
+                                        F.lit("conversations").alias("dataset_name"))
+    t = INF.translate(rows, _identity_translator)
+    return t.select("key", F.md5("original_sentence").alias("original_md5"),
+                    F.md5("translated_sentence").alias("translated_md5"), "dataset_name")
+
+
+@register("c4_masked_mean_pool")
+def c4_masked_mean_pool(spark, d):
+    tok = views.txt(spark, d).select(F.col("image_id").alias("id"), "pos",
+                                     F.when(F.col("pos") < 4, 1).otherwise(0).alias("mask"), "vec")
+    p = INF.masked_mean_pool(tok)
+    return p.select("id", F.posexplode("vec").alias("dim", "x")) \
+            .select("id", F.col("dim").cast("bigint").alias("dim"), _r("x").alias("x"))
+
+
+# ---------------------------------------------------------------- A: sinks and profiling
+
+SHARD_SIZE = 10_000   # fixed value: samples per shard
+
+
+@register("a2_sharded_sink")
+def a2_sharded_sink(spark, d):
+    s = views.caption_lists(spark, d)
+    e = global_index(s, ["image"], col="idx")
+    return chunk(e, "idx", SHARD_SIZE, "shard").select("idx", "shard", TX.sample_key("idx").alias("key"), "image")
+
+
+@register("a3_resume")
+def a3_resume(spark, d):
+    s = views.caption_lists(spark, d)
+    written = views.table(spark, d, "labels").select(F.col("doc_id").alias("image"))
+    todo = s.join(written, "image", "left_anti")
+    e = global_index(todo, ["image"], col="idx", start=3 * SHARD_SIZE)
+    return chunk(e, "idx", SHARD_SIZE, "shard").select("idx", "shard", TX.sample_key("idx").alias("key"), "image")
+
+
+@register("a5_csv_to_tsv")
+def a5_csv_to_tsv(spark, d):
+    p = views.tsv_pages(spark, d)
+    rec = global_index(p, ["page_id"], col="record")
+    kept = rec.filter(F.col("record") >= 10)
+    return kept.select("record", TX.strip("caption").alias("col0"))
+
+
+@register("a6_caption_url_export")
+def a6_caption_url_export(spark, d):
+    return views.tsv_pages(spark, d).select("caption", "url")
+
+
+@register("a11_prediction_export")
+def a11_prediction_export(spark, d):
+    probs = _probs(spark, d)
+    idx = global_index(views.test_images(spark, d).select("image_id"), ["image_id"], col="row_idx")
+    return probs.join(idx, "image_id").select("row_idx", "class_idx", _r("prob").alias("prob"))
+
+
+@register("a12_peek")
+def a12_peek(spark, d):
+    """The first 5 captions in (image, pos) order: a limit that is the feature."""
+    c = views.caps(spark, d)
+    return c.orderBy("image", "pos").limit(5).select("image", "pos", F.md5("text").alias("text_md5"))
+
+
+@register("a12_duplicate_captions")
+def a12_duplicate_captions(spark, d):
+    """Captions repeated within an image after position 2 (third caption on)."""
+    lists = views.caption_lists(spark, d)
+    rest = lists.filter(F.size("captions") >= 3).select(
+        "image", F.explode(F.slice("captions", 3, F.size("captions"))).alias("text"))
+    g = rest.groupBy("image", "text").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    return g.select("image", F.md5("text").alias("text_md5"), "n")
