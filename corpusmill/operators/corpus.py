@@ -53,8 +53,9 @@ def positional_zip(orig: DataFrame, t1: DataFrame, t2: DataFrame | None = None)
         z = z.join(t2.select("pos", F.col("caption").alias("pt2")), "pos", "inner")
     else:
         z = z.withColumn("pt2", F.lit(None).cast("string"))
+    # the check is part of a kept value, so column pruning cannot drop it
     check = F.assert_true(F.col("image_id") == F.col("__t1_image"), F.lit("Not synced"))
-    return z.select("pos", "image_id", "en", "pt1", "pt2", check.alias("__ok")).drop("__ok")
+    return z.select(F.coalesce(check.cast("bigint"), F.col("pos")).alias("pos"), "image_id", "en", "pt1", "pt2")
 
 
 def interleaved_captions(zipped: DataFrame) -> DataFrame:

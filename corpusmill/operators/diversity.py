@@ -80,7 +80,9 @@ def greedy_prune(n: int, has_tokens: np.ndarray, ea: np.ndarray, eb: np.ndarray,
     strong = int((es > thr).sum())
     alive_n = n
     while strong > 0 and alive_n > k_min:
-        masked = np.where(keep, cost, -np.inf)
+        # costs compared at 9 decimals: the incremental update must not turn
+        # an exact tie (lowest position wins) into a float-noise decision
+        masked = np.where(keep, np.round(cost, 9), -np.inf)
         i = int(np.argmax(masked))
         keep[i] = False
         alive_n -= 1

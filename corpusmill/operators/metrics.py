@@ -120,8 +120,8 @@ def dispatch(dataset_results: DataFrame, metadata: DataFrame) -> DataFrame:
     not one of the four known names fails the job.
     Returns (dataset, metric, result) with result x 100."""
     known = F.col("metric").isin(*METRICS)
-    checked = metadata.select("dataset", "metric",
-                              F.assert_true(known, F.lit("Undefined metric.")).alias("__ok")).drop("__ok")
+    checked = metadata.select("dataset", F.coalesce(F.assert_true(known, F.lit("Undefined metric.")).cast("string"),
+                                                    F.col("metric")).alias("metric"))
     return (checked.join(dataset_results, ["dataset", "metric"], "inner")
                    .select("dataset", "metric", (F.col("value") * 100.0).alias("result")))
 
