@@ -26,12 +26,17 @@ DEFAULT_THR = 0.3
 
 def tfidf(captions: DataFrame, image: str = "image", pos: str = "pos", text: str = "text") -> DataFrame:
     """(image, pos, token, w) - L2-normalised TF-IDF weight of each token
-    of each caption, the corpus being the captions of the same image."""
+    of each caption, the corpus being the captions of the same image.
+
+    Every branch (document frequency, weights, norms) reads the same term
+    count aggregate, so the plan tokenises once and reuses that exchange;
+    keys always include the token or the caption, so one image with very many
+    captions is still spread over many tasks."""
     c = captions.select(F.col(image).alias("image"), F.col(pos).alias("pos"), F.col(text).alias("text"))
     n_docs = c.groupBy("image").agg(F.count(F.lit(1)).alias("n"))
     tok = c.select("image", "pos", F.explode(TX.tokens("text")).alias("token"))
     tf = tok.groupBy("image", "pos", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = tf.groupBy("image", "token").agg(F.count(F.lit(1)).alias("df"))
+    df_ = tf.groupBy("image", "token").agg(F.count("tf").alias("df"))
     idf = df_.join(n_docs, "image").select(
         "image", "token", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     raw = tf.join(idf, ["image", "token"]).select("image", "pos", "token", (F.col("tf") * F.col("idf")).alias("raw"))

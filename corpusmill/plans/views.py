@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as TX
+from corpusmill.operators.partitioning import spread
 
 # Fixed values of the bindings (see the survey's binding table).
 CAPTIONS_PER_GROUP = 6      # vec_id % 6 == 0 is an image, the next five its captions
@@ -72,7 +73,8 @@ def test_images(spark, sf_dir) -> DataFrame:
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """The documents, spread over the cluster before any per-row text work."""
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def caps(spark, sf_dir) -> DataFrame:
