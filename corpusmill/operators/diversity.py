@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as TX
+from corpusmill.session import reliable_checkpoint
 
 # Defaults of the reference's diversity pruning.
 DEFAULT_K_MIN = 3
@@ -132,8 +133,10 @@ def prune_similar(captions: DataFrame, k_min: int = DEFAULT_K_MIN, thr: float =
     whole without leaving the JVM."""
     c = captions.select(F.col(image).cast("bigint").alias("image"), F.col(pos).cast("bigint").alias("pos"),
                         F.col(text).alias("text"))
-    w = tfidf(c)
-    sims = pair_similarity(w).filter(F.col("sim") > 0)
+    # weights and edges feed several branches below: computed once, cut
+    # from the lineage in the shared checkpoint folder
+    w = reliable_checkpoint(tfidf(c))
+    sims = reliable_checkpoint(pair_similarity(w).filter(F.col("sim") > 0))
     n = c.groupBy("image").agg(F.count(F.lit(1)).alias("n"))
     if drop_isolated:
         todo = n.filter(F.col("n") >= k_min).select("image")
