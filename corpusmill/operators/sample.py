@@ -26,11 +26,14 @@ def random_caption_index(pool, key, seed: int = 0, epoch: int = 0) -> Column:
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int = 0, epoch: int = 0,
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, hash_kind: str = "xxhash64") -> DataFrame:
     """Full seeded shuffle: range-partition on h = xxhash64(key, seed,
-    epoch) and sort inside partitions, so partition order followed by row
-    order is the shuffled order.  Adds the column ``shuffle_h``."""
-    h = df.withColumn("shuffle_h", H.shuffle_hash(key, seed, epoch))
+    epoch) (or the md5 draw other engines reproduce) and sort inside
+    partitions, so partition order followed by row order is the shuffled
+    order.  Adds the column ``shuffle_h``."""
+    hv = (H.shuffle_hash(key, seed, epoch) if hash_kind == "xxhash64"
+          else H.md5_u32(key, F.lit(seed), F.lit(epoch)))
+    h = df.withColumn("shuffle_h", hv)
     n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
     return h.repartitionByRange(n, "shuffle_h", key).sortWithinPartitions("shuffle_h", key)
 

@@ -521,3 +521,16 @@ WITH s AS (SELECT doc_id AS image, {LINES} AS l FROM documents),
 r AS (SELECT image, unnest(l[3:]) AS text FROM s WHERE len(l) >= 3)
 SELECT image, md5(text) AS text_md5, count(*) AS n FROM r GROUP BY image, text HAVING count(*) > 1
 """
+
+ORACLE["d14_seeded_shuffle"] = """
+SELECT doc_id, ('0x' || substr(md5(concat_ws('|', doc_id, 3, 0)), 1, 8))::BIGINT AS shuffle_h FROM documents
+"""
+
+ORACLE["c1_hashed_bow_native"] = """
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS tok FROM documents),
+c AS (SELECT doc_id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS dim, count(*)::DOUBLE AS cnt FROM t GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(cnt * cnt)) AS nrm FROM c GROUP BY doc_id),
+g AS (SELECT d.doc_id, r.dim FROM (SELECT DISTINCT doc_id FROM t) d, (SELECT unnest(range(0, 64)) AS dim) r)
+SELECT g.doc_id, g.dim, round(coalesce(c.cnt, 0.0) / n.nrm, 6) AS x
+FROM g JOIN n USING (doc_id) LEFT JOIN c USING (doc_id, dim)
+"""

@@ -164,8 +164,8 @@ def d11_threshold_diversity(spark, d):
 @register("d14_seeded_shuffle")
 def d14_seeded_shuffle(spark, d):
     """Seeded full shuffle of the documents (order lives in the partitions)."""
-    return SM.seeded_shuffle(views.documents(spark, d).select("doc_id"), "doc_id", seed=3, epoch=0) \
-             .select("doc_id", "shuffle_h")
+    return SM.seeded_shuffle(views.documents(spark, d).select("doc_id"), "doc_id", seed=3, epoch=0,
+                             hash_kind="md5").select("doc_id", "shuffle_h")
 
 
 @register("d15_batches")
@@ -595,6 +595,16 @@ def c1_embed_column(spark, d):
     return INF.embed(docs, "text", lambda: INF.hashed_bow_encoder(64)).select("doc_id", "vec")
 
 
+@register("c1_hashed_bow_native")
+def c1_hashed_bow_native(spark, d):
+    """The same test encoder written natively (explode, count per dimension,
+    scatter, normalise); long form (doc_id, dim, x)."""
+    docs = views.documents(spark, d).select("doc_id", "text")
+    v = INF.hashed_bow(docs, "doc_id", "text", 64)
+    return v.select("doc_id", F.posexplode("vec").alias("dim", "x")) \
+            .select("doc_id", F.col("dim").cast("bigint").alias("dim"), _r("x").alias("x"))
+
+
 @register("c2_caption_fanout")
 def c2_caption_fanout(spark, d):
     imgs = views.tsv_pages(spark, d).select(F.col("page_id").alias("image"), "caption")
