@@ -61,14 +61,17 @@ def one_to_many_cosine(images: DataFrame, captions: DataFrame, image_key: str =
 # ---------------------------------------------------------------- E4 top-k
 
 def _blocks(df: DataFrame, id_col: str, vec: str, n_blocks: int, name: str,
-            group_cols=()) -> DataFrame:
-    """One row per (group, block): (group..., block, rows array<struct<id, v>>).
-    Block = hash of the id, so blocks are balanced whatever the id layout."""
+            group_cols=(), key_col: str | None = None) -> DataFrame:
+    """One row per (group, block): (group..., block, rows array<struct<id,
+    key, v>>).  Block = hash of the id, so blocks are balanced whatever the
+    id layout.  ``key`` is an optional integral match key carried along."""
     g = [F.col(c) for c in group_cols]
-    return (df.select(*g, F.col(id_col).cast("bigint").alias("id"), V.as_double_array(vec).alias("v"))
+    key = F.col(key_col).cast("bigint") if key_col else F.lit(None).cast("bigint")
+    return (df.select(*g, F.col(id_col).cast("bigint").alias("id"), key.alias("key"),
+                      V.as_double_array(vec).alias("v"))
               .withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
               .groupBy(*group_cols, name)
-              .agg(F.collect_list(F.struct("id", "v")).alias(name + "_rows")))
+              .agg(F.collect_list(F.struct("id", "key", "v")).alias(name + "_rows")))
 
 
 def _block_topk_fn(k: int, scale: float, group_cols=()):
@@ -83,10 +86,12 @@ def _block_topk_fn(k: int, scale: float, group_cols=()):
                     continue
                 qids = np.fromiter((x["id"] for x in qrows), dtype=np.int64, count=len(qrows))
                 cids = np.fromiter((x["id"] for x in crows), dtype=np.int64, count=len(crows))
+                qkeys = np.array([x["key"] for x in qrows], dtype=object)
+                ckeys = np.array([x["key"] for x in crows], dtype=object)
                 Q = np.stack([np.asarray(x["v"], dtype=np.float64) for x in qrows])
                 C = np.stack([np.asarray(x["v"], dtype=np.float64) for x in crows])
                 order = np.argsort(cids, kind="stable")
-                cids, C = cids[order], C[order]
+                cids, C, ckeys = cids[order], C[order], ckeys[order]
                 S = (Q @ C.T) * scale
                 R = np.round(S, V.RANK_DECIMALS)
                 kk = min(k, len(cids))
@@ -96,7 +101,8 @@ def _block_topk_fn(k: int, scale: float, group_cols=()):
                 cols = top.reshape(-1)
                 part = {c: np.repeat(pdf[c].iat[r], len(rows)) for c in group_cols}
                 part.update(q=qids[rows], c=cids[cols], score=S[rows, cols],
-                            rank=np.tile(np.arange(1, kk + 1, dtype=np.int64), len(qids)))
+                            rank=np.tile(np.arange(1, kk + 1, dtype=np.int64), len(qids)),
+                            q_key=qkeys[rows], c_key=ckeys[cols])
                 parts.append(pd.DataFrame(part))
             if parts:
                 yield pd.concat(parts, ignore_index=True)
@@ -107,14 +113,16 @@ def topk_scores(queries: DataFrame, candidates: DataFrame, k: int,
                 q_id: str = "query_id", c_id: str = "cand_id", vec: str = "vec",
                 scale: float = 1.0, block_size: int = DEFAULT_BLOCK,
                 n_candidates: int | None = None, n_queries: int | None = None,
-                group_cols=()) -> DataFrame:
+                group_cols=(), q_key: str | None = None, c_key: str | None = None) -> DataFrame:
     """E4 + E6: for each query the ``k`` candidates with the highest scaled dot
     product, ties broken by the smaller candidate id.
 
     With ``group_cols`` a query only meets candidates of its own group (one
     job for a whole sweep of datasets / languages / prompt sets).
     Returns ``(group..., q_id, c_id, score, rank)`` with ``rank`` 1..k (fewer
-    when there are fewer candidates).  Ids must be integral.
+    when there are fewer candidates).  Ids must be integral.  With ``q_key``
+    / ``c_key`` (integral match keys) the output also has ``is_pos`` =
+    keys equal, carried through the blocks so no join is needed afterwards.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
@@ -132,22 +140,23 @@ def topk_scores(queries: DataFrame, candidates: DataFrame, k: int,
     # gives fewer, smaller blocks
     n_cb = max(1, math.ceil(n_c / block_size))
     n_qb = max(1, math.ceil(n_q / block_size))
-    cb = _blocks(candidates, c_id, vec, n_cb, "cb", group_cols).withColumnRenamed("cb_rows", "c_rows")
-    qb = (_blocks(queries, q_id, vec, n_qb, "qb", group_cols).withColumnRenamed("qb_rows", "q_rows")
+    cb = _blocks(candidates, c_id, vec, n_cb, "cb", group_cols, c_key).withColumnRenamed("cb_rows", "c_rows")
+    qb = (_blocks(queries, q_id, vec, n_qb, "qb", group_cols, q_key).withColumnRenamed("qb_rows", "q_rows")
           .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1)))))
     pairs = qb.join(cb, on=group_cols + ["cb"], how="inner").select(*group_cols, "q_rows", "c_rows")
     gschema = "".join(f"{queries.schema[c].name} {queries.schema[c].dataType.simpleString()}, "
                       for c in group_cols)
     local = pairs.mapInPandas(_block_topk_fn(k, float(scale), group_cols),
-                              schema=gschema + "q long, c long, score double, rank long")
+                              schema=gschema + "q long, c long, score double, rank long, q_key long, c_key long")
     g = [F.col(c) for c in group_cols]
+    extra = [(F.col("q_key") == F.col("c_key")).alias("is_pos")] if (q_key and c_key) else []
     if n_cb == 1:
         # one candidate block: the block-local ranks are already global (no merge shuffle)
-        return local.select(*g, F.col("q").alias(q_id), F.col("c").alias(c_id), "score", "rank")
+        return local.select(*g, F.col("q").alias(q_id), F.col("c").alias(c_id), "score", "rank", *extra)
     w = Window.partitionBy(*g, "q").orderBy(F.desc(V.rank_score("score")), F.asc("c"))
     return (local.drop("rank").withColumn("rank", F.row_number().over(w).cast("bigint"))
                  .filter(F.col("rank") <= k)
-                 .select(*g, F.col("q").alias(q_id), F.col("c").alias(c_id), "score", "rank"))
+                 .select(*g, F.col("q").alias(q_id), F.col("c").alias(c_id), "score", "rank", *extra))
 
 
 def all_scores(queries: DataFrame, candidates: DataFrame, q_id: str = "query_id",

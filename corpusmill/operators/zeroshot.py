@@ -25,26 +25,27 @@ def with_ks(df: DataFrame, ks, name: str = "k") -> DataFrame:
 def retrieval_topk(queries: DataFrame, candidates: DataFrame, k: int, q_id: str, c_id: str,
                    q_key: str, c_key: str, vec: str = "vec") -> DataFrame:
     """Top-k candidates per query with a positive flag: a candidate is a
-    positive of the query when their match keys are equal (text.image_id =
-    image.image_id).  Returns (q_id, c_id, score, rank, is_pos)."""
-    top = S.topk_scores(queries.select(q_id, vec), candidates.select(c_id, vec), k,
-                        q_id=q_id, c_id=c_id, vec=vec)
-    qk = queries.select(F.col(q_id), F.col(q_key).alias("__qk"))
-    ck = candidates.select(F.col(c_id), F.col(c_key).alias("__ck"))
-    return (top.join(qk, q_id).join(ck, c_id)
-               .withColumn("is_pos", F.col("__qk") == F.col("__ck"))
-               .drop("__qk", "__ck"))
+    positive of the query when their integral match keys are equal
+    (text.image_id = image.image_id).  The keys travel with the vectors
+    through the blocks, so no join follows the scoring.
+    Returns (q_id, c_id, score, rank, is_pos)."""
+    return S.topk_scores(queries.select(q_id, q_key, vec), candidates.select(c_id, c_key, vec), k,
+                         q_id=q_id, c_id=c_id, vec=vec, q_key=q_key, c_key=c_key)
 
 
 def hit_recall(top: DataFrame, queries: DataFrame, q_id: str, ks=RECALL_KS) -> DataFrame:
     """Share of queries with at least one positive in the top k, for
-    each k; every query is in the denominator (no positive = miss).
-    Returns (k, recall)."""
-    best = (top.filter("is_pos").groupBy(q_id).agg(F.min("rank").alias("best_rank")))
-    allq = queries.select(q_id).join(best, q_id, "left")
-    return (with_ks(allq, ks)
-                .groupBy("k")
-                .agg(F.avg(F.when(F.col("best_rank") <= F.col("k"), 1.0).otherwise(0.0)).alias("recall")))
+    each k; every query is in the denominator (no positive = miss), taken
+    from a count rather than a join of all queries.  Returns (k, recall)."""
+    n_queries = queries.count()
+    best = top.filter("is_pos").groupBy(q_id).agg(F.min("rank").alias("best_rank"))
+    hits = (with_ks(best, ks).groupBy("k")
+                .agg(F.sum(F.when(F.col("best_rank") <= F.col("k"), 1).otherwise(0)).alias("hits")))
+    spark = top.sparkSession
+    all_k = spark.createDataFrame([(int(k),) for k in ks], "k bigint")
+    return (all_k.join(F.broadcast(hits), "k", "left")
+                 .select("k", F.try_divide(F.coalesce(F.col("hits"), F.lit(0)).cast("double"),
+                                           F.lit(float(n_queries))).alias("recall")))
 
 
 def true_recall(top: DataFrame, queries: DataFrame, candidates: DataFrame, q_id: str,
