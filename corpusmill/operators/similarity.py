@@ -23,6 +23,9 @@ from pyspark.sql import types as T
 from corpusmill.functions import vectors as V
 
 DEFAULT_BLOCK = 1024
+# candidate blocks are broadcast only when count x dimension x 8 bytes (the
+# measured size of all candidate vectors) stays under this bound
+BROADCAST_CANDIDATE_BYTES = 64 << 20
 
 
 # ---------------------------------------------------------------- D1 / D2 / D3
@@ -127,7 +130,10 @@ def topk_scores(queries: DataFrame, candidates: DataFrame, k: int,
     if k < 1:
         raise ValueError("k must be >= 1")
     group_cols = list(group_cols)
-    n_c = n_candidates if n_candidates is not None else candidates.count()
+    # one small job measures the candidate side: rows and longest vector
+    stats = candidates.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    n_c = n_candidates if n_candidates is not None else stats["n"]
+    dim = stats["d"] or 0
     n_q = n_queries if n_queries is not None else queries.count()
     out_schema = T.StructType(
         [queries.schema[c] for c in group_cols]
@@ -143,6 +149,10 @@ def topk_scores(queries: DataFrame, candidates: DataFrame, k: int,
     cb = _blocks(candidates, c_id, vec, n_cb, "cb", group_cols, c_key).withColumnRenamed("cb_rows", "c_rows")
     qb = (_blocks(queries, q_id, vec, n_qb, "qb", group_cols, q_key).withColumnRenamed("qb_rows", "q_rows")
           .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1)))))
+    if stats["n"] * max(dim, 1) * 8 <= BROADCAST_CANDIDATE_BYTES:
+        # proven small: every query block meets the candidate blocks where it
+        # lies, the replicated query side is never shuffled
+        cb = F.broadcast(cb)
     pairs = qb.join(cb, on=group_cols + ["cb"], how="inner").select(*group_cols, "q_rows", "c_rows")
     gschema = "".join(f"{queries.schema[c].name} {queries.schema[c].dataType.simpleString()}, "
                       for c in group_cols)
