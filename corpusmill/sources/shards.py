@@ -16,7 +16,6 @@ written whole by one task, and writes ``%05d.tar`` files with
 from __future__ import annotations
 
 import io
-import json
 import os
 import re
 import tarfile
@@ -80,6 +79,14 @@ def _expand_one(p: str) -> list:
     return res
 
 
+def _fs(path: str):
+    """(filesystem, path) for a local path or a URI (hdfs://, s3://, gs://...)."""
+    from pyarrow import fs as pafs
+    if "://" in path and not path.startswith("file://"):
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path.replace("file://", "", 1)
+
+
 class _ShardPartition(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -108,7 +115,8 @@ class _ShardReader(DataSourceReader):
             js = members.get("json")
             return (shard, key, img, js.decode("utf-8") if js is not None else None)
 
-        with tarfile.open(partition.path, mode="r|*") as tf:
+        fs, p = _fs(partition.path)
+        with fs.open_input_stream(p) as raw, tarfile.open(fileobj=raw, mode="r|*") as tf:
             for m in tf:
                 if not m.isfile():
                     continue
@@ -143,12 +151,13 @@ class _ShardWriter(DataSourceWriter):
         for r in iterator:
             by_shard.setdefault(int(r["shard"]), []).append(r)
         files = []
-        os.makedirs(self.path, exist_ok=True)
+        fs, base = _fs(self.path)
+        fs.create_dir(base, recursive=True)
         for shard, rows in by_shard.items():
             rows.sort(key=lambda r: r["idx"])
-            fn = os.path.join(self.path, "%05d.tar" % shard)
+            fn = base.rstrip("/") + "/%05d.tar" % shard
             tmp = fn + ".inprogress"
-            with tarfile.open(tmp, mode="w") as tf:
+            with fs.open_output_stream(tmp) as out, tarfile.open(fileobj=out, mode="w") as tf:
                 for r in rows:
                     for ext, data in (("json", r["json"].encode("utf-8") if r["json"] is not None else None),
                                       ("png", r["img"])):
@@ -157,7 +166,7 @@ class _ShardWriter(DataSourceWriter):
                         ti = tarfile.TarInfo(f"{r['key']}.{ext}")
                         ti.size = len(data)
                         tf.addfile(ti, io.BytesIO(bytes(data)))
-            os.replace(tmp, fn)   # a retried task overwrites the same shard file
+            fs.move(tmp, fn)   # atomic rename: a retried task overwrites the same shard file
             files.append(fn)
         return _ShardCommit(files)
 
@@ -229,5 +238,3 @@ def sample_json(df: DataFrame, cols) -> DataFrame:
     return df.withColumn("json", F.to_json(F.struct(*[F.col(c).alias(n) for c, n in cols.items()])))
 
 
-def load_json_lines(s: str):
-    return json.loads(s)
