@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as TX
@@ -29,20 +29,23 @@ def tfidf(captions: DataFrame, image: str = "image", pos: str = "pos", text: str
     """(image, pos, token, w) - L2-normalised TF-IDF weight of each token
     of each caption, the corpus being the captions of the same image.
 
-    Every branch (document frequency, weights, norms) reads the same term
-    count aggregate, so the plan tokenises once and reuses that exchange;
-    keys always include the token or the caption, so one image with very many
-    captions is still spread over many tasks."""
+    The caption count of each image is attached at caption level (one row
+    per caption, before tokenising); document frequencies are a partial
+    aggregate on (image, token), so a token frequent in a huge image is
+    combined map-side; the norm of a caption is a window over that one
+    caption's tokens."""
     c = captions.select(F.col(image).alias("image"), F.col(pos).alias("pos"), F.col(text).alias("text"))
     n_docs = c.groupBy("image").agg(F.count(F.lit(1)).alias("n"))
-    tok = c.select("image", "pos", F.explode(TX.tokens("text")).alias("token"))
-    tf = tok.groupBy("image", "pos", "token").agg(F.count(F.lit(1)).alias("tf"))
+    cn = c.join(n_docs, "image")
+    tok = cn.select("image", "pos", "n", F.explode(TX.tokens("text")).alias("token"))
+    tf = tok.groupBy("image", "pos", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("n").alias("n"))
     df_ = tf.groupBy("image", "token").agg(F.count("tf").alias("df"))
-    idf = df_.join(n_docs, "image").select(
-        "image", "token", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    raw = tf.join(idf, ["image", "token"]).select("image", "pos", "token", (F.col("tf") * F.col("idf")).alias("raw"))
-    norm = raw.groupBy("image", "pos").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("nrm"))
-    return raw.join(norm, ["image", "pos"]).select("image", "pos", "token", (F.col("raw") / F.col("nrm")).alias("w"))
+    raw = tf.join(df_, ["image", "token"]).select(
+        "image", "pos", "token",
+        (F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)).alias("raw"))
+    w = Window.partitionBy("image", "pos")
+    nrm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(w))
+    return raw.select("image", "pos", "token", (F.col("raw") / nrm).alias("w"))
 
 
 def pair_similarity(weights: DataFrame) -> DataFrame:
