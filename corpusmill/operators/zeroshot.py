@@ -290,6 +290,17 @@ def vocabulary_last_wins(rows: DataFrame, id_col: str, name_col: str, pos: str =
                .withColumnRenamed(id_col, "class_id")
 
 
+def translate_labels(classes: DataFrame, mapping: DataFrame, name: str = "class_name",
+                     out: str = "label") -> DataFrame:
+    """E15 (folder classes): class name -> translated label through a lookup
+    table (source, target); the lookup is broadcast only after its size is
+    checked, else joined by shuffle.  Unknown names keep a null label."""
+    m = mapping.select(F.col("source").alias(name), F.col("target").alias(out))
+    if m.count() <= 1_000_000:
+        m = F.broadcast(m)
+    return classes.join(m, name, "left")
+
+
 def gather(rows: DataFrame, index: DataFrame, row_idx: str = "row_idx") -> DataFrame:
     """``rows[index]`` - reorder / subset / repeat rows by an index list
     given as (pos, idx); the output order is ``pos``."""

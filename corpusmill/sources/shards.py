@@ -238,3 +238,12 @@ def sample_json(df: DataFrame, cols) -> DataFrame:
     return df.withColumn("json", F.to_json(F.struct(*[F.col(c).alias(n) for c, n in cols.items()])))
 
 
+
+
+def group_shards(paths: list, part_size: int, samples_per_shard: int = 100_000) -> list:
+    """B9 parallel form: consecutive shard paths grouped ``ceil(part_size /
+    samples_per_shard)`` at a time, one output part per group (path names
+    only, on the driver)."""
+    import math
+    size = max(1, math.ceil(int(part_size) / samples_per_shard))
+    return [paths[i:i + size] for i in range(0, len(paths), size)]
