@@ -75,12 +75,15 @@ def interleaved_captions(zipped: DataFrame) -> DataFrame:
 def group_captions(zipped: DataFrame) -> DataFrame:
     """B2: one row per image (image_id, image_order, captions_en, captions_pt)."""
     long = interleaved_captions(zipped)
-    first = zipped.groupBy("image_id").agg(F.min("pos").alias("image_order"))
-    en = ordered_list(long.filter("lang = 'en'"), "image_id", ["pos", "sub"], "text", "captions_en")
-    pt = ordered_list(long.filter("lang = 'pt'"), "image_id", ["pos", "sub"], "text", "captions_pt")
-    return (first.join(en, "image_id", "left").join(pt, "image_id", "left")
-                 .withColumn("captions_en", F.coalesce("captions_en", empty_str_array()))
-                 .withColumn("captions_pt", F.coalesce("captions_pt", empty_str_array())))
+    st = F.struct("pos", "sub", "text")
+    # one aggregation: collect_list skips the nulls of the other language
+    g = long.groupBy("image_id").agg(
+        F.min("pos").alias("image_order"),
+        F.array_sort(F.collect_list(F.when(F.col("lang") == "en", st))).alias("__en"),
+        F.array_sort(F.collect_list(F.when(F.col("lang") == "pt", st))).alias("__pt"))
+    return g.select("image_id", "image_order",
+                    F.transform("__en", lambda x: x["text"]).alias("captions_en"),
+                    F.transform("__pt", lambda x: x["text"]).alias("captions_pt"))
 
 
 # ---------------------------------------------------------------- B3 / B4
