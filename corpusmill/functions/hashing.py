@@ -23,7 +23,8 @@ def md5_u32(*parts) -> Column:
 
 
 def draw_index(n, key, seed, epoch) -> Column:
-    """0-based index uniform over ``[0, n)`` for one (key, seed, epoch)."""
+    """0-based index in ``[0, n)`` for one (key, seed, epoch): a 32-bit
+    hash modulo n (uniform up to a bias below n / 2^32)."""
     return F.pmod(md5_u32(key, F.lit(seed), F.lit(epoch)), _col(n))
 
 

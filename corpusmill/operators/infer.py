@@ -4,7 +4,8 @@ The networks themselves are outside this library.  What Spark runs is the
 fan-out, Arrow batching, distribution and regrouping around a callable:
 
 * ``embed`` (C1) runs ``encoder(pandas.Series) -> list of vectors`` in
-  ``mapInPandas`` (one model instance per Python worker, created lazily);
+  ``mapInPandas`` (the model built once per task, or once per Python
+  worker when a ``cache_key`` is given);
 * ``caption_fanout`` (C2) pairs every image with every prompt, calls the
   captioner on (image, prompt) batches and regroups in prompt order;
 * ``translate`` (C3) prefixes the target-language token, translates each
@@ -88,18 +89,28 @@ def hashed_bow_encoder(dim: int = 64):
     return enc
 
 
+# Models built by the callables' factories, kept for the life of a Python
+# worker process (Spark reuses workers across tasks) under a caller-given key.
+_MODELS: dict = {}
+
+
+def _model(factory, cache_key):
+    if cache_key is None:
+        return factory()
+    if cache_key not in _MODELS:
+        _MODELS[cache_key] = factory()
+    return _MODELS[cache_key]
+
+
 def embed(df: DataFrame, col: str, encoder_factory: Callable[[], Callable[[pd.Series], list]],
-          out: str = "vec") -> DataFrame:
+          out: str = "vec", cache_key: str | None = None) -> DataFrame:
     """Add ``out`` = encoder(col) computed in Arrow batches on the
-    executors.  ``encoder_factory`` builds the model once per Python worker
-    (not once per batch)."""
+    executors.  ``encoder_factory`` runs once per task; with ``cache_key``
+    the model is built once per Python worker and reused by later tasks."""
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.ArrayType(T.FloatType()))])
-    holder = {}
 
     def fn(batches):
-        if "m" not in holder:
-            holder["m"] = encoder_factory()
-        enc = holder["m"]
+        enc = _model(encoder_factory, cache_key)
         for pdf in batches:
             vecs = enc(pdf[col])
             pdf[out] = [None if v is None else np.asarray(v, dtype=np.float32) for v in vecs]
@@ -110,24 +121,22 @@ def embed(df: DataFrame, col: str, encoder_factory: Callable[[], Callable[[pd.Se
 # ---------------------------------------------------------------- C2
 
 def caption_fanout(images: DataFrame, captioner_factory, image: str = "image",
-                   prompts=CAPTION_PROMPTS, out: str = "generated_captions_en") -> DataFrame:
+                   prompts=CAPTION_PROMPTS, cache_key: str | None = None) -> DataFrame:
     """Every image x every prompt (a narrow ``posexplode`` of the fixed
     prompt list), the captioner called on Arrow batches of (image row,
-    prompt), caption = prompt + " " + strip(text), regrouped per image in
-    prompt order.  ``captioner_factory()`` returns ``f(pandas.DataFrame with
-    the image columns and 'prompt') -> sequence of str``.
+    prompt), caption = prompt + " " + strip(text).  ``captioner_factory()``
+    (run once per task, or once per worker with ``cache_key``) returns
+    ``f(pandas.DataFrame with the image columns and 'prompt') -> sequence
+    of str``.
 
-    Returns (image, prompt_idx, caption) long rows; ``caption_lists`` makes
-    the per-image array."""
+    Returns (image, prompt_idx, caption) long rows; ``caption_lists``
+    regroups them into the per-image list in prompt order."""
     arr = F.array(*[F.lit(p) for p in prompts])
     fan = images.select("*", F.posexplode(arr).alias("prompt_idx", "prompt"))
     schema = T.StructType(list(fan.schema.fields) + [T.StructField("text", T.StringType())])
-    holder = {}
 
     def fn(batches):
-        if "m" not in holder:
-            holder["m"] = captioner_factory()
-        cap = holder["m"]
+        cap = _model(captioner_factory, cache_key)
         for pdf in batches:
             pdf["text"] = list(cap(pdf))
             yield pdf
@@ -143,18 +152,15 @@ def caption_lists(fanout: DataFrame, image: str = "image", out: str = "generated
 # ---------------------------------------------------------------- C3
 
 def translate(rows: DataFrame, translator_factory, text: str = "original_sentence",
-              token: str = PT_TOKEN, out: str = "translated_sentence") -> DataFrame:
+              token: str = PT_TOKEN, out: str = "translated_sentence",
+              cache_key: str | None = None) -> DataFrame:
     """Every row translated exactly once per distinct sentence
     (translation memory): distinct sentences -> ``token + " " + sentence``
     -> translator on Arrow batches -> joined back on the sentence."""
     distinct = rows.select(F.col(text).alias("__src")).distinct() \
                    .withColumn("__in", F.concat(F.lit(token + " "), F.col("__src")))
-    holder = {}
-
     def fn(batches):
-        if "m" not in holder:
-            holder["m"] = translator_factory()
-        tr = holder["m"]
+        tr = _model(translator_factory, cache_key)
         for pdf in batches:
             pdf["__out"] = list(tr(pdf["__in"]))
             yield pdf[["__src", "__out"]]

@@ -592,7 +592,8 @@ def c1_embed_column(spark, d):
     """Every document text embedded by a pluggable encoder in Arrow batches
     (a hashed bag-of-tokens stands in for the text model)."""
     docs = views.documents(spark, d).select("doc_id", "text")
-    return INF.embed(docs, "text", lambda: INF.hashed_bow_encoder(64)).select("doc_id", "vec")
+    return INF.embed(docs, "text", lambda: INF.hashed_bow_encoder(64), cache_key="hashed_bow_64") \
+              .select("doc_id", "vec")
 
 
 @register("c1_hashed_bow_native")
