@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.indexing import prefix_sum
@@ -179,19 +179,26 @@ def classification_loss(scores: DataFrame, targets: DataFrame, image_id: str = "
                         class_idx: str = "class_idx", logit: str = "logit",
                         target: str = "target") -> DataFrame:
     """cross-entropy of the true class (log-sum-exp over classes minus
-    the true logit) and argmax accuracy, averaged over images."""
-    per = (scores.groupBy(image_id)
-                 .agg(F.max(logit).alias("__m"),
-                      F.max_by(F.col(class_idx), F.struct(F.round(logit, 9), -F.col(class_idx))).alias("__pred"))
-                 .join(scores, image_id)
-                 .groupBy(image_id, "__m", "__pred")
-                 .agg(F.sum(F.exp(F.col(logit) - F.col("__m"))).alias("__se")))
-    true_l = scores.join(targets.select(image_id, target), image_id).filter(F.col(class_idx) == F.col(target)) \
-                   .select(image_id, F.col(logit).alias("__tl"), target)
-    j = per.join(true_l, image_id)
+    the true logit) and argmax accuracy, averaged over images.  With
+    ``is_pos`` on the score rows (``class_scores(..., target=...)``) the
+    true logit is read in the same per-image aggregate; the per-image
+    maximum is a window over that image's class rows."""
+    s = scores
+    if "is_pos" not in s.columns:
+        s = s.join(targets.select(image_id, target), image_id).withColumn(
+            "is_pos", F.col(class_idx) == F.col(target))
+    w = Window.partitionBy(image_id)
+    per = (s.withColumn("__m", F.max(logit).over(w))
+            .groupBy(image_id)
+            .agg(F.first("__m").alias("__m"),
+                 F.sum(F.exp(F.col(logit) - F.col("__m"))).alias("__se"),
+                 F.max(F.when(F.col("is_pos"), F.col(logit))).alias("__tl"),
+                 F.max(F.when(F.col("is_pos"), 1).otherwise(0)).alias("__has_t"),
+                 F.max_by(F.col("is_pos").cast("int"),
+                          F.struct(F.round(logit, 9), -F.col(class_idx))).alias("__hit")))
     loss = F.col("__m") + F.log("__se") - F.col("__tl")
-    return j.agg(F.avg(loss).alias("loss"),
-                 F.avg(F.when(F.col("__pred") == F.col(target), 1.0).otherwise(0.0)).alias("accuracy"))
+    return per.filter(F.col("__has_t") == 1).agg(F.avg(loss).alias("loss"),
+                                                 F.avg(F.col("__hit").cast("double")).alias("accuracy"))
 
 
 # ---------------------------------------------------------------- F10

@@ -172,13 +172,14 @@ def topk_scores(queries: DataFrame, candidates: DataFrame, k: int,
 def all_scores(queries: DataFrame, candidates: DataFrame, q_id: str = "query_id",
                c_id: str = "cand_id", vec: str = "vec", scale: float = 1.0,
                n_candidates: int | None = None, block_size: int = DEFAULT_BLOCK,
-               group_cols=()) -> DataFrame:
+               group_cols=(), q_key: str | None = None, c_key: str | None = None) -> DataFrame:
     """E4 long score table ``(q_id, c_id, score, rank)`` with every candidate
     of every query: the full ranking that softmax (E5) and per-class metrics
     need.  Computed blockwise like ``topk_scores`` with k = all candidates."""
     n_c = n_candidates if n_candidates is not None else candidates.count()
     return topk_scores(queries, candidates, max(1, n_c), q_id=q_id, c_id=c_id, vec=vec,
-                       scale=scale, block_size=block_size, n_candidates=n_c, group_cols=group_cols)
+                       scale=scale, block_size=block_size, n_candidates=n_c, group_cols=group_cols,
+                       q_key=q_key, c_key=c_key)
 
 
 def scored_samples(images: DataFrame, captions: DataFrame, n_original: int,

@@ -165,14 +165,18 @@ def logit_scale(kind="fixed100", logit_scale_param: float | None = None) -> floa
 
 def class_scores(images: DataFrame, prototypes: DataFrame, scale: float = 100.0,
                  image_id: str = "image_id", class_idx: str = "class_idx", vec: str = "vec",
-                 normalize_images: bool = True, group_cols=()) -> DataFrame:
+                 normalize_images: bool = True, group_cols=(), target: str | None = None) -> DataFrame:
     """E4 against the class prototypes: (group..., image_id, class_idx, logit,
-    rank) for every class (the class list is bounded; images are not)."""
-    im = images
+    rank) for every class (the class list is bounded; images are not).
+    With ``target`` the rows also carry ``is_pos`` (class = the image's
+    target), computed inside the scoring blocks."""
+    cols = list(group_cols) + [image_id] + ([target] if target else []) + [vec]
+    im = images.select(*cols)
     if normalize_images:
-        im = S.l2_normalize(images.select(*group_cols, image_id, vec), vec)
-    return (S.all_scores(im.select(*group_cols, image_id, vec), prototypes.select(*group_cols, class_idx, vec),
-                         q_id=image_id, c_id=class_idx, vec=vec, scale=scale, group_cols=group_cols)
+        im = S.l2_normalize(im, vec).select(*cols)
+    pr = prototypes.select(*group_cols, class_idx, vec)
+    return (S.all_scores(im, pr, q_id=image_id, c_id=class_idx, vec=vec, scale=scale, group_cols=group_cols,
+                         q_key=target, c_key=class_idx if target else None)
              .withColumnRenamed("score", "logit"))
 
 
@@ -212,14 +216,22 @@ def topk_accuracy(scores: DataFrame, targets: DataFrame, ks=(1, 5, 10), image_id
                   class_idx: str = "class_idx", target: str = "target", group_cols=()) -> DataFrame:
     """Share of images whose true class is among the top k, per k
     (k above the class count is capped: everything is a hit), plus the
-    plain average over the ks as k = 0.  Returns (group..., k, accuracy)."""
+    plain average over the ks as k = 0.  The denominator is every image of
+    ``targets`` (an image whose class has no prototype is a miss).
+    Returns (group..., k, accuracy)."""
     keys = list(group_cols) + [image_id]
-    t = targets.select(*keys, F.col(target).alias("__t"))
-    hit_rank = (scores.join(t, keys).filter(F.col(class_idx) == F.col("__t"))
-                      .select(*keys, F.col("rank").alias("__r")))
-    allq = t.join(hit_rank, keys, "left")
-    per_k = (with_ks(allq, ks).groupBy(*group_cols, "k")
-             .agg(F.avg(F.when(F.col("__r") <= F.col("k"), 1.0).otherwise(0.0)).alias("accuracy")))
+    if "is_pos" in scores.columns:
+        hit_rank = scores.filter("is_pos").select(*keys, F.col("rank").alias("__r"))
+    else:
+        t = targets.select(*keys, F.col(target).alias("__t"))
+        hit_rank = (scores.join(t, keys).filter(F.col(class_idx) == F.col("__t"))
+                          .select(*keys, F.col("rank").alias("__r")))
+    hits = (with_ks(hit_rank, ks).groupBy(*group_cols, "k")
+            .agg(F.sum(F.when(F.col("__r") <= F.col("k"), 1).otherwise(0)).alias("__h")))
+    n_img = targets.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
+    # (groups x ks) rows: as many as there are groups, never data-sized
+    per_k = (with_ks(n_img, ks).join(hits, list(group_cols) + ["k"], "left")
+             .select(*group_cols, "k", (F.coalesce(F.col("__h"), F.lit(0)) / F.col("__n")).alias("accuracy")))
     avg = per_k.groupBy(*group_cols).agg(F.avg("accuracy").alias("accuracy")).withColumn("k", F.lit(0).cast("bigint"))
     return per_k.unionByName(avg)
 
@@ -257,13 +269,13 @@ def subset_accuracy(scores: DataFrame, targets: DataFrame, n_subset_classes: int
                     target: str = "target") -> DataFrame:
     """Top-1 hits divided by (subset classes x images per class) when
     ``images_per_class`` is given (the reference's fixed 50), else by the
-    number of subset images."""
-    top1 = scores.filter(F.col("rank") == 1).select(image_id, F.col("class_idx").alias("__p"))
-    j = targets.select(image_id, target).join(top1, image_id, "left")
-    hits = F.sum(F.when(F.col("__p") == F.col(target), 1).otherwise(0)).cast("double")
-    den = (F.lit(float(n_subset_classes * images_per_class)) if images_per_class
-           else F.count(F.lit(1)).cast("double"))
-    return j.agg((hits / den).alias("accuracy"), F.count(F.lit(1)).alias("n_images"))
+    number of subset images.  ``scores`` must carry ``is_pos``
+    (``class_scores(..., target=...)``).  Returns (accuracy, n_images)."""
+    n_images = targets.count()
+    den = float(n_subset_classes * images_per_class) if images_per_class else float(n_images)
+    hits = scores.filter((F.col("rank") == 1) & F.col("is_pos"))
+    return hits.agg((F.count(F.lit(1)) / F.lit(den)).alias("accuracy"),
+                    F.lit(n_images).cast("bigint").alias("n_images"))
 
 
 def sweep_missing(requested: DataFrame, available: DataFrame, keys) -> DataFrame:

@@ -194,7 +194,7 @@ def _protos(spark, d, variant="a"):
 
 
 def _class_scores(spark, d):
-    return Z.class_scores(views.test_images(spark, d), _protos(spark, d), scale=100.0)
+    return Z.class_scores(views.test_images(spark, d), _protos(spark, d), scale=100.0, target="target")
 
 
 def _probs(spark, d):
@@ -273,7 +273,7 @@ def e12_topk_accuracy(spark, d):
 def e13_class_subset(spark, d):
     sub = spark.createDataFrame(list(enumerate(SUBSET_CLASSES)), "pos bigint, class_idx bigint")
     im, pr = Z.class_subset(views.test_images(spark, d), _protos(spark, d), sub)
-    sc = Z.class_scores(im, pr, scale=100.0)
+    sc = Z.class_scores(im, pr, scale=100.0, target="target")
     acc = Z.subset_accuracy(sc, im, len(SUBSET_CLASSES))
     return acc.select(_r("accuracy").alias("accuracy"), "n_images")
 
@@ -296,7 +296,7 @@ def e14_sweep_accuracy(spark, d):
     im, pr = _sweep_inputs(spark, d)
     g = ["lang", "prompt_set"]
     protos = Z.class_prototypes(pr, "a", group_cols=g)
-    sc = Z.class_scores(im, protos, scale=100.0, group_cols=g)
+    sc = Z.class_scores(im, protos, scale=100.0, group_cols=g, target="target")
     acc = Z.topk_accuracy(sc, im, ks=(1, 5), group_cols=g)
     return acc.select("lang", "prompt_set", "k", _r("accuracy").alias("accuracy"))
 
