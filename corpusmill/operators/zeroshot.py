@@ -248,6 +248,18 @@ def retrieval_list(queries: DataFrame, candidates: DataFrame, k: int, q_id: str,
     return S.topk_scores(q, c, k, q_id=q_id, c_id=c_id, vec=vec)
 
 
+def retrieve_by_text(texts: DataFrame, encoder_factory, candidates: DataFrame, k: int,
+                     q_id: str = "query_id", text: str = "text", c_id: str = "image_id",
+                     vec: str = "vec", cache_key: str | None = None) -> DataFrame:
+    """E7 with free-text queries: the texts are embedded by the pluggable
+    encoder (C1, Arrow batches on the executors), normalised and matched
+    against every candidate; (q_id, rank, c_id, score) for the k best."""
+    from corpusmill.operators.infer import embed
+    q = embed(texts.select(q_id, text), text, encoder_factory, out=vec, cache_key=cache_key)
+    q = q.filter(F.col(vec).isNotNull()).select(q_id, V.as_double_array(vec).alias(vec))
+    return retrieval_list(q, candidates, k, q_id, c_id, vec)
+
+
 # ---------------------------------------------------------------- E13 / E14
 
 def class_subset(images: DataFrame, prototypes: DataFrame, subset: DataFrame, target: str = "target",

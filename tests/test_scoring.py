@@ -110,3 +110,13 @@ def test_zero_vector_normalises_to_null(spark):
     r = {x.id: x for x in S.l2_normalize(df).collect()}
     assert r[0].vec is None and r[0].vec_is_zero
     assert r[1].vec == pytest.approx([0.6, 0.8])
+
+
+def test_retrieve_by_free_text(spark):
+    from corpusmill.operators import infer as INF
+    texts = spark.createDataFrame([(0, "red cat"), (1, "blue sea")], "query_id long, text string")
+    docs = spark.createDataFrame([(10, "a red cat"), (11, "the blue sea"), (12, "green hill")], "image_id long, text string")
+    cands = INF.embed(docs, "text", lambda: INF.hashed_bow_encoder(16)).select("image_id", "vec")
+    got = {(r.query_id, r.rank): r.image_id
+           for r in Z.retrieve_by_text(texts, lambda: INF.hashed_bow_encoder(16), cands, 1).collect()}
+    assert got == {(0, 1): 10, (1, 1): 11}
