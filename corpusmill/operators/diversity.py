@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as TX
-from corpusmill.session import reliable_checkpoint
+from corpusmill.session import reliable_checkpoint, ship_package
 
 # Defaults of the reference's diversity pruning.
 DEFAULT_K_MIN = 3
@@ -134,6 +134,7 @@ def prune_similar(captions: DataFrame, k_min: int = DEFAULT_K_MIN, thr: float =
     text) rows.  Images need the loop only when some pair is above ``thr``
     (or ``drop_isolated`` asks for the final step); all others are kept
     whole without leaving the JVM."""
+    ship_package(captions.sparkSession)
     c = captions.select(F.col(image).cast("bigint").alias("image"), F.col(pos).cast("bigint").alias("pos"),
                         F.col(text).alias("text"))
     # weights and edges feed several branches below: computed once, cut

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions import text as TX
 from corpusmill.operators.corpus import ordered_list
+from corpusmill.session import ship_package
 
 # The captioning prompts of the reference, in order.
 CAPTION_PROMPTS = [
@@ -107,6 +108,7 @@ def embed(df: DataFrame, col: str, encoder_factory: Callable[[], Callable[[pd.Se
     """Add ``out`` = encoder(col) computed in Arrow batches on the
     executors.  ``encoder_factory`` runs once per task; with ``cache_key``
     the model is built once per Python worker and reused by later tasks."""
+    ship_package(df.sparkSession)
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def fn(batches):
@@ -131,6 +133,7 @@ def caption_fanout(images: DataFrame, captioner_factory, image: str = "image",
 
     Returns (image, prompt_idx, caption) long rows; ``caption_lists``
     regroups them into the per-image list in prompt order."""
+    ship_package(images.sparkSession)
     arr = F.array(*[F.lit(p) for p in prompts])
     fan = images.select("*", F.posexplode(arr).alias("prompt_idx", "prompt"))
     schema = T.StructType(list(fan.schema.fields) + [T.StructField("text", T.StringType())])
@@ -157,6 +160,7 @@ def translate(rows: DataFrame, translator_factory, text: str = "original_sentenc
     """Every row translated exactly once per distinct sentence
     (translation memory): distinct sentences -> ``token + " " + sentence``
     -> translator on Arrow batches -> joined back on the sentence."""
+    ship_package(rows.sparkSession)
     distinct = rows.select(F.col(text).alias("__src")).distinct() \
                    .withColumn("__in", F.concat(F.lit(token + " "), F.col("__src")))
     def fn(batches):

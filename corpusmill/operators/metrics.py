@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.indexing import prefix_sum
+from corpusmill.session import ship_package
 
 # Metric of each evaluation dataset (from the reference's
 # dataset metadata files).
@@ -162,6 +163,7 @@ def in_batch_metrics(pairs: DataFrame, scale: float = 20.0) -> DataFrame:
     columns whose argmax is their own position.  ``pairs``: (batch_id,
     pair_id, img_vec, txt_vec); a group is one batch (bounded by the batch
     size)."""
+    ship_package(pairs.sparkSession)
     return pairs.groupBy("batch_id").applyInPandas(
         _batch_fn(float(scale)), "batch_id long, n long, loss double, acc_image double, acc_text double")
 

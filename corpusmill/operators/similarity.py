@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions import vectors as V
+from corpusmill.session import ship_package
 
 DEFAULT_BLOCK = 1024
 # candidate blocks are broadcast only when count x dimension x 8 bytes (the
@@ -129,6 +130,7 @@ def topk_scores(queries: DataFrame, candidates: DataFrame, k: int,
     """
     if k < 1:
         raise ValueError("k must be >= 1")
+    ship_package(queries.sparkSession)
     group_cols = list(group_cols)
     # one small job measures the candidate side: rows and longest vector
     stats = candidates.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()

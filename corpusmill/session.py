@@ -12,6 +12,16 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _default_driver_memory() -> str:
+    """About 60% of physical memory, at most 16g (local mode runs
+    everything in the driver JVM)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        return f"{max(1, min(16, int(total * 0.6 / 2**30)))}g"
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+
+
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
                 app: str = "corpusmill") -> SparkSession:
     master = master or os.environ.get("CORPUSMILL_MASTER", "local[8]")
@@ -28,7 +38,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("CORPUSMILL_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("CORPUSMILL_DRIVER_MEMORY", _default_driver_memory()))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -70,3 +80,29 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``corpusmill`` importable in every Python worker (local or
+    cluster): the package is zipped once per SparkContext and handed to
+    ``SparkContext.addPyFile``, which distributes it to the executors.
+    Operators that run Python on executors call this first."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="corpusmill-pyfiles-"), "corpusmill.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    p = os.path.join(d, f)
+                    z.write(p, os.path.relpath(p, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)

@@ -28,6 +28,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWrit
 
 from corpusmill.functions import text as TX
 from corpusmill.operators.indexing import chunk, global_index
+from corpusmill.session import ship_package
 
 # Samples per shard and the image member extensions, in preference order.
 SHARD_SIZE = 10_000
@@ -191,6 +192,7 @@ class TarShardSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship_package(spark)
     spark.dataSource.register(TarShardSource)
 
 
