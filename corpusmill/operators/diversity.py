@@ -26,8 +26,9 @@ DEFAULT_THR = 0.3
 
 
 def tfidf(captions: DataFrame, image: str = "image", pos: str = "pos", text: str = "text") -> DataFrame:
-    """(image, pos, token, w) - L2-normalised TF-IDF weight of each token
-    of each caption, the corpus being the captions of the same image.
+    """(image, pos, token, w, df) - L2-normalised TF-IDF weight of each
+    token of each caption, the corpus being the captions of the same image
+    (``df``: captions of the image containing the token).
 
     The caption count of each image is attached at caption level (one row
     per caption, before tokenising); document frequencies are a partial
@@ -41,17 +42,21 @@ def tfidf(captions: DataFrame, image: str = "image", pos: str = "pos", text: str
     tf = tok.groupBy("image", "pos", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("n").alias("n"))
     df_ = tf.groupBy("image", "token").agg(F.count("tf").alias("df"))
     raw = tf.join(df_, ["image", "token"]).select(
-        "image", "pos", "token",
+        "image", "pos", "token", "df",
         (F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)).alias("raw"))
     w = Window.partitionBy("image", "pos")
     nrm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(w))
-    return raw.select("image", "pos", "token", (F.col("raw") / nrm).alias("w"))
+    return raw.select("image", "pos", "token", (F.col("raw") / nrm).alias("w"), "df")
 
 
 def pair_similarity(weights: DataFrame) -> DataFrame:
     """(image, pos_a, pos_b, sim) for caption pairs of the same image
     that share at least one token, pos_a < pos_b.  Pairs sharing nothing
-    have similarity 0 and are not listed."""
+    have similarity 0 and are not listed.  A token found in one caption
+    only (``df`` = 1) cannot join two captions and is left out of the
+    self-join."""
+    if "df" in weights.columns:
+        weights = weights.filter(F.col("df") >= 2)
     a = weights.select("image", "token", F.col("pos").alias("pos_a"), F.col("w").alias("w_a"))
     b = weights.select("image", "token", F.col("pos").alias("pos_b"), F.col("w").alias("w_b"))
     return (a.join(b, ["image", "token"]).filter(F.col("pos_a") < F.col("pos_b"))

@@ -534,3 +534,5 @@ g AS (SELECT d.doc_id, r.dim FROM (SELECT DISTINCT doc_id FROM t) d, (SELECT unn
 SELECT g.doc_id, g.dim, round(coalesce(c.cnt, 0.0) / n.nrm, 6) AS x
 FROM g JOIN n USING (doc_id) LEFT JOIN c USING (doc_id, dim)
 """
+
+ORACLE["a10_metric_lines"] = "SELECT 'run-1' AS id, dataset, metric, result FROM (" + ORACLE["f5_metric_dispatch"] + ")"

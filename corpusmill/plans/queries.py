@@ -688,3 +688,10 @@ def a12_duplicate_captions(spark, d):
         "image", F.explode(F.slice("captions", 3, F.size("captions"))).alias("text"))
     g = rest.groupBy("image", "text").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     return g.select("image", F.md5("text").alias("text_md5"), "n")
+
+
+@register("a10_metric_lines")
+def a10_metric_lines(spark, d):
+    """The lines the metrics sink appends for one run: (id, dataset, metric,
+    result x 100); ``files.append_metrics`` writes them."""
+    return f5_metric_dispatch(spark, d).withColumn("id", F.lit("run-1")).select("id", "dataset", "metric", "result")
