@@ -124,3 +124,17 @@ def test_pool_after_pruning_at_least_min(spark):
     caps = ["a cat", "a cat sits", "the cat sits", "cat sits here", "cat"]
     df = spark.createDataFrame([(0, i, c) for i, c in enumerate(caps)], "image long, pos long, text string")
     assert DV.prune_similar(df, 3, 0.3).count() >= 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_drop_isolated_matches_dense_loop(spark, seed):
+    rng = np.random.default_rng(100 + seed)
+    rows, expected = [], set()
+    for img in range(8):
+        n = int(rng.integers(2, 9))
+        caps = [" ".join(rng.choice(WORDS, size=int(rng.integers(0, 4)))) for _ in range(n)]
+        rows += [(img, p, c) for p, c in enumerate(caps)]
+        expected |= {(img, p) for p in _reference_loop(caps, drop_isolated=True)}
+    df = spark.createDataFrame(rows, "image long, pos long, text string")
+    got = {(r.image, r.pos) for r in DV.prune_similar(df, 3, 0.3, drop_isolated=True).collect()}
+    assert got == expected
