@@ -115,3 +115,24 @@ def test_registry_and_metric_sink(spark, tmpdir_path):
     FS.append_metrics(m, out, "run1")
     FS.append_metrics(m, out, "run2")
     assert spark.read.json(out).count() == 2
+
+
+def test_small_helpers(spark, tmpdir_path):
+    from corpusmill.functions import text as TX
+    from corpusmill.operators import corpus as CP
+    df = spark.createDataFrame([(42, ["a", "b"])], "image_id long, captions array<string>")
+    assert df.select(TX.image_file_name("image_id").alias("f")).first().f == "000000000042.jpg"
+    assert df.select(TX.sample_key(F.lit(7)).alias("k")).first().k == "sample00007"
+    assert df.select(TX.shard_row_key(F.lit("000030042")).alias("r")).first().r == 30042
+    ex = CP.explode_list(df, "captions", keep=("image_id",)).collect()
+    assert [(r.image_id, r.pos, r.text) for r in ex] == [(42, 0, "a"), (42, 1, "b")]
+    js = SH.sample_json(df, {"captions": "captions-pt"}).first().json
+    assert json.loads(js) == {"captions-pt": ["a", "b"]}
+    p = os.path.join(tmpdir_path, "t2.csv")
+    open(p, "w").write('"first, quoted"\nsecond\n')
+    assert [(r.pos, r.caption) for r in FS.read_csv_captions(spark, p).orderBy("pos").collect()] == \
+        [(0, "first, quoted"), (1, "second")]
+    t = os.path.join(tmpdir_path, "tr.tsv")
+    open(t, "w").write("img1.jpg#0\tum gato\nimg1.jpg#1\tdois gatos\n")
+    assert [(r.row, r.image) for r in FS.read_translation_tsv(spark, t).orderBy("row").collect()] == \
+        [(0, "img1.jpg#0"), (1, "img1.jpg#1")]
