@@ -343,11 +343,10 @@ def f2_mean_per_class(spark, d):
     return M.mean_per_class(_preds(spark, d)).select(_r("mean_per_class").alias("mean_per_class"))
 
 
-def _map(spark, d):
-    probs = _probs(spark, d)
-    labels = probs.select("image_id", "class_idx").join(views.test_images(spark, d).select("image_id", "target"),
-                                                        "image_id") \
-                  .select("image_id", "class_idx", (F.col("class_idx") == F.col("target")).cast("int").alias("present"))
+def _map(spark, d, probs=None):
+    probs = probs if probs is not None else _probs(spark, d)
+    # the score rows carry is_pos (class = target): labels need no join
+    labels = probs.select("image_id", "class_idx", F.col("is_pos").cast("int").alias("present"))
     # ranked on the log-softmax: the order of the probabilities the reference passes
     return M.map_11_point(probs, labels, score="log_prob")
 
@@ -364,13 +363,14 @@ def f4_roc_auc(spark, d):
 
 @register("f5_metric_dispatch")
 def f5_metric_dispatch(spark, d):
-    preds = _preds(spark, d)
+    probs = _probs(spark, d)          # scored once, shared by three metrics
+    preds = Z.predictions(probs, views.test_images(spark, d))
     res = (M.accuracy(preds).select(F.lit("cifar-10").alias("dataset"), F.lit("accuracy").alias("metric"),
                                     F.col("accuracy").alias("value"))
            .unionByName(M.mean_per_class(preds).select(F.lit("caltech-101").alias("dataset"),
                                                        F.lit("mean-per-class").alias("metric"),
                                                        F.col("mean_per_class").alias("value")))
-           .unionByName(_map(spark, d).select(F.lit("voc-2007-classification").alias("dataset"),
+           .unionByName(_map(spark, d, probs).select(F.lit("voc-2007-classification").alias("dataset"),
                                               F.lit("11point_mAP").alias("metric"), F.col("map").alias("value")))
            .unionByName(M.roc_auc(views.bin_scores(spark, d)).select(F.lit("hateful-memes").alias("dataset"),
                                                                       F.lit("roc_auc").alias("metric"),
