@@ -25,19 +25,25 @@ DEFAULT_K_MIN = 3
 DEFAULT_THR = 0.3
 
 
-def tfidf(captions: DataFrame, image: str = "image", pos: str = "pos", text: str = "text") -> DataFrame:
+def tfidf(captions: DataFrame, image: str = "image", pos: str = "pos", text: str = "text",
+          n_col: str | None = None) -> DataFrame:
     """(image, pos, token, w, df) - L2-normalised TF-IDF weight of each
     token of each caption, the corpus being the captions of the same image
     (``df``: captions of the image containing the token).
 
-    The caption count of each image is attached at caption level (one row
-    per caption, before tokenising); document frequencies are a partial
-    aggregate on (image, token), so a token frequent in a huge image is
-    combined map-side; the norm of a caption is a window over that one
-    caption's tokens."""
-    c = captions.select(F.col(image).alias("image"), F.col(pos).alias("pos"), F.col(text).alias("text"))
-    n_docs = c.groupBy("image").agg(F.count(F.lit(1)).alias("n"))
-    cn = c.join(n_docs, "image")
+    ``n_col`` names a column that already holds the image's caption count
+    (the length of its caption list); then nothing is keyed by image alone.
+    Without it the count is a partial aggregate joined at caption level.
+    Document frequencies are a partial aggregate on (image, token), so a
+    token frequent in a huge image is combined map-side; the norm of a
+    caption is a window over that one caption's tokens."""
+    if n_col:
+        cn = captions.select(F.col(image).alias("image"), F.col(pos).alias("pos"), F.col(text).alias("text"),
+                             F.col(n_col).alias("n"))
+    else:
+        c = captions.select(F.col(image).alias("image"), F.col(pos).alias("pos"), F.col(text).alias("text"))
+        n_docs = c.groupBy("image").agg(F.count(F.lit(1)).alias("n"))
+        cn = c.join(n_docs, "image")
     tok = cn.select("image", "pos", "n", F.explode(TX.tokens("text")).alias("token"))
     tf = tok.groupBy("image", "pos", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("n").alias("n"))
     df_ = tf.groupBy("image", "token").agg(F.count("tf").alias("df"))
@@ -134,17 +140,17 @@ def _prune_groups(k_min: int, thr: float, drop_isolated: bool):
 
 def prune_similar(captions: DataFrame, k_min: int = DEFAULT_K_MIN, thr: float = DEFAULT_THR,
                   drop_isolated: bool = False, image: str = "image", pos: str = "pos",
-                  text: str = "text") -> DataFrame:
+                  text: str = "text", n_col: str | None = None) -> DataFrame:
     """Captions kept after greedy diversity pruning, as (image, pos,
     text) rows.  Images need the loop only when some pair is above ``thr``
     (or ``drop_isolated`` asks for the final step); all others are kept
     whole without leaving the JVM."""
     ship_package(captions.sparkSession)
     c = captions.select(F.col(image).cast("bigint").alias("image"), F.col(pos).cast("bigint").alias("pos"),
-                        F.col(text).alias("text"))
+                        F.col(text).alias("text"), *([F.col(n_col).alias("__n")] if n_col else []))
     # weights and edges feed several branches below: computed once, cut
     # from the lineage in the shared checkpoint folder
-    w = reliable_checkpoint(tfidf(c))
+    w = reliable_checkpoint(tfidf(c, n_col="__n" if n_col else None))
     sims = reliable_checkpoint(pair_similarity(w).filter(F.col("sim") > 0))
     n = c.groupBy("image").agg(F.count(F.lit(1)).alias("n"))
     if drop_isolated:

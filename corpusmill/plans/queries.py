@@ -135,20 +135,20 @@ def d13_random_caption(spark, d):
 
 @register("d8_tfidf")
 def d8_tfidf(spark, d):
-    w = DV.tfidf(views.caps(spark, d))
+    w = DV.tfidf(views.caps(spark, d), n_col="n_captions")
     return w.select("image", "pos", "token", _r("w").alias("w"))
 
 
 @register("d9_caption_pair_similarity")
 def d9_caption_pair_similarity(spark, d):
-    p = DV.pair_similarity(DV.tfidf(views.caps(spark, d)))
+    p = DV.pair_similarity(DV.tfidf(views.caps(spark, d), n_col="n_captions"))
     return p.select("image", "pos_a", "pos_b", _r("sim").alias("sim"))
 
 
 @register("d10_diversity_pruning")
 def d10_diversity_pruning(spark, d):
     """Greedy loop: no SQL form; checked by rows and against numpy in tests."""
-    return DV.prune_similar(views.caps(spark, d), k_min=3, thr=0.3).select("image", "pos")
+    return DV.prune_similar(views.caps(spark, d), k_min=3, thr=0.3, n_col="n_captions").select("image", "pos")
 
 
 @register("d11_threshold_diversity")

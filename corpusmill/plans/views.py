@@ -78,12 +78,14 @@ def documents(spark, sf_dir) -> DataFrame:
 
 
 def caps(spark, sf_dir) -> DataFrame:
-    """(image, pos, text): every non-empty line of every document is a
-    caption of image ``doc_id``; ``pos`` 0-based among the kept lines."""
+    """(image, pos, text, n_captions): every non-empty line of every
+    document is a caption of image ``doc_id``; ``pos`` 0-based among the
+    kept lines; ``n_captions`` the length of the image's caption list."""
     d = documents(spark, sf_dir)
-    return d.select(F.col("doc_id").alias("image"),
-                    F.posexplode(TX.nonblank_lines("text")).alias("pos", "text")
-                    ).withColumn("pos", F.col("pos").cast("bigint"))
+    lines = TX.nonblank_lines("text")
+    return d.select(F.col("doc_id").alias("image"), F.size(lines).cast("bigint").alias("n_captions"),
+                    F.posexplode(lines).alias("pos", "text")
+                    ).select("image", F.col("pos").cast("bigint").alias("pos"), "text", "n_captions")
 
 
 def caption_lists(spark, sf_dir) -> DataFrame:
