@@ -125,12 +125,12 @@ def _prune_groups(k_min: int, thr: float, drop_isolated: bool):
         img = pdf["image"].iloc[0]
         nodes = pdf[pdf["kind"] == 0].sort_values("a")
         edges = pdf[pdf["kind"] == 1]
-        pos = nodes["a"].to_numpy(dtype=np.int64)
-        idx = {p: i for i, p in enumerate(pos)}
+        pos = nodes["a"].to_numpy(dtype=np.int64)          # sorted caption positions
         n = len(pos)
         has_tok = nodes["s"].to_numpy() > 0
-        ea = np.array([idx[x] for x in edges["a"]], dtype=np.int64)
-        eb = np.array([idx[x] for x in edges["b"]], dtype=np.int64)
+        # node index of each edge end (positions may have gaps after a filter)
+        ea = np.searchsorted(pos, edges["a"].to_numpy(dtype=np.int64))
+        eb = np.searchsorted(pos, edges["b"].to_numpy(dtype=np.int64))
         es = edges["s"].to_numpy(dtype=np.float64)
         keep = greedy_prune(n, has_tok, ea, eb, es, k_min, thr, drop_isolated)
         return pd.DataFrame({"image": np.full(int(keep.sum()), img, dtype=np.int64),
