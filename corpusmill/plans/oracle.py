@@ -253,9 +253,12 @@ FROM top1 WHERE rnk = 1
 """
 
 SWEEP = (f"{PR}, {TI}, lg AS (SELECT doc_id AS vec_id, lang FROM documents), "
-         "prl AS (SELECT lg.lang, 'ensemble' AS prompt_set, p.class_idx, p.vec FROM pr p JOIN lg ON lg.vec_id = p.prompt_id), "
-         "til AS (SELECT lg.lang, 'ensemble' AS prompt_set, t.image_id, t.target, "
-         "list_transform(t.vec, lambda x: x / sqrt(list_dot_product(t.vec, t.vec))) AS vec FROM ti t JOIN lg ON lg.vec_id = t.image_id), "
+         "pre AS (SELECT lg.lang, p.prompt_id, p.class_idx, p.vec FROM pr p JOIN lg ON lg.vec_id = p.prompt_id), "
+         "prl AS (SELECT lang, 'ensemble' AS prompt_set, class_idx, vec FROM pre UNION ALL "
+         "SELECT lang, 'label', class_idx, arg_min(vec, prompt_id) FROM pre GROUP BY lang, class_idx), "
+         "til AS (SELECT lg.lang, ps.prompt_set, t.image_id, t.target, "
+         "list_transform(t.vec, lambda x: x / sqrt(list_dot_product(t.vec, t.vec))) AS vec FROM ti t JOIN lg ON lg.vec_id = t.image_id "
+         "CROSS JOIN (SELECT unnest(['ensemble', 'label']) AS prompt_set) ps), "
          f"{proto_cte('a', src='prl', keys='lang, prompt_set, class_idx')}")
 
 ORACLE["e14_sweep_accuracy"] = f"""
@@ -273,7 +276,8 @@ UNION ALL SELECT lang, prompt_set, 0::BIGINT, round(avg(accuracy), 6) FROM pk GR
 """
 
 ORACLE["e14_sweep_skipped"] = f"""
-WITH {SWEEP}, req AS (SELECT unnest(['de', 'en', 'es', 'fr', 'pt']) AS lang, 'ensemble' AS prompt_set)
+WITH {SWEEP}, req AS (SELECT l.lang, p.prompt_set FROM (SELECT unnest(['de', 'en', 'es', 'fr', 'pt']) AS lang) l
+                      CROSS JOIN (SELECT unnest(['ensemble', 'label']) AS prompt_set) p)
 SELECT r.lang, r.prompt_set FROM req r WHERE NOT EXISTS (SELECT 1 FROM prl p WHERE p.lang = r.lang AND p.prompt_set = r.prompt_set)
 """
 

@@ -281,12 +281,22 @@ def _lang_of_vec(spark, d):
     return views.documents(spark, d).select(F.col("doc_id").alias("vec_id"), F.col("lang"))
 
 
+PROMPT_SETS = ["ensemble", "label"]
+
+
 def _sweep_inputs(spark, d):
+    """Prompt sets per language: ``ensemble`` = every prompt of the class,
+    ``label`` = one prompt per class (its first), as with the bare class
+    name template.  Every image is evaluated under every prompt set."""
     lang = _lang_of_vec(spark, d)
-    pr = views.prompts(spark, d).join(lang.withColumnRenamed("vec_id", "prompt_id"), "prompt_id") \
-                                .withColumn("prompt_set", F.lit("ensemble"))
+    ens = views.prompts(spark, d).join(lang.withColumnRenamed("vec_id", "prompt_id"), "prompt_id") \
+                                 .withColumn("prompt_set", F.lit("ensemble"))
+    first = (ens.groupBy("lang", "class_idx")
+                .agg(F.min_by(F.struct("prompt_id", "vec"), "prompt_id").alias("p"))
+                .select("lang", "class_idx", "p.prompt_id", "p.vec", F.lit("label").alias("prompt_set")))
+    pr = ens.unionByName(first)
     im = views.test_images(spark, d).join(lang.withColumnRenamed("vec_id", "image_id"), "image_id") \
-                                   .withColumn("prompt_set", F.lit("ensemble"))
+                                    .withColumn("prompt_set", F.explode(F.array(*[F.lit(x) for x in PROMPT_SETS])))
     return im, pr
 
 
@@ -303,7 +313,7 @@ def e14_sweep_accuracy(spark, d):
 @register("e14_sweep_skipped")
 def e14_sweep_skipped(spark, d):
     _, pr = _sweep_inputs(spark, d)
-    req = spark.createDataFrame([(l, "ensemble") for l in SWEEP_LANGS], "lang string, prompt_set string")
+    req = spark.createDataFrame([(l, ps) for l in SWEEP_LANGS for ps in PROMPT_SETS], "lang string, prompt_set string")
     return Z.sweep_missing(req, pr, ["lang", "prompt_set"])
 
 
