@@ -70,24 +70,26 @@ def _zip_sorted(captions, sims) -> Column:
     return F.when(n > 0, z).otherwise(F.array().cast("array<struct<s:double,pos:int,c:string>>"))
 
 
-def top_k_by_similarity_pos(captions, sims, k: int = DEFAULT_RANK_K) -> Column:
-    """D6 positions: the ``k`` highest similarities, listed in ascending
-    similarity; ties go to the larger index (last k of a stable ascending
-    sort)."""
+def _top_k_sorted(captions, sims, k: int) -> Column:
+    """The k highest (s, pos, c) structs in ascending similarity; ties go to
+    the larger index (last k of a stable ascending sort); k is capped at
+    the list size, an empty list stays empty."""
     if k < 1:
         raise ValueError("k must be >= 1")
     z = F.array_sort(_zip_sorted(captions, sims))
     m = F.least(F.size(z), F.lit(k))
-    top = F.when(m > 0, F.slice(z, -m, m)).otherwise(F.slice(z, 1, 0))
-    return F.transform(top, lambda x: x["pos"])
+    return F.when(m > 0, F.slice(z, -m, m)).otherwise(F.slice(z, 1, 0))
+
+
+def top_k_by_similarity_pos(captions, sims, k: int = DEFAULT_RANK_K) -> Column:
+    """D6 positions: the ``k`` highest similarities, listed in ascending
+    similarity."""
+    return F.transform(_top_k_sorted(captions, sims, k), lambda x: x["pos"])
 
 
 def top_k_by_similarity(captions, sims, k: int = DEFAULT_RANK_K) -> Column:
     """The captions themselves, same order as the positions."""
-    z = F.array_sort(_zip_sorted(captions, sims))
-    m = F.least(F.size(z), F.lit(k))
-    top = F.when(m > 0, F.slice(z, -m, m)).otherwise(F.slice(z, 1, 0))
-    return F.transform(top, lambda x: x["c"])
+    return F.transform(_top_k_sorted(captions, sims, k), lambda x: x["c"])
 
 
 def above_threshold_pos(captions, sims, threshold: float = DEFAULT_SIM_THRESHOLD) -> Column:
