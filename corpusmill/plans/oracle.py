@@ -540,3 +540,10 @@ FROM g JOIN n USING (doc_id) LEFT JOIN c USING (doc_id, dim)
 """
 
 ORACLE["a10_metric_lines"] = "SELECT 'run-1' AS id, dataset, metric, result FROM (" + ORACLE["f5_metric_dispatch"] + ")"
+
+ORACLE["a1_shard_roundtrip"] = f"""
+WITH i AS (SELECT CAST(doc_id AS VARCHAR) AS image, len({LINES}) AS n_captions FROM documents),
+o AS (SELECT image, n_captions, row_number() OVER (ORDER BY image) - 1 AS idx FROM i)
+SELECT 'sample' || lpad(CAST(idx AS VARCHAR), 5, '0') AS key, lpad(CAST(idx // 10000 AS VARCHAR), 5, '0') || '.tar' AS shard,
+       image, n_captions FROM o
+"""

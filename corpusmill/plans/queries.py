@@ -704,3 +704,26 @@ def a10_metric_lines(spark, d):
     """The lines the metrics sink appends for one run: (id, dataset, metric,
     result x 100); ``files.append_metrics`` writes them."""
     return f5_metric_dispatch(spark, d).withColumn("id", F.lit("run-1")).select("id", "dataset", "metric", "result")
+
+
+@register("a1_shard_roundtrip")
+def a1_shard_roundtrip(spark, d):
+    """Every document's caption list written as tar shards by the A2 sink
+    (exact numbering, 10,000 samples per shard) into the session's shared
+    checkpoint folder, then read back through the A1 tar data source:
+    (key, shard, image, n_captions) of the samples read."""
+    import math
+    import uuid
+
+    from corpusmill.session import checkpoint_dir
+    from corpusmill.sources import shards as SH
+    lists = views.caption_lists(spark, d).select(F.col("image").cast("string").alias("image"), "captions")
+    numbered = SH.number_samples(lists, ["image"], shard_size=SHARD_SIZE)
+    numbered = SH.sample_json(numbered, {"image": "image", "captions": "captions-pt"})
+    path = checkpoint_dir(spark).rstrip("/") + f"/shards-{uuid.uuid4().hex}"
+    SH.write_shards(numbered, path)
+    n = numbered.count()
+    last = max(0, math.ceil(n / SHARD_SIZE) - 1)
+    back = SH.read_shards(spark, path + "/{00000..%05d}.tar" % last, include_images=False)
+    return back.select("key", "shard", F.col("sample.image").alias("image"),
+                       F.size("sample.`captions-pt`").cast("bigint").alias("n_captions"))

@@ -82,10 +82,14 @@ def _expand_one(p: str) -> list:
 
 def _fs(path: str):
     """(filesystem, path) for a local path or a URI (hdfs://, s3://, gs://...)."""
+    from urllib.parse import urlparse
+
     from pyarrow import fs as pafs
-    if "://" in path and not path.startswith("file://"):
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), urlparse(path).path
+    if "://" in path:
         return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path.replace("file://", "", 1)
+    return pafs.LocalFileSystem(), path
 
 
 class _ShardPartition(InputPartition):
