@@ -10,16 +10,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import near_dedup
+from corpusmill.llm import near_dedup, quality_rules
+from corpusmill.llm.queries import trusted_documents
 from corpusmill.session import checkpoint_dir
 
 
+def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what the quality rules reject."""
+    return quality_rules.keep_good(docs, trusted_documents(spark, sf_dir))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate component."""
     return near_dedup.dedup(docs)
 
 
 STAGES = [
+    ("quality_rules", keep_good_documents),
     ("near_dedup", drop_near_duplicates),
 ]
 

@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import near_dedup
+from corpusmill.llm import near_dedup, quality_rules
 from corpusmill.llm.common import table
 
 
+def trusted_documents(spark, sf_dir):
+    """Ids of the documents labelled as good."""
+    return table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+
+
+def op1_quality_rules(spark, sf_dir):
+    """Base counts, likelihood-ratio score and verdict of all documents."""
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted_documents(spark, sf_dir))
+
+
 def op6_near_dedup(spark, sf_dir):
     """Near-duplicate classes of all documents at Jaccard >= 0.85."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 REGISTRY = {
+    "op1_quality_rules": op1_quality_rules,
     "op6_near_dedup": op6_near_dedup,
 }
 
