@@ -10,7 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import near_dedup, quality_rules
+from corpusmill.llm import decontaminate, near_dedup, quality_rules, secret_scan
+from corpusmill.llm.common import table
 from corpusmill.llm.queries import trusted_documents
 from corpusmill.session import checkpoint_dir
 
@@ -25,9 +26,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return near_dedup.dedup(docs)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that contain a benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in the texts; ``n_chars`` follows the new text."""
+    return secret_scan.redact(docs, length_col="n_chars")
+
+
 STAGES = [
     ("quality_rules", keep_good_documents),
     ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secret_scan", redact_secrets),
 ]
 
 # Sketches, permutations of hash values and packing have no SQL form; the tests

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import near_dedup, quality_rules
+from pyspark.sql import functions as F
+
+from corpusmill.llm import decontaminate, near_dedup, quality_rules, secret_scan
 from corpusmill.llm.common import table
 
 
@@ -16,6 +18,25 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted_documents(spark, sf_dir))
 
 
+def op2_decontamination(spark, sf_dir):
+    """Pairs of a document and a benchmark item that it contains."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item", "n_found").distinct()
+
+
+def _joined(spans):
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def op5_secret_scan(spark, sf_dir):
+    """Counts and digests of the secrets in all documents."""
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("spans", lambda x: x["kind"].isin(*secret_scan.BASE))
+    return found.select("doc_id", *[count(kind) for kind in secret_scan.BASE],
+                        F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
 def op6_near_dedup(spark, sf_dir):
     """Near-duplicate classes of all documents at Jaccard >= 0.85."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
@@ -23,7 +44,29 @@ def op6_near_dedup(spark, sf_dir):
 
 REGISTRY = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_decontamination": op2_decontamination,
+    "op5_secret_scan": op5_secret_scan,
     "op6_near_dedup": op6_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+# distinct five-word shingles of a table's texts, A-Z lower-cased
+_SHINGLES = """
+    SELECT DISTINCT id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ')
+                             ELSE array_to_string(list_slice(w, i, i + 4), ' ') END AS s
+    FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
+          FROM (SELECT {id} AS id, list_filter(regexp_split_to_array(
+                    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+                FROM {table}) WHERE len(w) > 0)
+"""
+
+ORACLE: dict[str, str] = {
+    "op2_decontamination": f"""
+WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}),
+     b AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
+     n AS (SELECT id, count(*) AS n_item FROM b GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, n.n_item, count(*) AS n_found
+FROM d JOIN b ON d.s = b.s JOIN n ON n.id = b.id
+GROUP BY d.id, b.id, n.n_item HAVING 100 * count(*) >= 80 * n.n_item
+""",
+}
