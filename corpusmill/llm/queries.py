@@ -54,9 +54,9 @@ _SHINGLES = """
     SELECT DISTINCT id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ')
                              ELSE array_to_string(list_slice(w, i, i + 4), ' ') END AS s
     FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
-          FROM (SELECT {id} AS id, list_filter(regexp_split_to_array(
+          FROM (SELECT {id} AS id, [x FOR x IN regexp_split_to_array(
                     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                    '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+                    '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w
                 FROM {table}) WHERE len(w) > 0)
 """
 
