@@ -10,9 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontaminate, near_dedup, quality_rules, secret_scan
+from corpusmill.llm import decontaminate, near_dedup, packing, quality_rules, secret_scan
 from corpusmill.llm.common import table
-from corpusmill.llm.queries import trusted_documents
+from corpusmill.llm.queries import tokenizer_path, trusted_documents
 from corpusmill.session import checkpoint_dir
 
 
@@ -36,11 +36,17 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return secret_scan.redact(docs, length_col="n_chars")
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in the packed sequences."""
+    return packing.pack(packing.tokenized_pieces(docs, tokenizer_path()))
+
+
 STAGES = [
     ("quality_rules", keep_good_documents),
     ("near_dedup", drop_near_duplicates),
     ("decontamination", drop_contaminated),
     ("secret_scan", redact_secrets),
+    ("best_fit_packing", pack_sequences),
 ]
 
 # Sketches, permutations of hash values and packing have no SQL form; the tests

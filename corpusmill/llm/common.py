@@ -73,16 +73,16 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def local_rank(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
-    """0-based, gapless rank of each row among the rows with the same ``keys``.
+    """``df``, the result of ``cut``, with a column ``out``: the 0-based, gapless rank of each row among the rows with the same ``keys``.
 
-    Works in two passes over a checkpoint, so that a key holding most rows is
+    Works in two passes over the checkpoint, so that a key holding most rows is
     never gathered in one task: rows are counted per (partition, key), the
     counts are summed up over the partitions, and each row adds its rank within
     its own partition.  Inside a partition rows follow ``order``.
     """
     from pyspark.sql import Window
 
-    rows = cut(df).withColumn("_pid", F.spark_partition_id())
+    rows = df.withColumn("_pid", F.spark_partition_id())
     counts = rows.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition and key

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontaminate, near_dedup, quality_rules, secret_scan
+from corpusmill.llm import decontaminate, near_dedup, packing, quality_rules, secret_scan
 from corpusmill.llm.common import table
 
 
@@ -24,6 +24,17 @@ def op2_decontamination(spark, sf_dir):
     return found.select("doc_id", "item_id", "n_item", "n_found").distinct()
 
 
+def tokenizer_path():
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_best_fit_packing(spark, sf_dir):
+    """Place of every piece of all documents in sequences of 4096 tokens."""
+    pieces = packing.tokenized_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(pieces)
+
+
 def _joined(spans):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
@@ -45,6 +56,7 @@ def op6_near_dedup(spark, sf_dir):
 REGISTRY = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
     "op6_near_dedup": op6_near_dedup,
 }
