@@ -15,8 +15,8 @@
    fixed members of its list, the pairs are filtered by the union-sketch
    estimate and verified by exact Jaccard on the full sets, and the verified
    links give components.  Only pairs whose ends lie in different components
-   can still matter: they are formed in a second round, by a join in short lists
-   and in blocks of bounded size in long ones, then filtered and verified alike.
+   can still matter: they are compared in a second round, by a join in short lists
+   and in cells of bounded size in long ones, filtered and verified alike.
 4. Components are the transitive closure of the verified links.
 
 Cases: a null or blank text has an empty set and links with nothing.  Equal
@@ -40,7 +40,7 @@ from corpusmill.llm.graph import connected_components
 SKETCH = 64           # values kept per document
 SHARE = 0.5625        # share of the union sketch that a similar pair has in common
 SHORT_LIST = 64       # members of a list that are joined directly
-BLOCK = 128           # members per block of a longer list
+BLOCK = 512           # documents per block of a cluster of longer lists
 
 
 def _features(batches, k):
@@ -78,21 +78,56 @@ def _verified(batches, percent):
                                           rb.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
 
-def _cell_pairs(pdf: pd.DataFrame, share: float) -> pd.DataFrame:
-    """Pairs of one cell (the members of two blocks of one list) that lie in
-    different components and share enough sketch values."""
-    sk = [np.asarray(x) for x in pdf["sketch"]]
-    node, label, blk = (pdf[c].to_numpy() for c in ("node", "label", "blk"))
-    vals, inv = np.unique(np.concatenate(sk), return_inverse=True)
-    member = np.zeros((len(sk), len(vals)), np.float32)
-    member[np.repeat(np.arange(len(sk)), [len(x) for x in sk]), inv] = 1
-    need = np.ceil(share * np.array([len(x) for x in sk]))
-    same = member @ member.T
-    ok = (same >= np.maximum(need[:, None], need[None, :])) & (label[:, None] != label[None, :])
-    if pdf["ci"].iloc[0] != pdf["cj"].iloc[0]:
-        ok &= blk[:, None] != blk[None, :]
-    i, j = np.nonzero(np.triu(ok, 1))
-    return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+def _shared_counts(sketches: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sketches share."""
+    vals, inv, times = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sketches)), [len(x) for x in sketches])
+    both = times[inv] > 1
+    cols, col = np.unique(inv[both], return_inverse=True)
+    rows, n = owner[both], len(sketches)
+    out = np.zeros((n, n), np.float32)
+    for at in range(0, len(cols), 4096):
+        here = (col >= at) & (col < at + 4096)
+        member = np.zeros((n, 4096), np.float32)
+        member[rows[here], col[here] - at] = 1
+        out += member @ member.T
+    return out
+
+
+def _cell_links(pdf: pd.DataFrame, percent: int, k: int, share: float) -> pd.DataFrame:
+    """Verified links of one cell that join different components: a spanning set,
+    so fewer than the cell has rows."""
+    node, label, side = (pdf[c].to_numpy() for c in ("node", "label", "side"))
+    sets = [shingles(t) for t in pdf["text"]]
+    sizes = np.array([len(x) for x in sets])
+    need = np.ceil(share * np.minimum(sizes, k))
+    maybe = _shared_counts([x[:k] for x in sets]) >= np.maximum(need[:, None], need[None, :])
+    maybe &= 100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])
+    if (side != side[0]).any():  # a cell of two blocks: each block has a cell of its own
+        maybe &= side[:, None] != side[None, :]
+    root = {x: x for x in label}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    a, b = [], []
+    for i in range(len(sets)):
+        todo = [j for j in np.flatnonzero(maybe[i, :i]) if find(label[j]) != find(label[i])]
+        if not todo:
+            continue
+        flat = np.concatenate([sets[j] for j in todo])
+        at = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
+        ends = np.cumsum([0] + [len(sets[j]) for j in todo])
+        both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), ends[:-1])
+        for j, n in zip(todo, both):
+            if 100 * n >= percent * (sizes[i] + sizes[j] - n) and find(label[j]) != find(label[i]):
+                root[find(label[j])] = find(label[i])
+                a.append(min(node[i], node[j]))
+                b.append(max(node[i], node[j]))
+    return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
 
 def _least_shared(n, share: float):
@@ -112,6 +147,42 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, k: int, share: float) -> D
             .select("a", "b").distinct())
 
 
+def _long_list_links(lab: DataFrame, texts: DataFrame, percent: int, k: int, share: float) -> DataFrame:
+    """Links between different components among the members of the long lists,
+    ``lab(v, node, label)``.
+
+    Documents that meet in any of these lists form a cluster, so two documents
+    are compared once, however many lists they share.  In a cluster the largest
+    component is the main one and needs no comparison within itself; its members
+    and the rest are dealt into blocks, and every two blocks with a part of the
+    rest meet in a cell of bounded size.
+    """
+    hub = lab.groupBy("v").agg(F.min("node").alias("b"))
+    spokes = lab.join(cut(hub), "v").select(F.col("node").alias("a"), "b")
+    members = cut(lab.select("node", "label").distinct()
+                  .join(connected_components(spokes).withColumnRenamed("component", "cluster"), "node"))
+    per_label = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(per_label.groupBy("cluster").agg(
+        F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+        .select("cluster", F.col("top.label").alias("main"),
+                F.ceil(F.col("top.n") / BLOCK).cast("int").alias("nm"),
+                F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("nr")).filter("nr > 0"))
+    dealt = (members.join(sizes, "cluster")
+             .withColumn("rest", F.col("label") != F.col("main"))
+             .withColumn("blk", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("nr")).otherwise(F.col("nm"))).cast("int")))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda i, j, main: F.struct(i.alias("i"), j.alias("j"), F.lit(main).alias("main"))
+    with_rest = F.transform(upto("nr"), lambda o: cell(F.least("blk", o), F.greatest("blk", o), False))
+    with_main = F.transform(upto("nm"), lambda o: cell(F.col("blk"), o, True))
+    as_main = F.transform(upto("nr"), lambda o: cell(o, F.col("blk"), True))
+    cells = (dealt.withColumn("c", F.explode(F.when(F.col("rest"), F.concat(with_rest, with_main)).otherwise(as_main)))
+             .select("cluster", "c.i", "c.j", "c.main", "node", "label",
+                     F.when(F.col("c.main"), F.col("rest").cast("int")).otherwise(F.col("blk")).alias("side"))
+             .join(texts, "node"))
+    return cells.groupBy("cluster", "i", "j", "main").applyInPandas(
+        lambda pdf: _cell_links(pdf, percent, k, share), "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     percent: int = 80, k: int = SKETCH, share: float = SHARE) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row of ``docs``; linked at
@@ -169,15 +240,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = short.select("v", F.col("node").alias("b"), F.col("label").alias("lb"))
     near = (short.select("v", F.col("node").alias("a"), F.col("label").alias("la"))
             .join(other, "v").filter("a < b and la <> lb").select("a", "b").distinct())
-    nb = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    blocks = (lab.filter(F.col("m") > SHORT_LIST).join(sketches, "node")
-              .withColumn("nb", nb).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-              .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-              .withColumn("ci", F.least("blk", "o")).withColumn("cj", F.greatest("blk", "o"))
-              .select("v", "ci", "cj", "node", "label", "blk", "sketch"))
-    far = blocks.groupBy("v", "ci", "cj").applyInPandas(lambda pdf: _cell_pairs(pdf, share), "a bigint, b bigint")
-    second = near.unionByName(far).distinct().join(first, ["a", "b"], "left_anti")
-    more = cut(verify(cut(_estimated(second, sketches, k, share))))
+    second = near.join(first, ["a", "b"], "left_anti")
+    more = verify(cut(_estimated(second, sketches, k, share))).unionByName(
+        _long_list_links(lab.filter(F.col("m") > SHORT_LIST), texts, percent, k, share))
+    more = cut(more)
 
     final = connected_components(links.unionByName(more)) if more.limit(1).count() else comp
     named_class = (classes.join(final, "node", "left")
