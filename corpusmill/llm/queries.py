@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontaminate, near_dedup, packing, quality_rules, secret_scan
+from corpusmill.llm import (decontaminate, html_extract, near_dedup, packing, quality_rules, secret_scan,
+                            sharding)
 from corpusmill.llm.common import table
 
 
@@ -53,12 +54,26 @@ def op6_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_sharding(spark, sf_dir):
+    """Shard and slot of all documents, by rendezvous hashing of doc_id."""
+    placed = sharding.assign(table(spark, sf_dir, "documents"), [1.0] * sharding.SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op10_html_extraction(spark, sf_dir):
+    """Main text of all pages."""
+    found = html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 REGISTRY = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
     "op6_near_dedup": op6_near_dedup,
+    "op8_sharding": op8_sharding,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 # distinct five-word shingles of a table's texts, A-Z lower-cased
