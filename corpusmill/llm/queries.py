@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.llm import (decontaminate, html_extract, near_dedup, packing, quality_rules, secret_scan,
-                            sharding)
+from corpusmill.llm import (decontaminate, html_extract, language_id, near_dedup, packing, quality_rules,
+                            secret_scan, sharding)
 from corpusmill.llm.common import table
 
 
@@ -36,6 +36,16 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(pieces)
 
 
+def op4_language_id(spark, sf_dir):
+    """Language of all documents, learned from three quarters of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = language_id.learn(docs.filter(fold != 2))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score",
+                        F.size("spans").alias("n_spans"))
+
+
 def _joined(spans):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
@@ -70,6 +80,7 @@ REGISTRY = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_language_id": op4_language_id,
     "op5_secret_scan": op5_secret_scan,
     "op6_near_dedup": op6_near_dedup,
     "op8_sharding": op8_sharding,
