@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.llm import (decontaminate, html_extract, language_id, near_dedup, packing, quality_rules,
-                            secret_scan, sharding)
+from corpusmill.llm import (decontaminate, html_extract, language_id, near_dedup, packing, quality_classifier,
+                            quality_rules, secret_scan, sharding)
 from corpusmill.llm.common import table
 
 
@@ -64,6 +64,12 @@ def op6_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_quality_classifier(spark, sf_dir):
+    """Quality of all documents; the source is the host, its language sections are the paths."""
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                                       host=F.col("source"), path=F.col("lang"))
+
+
 def op8_sharding(spark, sf_dir):
     """Shard and slot of all documents, by rendezvous hashing of doc_id."""
     placed = sharding.assign(table(spark, sf_dir, "documents"), [1.0] * sharding.SHARDS)
@@ -83,6 +89,7 @@ REGISTRY = {
     "op4_language_id": op4_language_id,
     "op5_secret_scan": op5_secret_scan,
     "op6_near_dedup": op6_near_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_sharding": op8_sharding,
     "op10_html_extraction": op10_html_extraction,
 }
