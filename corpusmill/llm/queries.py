@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.llm import (decontaminate, html_extract, language_id, near_dedup, packing, quality_classifier,
-                            quality_rules, secret_scan, sharding)
+from corpusmill.llm import (decontaminate, html_extract, language_id, license_scan, near_dedup, packing,
+                            quality_classifier, quality_rules, secret_scan, sharding)
 from corpusmill.llm.common import table
 
 
@@ -76,6 +76,11 @@ def op8_sharding(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op9_license_scan(spark, sf_dir):
+    """License notices in all documents, with coverage and span."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark, sf_dir):
     """Main text of all pages."""
     found = html_extract.extract_main_text(table(spark, sf_dir, "pages"))
@@ -91,6 +96,7 @@ REGISTRY = {
     "op6_near_dedup": op6_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_sharding": op8_sharding,
+    "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
 }
 
