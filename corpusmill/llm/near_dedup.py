@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .withColumn("take", F.size("vs") - _least_shared(F.col("kk"), share) + 1)
             .filter("take > 0"))
     lists = cut(held.select("node", F.explode(F.slice("vs", F.lit(1), F.col("take"))).alias("e"))
-                .select("node", F.col("e.v").alias("v")).distinct())
+                .select("node", F.col("e.v").alias("v")))
 
     hub = F.struct(F.xxhash64("node").alias("h"), "node")
     hubs = cut(lists.groupBy("v").agg(F.min("node").alias("h1"), F.min(hub).alias("h2"), F.max(hub).alias("h3"))
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
         return full.mapInArrow(lambda it: _verified(it, percent), "a bigint, b bigint")
 
-    links = cut(verify(cut(_estimated(first, sketches, k, share))))
+    links = cut(verify(_estimated(first, sketches, k, share)))
     comp = connected_components(links)
 
     # second round: pairs of a list whose ends are still in different components
@@ -240,12 +240,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = short.select("v", F.col("node").alias("b"), F.col("label").alias("lb"))
     near = (short.select("v", F.col("node").alias("a"), F.col("label").alias("la"))
             .join(other, "v").filter("a < b and la <> lb").select("a", "b").distinct())
-    second = near.join(first, ["a", "b"], "left_anti")
-    more = verify(cut(_estimated(second, sketches, k, share))).unionByName(
-        _long_list_links(lab.filter(F.col("m") > SHORT_LIST), texts, percent, k, share))
-    more = cut(more)
+    more = cut(verify(_estimated(near, sketches, k, share)).unionByName(
+        _long_list_links(lab.filter(F.col("m") > SHORT_LIST), texts, percent, k, share)))
 
-    final = connected_components(links.unionByName(more)) if more.limit(1).count() else comp
+    final = connected_components(links.unionByName(more))
     named_class = (classes.join(final, "node", "left")
                    .filter("n > 1 or component is not null")
                    .select("digest", F.coalesce("component", "node").alias("component_id")))
