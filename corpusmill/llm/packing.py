@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -46,8 +47,9 @@ GROUPS = 16
 #: Words whose ids a worker remembers (about 200 bytes each).
 CACHE_WORDS = 1 << 19
 
-_PLAIN = re.compile(rb"[!-~]+")
-_PRETOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+")
+# Printable ASCII and the letters of Latin-1: lower-casing and normalising them is plain.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PRETOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 _loaded: dict = {}
 
 
@@ -56,27 +58,35 @@ def _encoder(path: str):
 
     Its pre-tokeniser never joins what white space parts, so a text's ids are those
     of its words, one after the other; each worker remembers the words it has seen.
-    Words of printable ASCII are split as the pre-tokeniser splits them and go
-    straight to the model; all others go through the whole tokenizer.
+    Words of printable ASCII and Latin-1 letters are split as the pre-tokeniser
+    splits them and go straight to the model; all others go through the whole
+    tokenizer.
     """
     if path in _loaded:
         return _loaded[path]
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
+    as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True  # the strings of special tokens are ordinary text
     model, pieces, words = tok.model, {}, {}
 
+    pack_ids = [struct.Struct(f"<{n}I").pack for n in range(33)]
+
     def piece(p: str) -> bytes:
         got = pieces.get(p)
         if got is None:
-            got = pieces[p] = np.array([t.id for t in model.tokenize(p)], "<u4").tobytes()
+            ids = [t.id for t in model.tokenize(p if p.isascii() else as_bytes(p)[0][0])]
+            got = pieces[p] = pack_ids[len(ids)](*ids) if len(ids) < len(pack_ids) else np.array(ids, "<u4").tobytes()
         return got
 
     def word(w: bytes) -> bytes:
-        if _PLAIN.fullmatch(w):
-            return b"".join(map(piece, _PRETOKEN.findall(w.decode().lower())))
-        return np.array(tok.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = w.decode()
+        if _PLAIN.fullmatch(text):
+            text = text.lower()
+            return piece(text) if text.isalpha() else b"".join(map(piece, _PRETOKEN.findall(text)))
+        return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(text: bytes) -> bytes:
         parts = text.split()
