@@ -130,25 +130,30 @@ def insert_translations(samples: DataFrame, t1: DataFrame, t2: DataFrame | None
     ``t1``/``t2``: (row, caption).  A sample that already has
     ``captions_pt`` gets the first translation appended; otherwise it gets
     ``[t1]`` (``[t1, strip(t2)]`` with a second file).  ``caption`` becomes
-    ``captions_en = [caption]``.  Returns (inserted, missing): samples whose
-    row is absent from a file are dropped and listed in ``missing``."""
+    ``captions_en = [caption]``; a sample without ``caption`` keeps the
+    ``captions_en`` it has.  All other columns stay.  Returns (inserted,
+    missing): samples whose row is absent from a file that their branch reads
+    are dropped and listed in ``missing``."""
     s = samples.withColumn("__row", TX.shard_row_key("key"))
-    a = t1.select(F.col("row").alias("__row"), F.col("caption").alias("__t1"))
+    a = t1.select(F.col("row").alias("__row"), F.col("caption").alias("__t1"), F.lit(True).alias("__in1"))
     j = s.join(a, "__row", "left")
+    has = F.col("captions_pt").isNotNull() if "captions_pt" in samples.columns else F.lit(False)
+    found = F.coalesce("__in1", F.lit(False))
+    fresh = F.array(F.col("__t1"))
     if t2 is not None:
-        b = t2.select(F.col("row").alias("__row"), F.col("caption").alias("__t2"))
+        b = t2.select(F.col("row").alias("__row"), F.col("caption").alias("__t2"), F.lit(True).alias("__in2"))
         j = j.join(b, "__row", "left")
-        ok = F.col("__t1").isNotNull() & F.col("__t2").isNotNull()
         fresh = F.array(F.col("__t1"), TX.strip("__t2"))
-    else:
-        ok = F.col("__t1").isNotNull()
-        fresh = F.array(F.col("__t1"))
-    has = "captions_pt" in samples.columns
-    pt = (F.when(F.col("captions_pt").isNotNull(), F.concat("captions_pt", F.array("__t1"))).otherwise(fresh)
-          if has else fresh)
+        # the second file is read only for samples without translations
+        found = found & (has | F.coalesce("__in2", F.lit(False)))
+    pt = (F.when(has, F.concat("captions_pt", F.array("__t1"))).otherwise(fresh)
+          if "captions_pt" in samples.columns else fresh)
     en = F.when(F.col("caption").isNotNull(), F.array("caption")).otherwise(empty_str_array())
-    inserted = j.filter(ok).select("key", en.alias("captions_en"), pt.alias("captions_pt"))
-    missing = j.filter(~ok).select("key", F.col("__row").alias("row"))
+    if "captions_en" in samples.columns:
+        en = F.when(F.col("caption").isNull(), F.coalesce("captions_en", empty_str_array())).otherwise(en)
+    rest = [c for c in samples.columns if c not in ("key", "caption", "captions_en", "captions_pt")]
+    inserted = j.filter(found).select("key", *rest, en.alias("captions_en"), pt.alias("captions_pt"))
+    missing = j.filter(~found).select("key", F.col("__row").alias("row"))
     return inserted, missing
 
 

@@ -117,14 +117,15 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFr
 def dispatch(dataset_results: DataFrame, metadata: DataFrame) -> DataFrame:
     """pick, for every dataset, the metric its metadata names.
     ``dataset_results`` is (dataset, metric, value) with every metric that
-    was computed; ``metadata`` (dataset, metric).  A dataset whose metric is
-    not one of the four known names fails the job.
-    Returns (dataset, metric, result) with result x 100."""
-    known = F.col("metric").isin(*METRICS)
-    checked = metadata.select("dataset", F.coalesce(F.assert_true(known, F.lit("Undefined metric.")).cast("string"),
-                                                    F.col("metric")).alias("metric"))
-    return (checked.join(dataset_results, ["dataset", "metric"], "inner")
-                   .select("dataset", "metric", (F.col("value") * 100.0).alias("result")))
+    was computed; ``metadata`` (dataset, metric).  A metric that is not one of
+    the four known names fails the job, and so does a dataset without a
+    result for its metric.  Returns (dataset, metric, result) with result x 100."""
+    known = F.when(F.col("metric").isin(*METRICS), F.col("metric")).otherwise(
+        F.raise_error(F.concat(F.lit("unknown metric for dataset "), F.col("dataset"))))
+    wanted = metadata.select("dataset", known.alias("metric"))
+    value = F.when(F.col("value").isNotNull(), F.col("value") * 100.0).otherwise(
+        F.raise_error(F.concat(F.lit("no result for dataset "), F.col("dataset"))))
+    return wanted.join(dataset_results, ["dataset", "metric"], "left").select("dataset", "metric", value.alias("result"))
 
 
 def metadata_table(spark, datasets=None) -> DataFrame:
@@ -184,7 +185,8 @@ def classification_loss(scores: DataFrame, targets: DataFrame, image_id: str = "
     the true logit) and argmax accuracy, averaged over images.  With
     ``is_pos`` on the score rows (``class_scores(..., target=...)``) the
     true logit is read in the same per-image aggregate; the per-image
-    maximum is a window over that image's class rows."""
+    maximum is a window over that image's class rows.  An image of ``targets``
+    without a score for its class has no loss and fails the job."""
     s = scores
     if "is_pos" not in s.columns:
         s = s.join(targets.select(image_id, target), image_id).withColumn(
@@ -199,8 +201,11 @@ def classification_loss(scores: DataFrame, targets: DataFrame, image_id: str = "
                  F.max_by(F.col("is_pos").cast("int"),
                           F.struct(F.round(logit, 9), -F.col(class_idx))).alias("__hit")))
     loss = F.col("__m") + F.log("__se") - F.col("__tl")
-    return per.filter(F.col("__has_t") == 1).agg(F.avg(loss).alias("loss"),
-                                                 F.avg(F.col("__hit").cast("double")).alias("accuracy"))
+    every = targets.select(image_id).join(per, image_id, "left")
+    scored = F.coalesce("__has_t", F.lit(0)) == 1
+    checked = F.when(scored, loss).otherwise(
+        F.raise_error(F.concat(F.lit("no score for the class of image "), F.col(image_id).cast("string"))))
+    return every.agg(F.avg(checked).alias("loss"), F.avg(F.col("__hit").cast("double")).alias("accuracy"))
 
 
 # ---------------------------------------------------------------- F10

@@ -54,10 +54,11 @@ def one_to_many_cosine(images: DataFrame, captions: DataFrame, image_key: str =
                        image_vec: str = "vec", caption_vec: str = "vec",
                        out: str = "sim") -> DataFrame:
     """D3: every caption row (any number per image) against its image's
-    vector; one row per caption, keyed like the caption table."""
+    vector; one row per caption, keyed like the caption table.  A caption
+    whose image is missing keeps its row with a null similarity."""
     i = images.select(F.col(image_key), F.col(image_vec).alias("__iv"))
     c = captions.withColumnRenamed(caption_vec, "__cv")
-    return (c.join(i, on=image_key, how="inner")
+    return (c.join(i, on=image_key, how="left")
              .withColumn(out, V.cosine("__cv", "__iv"))
              .drop("__cv", "__iv"))
 
@@ -73,6 +74,7 @@ def _blocks(df: DataFrame, id_col: str, vec: str, n_blocks: int, name: str,
     key = F.col(key_col).cast("bigint") if key_col else F.lit(None).cast("bigint")
     return (df.select(*g, F.col(id_col).cast("bigint").alias("id"), key.alias("key"),
                       V.as_double_array(vec).alias("v"))
+              .filter(F.col("v").isNotNull())   # a zero vector has no direction
               .withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
               .groupBy(*group_cols, name)
               .agg(F.collect_list(F.struct("id", "key", "v")).alias(name + "_rows")))
@@ -127,6 +129,8 @@ def topk_scores(queries: DataFrame, candidates: DataFrame, k: int,
     when there are fewer candidates).  Ids must be integral.  With ``q_key``
     / ``c_key`` (integral match keys) the output also has ``is_pos`` =
     keys equal, carried through the blocks so no join is needed afterwards.
+    Rows with a null vector (normalised zero vectors) are no candidates and
+    have no candidates: they give no rows, and count as misses downstream.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
@@ -143,6 +147,8 @@ def topk_scores(queries: DataFrame, candidates: DataFrame, k: int,
            T.StructField("score", T.DoubleType()), T.StructField("rank", T.LongType())])
     spark = queries.sparkSession
     if n_c == 0 or n_q == 0:
+        if q_key and c_key:
+            out_schema = out_schema.add("is_pos", T.BooleanType())
         return spark.createDataFrame([], out_schema)
     # block counts from the overall sizes: a group smaller than a block just
     # gives fewer, smaller blocks
@@ -188,11 +194,15 @@ def scored_samples(images: DataFrame, captions: DataFrame, n_original: int,
                    image_key: str = "image_id") -> DataFrame:
     """D3 array form: per image the extended caption list (originals then
     generated, by ``pos``), the generated ones alone, and the aligned
-    similarity list.  ``captions``: (image_id, pos, text, vec).
+    similarity list.  ``captions``: (image_id, pos, text, vec).  An image
+    without captions has empty lists; captions of an image that is not in
+    ``images`` keep their row, with null similarities.
     Returns (image_id, captions, generated, similarities)."""
     long = one_to_many_cosine(images, captions, image_key=image_key)
     st = F.struct(F.col("pos"), F.col("text"), F.col("sim"))
-    g = long.groupBy(image_key).agg(F.array_sort(F.collect_list(st)).alias("__l"))
+    g = (images.select(image_key).distinct()
+         .join(long.groupBy(image_key).agg(F.array_sort(F.collect_list(st)).alias("__l")), image_key, "full")
+         .withColumn("__l", F.coalesce("__l", F.array())))
     return g.select(image_key,
                     F.transform("__l", lambda x: x["text"]).alias("captions"),
                     F.transform(F.filter("__l", lambda x: x["pos"] >= n_original),

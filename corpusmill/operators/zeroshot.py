@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import vectors as V
 from corpusmill.operators import similarity as S
+from corpusmill.operators.partitioning import broadcast_if_small
 
 RECALL_KS = (1, 5, 10)
 
@@ -101,9 +102,7 @@ def expand_prompts(classes: DataFrame, templates, name: str = "name",
         x = classes.select("*", F.posexplode(arr).alias("tpl_idx", "template"))
     else:
         t = templates.select("dataset", "tpl_idx", "template")
-        if t.count() <= 100_000:
-            t = F.broadcast(t)
-        x = classes.join(t, "dataset", "inner")
+        x = classes.join(broadcast_if_small(t), "dataset", "inner")
     filled = F.replace(F.replace(F.col("template"), F.lit("{}"), F.col(name)), F.lit("[CLASS]"), F.col(name))
     return x.withColumn("tpl_idx", F.col("tpl_idx").cast("bigint")).withColumn("prompt", filled)
 
@@ -269,9 +268,10 @@ def class_subset(images: DataFrame, prototypes: DataFrame, subset: DataFrame, ta
     class_idx).  Returns (images, prototypes) with ``class_idx``/``target``
     = position."""
     sub = subset.select(F.col("pos").cast("bigint").alias("__new"), F.col(class_idx).alias("__old"))
-    im = (images.join(F.broadcast(sub), images[target] == sub["__old"], "inner")
+    sub = broadcast_if_small(sub)
+    im = (images.join(sub, images[target] == sub["__old"], "inner")
                 .drop(target, "__old").withColumnRenamed("__new", target))
-    pr = (prototypes.join(F.broadcast(sub), prototypes[class_idx] == sub["__old"], "inner")
+    pr = (prototypes.join(sub, prototypes[class_idx] == sub["__old"], "inner")
                     .drop(class_idx, "__old").withColumnRenamed("__new", class_idx))
     return im, pr
 
@@ -320,9 +320,7 @@ def translate_labels(classes: DataFrame, mapping: DataFrame, name: str = "class_
     table (source, target); the lookup is broadcast only after its size is
     checked, else joined by shuffle.  Unknown names keep a null label."""
     m = mapping.select(F.col("source").alias(name), F.col("target").alias(out))
-    if m.count() <= 1_000_000:
-        m = F.broadcast(m)
-    return classes.join(m, name, "left")
+    return classes.join(broadcast_if_small(m), name, "left")
 
 
 def gather(rows: DataFrame, index: DataFrame, row_idx: str = "row_idx") -> DataFrame:
@@ -332,15 +330,18 @@ def gather(rows: DataFrame, index: DataFrame, row_idx: str = "row_idx") -> DataF
                 .join(rows, row_idx, "inner")
 
 
-def multi_hot(images: DataFrame, pairs: DataFrame, classes: list, image: str = "image",
-              class_col: str = "class_name") -> DataFrame:
-    """(image, class_idx, class_name, present) for every image x class
-    of the (bounded) class list; duplicates collapse, absent -> 0, images
-    without objects -> all zeros."""
-    arr = F.array(*[F.struct(F.lit(i).cast("bigint").alias("class_idx"), F.lit(c).alias(class_col))
-                    for i, c in enumerate(classes)])
-    grid = images.select(image).distinct().select(image, F.explode(arr).alias("__c")) \
-                 .select(image, "__c.class_idx", F.col("__c." + class_col).alias(class_col))
+def multi_hot(images: DataFrame, pairs: DataFrame, classes: DataFrame, image: str = "image",
+              class_col: str = "class_name", class_idx: str = "class_idx") -> DataFrame:
+    """(image, class_idx, class_name, present) for every image x class of
+    ``classes`` (class_idx, class_name); duplicates collapse, absent -> 0,
+    images without objects -> all zeros.
+
+    The class list is put together once, as one row, and exploded per image:
+    the grid is the operator's output."""
+    ids = images.select(image).distinct()
+    row = classes.agg(F.array_sort(F.collect_list(F.struct(class_idx, class_col))).alias("l")).scalar()
+    grid = ids.withColumn("__c", F.explode(row)).select(
+        image, F.col("__c." + class_idx).cast("bigint").alias("class_idx"), F.col("__c." + class_col).alias(class_col))
     seen = pairs.select(image, class_col).distinct().withColumn("__p", F.lit(1))
     return grid.join(seen, [image, class_col], "left") \
                .select(image, "class_idx", class_col, F.coalesce("__p", F.lit(0)).cast("bigint").alias("present"))

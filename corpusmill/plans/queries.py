@@ -14,6 +14,8 @@ from corpusmill.functions import vectors as V
 from corpusmill.operators import similarity as S
 from corpusmill.operators import zeroshot as Z
 from corpusmill.plans import views
+from corpusmill.session import reliable_checkpoint, scratch_folder
+from corpusmill.sources import files as FS
 
 REGISTRY: dict = {}
 
@@ -178,11 +180,11 @@ def d15_batches(spark, d):
 from corpusmill.operators import metrics as M  # noqa: E402
 from corpusmill.operators.indexing import global_index  # noqa: E402
 
-# One of the reference's template lists (satellite images).
-EUROSAT_TEMPLATES = [
-    "a centered satellite photo of {}.",
-    "a centered satellite photo of a {}.",
-    "a centered satellite photo of the {}.",
+# Prompt templates of the queries.
+TEMPLATES = [
+    "an event of type {}",
+    "one [CLASS] in the log",
+    "someone triggered {} today.",
 ]
 SUBSET_CLASSES = [2, 4, 6, 8]       # classes covered by the "language" of E13
 SWEEP_LANGS = ["de", "en", "es", "fr", "pt"]
@@ -208,7 +210,7 @@ def _preds(spark, d):
 def e1_prompt_expansion(spark, d):
     names = views.table(spark, d, "events").select(F.col("event_type").alias("name")).distinct()
     classes = global_index(names, ["name"], col="class_idx")
-    x = Z.expand_prompts(classes, EUROSAT_TEMPLATES)
+    x = Z.expand_prompts(classes, TEMPLATES)
     return x.select("class_idx", "tpl_idx", "prompt")
 
 
@@ -334,10 +336,7 @@ def e16_gather(spark, d):
 @register("e17_multi_hot")
 def e17_multi_hot(spark, d):
     obj = views.objects(spark, d)
-    names = obj.select("class_name").distinct()
-    if names.count() > 10_000:
-        raise ValueError("class list too large for a literal grid")
-    classes = sorted(r[0] for r in names.collect())
+    classes = global_index(obj.select("class_name").distinct(), ["class_name"], col="class_idx")
     return Z.multi_hot(obj, obj, classes)
 
 
@@ -373,20 +372,19 @@ def f4_roc_auc(spark, d):
 
 @register("f5_metric_dispatch")
 def f5_metric_dispatch(spark, d):
-    probs = _probs(spark, d)          # scored once, shared by three metrics
-    preds = Z.predictions(probs, views.test_images(spark, d))
-    res = (M.accuracy(preds).select(F.lit("cifar-10").alias("dataset"), F.lit("accuracy").alias("metric"),
-                                    F.col("accuracy").alias("value"))
-           .unionByName(M.mean_per_class(preds).select(F.lit("caltech-101").alias("dataset"),
-                                                       F.lit("mean-per-class").alias("metric"),
-                                                       F.col("mean_per_class").alias("value")))
-           .unionByName(_map(spark, d, probs).select(F.lit("voc-2007-classification").alias("dataset"),
-                                              F.lit("11point_mAP").alias("metric"), F.col("map").alias("value")))
-           .unionByName(M.roc_auc(views.bin_scores(spark, d)).select(F.lit("hateful-memes").alias("dataset"),
-                                                                      F.lit("roc_auc").alias("metric"),
-                                                                      F.col("auc").alias("value"))))
+    """All classification metrics of every dataset; the metadata picks one."""
     meta = M.metadata_table(spark, ["cifar-10", "caltech-101", "voc-2007-classification", "hateful-memes"])
-    return M.dispatch(res, meta).select("dataset", "metric", _r("result").alias("result"))
+    probs = reliable_checkpoint(_probs(spark, d))          # scored once, read by three metrics
+    preds = Z.predictions(probs, views.test_images(spark, d))
+    computed = [("accuracy", "accuracy", M.accuracy(preds)), ("mean-per-class", "mean_per_class", M.mean_per_class(preds)),
+                ("11point_mAP", "map", _map(spark, d, probs)), ("roc_auc", "auc", M.roc_auc(views.bin_scores(spark, d)))]
+    values = None
+    for metric, column, frame in computed:
+        one = frame.select(F.lit(metric).alias("metric"), F.col(column).cast("double").alias("value"))
+        values = one if values is None else values.unionByName(one)
+    # one row per dataset and metric; the datasets share the test table's scores
+    results = meta.select("dataset").join(F.broadcast(values))
+    return M.dispatch(results, meta).select("dataset", "metric", _r("result").alias("result"))
 
 
 def _pairs(spark, d):
@@ -662,24 +660,94 @@ def a3_resume(spark, d):
     return chunk(e, "idx", SHARD_SIZE, "shard").select("idx", "shard", TX.sample_key("idx").alias("key"), "image")
 
 
+def _written_captions(spark, d, folder):
+    """The page captions as a CSV of several part files in page order."""
+    p = global_index(views.tsv_pages(spark, d), ["page_id"], col="record")
+    lines = p.orderBy("record").select(FS.tsv_line(F.array("caption", "url"), sep=",").alias("value"))
+    lines.write.text(folder)
+
+
+@register("a4_translation_table")
+def a4_translation_table(spark, d):
+    """Every document as a record of a translation table, read back with its row."""
+    with scratch_folder(spark) as tmp:
+        rows = global_index(views.table(spark, d, "documents").select("doc_id", "text", "source"), ["doc_id"], col="r")
+        rows.orderBy("r").select(FS.tsv_line(F.array("text", "source")).alias("value")).write.text(f"{tmp}/t")
+        back = FS.read_translation_table(spark, f"{tmp}/t", "other")
+        return reliable_checkpoint(back.select("row", F.md5("caption").alias("caption_md5"), "url"))
+
+
 @register("a5_csv_to_tsv")
 def a5_csv_to_tsv(spark, d):
-    p = views.tsv_pages(spark, d)
-    rec = global_index(p, ["page_id"], col="record")
-    kept = rec.filter(F.col("record") >= 10)
-    return kept.select("record", TX.strip("caption").alias("col0"))
+    """The page captions, written as CSV, rewritten as TSV without the first 10 records."""
+    with scratch_folder(spark) as tmp:
+        _written_captions(spark, d, f"{tmp}/csv")
+        FS.csv_to_tsv(spark, f"{tmp}/csv", f"{tmp}/tsv", skip=10, blank_line=True)
+        back = FS.read_records(spark, f"{tmp}/tsv", sep="\t")
+        return reliable_checkpoint(back.select((F.col("rec") + 10).alias("record"),
+                                               F.coalesce(F.get("fields", F.lit(0)), F.lit("")).alias("col0")))
 
 
 @register("a6_caption_url_export")
 def a6_caption_url_export(spark, d):
-    return views.tsv_pages(spark, d).select("caption", "url")
+    """Caption and URL of every page, exported and read back."""
+    with scratch_folder(spark) as tmp:
+        FS.export_caption_url(views.tsv_pages(spark, d), f"{tmp}/tsv")
+        back = FS.read_delimited(spark, f"{tmp}/tsv", ["caption", "url"], "\t")
+        return reliable_checkpoint(back.select(F.coalesce("caption", F.lit("")).alias("caption"), "url"))
+
+
+@register("a7_split_manifest")
+def a7_split_manifest(spark, d):
+    """Every document as an item of split-keyed manifests, one per source, read back by split."""
+    with scratch_folder(spark) as tmp:
+        split = F.element_at(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), (F.col("doc_id") % 3 + 1).cast("int"))
+        item = F.struct(F.concat(F.lit("doc"), F.col("doc_id")).alias("filename"), F.col("text").alias("caption"))
+        lists = (views.table(spark, d, "documents").groupBy("source")
+                 .agg(*[F.array_sort(F.collect_list(F.when(split == n, item))).alias(n) for n in ("train", "validation", "test")]))
+        lists.write.partitionBy("source").json(f"{tmp}/m")
+        back = FS.read_split_keyed(spark, f"{tmp}/m")
+        return reliable_checkpoint(back.select("split", "pos", "filename", F.md5("caption").alias("caption_md5")))
+
+
+@register("a8_labelled_folder")
+def a8_labelled_folder(spark, d):
+    """Pages written to one folder per domain ending, scanned as labelled files."""
+    with scratch_folder(spark) as tmp:
+        p = views.table(spark, d, "pages")
+        kind = F.regexp_extract("url", r"\.(com|net|org)", 1)
+        p.select(kind.alias("kind"), F.col("url").alias("value")).repartition(1, "kind").write.partitionBy("kind").text(f"{tmp}/c")
+        found = FS.scan_labelled_folder(spark, f"{tmp}/c")
+        return reliable_checkpoint(found.select("class_name", "class_idx").distinct())
+
+
+@register("a9_split_list")
+def a9_split_list(spark, d):
+    """The ids of all labelled documents as a split list, read back."""
+    with scratch_folder(spark) as tmp:
+        views.table(spark, d, "labels").select(F.concat(F.lit("doc"), "doc_id", F.lit("  "), "quality").alias("value")).write.text(f"{tmp}/l")
+        return reliable_checkpoint(FS.read_split_list(spark, f"{tmp}/l"))
+
+
+@register("a10_metric_lines")
+def a10_metric_lines(spark, d):
+    """The lines the metrics sink appends for one run, read back."""
+    with scratch_folder(spark) as tmp:
+        FS.append_metrics(f5_metric_dispatch(spark, d), f"{tmp}/m", "run-1")
+        back = spark.read.schema("id string, dataset string, metric string, result double").json(f"{tmp}/m")
+        return reliable_checkpoint(back)
 
 
 @register("a11_prediction_export")
 def a11_prediction_export(spark, d):
-    probs = _probs(spark, d)
-    idx = global_index(views.test_images(spark, d).select("image_id"), ["image_id"], col="row_idx")
-    return probs.join(idx, "image_id").select("row_idx", "class_idx", _r("prob").alias("prob"))
+    """The class probabilities of every image, exported and read back."""
+    with scratch_folder(spark) as tmp:
+        probs = _probs(spark, d)
+        idx = global_index(views.test_images(spark, d).select("image_id"), ["image_id"], col="row_idx")
+        FS.export_predictions(probs.join(idx, "image_id"), f"{tmp}/p", {"model": "test"})
+        back = spark.read.schema("row_idx bigint, probs array<double>, model string").json(f"{tmp}/p")
+        return reliable_checkpoint(back.select("row_idx", F.posexplode("probs").alias("pos", "prob"))
+                                   .select("row_idx", F.col("pos").cast("bigint").alias("class_idx"), "prob"))
 
 
 @register("a12_peek")
@@ -699,13 +767,6 @@ def a12_duplicate_captions(spark, d):
     return g.select("image", F.md5("text").alias("text_md5"), "n")
 
 
-@register("a10_metric_lines")
-def a10_metric_lines(spark, d):
-    """The lines the metrics sink appends for one run: (id, dataset, metric,
-    result x 100); ``files.append_metrics`` writes them."""
-    return f5_metric_dispatch(spark, d).withColumn("id", F.lit("run-1")).select("id", "dataset", "metric", "result")
-
-
 @register("a1_shard_roundtrip")
 def a1_shard_roundtrip(spark, d):
     """Every document's caption list written as tar shards by the A2 sink
@@ -713,17 +774,15 @@ def a1_shard_roundtrip(spark, d):
     checkpoint folder, then read back through the A1 tar data source:
     (key, shard, image, n_captions) of the samples read."""
     import math
-    import uuid
 
-    from corpusmill.session import checkpoint_dir
     from corpusmill.sources import shards as SH
     lists = views.caption_lists(spark, d).select(F.col("image").cast("string").alias("image"), "captions")
     numbered = SH.number_samples(lists, ["image"], shard_size=SHARD_SIZE)
     numbered = SH.sample_json(numbered, {"image": "image", "captions": "captions-pt"})
-    path = checkpoint_dir(spark).rstrip("/") + f"/shards-{uuid.uuid4().hex}"
-    SH.write_shards(numbered, path)
-    n = numbered.count()
-    last = max(0, math.ceil(n / SHARD_SIZE) - 1)
-    back = SH.read_shards(spark, path + "/{00000..%05d}.tar" % last, include_images=False)
-    return back.select("key", "shard", F.col("sample.image").alias("image"),
-                       F.size("sample.`captions-pt`").cast("bigint").alias("n_captions"))
+    with scratch_folder(spark) as path:
+        SH.write_shards(numbered, path)
+        n = numbered.count()
+        last = max(0, math.ceil(n / SHARD_SIZE) - 1)
+        back = SH.read_shards(spark, path + "/{00000..%05d}.tar" % last, include_images=False)
+        return reliable_checkpoint(back.select("key", "shard", F.col("sample.image").alias("image"),
+                                               F.size("sample.`captions-pt`").cast("bigint").alias("n_captions")))

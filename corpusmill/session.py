@@ -6,8 +6,10 @@ Library code never creates its own session: every operator takes DataFrames.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,6 +73,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
                        "before running operators that cut lineage")
 
 
+@contextlib.contextmanager
+def scratch_folder(spark: SparkSession):
+    """A new folder in the shared checkpoint folder for files that a job writes
+    and reads back; deleted at the end, so what is read must be cut by then."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint into the shared checkpoint folder.
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions import text as TX
 from corpusmill.operators.indexing import file_order_index, global_index
+from corpusmill.operators.partitioning import broadcast_if_small
 
 # Column layouts of the translation tables, by dataset.
 TRANSLATION_LAYOUTS = {
@@ -23,6 +24,15 @@ def _string_schema(cols) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in cols])
 
 
+def read_delimited(spark: SparkSession, path: str, cols, sep: str = ",") -> DataFrame:
+    """Header-less delimited file(s) with the given string columns.  Quoted
+    fields may hold separators, line breaks and doubled quotes.  A file with
+    quoted line breaks cannot be split, so one file is one task: hand over a
+    large table as many part files."""
+    return spark.read.csv(path, schema=_string_schema(cols), sep=sep, header=False, quote='"', escape='"',
+                          multiLine=True)
+
+
 # ---------------------------------------------------------------- A4
 
 def read_translation_table(spark: SparkSession, path: str, layout: str, sep: str = "\t") -> DataFrame:
@@ -30,30 +40,56 @@ def read_translation_table(spark: SparkSession, path: str, layout: str, sep: str
     its dataset (``cc12m``, ``wit``, anything else, or ``second``), plus
     ``row`` = record number in file order (the lookup key of B5)."""
     cols = TRANSLATION_LAYOUTS.get(layout, TRANSLATION_LAYOUTS["other"])
-    df = spark.read.csv(path, schema=_string_schema(cols), sep=sep, header=False, quote='"')
-    return file_order_index(df, col="row")
+    return file_order_index(read_delimited(spark, path, cols, sep), col="row")
 
 
 # ---------------------------------------------------------------- A5 / A6
 
+def read_records(spark: SparkSession, path: str, sep: str = ",", rec: str = "rec") -> DataFrame:
+    """(rec, fields array<string>): the records of delimited file(s) with all
+    their fields, however many each has; ``rec`` counts records in file order.
+
+    A first pass reads one column and keeps the raw text of every longer
+    record; its separators bound the width of the second pass."""
+    opts = dict(sep=sep, header=False, quote='"', escape='"', multiLine=True, nullValue="\0",
+                columnNameOfCorruptRecord="__raw")
+    raw = spark.read.csv(path, schema=_string_schema(["c0", "__raw"]), **opts)
+    seps = F.length("__raw") - F.length(F.replace("__raw", F.lit(sep), F.lit("")))
+    width = (raw.agg(F.max(F.coalesce(seps, F.length("c0") * 0))).first()[0] or 0) + 1
+    cols = [f"c{i}" for i in range(width)]
+    wide = spark.read.csv(path, schema=_string_schema(cols + ["__raw"]), **opts)
+    # a record of another width comes with its raw text: count the separators outside quoted fields
+    bare = F.regexp_replace("__raw", f'(^|{sep})"([^"]|"")*"', "$1")
+    n = F.coalesce(F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1, F.lit(width))
+    fields = F.transform(F.slice(F.array(*cols), F.lit(1), n), lambda x: F.coalesce(x, F.lit("")))
+    return file_order_index(wide, col=rec).select(rec, fields.alias("fields"))
+
+
+def tsv_line(fields, sep: str = "\t"):
+    """Column: one delimited record from an array of strings, text unchanged.
+    A field with the separator, a quote or a line break is quoted, quotes
+    inside are doubled; null is empty."""
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+    field = lambda x: F.when(x.rlike(f'["\r\n{sep}]'), quoted(x)).otherwise(F.coalesce(x, F.lit("")))
+    return F.array_join(F.transform(fields, field), sep)
+
+
 def csv_to_tsv(spark: SparkSession, src: str, dst: str, skip: int = 0, blank_line: bool = False) -> DataFrame:
     """A5: rewrite a CSV as TSV, skipping the first ``skip`` CSV *records*
     (quoted newlines stay inside a record); with ``blank_line`` only the
-    first column, stripped.  Returns the written frame."""
-    df = spark.read.csv(src, header=False, multiLine=True)
-    rec = file_order_index(df, col="__rec").filter(F.col("__rec") >= skip)
+    first column, stripped.  Every record keeps all its fields.  Returns the
+    written frame (rec, fields, and the first field as _c0)."""
+    out = read_records(spark, src).filter(F.col("rec") >= skip)
     if blank_line:
-        out = rec.select("__rec", TX.strip(df.columns[0]).alias("_c0"))
-    else:
-        out = rec.select("__rec", *df.columns)
-    out = out.orderBy("__rec").drop("__rec")
-    out.write.mode("overwrite").csv(dst, sep="\t")
+        out = out.select("rec", F.array(TX.strip(F.coalesce(F.get("fields", F.lit(0)), F.lit("")))).alias("fields"))
+    out = out.orderBy("rec").withColumn("_c0", F.get("fields", F.lit(0)))
+    out.select(tsv_line(F.col("fields")).alias("value")).write.mode("overwrite").text(dst)
     return out
 
 
 def export_caption_url(df: DataFrame, dst: str, caption: str = "caption", url: str = "url") -> None:
-    """Project caption and URL to a TSV."""
-    df.select(caption, url).write.mode("overwrite").csv(dst, sep="\t")
+    """Project caption and URL to a TSV, text unchanged."""
+    df.select(tsv_line(F.array(caption, url)).alias("value")).write.mode("overwrite").text(dst)
 
 
 # ---------------------------------------------------------------- A7
@@ -77,8 +113,7 @@ def read_coco(spark: SparkSession, path: str) -> DataFrame:
 
 def read_csv_captions(spark: SparkSession, path: str) -> DataFrame:
     """A second translation as a one-column CSV: (pos, caption) in file order."""
-    df = spark.read.csv(path, schema=_string_schema(["caption"]), header=False, multiLine=True)
-    return file_order_index(df, col="pos")
+    return file_order_index(read_delimited(spark, path, ["caption"]), col="pos")
 
 
 def read_karpathy(spark: SparkSession, path: str) -> DataFrame:
@@ -99,8 +134,7 @@ def read_split_keyed(spark: SparkSession, path: str) -> DataFrame:
 
 def read_translation_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Karpathy translation TSV (image#n, caption) with its file ``row``."""
-    df = spark.read.csv(path, schema=_string_schema(["image", "caption"]), sep="\t", header=False)
-    return file_order_index(df, col="row")
+    return file_order_index(read_delimited(spark, path, ["image", "caption"], "\t"), col="row")
 
 
 # ---------------------------------------------------------------- A8
@@ -113,10 +147,7 @@ def scan_labelled_folder(spark: SparkSession, root: str) -> DataFrame:
                   .select("path"))
     files = files.withColumn("class_name", F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1))
     classes = global_index(files.select("class_name").distinct(), ["class_name"], col="class_idx")
-    n = classes.count()
-    if n > 1_000_000:
-        raise ValueError("too many classes")
-    return files.join(F.broadcast(classes) if n <= 100_000 else classes, "class_name")
+    return files.join(broadcast_if_small(classes), "class_name")
 
 
 # ---------------------------------------------------------------- A9

@@ -34,18 +34,16 @@ from corpusmill.session import ship_package
 SHARD_SIZE = 10_000
 IMAGE_EXTS = ("jpg", "png")
 
-SAMPLE_JSON = T.StructType([
-    T.StructField("image", T.StringType()),
-    T.StructField("key", T.StringType()),
-    T.StructField("caption", T.StringType()),
-    T.StructField("captions-pt", T.ArrayType(T.StringType())),
-    T.StructField("captions-en", T.ArrayType(T.StringType())),
-    T.StructField("captions-xh", T.ArrayType(T.StringType())),
-    T.StructField("captions-hi", T.ArrayType(T.StringType())),
-    T.StructField("generated-captions-en", T.ArrayType(T.StringType())),
-    T.StructField("generated-captions-pt", T.ArrayType(T.StringType())),
-    T.StructField("similarities-pt", T.ArrayType(T.DoubleType())),
-])
+# Languages of the caption lists.
+LANGUAGES = ("pt", "en", "xh", "hi")
+# Per language the captions, the generated captions and the similarities of both.
+# A field outside this list is kept, as text, in the map ``sample.extra``.
+SAMPLE_JSON = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ("image", "key", "caption")]
+    + [T.StructField(f"{kind}-{lang}", T.ArrayType(item))
+       for kind, item in (("captions", T.StringType()), ("generated-captions", T.StringType()),
+                          ("similarities", T.DoubleType()))
+       for lang in LANGUAGES])
 
 READ_SCHEMA = "shard string, key string, img binary, json string"
 
@@ -202,11 +200,14 @@ def register(spark: SparkSession) -> None:
 
 def read_shards(spark: SparkSession, pattern: str, include_images: bool = True) -> DataFrame:
     """A1: samples of all shards named by ``pattern`` (brace ranges and
-    ``::``-joined lists), JSON parsed into ``SAMPLE_JSON``."""
+    ``::``-joined lists), JSON parsed into ``SAMPLE_JSON`` (fields outside it
+    are in ``sample.extra``)."""
     register(spark)
     raw = (spark.read.format("tarshards").option("paths", pattern)
                 .option("includeImages", str(include_images).lower()).load())
-    return raw.withColumn("sample", F.from_json("json", SAMPLE_JSON))
+    known = [f.name for f in SAMPLE_JSON.fields]
+    other = F.map_filter(F.from_json("json", "map<string,string>"), lambda k, _: ~k.isin(*known))
+    return raw.withColumn("sample", F.from_json("json", SAMPLE_JSON).withField("extra", other))
 
 
 def number_samples(samples: DataFrame, order_by, shard_size: int = SHARD_SIZE,

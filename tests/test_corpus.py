@@ -75,3 +75,15 @@ def test_global_index_exact_under_any_partitioning(spark, parts):
     assert all(r.idx == sorted(x.k for x in rows).index(r.k) for r in rows[:50])
     sizes = chunk(idx, "idx", 300, "shard").groupBy("shard").count().orderBy("shard").collect()
     assert [r["count"] for r in sizes] == [300, 300, 300, 100]
+
+
+def test_insert_translations_reads_only_the_files_its_branch_needs(spark):
+    """A sample that has translations needs no row of the second file, and keeps its other columns."""
+    s = spark.createDataFrame([("000000000", "a", ["x"], ["old"], 7), ("000000001", "b", None, None, 8), ("000000002", None, ["y"], ["e"], 9)],
+                              "key string, caption string, captions_pt array<string>, captions_en array<string>, n int")
+    t1 = spark.createDataFrame([(0, "t0"), (1, "t1"), (2, "t2")], "row bigint, caption string")
+    t2 = spark.createDataFrame([(5, "u")], "row bigint, caption string")
+    ins, miss = CP.insert_translations(s, t1, t2)
+    got = {r.key: (r.captions_en, r.captions_pt, r.n) for r in ins.collect()}
+    assert got == {"000000000": (["a"], ["x", "t0"], 7), "000000002": (["e"], ["y", "t2"], 9)}
+    assert [r.key for r in miss.collect()] == ["000000001"]

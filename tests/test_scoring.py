@@ -120,3 +120,42 @@ def test_retrieve_by_free_text(spark):
     got = {(r.query_id, r.rank): r.image_id
            for r in Z.retrieve_by_text(texts, lambda: INF.hashed_bow_encoder(16), cands, 1).collect()}
     assert got == {(0, 1): 10, (1, 1): 11}
+
+
+def test_zero_vectors_and_empty_sides(spark):
+    """A zero vector is no candidate and finds nothing, but counts as a query; empty sides give recall 0 or null."""
+    from corpusmill.operators import zeroshot as Z
+    im = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [0.0, 1.0])], "image_id bigint, vec array<double>")
+    tx = spark.createDataFrame([(10, 0, [1.0, 0.1]), (11, 2, [0.0, 0.0]), (12, 2, [0.1, 1.0])],
+                               "text_id bigint, image_id bigint, vec array<double>")
+    got = {(r.direction, r.k): r.recall for r in Z.retrieval_report(im, tx).collect()}
+    assert got[("image_retrieval", 1)] == 2 / 3 and got[("text_retrieval", 10)] == 2 / 3
+    empty = {(r.direction, r.k): r.recall for r in Z.retrieval_report(im, tx.limit(0)).collect()}
+    assert empty[("image_retrieval", 1)] is None and empty[("text_retrieval", 1)] == 0.0
+
+
+def test_missing_scores_and_results_fail(spark):
+    import pytest
+    from corpusmill.operators import metrics as M
+    scores = spark.createDataFrame([(0, 0, 2.0, True), (0, 1, 1.0, False), (1, 0, 1.0, False)],
+                                   "image_id bigint, class_idx bigint, logit double, is_pos boolean")
+    targets = spark.createDataFrame([(0, 0), (1, 5)], "image_id bigint, target bigint")
+    with pytest.raises(Exception, match="no score for the class of image 1"):
+        M.classification_loss(scores, targets).collect()
+    assert M.classification_loss(scores, targets.limit(1)).first().accuracy == 1.0
+    results = spark.createDataFrame([("d1", "accuracy", 0.5)], "dataset string, metric string, value double")
+    meta = lambda *rows: spark.createDataFrame(rows, "dataset string, metric string")
+    assert M.dispatch(results, meta(("d1", "accuracy"))).first().result == 50.0
+    with pytest.raises(Exception, match="no result for dataset d2"):
+        M.dispatch(results, meta(("d2", "accuracy"))).collect()
+    with pytest.raises(Exception, match="unknown metric"):
+        M.dispatch(results, meta(("d1", "speed"))).collect()
+
+
+def test_scored_samples_keep_both_sides(spark):
+    from corpusmill.operators import similarity as S
+    im = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "image_id bigint, vec array<double>")
+    cap = spark.createDataFrame([(0, 0, "a", [1.0, 0.0]), (7, 0, "lost", [1.0, 0.0])],
+                                "image_id bigint, pos bigint, text string, vec array<double>")
+    got = {r.image_id: (r.captions, r.similarities) for r in S.scored_samples(im, cap, 1).collect()}
+    assert got == {0: (["a"], [1.0]), 1: ([], []), 7: (["lost"], [None])}

@@ -136,3 +136,42 @@ def test_small_helpers(spark, tmpdir_path):
     open(t, "w").write("img1.jpg#0\tum gato\nimg1.jpg#1\tdois gatos\n")
     assert [(r.row, r.image) for r in FS.read_translation_tsv(spark, t).orderBy("row").collect()] == \
         [(0, "img1.jpg#0"), (1, "img1.jpg#1")]
+
+
+def test_delimited_files_keep_fields_and_text(spark, tmpdir_path):
+    """Quoted line breaks, doubled quotes, ragged records, blanks and empty fields."""
+    src = os.path.join(tmpdir_path, "a.csv")
+    with open(src, "w") as f:
+        f.write('h1\na,b,c\n"diz ""oi"" aqui","x\ny",z,,\n  hi "x" ,q\n"t\tb",""\n')
+    want = [["h1"], ["a", "b", "c"], ['diz "oi" aqui', "x\ny", "z", "", ""], ['  hi "x" ', "q"], ["t\tb", ""]]
+    assert [r.fields for r in FS.read_records(spark, src).orderBy("rec").collect()] == want
+    dst = os.path.join(tmpdir_path, "tsv")
+    FS.csv_to_tsv(spark, src, dst)
+    assert [r.fields for r in FS.read_records(spark, dst, sep="\t").orderBy("rec").collect()] == want
+    rows = [("  hi \"x\" ", "u1"), ("a\nb\tc", "u2"), ("", "u3")]
+    FS.export_caption_url(spark.createDataFrame(rows, "caption string, url string"), dst)
+    back = FS.read_delimited(spark, dst, ["caption", "url"], "\t").collect()
+    assert sorted((r.caption or "", r.url) for r in back) == sorted(rows)
+    table = os.path.join(tmpdir_path, "t.tsv")
+    with open(table, "w") as f:
+        f.write('"um\ndois"\tu0\n"diz ""oi"""\tu1\ntres\tu2\n')
+    got = {r.row: (r.caption, r.url) for r in FS.read_translation_table(spark, table, "other").collect()}
+    assert got == {0: ("um\ndois", "u0"), 1: ('diz "oi"', "u1"), 2: ("tres", "u2")}
+
+
+def test_unknown_sample_fields_are_kept(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "00000.tar")
+    _make_shard(path, [("sample00000", {"image": "i", "similarities-xh": [0.5], "mood": "x", "other": [1, 2]}, b"p")])
+    s = SH.read_shards(spark, path, include_images=False).first().sample
+    assert s["similarities-xh"] == [0.5] and s["extra"] == {"mood": "x", "other": "[1,2]"}
+
+
+def test_broadcast_and_shuffle_sides_agree(spark):
+    from corpusmill.operators.partitioning import broadcast_if_small
+    left = spark.range(100).withColumnRenamed("id", "k")
+    right = spark.createDataFrame([(i, f"v{i}") for i in range(0, 100, 3)], "k bigint, v string")
+    small, large = broadcast_if_small(right), broadcast_if_small(right, limit=0)
+    plan = lambda r: left.join(r, "k")._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" in plan(small) and "broadcast" not in plan(large)
+    rows = lambda r: sorted((x.k, x.v) for x in left.join(r, "k").collect())
+    assert rows(small) == rows(large) and len(rows(small)) == 34
