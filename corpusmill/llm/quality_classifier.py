@@ -80,7 +80,7 @@ def _weights(rows: DataFrame, names: list[str]) -> DataFrame:
     ratio = lambda _, v: F.log((v["g"] + SMOOTHING) / (F.col("good") + SMOOTHING)
                                / ((v["b"] + SMOOTHING) / (F.col("bad") + SMOOTHING)))
     both = (F.col("good") > 0) & (F.col("bad") > 0)
-    return tot.join(F.broadcast(table)).select(
+    return tot.withColumn("bins", table.scalar()).select(
         F.when(F.col("good") + F.col("bad") > 0, F.col("good") / (F.col("good") + F.col("bad"))).otherwise(0.5).alias("rate"),
         F.when(both, F.transform_values("bins", ratio)).alias("w"))
 
