@@ -373,7 +373,7 @@ def f4_roc_auc(spark, d):
 @register("f5_metric_dispatch")
 def f5_metric_dispatch(spark, d):
     """All classification metrics of every dataset; the metadata picks one."""
-    meta = M.metadata_table(spark, ["cifar-10", "caltech-101", "voc-2007-classification", "hateful-memes"])
+    names = ["cifar-10", "caltech-101", "voc-2007-classification", "hateful-memes"]
     probs = reliable_checkpoint(_probs(spark, d))          # scored once, read by three metrics
     preds = Z.predictions(probs, views.test_images(spark, d))
     computed = [("accuracy", "accuracy", M.accuracy(preds)), ("mean-per-class", "mean_per_class", M.mean_per_class(preds)),
@@ -383,8 +383,8 @@ def f5_metric_dispatch(spark, d):
         one = frame.select(F.lit(metric).alias("metric"), F.col(column).cast("double").alias("value"))
         values = one if values is None else values.unionByName(one)
     # one row per dataset and metric; the datasets share the test table's scores
-    results = meta.select("dataset").join(F.broadcast(values))
-    return M.dispatch(results, meta).select("dataset", "metric", _r("result").alias("result"))
+    results = values.withColumn("dataset", F.explode(F.array(*[F.lit(n) for n in names])))
+    return M.dispatch(results, M.metadata_table(spark, names)).select("dataset", "metric", _r("result").alias("result"))
 
 
 def _pairs(spark, d):
