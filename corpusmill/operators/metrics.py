@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.indexing import prefix_sum
+from corpusmill.operators.partitioning import broadcast_if_small
 from corpusmill.session import ship_package
 
 # Metric of each evaluation dataset (from the reference's
@@ -61,7 +62,7 @@ def mean_per_class(preds: DataFrame, pred: str = "pred", target: str = "target",
 
 # ---------------------------------------------------------------- F3
 
-def map_11_point(scores: DataFrame, labels: DataFrame, item: str = "image_id", cls: str = "class_idx",
+def map_11_point(scores: DataFrame, labels: DataFrame | None = None, item: str = "image_id", cls: str = "class_idx",
                  score: str = "prob", label: str = "present") -> DataFrame:
     """11-point interpolated average precision per class, averaged over
     the classes with at least one positive.
@@ -70,15 +71,17 @@ def map_11_point(scores: DataFrame, labels: DataFrame, item: str = "image_id", c
     precision = tp / rank and recall = tp / P.  AP = mean over t in
     {0, 0.1, .., 1} of the largest precision with recall >= t (0 if none).
     recall >= t is tested in integers (10 * tp >= i * P).
+    Without ``labels`` the score rows carry ``label`` themselves.
     Returns (map, classes)."""
-    j = scores.select(item, cls, score).join(labels.select(item, cls, label), [item, cls], "inner")
+    j = (scores.select(item, cls, score, label) if labels is None
+         else scores.select(item, cls, score).join(labels.select(item, cls, label), [item, cls], "inner"))
     j = j.withColumn("__pos", F.col(label).cast("bigint")).withColumn("__one", F.lit(1).cast("bigint"))
     order = [F.col(cls), F.desc(F.round(score, 9)), F.col(item)]
     j = prefix_sum(j, order, ["__pos", "__one"], ["__cum_tp", "__cum_n"])
     base = j.groupBy(cls).agg(F.min(F.col("__cum_tp") - F.col("__pos")).alias("__tp0"),
                               F.min(F.col("__cum_n") - 1).alias("__n0"),
                               F.sum("__pos").alias("__P"))
-    r = (j.join(base, cls)
+    r = (j.join(broadcast_if_small(base), cls)
           .withColumn("__tp", F.col("__cum_tp") - F.col("__tp0"))
           .withColumn("__rank", F.col("__cum_n") - F.col("__n0"))
           .filter(F.col("__P") > 0)

@@ -30,12 +30,14 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = 0, epoch: int = 0,
     """Full seeded shuffle: range-partition on h = xxhash64(key, seed,
     epoch) (or the md5 draw other engines reproduce) and sort inside
     partitions, so partition order followed by row order is the shuffled
-    order.  Adds the column ``shuffle_h``."""
+    order.  The number of partitions is the session's unless given.  Adds the
+    column ``shuffle_h``."""
     hv = (H.shuffle_hash(key, seed, epoch) if hash_kind == "xxhash64"
           else H.md5_u32(key, F.lit(seed), F.lit(epoch)))
     h = df.withColumn("shuffle_h", hv)
-    n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return h.repartitionByRange(n, "shuffle_h", key).sortWithinPartitions("shuffle_h", key)
+    ranged = (h.repartitionByRange(num_partitions, "shuffle_h", key) if num_partitions
+              else h.repartitionByRange("shuffle_h", key))
+    return ranged.sortWithinPartitions("shuffle_h", key)
 
 
 def batches(df: DataFrame, key: str, batch_size: int, seed: int = 0, epoch: int = 0,

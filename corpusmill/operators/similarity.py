@@ -119,7 +119,8 @@ def topk_scores(queries: DataFrame, candidates: DataFrame, k: int,
                 q_id: str = "query_id", c_id: str = "cand_id", vec: str = "vec",
                 scale: float = 1.0, block_size: int = DEFAULT_BLOCK,
                 n_candidates: int | None = None, n_queries: int | None = None,
-                group_cols=(), q_key: str | None = None, c_key: str | None = None) -> DataFrame:
+                group_cols=(), q_key: str | None = None, c_key: str | None = None,
+                broadcast_bytes: int = BROADCAST_CANDIDATE_BYTES) -> DataFrame:
     """E4 + E6: for each query the ``k`` candidates with the highest scaled dot
     product, ties broken by the smaller candidate id.
 
@@ -129,6 +130,9 @@ def topk_scores(queries: DataFrame, candidates: DataFrame, k: int,
     when there are fewer candidates).  Ids must be integral.  With ``q_key``
     / ``c_key`` (integral match keys) the output also has ``is_pos`` =
     keys equal, carried through the blocks so no join is needed afterwards.
+    Candidate blocks of at most ``broadcast_bytes`` in all are broadcast.  Beyond
+    that both sides are dealt over a grid: the key is (query slab, candidate
+    block), so a task reads one candidate block and the query blocks of one slab.
     Rows with a null vector (normalised zero vectors) are no candidates and
     have no candidates: they give no rows, and count as misses downstream.
     """
@@ -157,11 +161,16 @@ def topk_scores(queries: DataFrame, candidates: DataFrame, k: int,
     cb = _blocks(candidates, c_id, vec, n_cb, "cb", group_cols, c_key).withColumnRenamed("cb_rows", "c_rows")
     qb = (_blocks(queries, q_id, vec, n_qb, "qb", group_cols, q_key).withColumnRenamed("qb_rows", "q_rows")
           .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1)))))
-    if stats["n"] * max(dim, 1) * 8 <= BROADCAST_CANDIDATE_BYTES:
+    if stats["n"] * max(dim, 1) * 8 <= broadcast_bytes:
         # proven small: every query block meets the candidate blocks where it
         # lies, the replicated query side is never shuffled
-        cb = F.broadcast(cb)
-    pairs = qb.join(cb, on=group_cols + ["cb"], how="inner").select(*group_cols, "q_rows", "c_rows")
+        pairs = qb.join(F.broadcast(cb), on=group_cols + ["cb"], how="inner")
+    else:
+        n_slab = math.isqrt(n_qb - 1) + 1
+        qb = qb.withColumn("slab", F.col("qb") % n_slab)
+        cb = cb.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(n_slab - 1))))
+        pairs = qb.join(cb, on=group_cols + ["slab", "cb"], how="inner")
+    pairs = pairs.select(*group_cols, "q_rows", "c_rows")
     gschema = "".join(f"{queries.schema[c].name} {queries.schema[c].dataType.simpleString()}, "
                       for c in group_cols)
     local = pairs.mapInPandas(_block_topk_fn(k, float(scale), group_cols),

@@ -355,9 +355,9 @@ def f2_mean_per_class(spark, d):
 def _map(spark, d, probs=None):
     probs = probs if probs is not None else _probs(spark, d)
     # the score rows carry is_pos (class = target): labels need no join
-    labels = probs.select("image_id", "class_idx", F.col("is_pos").cast("int").alias("present"))
+    marked = probs.withColumn("present", F.col("is_pos").cast("int"))
     # ranked on the log-softmax: the order of the probabilities the reference passes
-    return M.map_11_point(probs, labels, score="log_prob")
+    return M.map_11_point(marked, score="log_prob")
 
 
 @register("f3_map_11_point")

@@ -159,3 +159,14 @@ def test_scored_samples_keep_both_sides(spark):
                                 "image_id bigint, pos bigint, text string, vec array<double>")
     got = {r.image_id: (r.captions, r.similarities) for r in S.scored_samples(im, cap, 1).collect()}
     assert got == {0: (["a"], [1.0]), 1: ([], []), 7: (["lost"], [None])}
+
+
+def test_broadcast_and_grid_sides_agree(spark):
+    """The shuffle side meets every pair of blocks once: the same rows as the broadcast side."""
+    from corpusmill.operators import similarity as S
+    rng = np.random.default_rng(11)
+    q = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(90)], "query_id bigint, vec array<double>")
+    c = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(70)], "cand_id bigint, vec array<double>")
+    rows = lambda b: sorted((r.query_id, r["rank"], r.cand_id) for r in
+                            S.topk_scores(q, c, 5, block_size=16, broadcast_bytes=b).collect())
+    assert rows(0) == rows(1 << 20) and len(rows(0)) == 450
