@@ -124,9 +124,9 @@ def embed(df: DataFrame, col: str, encoder_factory: Callable[[], Callable[[pd.Se
 
 def caption_fanout(images: DataFrame, captioner_factory, image: str = "image",
                    prompts=CAPTION_PROMPTS, cache_key: str | None = None) -> DataFrame:
-    """Every image x every prompt (a narrow ``posexplode`` of the fixed
-    prompt list), the captioner called on Arrow batches of (image row,
-    prompt), caption = prompt + " " + strip(text).  ``captioner_factory()``
+    """Every image x every prompt of the fixed list.  Each image row crosses
+    to Python once; the captioner is called on its Arrow batch once per
+    prompt, caption = prompt + " " + strip(text).  ``captioner_factory()``
     (run once per task, or once per worker with ``cache_key``) returns
     ``f(pandas.DataFrame with the image columns and 'prompt') -> sequence
     of str``.
@@ -134,16 +134,16 @@ def caption_fanout(images: DataFrame, captioner_factory, image: str = "image",
     Returns (image, prompt_idx, caption) long rows; ``caption_lists``
     regroups them into the per-image list in prompt order."""
     ship_package(images.sparkSession)
-    arr = F.array(*[F.lit(p) for p in prompts])
-    fan = images.select("*", F.posexplode(arr).alias("prompt_idx", "prompt"))
-    schema = T.StructType(list(fan.schema.fields) + [T.StructField("text", T.StringType())])
+    schema = T.StructType([images.schema[image], T.StructField("prompt_idx", T.LongType()),
+                           T.StructField("prompt", T.StringType()), T.StructField("text", T.StringType())])
 
     def fn(batches):
         cap = _model(captioner_factory, cache_key)
         for pdf in batches:
-            pdf["text"] = list(cap(pdf))
-            yield pdf
-    gen = fan.mapInPandas(fn, schema)
+            for i, prompt in enumerate(prompts):
+                texts = list(cap(pdf.assign(prompt=prompt)))
+                yield pd.DataFrame({image: pdf[image], "prompt_idx": i, "prompt": prompt, "text": texts})
+    gen = images.mapInPandas(fn, schema)
     return gen.select(F.col(image), F.col("prompt_idx").cast("bigint").alias("prompt_idx"),
                       F.concat(F.col("prompt"), F.lit(" "), TX.strip("text")).alias("caption"))
 

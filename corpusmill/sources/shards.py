@@ -9,8 +9,8 @@ never move image bytes.
 Writing: ``write_shards`` numbers samples exactly (two-pass global index),
 cuts them into shards of ``shard_size`` samples (``shard = idx div size``,
 numbers from ``start_shard``), hash-partitions by shard so each shard is
-written whole by one task, and writes ``%05d.tar`` files with
-``sample%05d`` keys.
+written whole by one task, sorts within the tasks, streams the samples into
+``%05d.tar`` files with ``sample%05d`` keys and publishes them on commit.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import io
 import os
 import re
 import tarfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,31 +149,52 @@ class _ShardWriter(DataSourceWriter):
         self.path = path
 
     def write(self, iterator):
-        """Rows (shard, idx, key, json, img) of whole shards; written
-        sorted by idx, one tar per shard."""
-        by_shard = {}
-        for r in iterator:
-            by_shard.setdefault(int(r["shard"]), []).append(r)
-        files = []
+        """Rows (shard, idx, key, json, img) sorted by shard and idx, streamed
+        into one tar per shard.  Files get a name of their own attempt; they
+        take their place when the job commits."""
         fs, base = _fs(self.path)
+        base = base.rstrip("/")
         fs.create_dir(base, recursive=True)
-        for shard, rows in by_shard.items():
-            rows.sort(key=lambda r: r["idx"])
-            fn = base.rstrip("/") + "/%05d.tar" % shard
-            tmp = fn + ".inprogress"
-            with fs.open_output_stream(tmp) as out, tarfile.open(fileobj=out, mode="w") as tf:
-                for r in rows:
-                    for ext, data in (("json", r["json"].encode("utf-8") if r["json"] is not None else None),
-                                      ("png", r["img"])):
-                        if data is None:
-                            continue
-                        ti = tarfile.TarInfo(f"{r['key']}.{ext}")
-                        ti.size = len(data)
-                        tf.addfile(ti, io.BytesIO(bytes(data)))
-            fs.move(tmp, fn)   # atomic rename: a retried task overwrites the same shard file
-            files.append(fn)
+        files, shard, out, tf = [], None, None, None
+        for r in iterator:
+            if int(r["shard"]) != shard:
+                if tf is not None:
+                    tf.close()
+                    out.close()
+                shard = int(r["shard"])
+                tmp = f"{base}/.{shard:05d}.{uuid.uuid4().hex}.inprogress"
+                files.append((tmp, f"{base}/{shard:05d}.tar"))
+                out = fs.open_output_stream(tmp)
+                tf = tarfile.open(fileobj=out, mode="w")
+            for ext, data in (("json", r["json"].encode("utf-8") if r["json"] is not None else None),
+                              (_image_ext(r["img"]), r["img"])):
+                if data is None:
+                    continue
+                ti = tarfile.TarInfo(f"{r['key']}.{ext}")
+                ti.size = len(data)
+                tf.addfile(ti, io.BytesIO(bytes(data)))
+        if tf is not None:
+            tf.close()
+            out.close()
         return _ShardCommit(files)
 
+    def commit(self, messages):
+        fs, _ = _fs(self.path)
+        for m in messages:
+            for tmp, name in (m.files if m else ()):
+                fs.move(tmp, name)
+
+    def abort(self, messages):
+        fs, _ = _fs(self.path)
+        for m in messages:
+            for tmp, _name in (m.files if m else ()):
+                fs.delete_file(tmp)
+
+
+def _image_ext(data) -> str:
+    """The extension of an image by its first bytes."""
+    return "jpg" if data is not None and bytes(data[:2]) == b"\xff\xd8" else "png"
+
 
 class TarShardSource(DataSource):
     """``spark.read.format("tarshards").option("paths", pattern)``."""
@@ -229,7 +251,8 @@ def write_shards(numbered: DataFrame, path: str, json_col: str = "json", img_col
     n_shards = numbered.select("shard").distinct().count()
     img = F.col(img_col) if img_col else F.lit(None).cast("binary")
     rows = numbered.select("shard", "idx", "key", F.col(json_col).alias("json"), img.alias("img"))
-    rows.repartition(max(1, n_shards), "shard").write.format("tarshards").option("path", path) \
+    # whole shards per task, in order, so that a task holds one sample at a time
+    rows.repartition(max(1, n_shards), "shard").sortWithinPartitions("shard", "idx").write.format("tarshards").option("path", path) \
         .mode("append").save()
 
 
