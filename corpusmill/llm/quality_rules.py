@@ -108,7 +108,9 @@ def judge(docs: DataFrame, weights: DataFrame, text_col: str = "text", threshold
           buckets: int = BUCKETS) -> DataFrame:
     """``row`` (a struct of the columns of ``docs``) and ``rules`` (a struct of
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    score, kept) per row of ``docs``."""
+    score, kept) per row of ``docs``, and its ``place``.  A filter that names the
+    place stays above the rules; Spark would else copy the rules into the filter,
+    and the word hashes into every step of their loops."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, "[\\x20\\x09-\\x0D]+", "") != "")
     score = _let(grams(F.col("h"), buckets), lambda f: F.when(F.size(f) > 0, F.aggregate(
@@ -125,7 +127,8 @@ def judge(docs: DataFrame, weights: DataFrame, text_col: str = "text", threshold
         F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         F.col("rep").alias("n_repeat_words"), F.col("failed").alias("base_failed"), "score",
-        (~F.col("failed") & (F.col("score") >= threshold)).alias("kept")).alias("rules"))
+        (~F.col("failed") & (F.col("score") >= threshold)).alias("kept")).alias("rules"),
+        F.monotonically_increasing_id().alias("place"))
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -141,4 +144,4 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns."""
     weights = bucket_weights(docs, trusted, id_col, text_col)
-    return judge(docs, weights, text_col).filter("rules.kept").select("row.*")
+    return judge(docs, weights, text_col).filter("rules.kept and place >= 0").select("row.*")
