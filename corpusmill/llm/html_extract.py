@@ -13,9 +13,13 @@ from the body to it.  On that path, below the body, the other children of a node
 that reach the threshold are content as well, and so are headings; if the path runs
 through an ``article`` or ``main`` element, all of that element is.
 
-Elements that never hold article text (scripts, styles, menus, forms, ...) and those
-whose class, id or role names a side part (adverts, notices, comments, ...) are taken
-out before the counts.
+Elements that never hold article text (scripts, styles, menus, forms, ...) and hidden
+ones are taken out before the counts.  So are those whose class, id or role names a
+side part (adverts, notices, comments, ...), unless they hold an ``article`` or
+``main`` or more than half of the text: these count with a tenth of their density,
+and go only if the content lies elsewhere.  Names that say what a page has, or has not
+(``has-sidebar``, ``comments-open``), name no part, and if hardly any text is outside
+of the named parts, names are not followed at all.
 
 The text is that of the content's blocks in page order.  Character references are
 decoded, white space in a block becomes one space, blocks are trimmed and joined
@@ -61,44 +65,58 @@ SIDE_WORDS = set("ad ads advert adverts advertisement advertisements advertising
                  "header masthead topbar comment comments reply replies disqus cookie cookies consent notice notices gdpr "
                  "popup modal overlay newsletter subscribe subscription signup login share sharing social related "
                  "recommended widget pagination pager skip toolbar complementary contentinfo search alert".split())
+#: names that start or end with these words say something of a page and name no part
+STATE_FIRST = set("has have no non not with without".split())
+STATE_LAST = set("open closed free enabled disabled".split())
 ROOT_LIKE = set("html body main article".split())
+CONTENT = ("article", "main")
+#: density share of a part that is named as a side part but too large to be one
+LOWERED = 0.1
+#: share of the text that must be outside of the named side parts
+LEAST_OUTSIDE = 0.1
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "c", "t", "lc", "lt", "density", "total")
+    __slots__ = ("tag", "up", "kids", "side", "own", "holds", "standing", "c", "t", "lc", "lt", "density", "total")
 
-    def __init__(self, tag, up=None):
-        self.tag, self.up, self.kids = tag, up, []
+    def __init__(self, tag, up=None, side=False):
+        self.tag, self.up, self.kids, self.side = tag, up, [], side  # side: its names are those of a side part
         self.c = self.t = self.lc = self.lt = 0
         self.density = self.total = 0.0
 
 
-def _is_side(tag: str, attrs: str) -> bool:
-    if tag in DROPPED:
-        return True
-    if not attrs or tag in ROOT_LIKE:
+def _is_gone(tag: str, attrs: list[tuple[str, str]]) -> bool:
+    """Whether an element is never content: by its name, or as it is hidden."""
+    return tag in DROPPED or tag not in ROOT_LIKE and any(
+        name == "hidden" or name == "style" and _NO_DISPLAY.search(value) for name, value in attrs)
+
+
+def _is_side(tag: str, attrs: list[tuple[str, str]]) -> bool:
+    """Whether the names of an element are those of a side part."""
+    if tag in ROOT_LIKE:
         return False
-    if _HIDDEN.search(attrs):
-        return True
-    for m in _NAMES.finditer(attrs):
-        for name in (m[1] or m[2] or m[3] or "").split():
-            if any(w.lower() in SIDE_WORDS for w in _WORD.findall(name)):
-                return True
+    for attr, value in attrs:
+        if attr in ("class", "id", "role"):
+            for name in value.split():
+                words = [w.lower() for w in _WORD.findall(name)]
+                if (words and words[0] not in STATE_FIRST and words[-1] not in STATE_LAST
+                        and not SIDE_WORDS.isdisjoint(words)):
+                    return True
     return False
 
 
 def parse(page: str) -> Node:
-    """The element tree of a page, without its side parts.  Kids are nodes and
+    """The element tree of a page, without what is never content.  Kids are nodes and
     strings, in page order."""
     root = Node("body")
-    stack = [(root, False)]  # node, inside a side part
+    stack = [(root, False)]  # node, inside a part that is never content
     is_open: Counter = Counter()  # open elements by name
     at, n, low = 0, len(page), None
 
@@ -142,28 +160,67 @@ def parse(page: str) -> Node:
         if tag in CLOSES:
             names, stop = CLOSES[tag]
             close_nearest(names, lambda x: x not in stop)
-        side = stack[-1][1] or _is_side(tag, attrs)
-        node = Node(tag, stack[-1][0])
-        if not side:
+        named = [] if stack[-1][1] or not attrs else [
+            (a[1].lower(), a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(attrs)]
+        gone = stack[-1][1] or _is_gone(tag, named)
+        node = Node(tag, stack[-1][0], not gone and _is_side(tag, named))
+        if not gone:
             stack[-1][0].kids.append(node)
         if tag in RAW:  # its content is not markup
             low = page.lower() if low is None else low
             end = low.find(f"</{tag}", at)
             at = n if end < 0 else end
         if tag not in VOID:
-            stack.append((node, side))
+            stack.append((node, gone))
             is_open[tag] += 1
     return root
 
 
-def _measure(root: Node) -> list[Node]:
-    """Fill in the counts and densities; all nodes in page order."""
+def _in_order(root: Node) -> list[Node]:
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
+    return order
+
+
+def _drop_side_parts(root: Node, order: list[Node]) -> list[Node]:
+    """Take out the named side parts that are not too large to be one; the nodes left."""
+    size: dict[int, int] = {}
+    for node in reversed(order):
+        size[id(node)] = node.own + sum(size[id(k)] for k in node.kids if isinstance(k, Node))
+        node.holds = node.tag in CONTENT or any(k.holds for k in node.kids if isinstance(k, Node))
+    every = size[id(root)]
+
+    def goes(k):
+        return isinstance(k, Node) and k.side and not k.holds and 2 * size[id(k)] <= every
+
+    left, todo = 0, [root]
+    while todo:
+        node = todo.pop()
+        left += node.own
+        todo += [k for k in node.kids if isinstance(k, Node) and not goes(k)]
+    if left < LEAST_OUTSIDE * every:
+        for node in order:
+            node.side = False
+        return order
+    for node in order:
+        node.kids = [k for k in node.kids if not goes(k)]
+    return _in_order(root)
+
+
+def _measure(root: Node) -> list[Node]:
+    """Drop the side parts and fill in the counts and densities; all nodes in page order."""
+    order = _in_order(root)
+    for node in order:
+        node.own = sum(len(_SPACE.sub("", k)) for k in node.kids if isinstance(k, str))
+    if any(node.side for node in order):
+        order = _drop_side_parts(root, order)
+    for node in order:
+        node.standing = LOWERED if node.side else node.up.standing if node.up else 1.0
     for node in reversed(order):
+        node.c = node.own
         for k in node.kids:
             if isinstance(k, Node):
                 link = k.tag == "a"
@@ -171,8 +228,6 @@ def _measure(root: Node) -> list[Node]:
                 node.t += k.t + 1
                 node.lc += k.c if link else k.lc
                 node.lt += k.lt + link
-            else:
-                node.c += len(_SPACE.sub("", k))
     share = root.lc / max(root.c, 1)
     for node in reversed(order):
         if node.c:
@@ -180,7 +235,7 @@ def _measure(root: Node) -> list[Node]:
             base = math.log(c / max(c - node.lc, 1) * node.lc + share * c + math.e)
             ratio = c / lc * t / lt
             node.density = max(0.0, c / t * (math.log(ratio) / math.log(base) if base > 1.0000001 else math.log(ratio) * 1e7))
-        node.total = sum(k.density for k in node.kids if isinstance(k, Node))
+        node.total = sum(k.density * k.standing for k in node.kids if isinstance(k, Node))
     return order
 
 
@@ -190,11 +245,19 @@ def _content(root: Node, order: list[Node]) -> tuple[Node, set[int]]:
     path = [best]
     while path[-1].up:
         path.append(path[-1].up)
+    on_path = set(map(id, path))
+    # side parts that were too large to drop go if the content lies elsewhere
+    out, inside = set(), {id(best)}
+    for x in order:
+        if x.up and id(x.up) in inside:
+            inside.add(id(x))
+        if x.side and id(x) not in on_path and (id(x) not in inside or 2 * x.c <= best.c):
+            out.add(id(x))
     for x in reversed(path):
-        if x.tag in ("article", "main"):
-            return x, set()
+        if x.tag in CONTENT:
+            return x, out
     threshold = min(x.density for x in path)
-    top, out = best, set()
+    top = best
     for child, parent in zip(path, path[1:]):
         if parent is root:
             break
@@ -222,11 +285,13 @@ def _blocks(top: Node, out: set[int]) -> list[str]:
             flush()
         elif isinstance(x, str):
             run.append(x)
+        elif id(x) in out:
+            pass
         elif x.tag == "br":
             run.append(" ")
         elif x.tag in INLINE:
             todo += reversed(x.kids)
-        elif id(x) not in out:
+        else:
             flush()
             todo.append(None)
             todo += reversed(x.kids)

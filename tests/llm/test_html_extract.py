@@ -32,6 +32,35 @@ def test_side_parts_go():
                                  "One point Another point Cell one Cell two")
 
 
+def test_names_of_wrappers_do_not_drop_the_article():
+    """Class names of page wrappers, and the word hidden in a value, take no text away."""
+    story = "".join(f"<p>Sentence {i} of the story goes on for a good while here.</p>" for i in range(8))
+    want = " ".join(f"Sentence {i} of the story goes on for a good while here." for i in range(8))
+    for names in ("content has-sidebar", "no-sidebar", "with-sidebar", "page header-fixed", "ad-free", "comments-open",
+                  "hasSidebar", "sidebar-layout", "elementor-widget"):
+        for inner in (story, f"<article>{story}</article>", f"<article>{story}</article><div class='sidebar'><p>Read more</p></div>"):
+            assert H.main_text(f'<body><nav>Menu</nav><div id="x" class="{names}">{inner}</div></body>') == want, names
+    assert H.main_text('<body><div class="sidebar-layout">One line of text</div></body>') == "One line of text"
+    widgets = story.replace("<p>", '<div class="widget"><p>').replace("</p>", "</p></div>")
+    assert H.main_text(f"<body><div>{widgets}</div></body>") == want
+    assert H.main_text(f'<body><div title="a hidden gem" data-x="class=ad display:none">{story}</div></body>') == want
+    for attr in ("hidden", "hidden=''", "HIDDEN id=x", 'style="color:red; display: none"', 'class="ad" title="x"'):
+        assert H.main_text(f"<body><div>{story}</div><div {attr}><p>Not to be seen by anyone.</p></div></body>") == want, attr
+
+
+def test_large_side_parts_beside_the_article_go():
+    """Comments that are longer than the article, or made of articles."""
+    story = "".join(f"<p>Sentence {i} of the story goes on for a good while here.</p>" for i in range(4))
+    want = " ".join(f"Sentence {i} of the story goes on for a good while here." for i in range(4))
+    said = "".join(f"<div><p>Reader {i} says something that is no part of the story.</p></div>" for i in range(9))
+    cards = said.replace("div>", "article>")
+    for post in (f"<article>{story}</article>", f"<div>{story}</div>"):
+        for comments in (said, cards):
+            side = f'<div id="comments">{comments}</div>'
+            assert H.main_text(f"<body>{post}{side}</body>") == want
+            assert H.main_text(f"<body><main>{post}{side}</main></body>") == want
+
+
 def test_links_lower_the_density():
     links = "".join(f"<p><a href=/{i}>A headline of another story number {i}</a></p>" for i in range(12))
     text = "".join(f"<p>Sentence {i} of the story goes on for a good while here.</p>" for i in range(6))
@@ -57,6 +86,7 @@ def test_broken_markup():
     assert H.main_text("<p title='a>b'>t</p>") == "t"
     assert H.main_text("1 < 2 and 3 > 2") == "1 < 2 and 3 > 2"
     assert H.main_text("<div>" * 30000 + "deep" + "</span>" * 30000) == "deep"
+    assert H.main_text("<div class=ad>" * 30000 + "deep") == "deep"
     assert H.main_text("<p>é 日本 x" + " y" * 300000).count("y") == 300000
 
 
