@@ -9,9 +9,10 @@ density
 with counts below one taken as one: characters per tag, scaled down as links take
 over.  A node's density sum is the sum of its children's densities.  The subtree with the
 largest density sum is the content.  The threshold is the least density on the path
-from the body to it.  On that path, below the body, the other children of a node
+from the body to it.  On that path, body included, the other children of a node
 that reach the threshold are content as well, and so are headings; if the path runs
-through an ``article`` or ``main`` element, all of that element is.
+through an ``article`` or ``main`` element, all of that element is.  Directly in the
+body, runs of nothing but links are left out.
 
 Elements that never hold article text (scripts, styles, menus, forms, ...) and hidden
 ones are taken out before the counts.  So are those whose class, id or role names a
@@ -259,14 +260,42 @@ def _content(root: Node, order: list[Node]) -> tuple[Node, set[int]]:
     threshold = min(x.density for x in path)
     top = best
     for child, parent in zip(path, path[1:]):
-        if parent is root:
-            break
         top = parent
         out |= {id(k) for k in parent.kids if isinstance(k, Node) and k is not child and k.tag not in HEADINGS
                 and k.tag not in INLINE and k.density < threshold}
+    if top is root and best is not root:
+        _drop_link_runs(root)
     return top, out
 
 
+def _drop_link_runs(root: Node) -> None:
+    """Take the runs of text and inline elements that are nothing but links out of the body's children."""
+    kids, run = [], []
+    for k in [*root.kids, None]:
+        if isinstance(k, str) or k is not None and k.tag in INLINE:
+            run.append(k)
+            continue
+        if _has_plain_text(run):
+            kids += run
+        run = []
+        if k is not None:
+            kids.append(k)
+    root.kids = kids
+
+
+def _has_plain_text(run: list) -> bool:
+    """Whether there are letters or digits outside of links."""
+    todo = list(run)
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            if any(c.isalnum() for c in x):
+                return True
+        elif x.tag != "a":
+            todo += x.kids
+    return False
+
+
 def _blocks(top: Node, out: set[int]) -> list[str]:
     """The text blocks of the content, in page order."""
     blocks: list[str] = []

@@ -76,6 +76,21 @@ def test_sections_stay_together():
     assert H.main_text(f"<body><div><div><a href=x>go</a></div><div>{inner}</div></div></body>") == want
 
 
+def test_sections_below_the_body_stay_together():
+    """Parts of an article that lie directly in the body, with more paragraphs than sections."""
+    for sections, lines, size in ((2, 10, 500), (2, 3, 300), (3, 4, 40), (5, 2, 120)):
+        text = lambda n, i: (f"Section {n} line {i} " + "with enough words in it " * 30)[:size].strip() + "."
+        part = lambda n: "".join(f"<p>{text(n, i)}</p>" for i in range(lines))
+        want = " ".join(text(n, i) for n in range(sections) for i in range(lines))
+        inner = "".join(f"<section>{part(n)}</section>" for n in range(sections))
+        assert H.main_text(f"<body><nav><a>x</a></nav><h1>A title</h1>{inner}<footer>y</footer></body>") == f"A title {want}"
+        assert H.main_text(f"<body>Words <a href=/>first</a>, then{inner}</body>") == f"Words first, then {want}"
+        if lines <= sections:  # the body is denser than a section and all of it is content
+            continue
+        links = "".join(f"<li><a href=/{i}>Another story {i}</a>" for i in range(9))
+        assert H.main_text(f"<body><div><ul>{links}</ul></div><a href=/>Home</a> | <a href=/n>News</a>{inner}</body>") == want
+
+
 def test_broken_markup():
     assert H.main_text(None) == "" and H.main_text("") == "" and H.main_text("<p></p>") == ""
     assert H.main_text("only text &lt;b&gt; &eacute;") == "only text <b> é"
