@@ -697,26 +697,32 @@ def a6_caption_url_export(spark, d):
         return reliable_checkpoint(back.select(F.coalesce("caption", F.lit("")).alias("caption"), "url"))
 
 
+MANIFEST_ITEMS = 1_000   # fixed value: items of a split in one manifest
+FOLDER_FILE_ROWS = 200   # fixed value: pages in one file of a labelled folder
+
+
 @register("a7_split_manifest")
 def a7_split_manifest(spark, d):
-    """Every document as an item of split-keyed manifests, one per source, read back by split."""
+    """Every document as an item of split-keyed manifests, many bounded ones per
+    source, read back by split with its position among the source's items."""
     with scratch_folder(spark) as tmp:
-        split = F.element_at(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), (F.col("doc_id") % 3 + 1).cast("int"))
-        item = F.struct(F.concat(F.lit("doc"), F.col("doc_id")).alias("filename"), F.col("text").alias("caption"))
-        lists = (views.table(spark, d, "documents").groupBy("source")
-                 .agg(*[F.array_sort(F.collect_list(F.when(split == n, item))).alias(n) for n in ("train", "validation", "test")]))
-        lists.write.partitionBy("source").json(f"{tmp}/m")
-        back = FS.read_split_keyed(spark, f"{tmp}/m")
+        split = F.element_at(F.array(*map(F.lit, FS.SPLITS)), (F.col("doc_id") % 3 + 1).cast("int"))
+        items = views.table(spark, d, "documents").select(
+            "source", split.alias("split"), F.concat(F.lit("doc"), F.col("doc_id")).alias("filename"), F.col("text").alias("caption"))
+        FS.write_split_keyed(items, f"{tmp}/m", MANIFEST_ITEMS)
+        back = FS.read_split_keyed(spark, f"{tmp}/m", MANIFEST_ITEMS)
         return reliable_checkpoint(back.select("split", "pos", "filename", F.md5("caption").alias("caption_md5")))
 
 
 @register("a8_labelled_folder")
 def a8_labelled_folder(spark, d):
-    """Pages written to one folder per domain ending, scanned as labelled files."""
+    """Pages written to one folder per domain ending, many files each, all of
+    them scanned as labelled files."""
     with scratch_folder(spark) as tmp:
         p = views.table(spark, d, "pages")
         kind = F.regexp_extract("url", r"\.(com|net|org)", 1)
-        p.select(kind.alias("kind"), F.col("url").alias("value")).repartition(1, "kind").write.partitionBy("kind").text(f"{tmp}/c")
+        (p.select(kind.alias("kind"), F.col("url").alias("value"))
+         .write.option("maxRecordsPerFile", FOLDER_FILE_ROWS).partitionBy("kind").text(f"{tmp}/c"))
         found = FS.scan_labelled_folder(spark, f"{tmp}/c")
         return reliable_checkpoint(found.select("class_name", "class_idx").distinct())
 

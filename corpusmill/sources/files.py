@@ -122,14 +122,38 @@ def read_karpathy(spark: SparkSession, path: str) -> DataFrame:
     return j.select(F.explode("images").alias("i")).select("i.filename", "i.split", "i.sentences")
 
 
-def read_split_keyed(spark: SparkSession, path: str) -> DataFrame:
+SPLITS = ("train", "validation", "test")
+
+
+def write_split_keyed(items: DataFrame, path: str, size: int) -> None:
+    """A7 sink: ``items`` (source, split, filename, caption) as split-keyed
+    manifests below ``source=.../chunk=.../``.  A manifest has at most ``size``
+    items of each split, in file name order, and chunk ``n`` starts at position
+    ``n * size`` of each: a source of any size is many bounded manifests."""
+    ties = items.withColumn("__tie", F.xxhash64("caption"))
+    idx = global_index(ties, ["source", "split", "filename", "__tie"], col="__idx")
+    # one row per source and split
+    first = idx.groupBy(F.col("source").alias("__s"), F.col("split").alias("__p")).agg(F.min("__idx").alias("__first"))
+    at = F.col("__idx") - F.col("__first")
+    placed = (idx.join(broadcast_if_small(first), F.col("source").eqNullSafe(F.col("__s")) & F.col("split").eqNullSafe(F.col("__p")))
+              .withColumn("chunk", F.floor(at / size).cast("bigint")))
+    item = F.struct("__idx", "filename", "caption")
+    bare = lambda x: F.struct(x["filename"].alias("filename"), x["caption"].alias("caption"))
+    lists = placed.groupBy("source", "chunk").agg(
+        *[F.transform(F.array_sort(F.collect_list(F.when(F.col("split") == n, item))), bare).alias(n) for n in SPLITS])
+    lists.write.partitionBy("source", "chunk").json(path)
+
+
+def read_split_keyed(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
     """A7 split-keyed: (split, pos, filename, caption) from ``{train: [...],
-    validation: [...], test: [...]}``."""
+    validation: [...], test: [...]}``.  ``size``: the manifests are those of
+    ``write_split_keyed`` with that size, and positions count on over the chunks."""
     j = spark.read.schema(SPLIT_KEYED_SCHEMA).json(path, multiLine=True)
-    long = j.select(F.expr("stack(3, 'train', train, 'validation', validation, 'test', test)")
+    start = F.lit(0) if size is None else F.col("chunk").cast("bigint") * size
+    long = j.select(start.alias("start"), F.expr("stack(3, 'train', train, 'validation', validation, 'test', test)")
                     .alias("split", "items"))
-    return long.select("split", F.posexplode("items").alias("pos", "it")).select(
-        "split", F.col("pos").cast("bigint").alias("pos"), "it.filename", "it.caption")
+    return long.select("start", "split", F.posexplode("items").alias("pos", "it")).select(
+        "split", (F.col("start") + F.col("pos")).cast("bigint").alias("pos"), "it.filename", "it.caption")
 
 
 def read_translation_tsv(spark: SparkSession, path: str) -> DataFrame:

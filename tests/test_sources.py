@@ -4,6 +4,7 @@ import json
 import os
 import tarfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.sources import files as FS
@@ -81,6 +82,44 @@ def test_manifests(spark, tmpdir_path):
     assert sorted((r.split, r.filename) for r in FS.read_split_keyed(spark, sk).collect()) == [("train", "a"), ("validation", "b")]
 
 
+def test_split_manifests_are_bounded(spark, tmpdir_path):
+    """A source of many items is many manifests, and positions count on over them."""
+    rows = [(s, n, f"f{i:03d}", f"text {s} {i}") for s, size in (("big", 50), ("small", 2), (None, 5))
+            for n in FS.SPLITS for i in range(size)]
+    path = os.path.join(tmpdir_path, "m")
+    FS.write_split_keyed(spark.createDataFrame(rows, "source string, split string, filename string, caption string"), path, 4)
+    files = [os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".json")]
+    assert len(files) == 13 + 1 + 2
+    assert max(len(x) for f in files for x in json.load(open(f)).values()) == 4
+    got = sorted((r.split, r.pos, r.filename, r.caption) for r in FS.read_split_keyed(spark, path, 4).collect())
+    assert got == sorted((n, int(f[1:]), f, c) for _, n, f, c in rows)
+
+
+def test_source_queries_grow_with_the_data(spark, monkeypatch):
+    """a7 writes many bounded manifests and a8 many files a class, with the same result."""
+    from corpusmill.plans import queries as Q
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("test tables not present")
+    seen = {}
+
+    def spy(name):
+        plain = getattr(FS, name)
+
+        def read(spark, path, *args):
+            seen[name] = [os.path.join(d, f) for d, _, names in os.walk(path.removeprefix("file:")) for f in names if f.startswith("part-")]
+            return plain(spark, path, *args)
+        monkeypatch.setattr(FS, name, read)
+
+    spy("read_split_keyed")
+    spy("scan_labelled_folder")
+    plain = [sorted(map(tuple, f(spark, "/root/testdata/sf0.001").collect())) for f in (Q.a7_split_manifest, Q.a8_labelled_folder)]
+    before = {k: len(v) for k, v in seen.items()}
+    monkeypatch.setattr(Q, "MANIFEST_ITEMS", 3, raising=False)
+    monkeypatch.setattr(Q, "FOLDER_FILE_ROWS", 5, raising=False)
+    small = [sorted(map(tuple, f(spark, "/root/testdata/sf0.001").collect())) for f in (Q.a7_split_manifest, Q.a8_labelled_folder)]
+    assert small == plain and all(len(v) > before[k] for k, v in seen.items())
+
+
 def test_labelled_folder(spark, tmpdir_path):
     for c in ("zebra", "ant"):
         os.makedirs(os.path.join(tmpdir_path, "root", c))
