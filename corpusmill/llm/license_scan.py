@@ -1,14 +1,18 @@
 """License notices in texts, by winnowed fingerprints and banded alignment.
 
-1. The three-word runs of every template are hashed and winnowed: of each ``window``
-   neighbours the smallest hash is kept.  So every run of ``window + 2`` words of a
-   template has a fingerprint in the inverted index, and so has every template of
-   three words or more (a shorter one is one run of all its words).
-2. All runs of a document are looked up in the index, so no fingerprint is
-   missed.  A hit names a template and a diagonal (place in the document less place in the
-   template); hits on near diagonals form one candidate.
+1. The word runs of every template are hashed and winnowed: of each ``window``
+   neighbours the smallest hash is kept, so every run of ``gram + window - 1`` words of
+   the template has a fingerprint in the inverted index.  Both are chosen per template,
+   three-word runs and a window of two at most: if ``m`` words must match at
+   ``min_percent``, ``e`` edits (those that leave ``m`` words, one at least) leave a run
+   of ``m / (e + 1)`` words, rounded up, and no more than that is asked for.
+2. All runs of a document are looked up in the index, so a notice with up to ``e`` words
+   changed, left out or put in has a hit.  A hit names a template and a diagonal (place
+   in the document less place in the template); hits on near diagonals form one
+   candidate.  A candidate around which too few of the template's words occur is dropped.
 3. Each candidate is aligned word by word, locally, in a band around its diagonals:
-   a match gains 1, a difference or a gap costs 1.  The alignment gives the matched words,
+   a match gains 1, a difference or a gap costs 1, and of equal scores the one with more
+   matches stays.  The alignment gives the matched words,
    the coverage (their share of the template) and the span in the document.
 4. Of overlapping spans the one with the most matched words is reported (then the
    highest coverage, the earliest start, the first name), if its coverage reaches
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +47,19 @@ BAND = 8
 MIN_PERCENT = 80
 MAX_TEMPLATE_WORDS = 1_000_000
 
-# The usual wording of public license notices.
+# The usual wording of public license notices and of short license texts.
+_AS_IS = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+          "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+          "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+          "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+          "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+          "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT "
+          "OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. ")
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -55,6 +72,10 @@ TEMPLATES = {
     "bsd-clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met"),
+    "bsd-2-clause-text": _BSD + _AS_IS,
+    "bsd-3-clause-text": _BSD + (
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission. ") + _AS_IS,
     "cc-by-4.0": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-nc-nd-4.0": "Licensed under CC BY-NC-ND 4.0.",
@@ -65,11 +86,29 @@ TEMPLATES = {
     "gpl-notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
         "License as published by the Free Software Foundation"),
+    "isc-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS "
+        "PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES "
+        "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+        "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF "
+        "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
+        "SOFTWARE."),
     "lgpl-3": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "mit": "Released under the MIT License.",
     "mit-permission": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction"),
+    "mit-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice "
+        "and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS "
+        "PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT "
+        "HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
@@ -92,20 +131,34 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
     return sorted({int(i + j) for i, j in enumerate(view.argmin(1))})
 
 
-def build_index(templates: dict[str, str]) -> dict:
+def needed(n: int, min_percent: int) -> int:
+    """Words that must match of a template of ``n`` words."""
+    return -(-min_percent * n // 100)
+
+
+def gram_and_window(n: int, min_percent: int) -> tuple[int, int]:
+    """Longest runs and window that leave a fingerprint in a template of ``n`` words of
+    which as many are edited as ``min_percent`` allows, or one if it allows none."""
+    match = max(1, needed(n, min_percent))
+    run = -(-match // (max(1, n - match) + 1))
+    gram = min(GRAM, run)
+    return gram, min(WINDOW, run - gram + 1)
+
+
+def build_index(templates: dict[str, str], min_percent: int = MIN_PERCENT) -> dict:
     """Words of every template, and the inverted index (sorted hash -> template, place)."""
     names, words, posts = sorted(templates), [], []
     for t, name in enumerate(names):
         w = _words(templates[name].encode())[0]
         words.append(w)
-        n = min(GRAM, len(w))
-        if n:
+        if w:
+            n, window = gram_and_window(len(w), min_percent)
             h = gram_hashes(word_hashes(w), n)
-            posts += [(int(h[p]), t, p, n) for p in winnow(h)]
+            posts += [(int(h[p]), t, p, n) for p in winnow(h, window)]
     if sum(map(len, words)) > MAX_TEMPLATE_WORDS:
         raise ValueError("the templates exceed MAX_TEMPLATE_WORDS")
     posts.sort()
-    return {"names": names, "words": words, "posts": posts,
+    return {"names": names, "words": words, "posts": posts, "counts": [Counter(w) for w in words],
             "hashes": {n: np.array(sorted({p[0] for p in posts if p[3] == n}), np.uint64) for n in range(1, GRAM + 1)}}
 
 
@@ -122,13 +175,13 @@ def _align(doc: list[bytes], template: list[bytes], low: int, high: int) -> tupl
                 cur.append((0, 0, -1))
                 continue
             s, m, a = prev[c]  # one word back in both
-            cell = (s + 1, m + 1, a if s else i) if doc[i] == word else (s - 1, m, a)
+            cell = (s + 1, m + 1, a if m else i) if doc[i] == word else (s - 1, m, a)
             up = prev[c + 1]  # a template word is left out
-            if up[0] - 1 > cell[0]:
+            if (up[0] - 1, up[1]) > cell[:2]:
                 cell = (up[0] - 1, up[1], up[2])
-            if cur and cur[-1][0] - 1 > cell[0]:  # a document word is left out
+            if cur and (cur[-1][0] - 1, cur[-1][1]) > cell[:2]:  # a document word is left out
                 cell = (cur[-1][0] - 1, cur[-1][1], cur[-1][2])
-            if cell[0] <= 0:
+            if cell[0] < 0 or not cell[1]:
                 cell = (0, 0, -1)
             elif (cell[0], cell[1]) > best[:2]:
                 best = (cell[0], cell[1], cell[2], i)
@@ -164,13 +217,17 @@ def find_notices(text: bytes | None, index: dict, min_percent: int = MIN_PERCENT
         return []
     found = []
     for t, places in hits.items():
-        template, run = index["words"][t], []
+        template, count, run = index["words"][t], index["counts"][t], []
+        need = needed(len(template), min_percent)
         for hit in [*sorted(places), None]:
             if run and (hit is None or hit[0] - run[-1][0] > BAND or hit[0] - run[0][0] > len(template)):
                 free = words
                 while run:  # once more for the hits outside of what was found
+                    near = free[max(0, run[0][0] - BAND):max(0, run[-1][0] + BAND + len(template))]
+                    if sum(min(count[w], k) for w, k in Counter(filter(count.__contains__, near)).items()) < need:
+                        break
                     m, a, b = _align(free, template, run[0][0] - BAND, run[-1][0] + BAND)
-                    if not m or 100 * m < min_percent * len(template):
+                    if not m or m < need:
                         break
                     found.append((-m, -m / len(template), a, index["names"][t], b, len(template)))
                     free = [*free[:a], *[b""] * (b - a + 1), *free[b + 1:]]
@@ -201,7 +258,7 @@ def _scanned(batches, index, min_percent):
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None,
          min_percent: int = MIN_PERCENT) -> DataFrame:
     """``doc_id, license, matched, template_words, start, end, coverage`` per notice found."""
-    index = build_index(TEMPLATES if templates is None else templates)
+    index = build_index(TEMPLATES if templates is None else templates, min_percent)
     id_type = docs.schema[id_col].dataType.simpleString()
     src = ready(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     found = src.mapInArrow(lambda it: _scanned(it, index, min_percent),

@@ -18,6 +18,28 @@ def test_every_template_is_found_with_its_span():
         assert got[0] == name and doc[got[3]:got[4]] == text
 
 
+def test_one_word_changed_left_out_or_put_in():
+    """Every template whose share of matching words allows it, at every place."""
+    for name, text in L.TEMPLATES.items():
+        w = text.split()
+        n = len(L._words(text.encode())[0])
+        places = range(len(w)) if len(w) < 40 else range(0, len(w), 9)
+        for i in places:
+            for edit in ([], ["otherword"], [w[i], "otherword"]):
+                if len(edit) < 2 and 100 * (n - 1) < L.MIN_PERCENT * n:
+                    continue
+                got = find("lead words " + " ".join(w[:i] + edit + w[i + 1:]) + " trailing words")
+                assert any(100 * x[1] >= L.MIN_PERCENT * x[2] and x[1] >= n - 1 for x in got), (name, i, edit)
+    got = find("Released under an MIT License.")
+    assert [x[:3] for x in got] == [("mit", 4, 5)]
+
+
+def test_whole_license_texts():
+    for name in ("mit-text", "bsd-2-clause-text", "bsd-3-clause-text", "isc-text"):
+        text = "Copyright (c) 2020 Someone\n\n" + L.TEMPLATES[name].lower().replace(". ", ".\n\n    ")
+        assert [(x[0], x[1] == x[2]) for x in find(text)] == [(name, True)]
+
+
 def test_edited_copies_are_aligned():
     rnd = random.Random(1)
     for name in ("apache-2.0-header", "mit-permission", "gpl-notice"):
