@@ -53,23 +53,29 @@ _PRETOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9
 _loaded: dict = {}
 
 
-def _encoder(path: str):
+def _encoder(path: str, as_text: bool = True):
     """``encode(text bytes) -> little-endian uint32 ids`` with the tokenizer at ``path``.
 
     Its pre-tokeniser never joins what white space parts, so a text's ids are those
     of its words, one after the other; each worker remembers the words it has seen.
     Words of printable ASCII and Latin-1 letters are split as the pre-tokeniser
     splits them and go straight to the model; all others go through the whole
-    tokenizer.
+    tokenizer, and so do words that hold the string of an added token.  ``as_text``:
+    these strings are ordinary text; else they are single ids, as in the tokenizer's plain
+    call, which the operator uses.
     """
-    if path in _loaded:
-        return _loaded[path]
+    if (path, as_text) in _loaded:
+        return _loaded[path, as_text]
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import ByteLevel
 
     as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # the strings of special tokens are ordinary text
+    tok.encode_special_tokens = as_text
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    if not as_text and any(len(x.split()) != 1 or x != x.strip() for x in added):
+        raise ValueError("an added token with white space is not in a single word")
+    special = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
     model, pieces, words = tok.model, {}, {}
 
     pack_ids = [struct.Struct(f"<{n}I").pack for n in range(33)]
@@ -83,7 +89,7 @@ def _encoder(path: str):
 
     def word(w: bytes) -> bytes:
         text = w.decode()
-        if _PLAIN.fullmatch(text):
+        if _PLAIN.fullmatch(text) and (as_text or not special.search(text)):
             text = text.lower()
             return piece(text) if text.isalpha() else b"".join(map(piece, _PRETOKEN.findall(text)))
         return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -98,12 +104,12 @@ def _encoder(path: str):
             words[w] = word(w)
         return b"".join(map(words.__getitem__, parts))
 
-    _loaded[path] = encode
+    _loaded[path, as_text] = encode
     return encode
 
 
 def _cut_pieces(batches, path, capacity, end_id, with_ids):
-    encode = _encoder(path)
+    encode = _encoder(path, as_text=False)
     end = int(end_id).to_bytes(4, "little")
     for rb in batches:
         rows, no, start, length, crc, ids = [], [], [], [], [], []

@@ -71,6 +71,20 @@ def test_encoder_equals_the_tokenizer(tokenizer, documents):
         assert np.frombuffer(encode(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_strings_of_added_tokens_as_in_the_plain_call(make_docs):
+    """Against a tokenizer as it is loaded: an added token's string is one id."""
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b é<|startoftext|>日 <|ENDOFTEXT|> <|endoftext|><|startoftext|>", "<|endoftext|>",
+             "end<|endoftext |> of text"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [320, 49407, 321]
+    got = {r.doc_id: r for r in K.tokenized_pieces(make_docs(list(enumerate(texts))), tokenizer_path(), with_ids=True).collect()}
+    for i, ids in enumerate(want):
+        assert got[i].ids == [*ids, END] and got[i].length == len(ids) + 1
+        assert got[i].ids_crc32 == zlib.crc32(np.array([*ids, END], "<u4").tobytes())
+
+
 def test_round_trip(spark, make_docs, tokenizer):
     rnd = random.Random(3)
     rows = [(i, " ".join(rnd.choice(["alpha", "beta", "naïve", "x1", "!"]) for _ in range(rnd.randrange(120)))) for i in range(80)]
