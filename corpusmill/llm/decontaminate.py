@@ -16,7 +16,8 @@ has, anywhere in its text.  Search by size-partitioned MinHash:
 * Candidates are verified by exact shingle containment on the full texts.
 
 Cases: a null or blank text has no shingles, neither contains nor is found.  A
-text of one to four words is one shingle of all its words.  Repeated items are
+text of one to four words is one shingle of all its words, so an item that short is
+not found in longer documents (the oracle SQL has the same rule).  Repeated items are
 reported each by their id; repeated documents once per different text.  A null
 document id is reported as null.  Other columns are not read.
 """
