@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.llm import (decontaminate, html_extract, language_id, license_scan, near_dedup, packing,
-                            quality_classifier, quality_rules, secret_scan, sharding)
+                            quality_classifier, quality_rules, secret_scan, sharding, token_counts)
 from corpusmill.llm.common import table
 
 
@@ -87,6 +87,12 @@ def op10_html_extraction(spark, sf_dir):
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def op12_token_counts(spark, sf_dir):
+    """Tokens of all documents under a 32,000-piece BPE with byte fallback."""
+    import public_tokenizers
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 REGISTRY = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -98,6 +104,7 @@ REGISTRY = {
     "op8_sharding": op8_sharding,
     "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
+    "op12_token_counts": op12_token_counts,
 }
 
 # distinct five-word shingles of a table's texts, A-Z lower-cased
