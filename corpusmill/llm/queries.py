@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.llm import (decontaminate, html_extract, language_id, license_scan, near_dedup, packing,
-                            quality_classifier, quality_rules, secret_scan, sharding, token_counts)
+                            quality_classifier, quality_rules, secret_scan, sharding, token_counts,
+                            vector_codes, whitening)
 from corpusmill.llm.common import table
 
 
@@ -87,12 +88,28 @@ def op10_html_extraction(spark, sf_dir):
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    """Whitened components of all embeddings, fitted on the distinct vectors."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    part = F.explode(F.arrays_zip("whitened", "explained", F.sequence(F.lit(1), F.size("whitened")).alias("component")))
+    return (found.filter(F.size("whitened") > 0).select("vec_id", "n", "deviation", "identity_error", part.alias("p"))
+            .select("vec_id", "p.component", "n", "deviation", "p.whitened", "p.explained", "identity_error"))
+
+
 def op12_token_counts(spark, sf_dir):
     """Tokens of all documents under a 32,000-piece BPE with byte fallback."""
     import public_tokenizers
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_vector_codes(spark, sf_dir):
+    """Four-byte codes of all embeddings, their errors and the digest of the codebooks."""
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.lower(F.array_join(F.transform("code", lambda c: F.lpad(F.hex(c), 2, "0")), ""))
+    return coded.select("vec_id", code.alias("code"), "error", "label_error",
+                        F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
 REGISTRY = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -104,7 +121,9 @@ REGISTRY = {
     "op8_sharding": op8_sharding,
     "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_token_counts": op12_token_counts,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 # distinct five-word shingles of a table's texts, A-Z lower-cased
