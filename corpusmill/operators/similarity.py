@@ -66,18 +66,53 @@ def one_to_many_cosine(images: DataFrame, captions: DataFrame, image_key: str =
 # ---------------------------------------------------------------- E4 top-k
 
 def _blocks(df: DataFrame, id_col: str, vec: str, n_blocks: int, name: str,
-            group_cols=(), key_col: str | None = None) -> DataFrame:
+            group_cols=(), key_col: str | None = None, value_col: str | None = None) -> DataFrame:
     """One row per (group, block): (group..., block, rows array<struct<id,
-    key, v>>).  Block = hash of the id, so blocks are balanced whatever the
-    id layout.  ``key`` is an optional integral match key carried along."""
+    key, x, v>>).  Block = hash of the id, so blocks are balanced whatever the
+    id layout.  ``key`` is an optional integral match key carried along, ``x`` an
+    optional double."""
     g = [F.col(c) for c in group_cols]
     key = F.col(key_col).cast("bigint") if key_col else F.lit(None).cast("bigint")
-    return (df.select(*g, F.col(id_col).cast("bigint").alias("id"), key.alias("key"),
+    value = F.col(value_col).cast("double") if value_col else F.lit(None).cast("double")
+    return (df.select(*g, F.col(id_col).cast("bigint").alias("id"), key.alias("key"), value.alias("x"),
                       V.as_double_array(vec).alias("v"))
               .filter(F.col("v").isNotNull())   # a zero vector has no direction
               .withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
               .groupBy(*group_cols, name)
-              .agg(F.collect_list(F.struct("id", "key", "v")).alias(name + "_rows")))
+              .agg(F.collect_list(F.struct("id", "key", "x", "v")).alias(name + "_rows")))
+
+
+def block_pairs(queries: DataFrame, candidates: DataFrame, q_id: str, c_id: str, vec: str = "vec",
+                block_size: int = DEFAULT_BLOCK, n_candidates: int | None = None, n_queries: int | None = None,
+                group_cols=(), q_key: str | None = None, c_key: str | None = None, q_value: str | None = None,
+                broadcast_bytes: int = BROADCAST_CANDIDATE_BYTES):
+    """(pairs, number of candidate blocks): every query block with every candidate block of its group, as
+    ``(group..., q_rows, c_rows)``; pairs is None when a side is empty."""
+    group_cols = list(group_cols)
+    # one small job measures the candidate side: rows and longest vector
+    stats = candidates.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    n_c = n_candidates if n_candidates is not None else stats["n"]
+    dim = stats["d"] or 0
+    n_q = n_queries if n_queries is not None else queries.count()
+    if n_c == 0 or n_q == 0:
+        return None, 0
+    # block counts from the overall sizes: a group smaller than a block just
+    # gives fewer, smaller blocks
+    n_cb = max(1, math.ceil(n_c / block_size))
+    n_qb = max(1, math.ceil(n_q / block_size))
+    cb = _blocks(candidates, c_id, vec, n_cb, "cb", group_cols, c_key).withColumnRenamed("cb_rows", "c_rows")
+    qb = (_blocks(queries, q_id, vec, n_qb, "qb", group_cols, q_key, q_value).withColumnRenamed("qb_rows", "q_rows")
+          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1)))))
+    if stats["n"] * max(dim, 1) * 8 <= broadcast_bytes:
+        # proven small: every query block meets the candidate blocks where it
+        # lies, the replicated query side is never shuffled
+        pairs = qb.join(F.broadcast(cb), on=group_cols + ["cb"], how="inner")
+    else:
+        n_slab = math.isqrt(n_qb - 1) + 1
+        qb = qb.withColumn("slab", F.col("qb") % n_slab)
+        cb = cb.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(n_slab - 1))))
+        pairs = qb.join(cb, on=group_cols + ["slab", "cb"], how="inner")
+    return pairs.select(*group_cols, "q_rows", "c_rows"), n_cb
 
 
 def _block_topk_fn(k: int, scale: float, group_cols=()):
@@ -140,37 +175,17 @@ def topk_scores(queries: DataFrame, candidates: DataFrame, k: int,
         raise ValueError("k must be >= 1")
     ship_package(queries.sparkSession)
     group_cols = list(group_cols)
-    # one small job measures the candidate side: rows and longest vector
-    stats = candidates.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    n_c = n_candidates if n_candidates is not None else stats["n"]
-    dim = stats["d"] or 0
-    n_q = n_queries if n_queries is not None else queries.count()
+    pairs, n_cb = block_pairs(queries, candidates, q_id, c_id, vec, block_size, n_candidates, n_queries,
+                              group_cols, q_key, c_key, broadcast_bytes=broadcast_bytes)
     out_schema = T.StructType(
         [queries.schema[c] for c in group_cols]
         + [T.StructField(q_id, T.LongType()), T.StructField(c_id, T.LongType()),
            T.StructField("score", T.DoubleType()), T.StructField("rank", T.LongType())])
     spark = queries.sparkSession
-    if n_c == 0 or n_q == 0:
+    if pairs is None:
         if q_key and c_key:
             out_schema = out_schema.add("is_pos", T.BooleanType())
         return spark.createDataFrame([], out_schema)
-    # block counts from the overall sizes: a group smaller than a block just
-    # gives fewer, smaller blocks
-    n_cb = max(1, math.ceil(n_c / block_size))
-    n_qb = max(1, math.ceil(n_q / block_size))
-    cb = _blocks(candidates, c_id, vec, n_cb, "cb", group_cols, c_key).withColumnRenamed("cb_rows", "c_rows")
-    qb = (_blocks(queries, q_id, vec, n_qb, "qb", group_cols, q_key).withColumnRenamed("qb_rows", "q_rows")
-          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1)))))
-    if stats["n"] * max(dim, 1) * 8 <= broadcast_bytes:
-        # proven small: every query block meets the candidate blocks where it
-        # lies, the replicated query side is never shuffled
-        pairs = qb.join(F.broadcast(cb), on=group_cols + ["cb"], how="inner")
-    else:
-        n_slab = math.isqrt(n_qb - 1) + 1
-        qb = qb.withColumn("slab", F.col("qb") % n_slab)
-        cb = cb.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(n_slab - 1))))
-        pairs = qb.join(cb, on=group_cols + ["slab", "cb"], how="inner")
-    pairs = pairs.select(*group_cols, "q_rows", "c_rows")
     gschema = "".join(f"{queries.schema[c].name} {queries.schema[c].dataType.simpleString()}, "
                       for c in group_cols)
     local = pairs.mapInPandas(_block_topk_fn(k, float(scale), group_cols),

@@ -178,6 +178,7 @@ def d15_batches(spark, d):
 # ---------------------------------------------------------------- E: classification
 
 from corpusmill.operators import metrics as M  # noqa: E402
+from corpusmill.operators import scoring_state as ST  # noqa: E402
 from corpusmill.operators.indexing import global_index  # noqa: E402
 
 # Prompt templates of the queries.
@@ -202,8 +203,12 @@ def _probs(spark, d):
     return Z.softmax(_class_scores(spark, d))
 
 
+def _states(spark, d):
+    return ST.class_states(views.test_images(spark, d), _protos(spark, d), scale=100.0)
+
+
 def _preds(spark, d):
-    return Z.predictions(_probs(spark, d), views.test_images(spark, d))
+    return ST.predictions(_states(spark, d))
 
 
 @register("e1_prompt_expansion")
@@ -266,7 +271,7 @@ def e8_image_to_text(spark, d):
 
 @register("e12_topk_accuracy")
 def e12_topk_accuracy(spark, d):
-    acc = Z.topk_accuracy(_class_scores(spark, d), views.test_images(spark, d), ks=(1, 5, 10))
+    acc = Z.topk_accuracy(ST.true_ranks(_states(spark, d)), views.test_images(spark, d), ks=(1, 5, 10))
     return acc.select("k", _r("accuracy").alias("accuracy"))
 
 
@@ -274,8 +279,7 @@ def e12_topk_accuracy(spark, d):
 def e13_class_subset(spark, d):
     sub = spark.createDataFrame(list(enumerate(SUBSET_CLASSES)), "pos bigint, class_idx bigint")
     im, pr = Z.class_subset(views.test_images(spark, d), _protos(spark, d), sub)
-    sc = Z.class_scores(im, pr, scale=100.0, target="target")
-    acc = Z.subset_accuracy(sc, im, len(SUBSET_CLASSES))
+    acc = Z.subset_accuracy(ST.true_ranks(ST.class_states(im, pr, scale=100.0)), im, len(SUBSET_CLASSES))
     return acc.select(_r("accuracy").alias("accuracy"), "n_images")
 
 
@@ -307,8 +311,8 @@ def e14_sweep_accuracy(spark, d):
     im, pr = _sweep_inputs(spark, d)
     g = ["lang", "prompt_set"]
     protos = Z.class_prototypes(pr, "a", group_cols=g)
-    sc = Z.class_scores(im, protos, scale=100.0, group_cols=g, target="target")
-    acc = Z.topk_accuracy(sc, im, ks=(1, 5), group_cols=g)
+    ranks = ST.true_ranks(ST.class_states(im, protos, scale=100.0, group_cols=g), group_cols=g)
+    acc = Z.topk_accuracy(ranks, im, ks=(1, 5), group_cols=g)
     return acc.select("lang", "prompt_set", "k", _r("accuracy").alias("accuracy"))
 
 
@@ -407,7 +411,7 @@ def f8_in_batch_accuracy(spark, d):
 
 @register("f9_classification_loss")
 def f9_classification_loss(spark, d):
-    r = M.classification_loss(_class_scores(spark, d), views.test_images(spark, d))
+    r = ST.classification_loss(_states(spark, d), views.test_images(spark, d))
     return r.select(_r("loss").alias("loss"), _r("accuracy").alias("accuracy"))
 
 
