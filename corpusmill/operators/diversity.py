@@ -4,10 +4,14 @@ D8 and D9 are plain aggregates and joins.  The TF-IDF corpus is the caption
 set of *one image* (vectoriser defaults: lower case, ``\\b\\w\\w+\\b`` tokens, raw
 term counts, ``idf = ln((1+n)/(1+df)) + 1``, L2 norm per caption).
 
-D10's greedy loop is sequential per image; it runs in ``applyInPandas`` only
-for images that have at least one caption pair above the threshold (the
-others keep every caption and never leave the JVM), and it works on the
-sparse edge list (pairs sharing a token), not on a dense matrix.
+D10's greedy loop is sequential per image.  It needs no list of caption pairs: the summed
+similarity of a caption to the others is the dot product of its weights with the summed weights of
+the captions left (less its own), and shrinks by the removed caption's products along the postings of
+its tokens.  Whether some pair is still above the threshold is kept as one witness pair, looked for
+again only when one of the two goes.  Memory is linear in the tokens of the image.  The loop
+runs in ``applyInPandas``, and only for images in which two captions share a *prefix* token: the tokens of a
+caption from the rarest on, until the norm of the rest is within the threshold.  A pair above
+the threshold shares a token in both prefixes, since all others together cannot reach it.
 """
 
 from __future__ import annotations
@@ -69,72 +73,125 @@ def pair_similarity(weights: DataFrame) -> DataFrame:
              .groupBy("image", "pos_a", "pos_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("sim")))
 
 
-def greedy_prune(n: int, has_tokens: np.ndarray, ea: np.ndarray, eb: np.ndarray, es: np.ndarray,
-                 k_min: int = DEFAULT_K_MIN, thr: float = DEFAULT_THR,
-                 drop_isolated: bool = False) -> np.ndarray:
-    """The greedy loop for one image on its sparse similarity edges.
-
-    Positions are 0..n-1; edges (ea < eb, es > 0).  Returns a boolean keep
-    mask.  While some surviving pair is above ``thr`` and more than ``k_min``
-    captions survive, the caption with the largest summed similarity to the
-    others (lowest position on ties; a caption without tokens counts -1 for
-    itself) is removed.  ``drop_isolated`` reproduces the reference's final
-    step, which also drops survivors that share no token with any other
-    survivor."""
-    keep = np.ones(n, dtype=bool)
-    if n < k_min:
-        return keep
-    if not has_tokens.any():
-        return keep
-    diag = np.where(has_tokens, 0.0, -1.0)
-    cost = diag.copy()
-    np.add.at(cost, ea, es)
-    np.add.at(cost, eb, es)
-    # adjacency (CSR) for the decremental cost update
-    src = np.concatenate([ea, eb])
-    dst = np.concatenate([eb, ea])
-    wt = np.concatenate([es, es])
-    order = np.argsort(src, kind="stable")
-    src, dst, wt = src[order], dst[order], wt[order]
-    start = np.searchsorted(src, np.arange(n + 1))
-    strong = int((es > thr).sum())
-    alive_n = n
-    while strong > 0 and alive_n > k_min:
-        # costs compared at 9 decimals: the incremental update must not turn
-        # an exact tie (lowest position wins) into a float-noise decision
-        masked = np.where(keep, np.round(cost, 9), -np.inf)
-        i = int(np.argmax(masked))
-        keep[i] = False
-        alive_n -= 1
-        lo, hi = start[i], start[i + 1]
-        nb, w = dst[lo:hi], wt[lo:hi]
-        live = keep[nb]
-        np.subtract.at(cost, nb[live], w[live])
-        strong -= int((w[live] > thr).sum())
+def prefixes(weights: DataFrame, thr: float = DEFAULT_THR) -> DataFrame:
+    """The (image, pos, token, w) rows of the prefix of each caption: tokens by rising ``df`` (then name),
+    each with a rest, itself included, whose norm is above ``thr``.  Two captions with a similarity above
+    ``thr`` share a token in both prefixes."""
+    rest = (Window.partitionBy("image", "pos").orderBy("df", "token")
+            .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # a little below the threshold, as the weights are rounded numbers
+    kept = weights.withColumn("__rest", F.sum(F.col("w") * F.col("w")).over(rest)).filter(F.col("__rest") > thr * thr - 1e-9)
+    return kept.select("image", "pos", "token", "w")
+
+
+def similar_pairs(weights: DataFrame, thr: float = DEFAULT_THR) -> DataFrame:
+    """D9 above a threshold: (image, pos_a, pos_b, sim) for the pairs with ``sim > thr`` only.  Candidates share
+    a prefix token; they are verified on all their tokens.  A word that many captions share is in few prefixes, so it
+    does not bring together all captions that have it."""
+    w = reliable_checkpoint(weights)
+    p = prefixes(w, thr)
+    a = p.select("image", "token", F.col("pos").alias("pos_a"))
+    b = p.select("image", "token", F.col("pos").alias("pos_b"))
+    cand = a.join(b, ["image", "token"]).filter(F.col("pos_a") < F.col("pos_b")).select("image", "pos_a", "pos_b").distinct()
+    bag = w.groupBy("image", "pos").agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("m"))  # one caption
+    both = (cand.join(bag.select("image", F.col("pos").alias("pos_a"), F.map_entries("m").alias("ta")), ["image", "pos_a"])
+            .join(bag.select("image", F.col("pos").alias("pos_b"), F.col("m").alias("mb")), ["image", "pos_b"]))
+    sim = F.aggregate("ta", F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(F.try_element_at("mb", x["key"]), F.lit(0.0)))
+    return both.select("image", "pos_a", "pos_b", sim.alias("sim")).filter(F.col("sim") > thr)
+
+
+class _Captions:
+    """The captions of one image as postings: ``caption`` (0..n-1), ``token`` and ``w`` of every weight."""
+
+    def __init__(self, n: int, caption: np.ndarray, token: np.ndarray, w: np.ndarray, thr: float):
+        self.n, self.n_tokens = n, int(token.max()) + 1 if len(token) else 0
+        # each caption's tokens from the rarest on; its prefix as in ``prefixes``
+        order = np.lexsort((token, np.bincount(token)[token], caption))
+        rest = np.cumsum((w[order] ** 2)[::-1])[::-1]
+        after = np.r_[rest, 0.0][np.searchsorted(caption[order], caption[order], "right")]
+        prefix = rest - after > thr * thr - 1e-9
+        at = np.flatnonzero(prefix)
+        self.prefix_own = np.searchsorted(caption[order][at], np.arange(n + 1))
+        self.prefix_token = token[order][at]
+        by_token = np.argsort(self.prefix_token, kind="stable")
+        self.prefix_start = np.searchsorted(self.prefix_token[by_token], np.arange(self.n_tokens + 1))
+        self.prefix_caption = caption[order][at][by_token]
+        self.own = np.searchsorted(caption[order], np.arange(n + 1))
+        self.token, self.w = token[order], w[order]
+        post = np.argsort(self.token, kind="stable")
+        self.start = np.searchsorted(self.token[post], np.arange(self.n_tokens + 1))
+        self.caption, self.post_w = caption[order][post], self.w[post]
+        self.has_tokens = np.diff(self.own) > 0
+        self.alive = np.ones(n, dtype=bool)
+
+    def products(self, i: int) -> np.ndarray:
+        """Similarity of caption ``i`` to every caption."""
+        out = np.zeros(self.n)
+        for t, w in zip(self.token[self.own[i]:self.own[i + 1]].tolist(), self.w[self.own[i]:self.own[i + 1]].tolist()):
+            at = slice(self.start[t], self.start[t + 1])
+            out[self.caption[at]] += w * self.post_w[at]   # a caption is at most once among the postings of a token
+        return out
+
+    def costs(self) -> np.ndarray:
+        """Summed similarity of each caption to the others; -1 without tokens."""
+        sums = np.bincount(self.token, self.w, self.n_tokens)
+        cost = np.bincount(np.repeat(np.arange(self.n), np.diff(self.own)), self.w * sums[self.token], self.n)
+        return np.where(self.has_tokens, cost - np.bincount(np.repeat(np.arange(self.n), np.diff(self.own)), self.w * self.w, self.n), -1.0)
+
+    def partner(self, i: int, thr: float) -> int:
+        """A surviving caption more similar to ``i`` than ``thr``, or -1."""
+        lists = [self.prefix_caption[self.prefix_start[t]:self.prefix_start[t + 1]]
+                 for t in self.prefix_token[self.prefix_own[i]:self.prefix_own[i + 1]].tolist()]
+        maybe = [x for x in lists if len(x) > 1]
+        if not maybe:
+            return -1
+        near = np.concatenate(maybe)
+        near = near[self.alive[near] & (near != i)]
+        found = near[self.products(i)[near] > thr] if len(near) else near
+        return int(found.min()) if len(found) else -1
+
+
+def greedy_prune(n: int, caption: np.ndarray, token: np.ndarray, w: np.ndarray, k_min: int = DEFAULT_K_MIN,
+                 thr: float = DEFAULT_THR, drop_isolated: bool = False) -> np.ndarray:
+    """The greedy loop for one image with captions 0..n-1 and their unit token weights; a keep mask.
+
+    While some surviving pair is above ``thr`` and more than ``k_min`` captions survive, the caption with the
+    largest summed similarity to the others (lowest position on ties; a caption without tokens counts -1)
+    is removed.  ``drop_isolated`` reproduces the reference's final step, which also drops
+    survivors that share no token with any other survivor."""
+    if n < k_min or not len(token):
+        return np.ones(n, dtype=bool)
+    c = _Captions(n, caption, token, w, thr)
+    cost = c.costs()
+    left, first, second = n, 0, -1
+    while left > k_min:
+        # the next pair above the threshold; a caption without one never gets one again
+        while first < n and not (c.alive[first] and second >= 0 and c.alive[second]):
+            second = c.partner(first, thr) if c.alive[first] else -1
+            first += second < 0
+        if first == n:
+            break
+        # compared at 9 decimals: the running update must not turn an exact tie
+        # (lowest position wins) into a float-noise decision
+        i = int(np.argmax(np.where(c.alive, np.round(cost, 9), -np.inf)))
+        c.alive[i] = False
+        left -= 1
+        cost -= c.products(i)
     if drop_isolated:
-        final = diag.copy()
-        live_e = keep[ea] & keep[eb]
-        np.add.at(final, ea[live_e], es[live_e])
-        np.add.at(final, eb[live_e], es[live_e])
-        keep &= final != 0
-    return keep
+        live = np.repeat(c.alive, np.diff(c.own))
+        shared = np.bincount(c.token[live], minlength=c.n_tokens) > 1
+        linked = np.bincount(np.repeat(np.arange(n), np.diff(c.own)), shared[c.token], n) > 0
+        c.alive &= linked | ~c.has_tokens
+    return c.alive
 
 
 def _prune_groups(k_min: int, thr: float, drop_isolated: bool):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        img = pdf["image"].iloc[0]
-        nodes = pdf[pdf["kind"] == 0].sort_values("a")
-        edges = pdf[pdf["kind"] == 1]
-        pos = nodes["a"].to_numpy(dtype=np.int64)          # sorted caption positions
-        n = len(pos)
-        has_tok = nodes["s"].to_numpy() > 0
-        # node index of each edge end (positions may have gaps after a filter)
-        ea = np.searchsorted(pos, edges["a"].to_numpy(dtype=np.int64))
-        eb = np.searchsorted(pos, edges["b"].to_numpy(dtype=np.int64))
-        es = edges["s"].to_numpy(dtype=np.float64)
-        keep = greedy_prune(n, has_tok, ea, eb, es, k_min, thr, drop_isolated)
-        return pd.DataFrame({"image": np.full(int(keep.sum()), img, dtype=np.int64),
-                             "pos": pos[keep]})
+        words = pdf["token"].notna().to_numpy()
+        pos, caption = np.unique(pdf["pos"].to_numpy(dtype=np.int64), return_inverse=True)
+        token = np.unique(pdf["token"].to_numpy()[words], return_inverse=True)[1] if words.any() else np.empty(0, np.int64)
+        keep = greedy_prune(len(pos), caption[words], token, pdf["w"].to_numpy(dtype=np.float64)[words], k_min, thr, drop_isolated)
+        return pd.DataFrame({"image": np.full(int(keep.sum()), pdf["image"].iloc[0], dtype=np.int64), "pos": pos[keep]})
     return fn
 
 
@@ -142,35 +199,25 @@ def prune_similar(captions: DataFrame, k_min: int = DEFAULT_K_MIN, thr: float =
                   drop_isolated: bool = False, image: str = "image", pos: str = "pos",
                   text: str = "text", n_col: str | None = None) -> DataFrame:
     """Captions kept after greedy diversity pruning, as (image, pos,
-    text) rows.  Images need the loop only when some pair is above ``thr``
-    (or ``drop_isolated`` asks for the final step); all others are kept
-    whole without leaving the JVM."""
+    text) rows.  Images need the loop only when two captions share a prefix
+    token (or ``drop_isolated`` asks for the final step); all others are kept
+    whole without leaving the JVM.  The weights of one image are one group: linear in its tokens."""
     ship_package(captions.sparkSession)
     c = captions.select(F.col(image).cast("bigint").alias("image"), F.col(pos).cast("bigint").alias("pos"),
                         F.col(text).alias("text"), *([F.col(n_col).alias("__n")] if n_col else []))
-    # weights and edges feed several branches below: computed once, cut
+    # the weights feed several branches below: computed once, cut
     # from the lineage in the shared checkpoint folder
     w = reliable_checkpoint(tfidf(c, n_col="__n" if n_col else None))
-    sims = reliable_checkpoint(pair_similarity(w).filter(F.col("sim") > 0))
-    n = c.groupBy("image").agg(F.count(F.lit(1)).alias("n"))
-    if drop_isolated:
-        todo = n.filter(F.col("n") >= k_min).select("image")
-    else:
-        todo = (sims.filter(F.col("sim") > thr).select("image").distinct()
-                    .join(n.filter(F.col("n") >= k_min), "image", "left_semi"))
-    ntok = w.groupBy("image", "pos").agg(F.count(F.lit(1)).alias("nt"))
-    node_rows = (c.join(todo, "image", "left_semi").join(ntok, ["image", "pos"], "left")
-                  .select("image", F.lit(0).alias("kind"), F.col("pos").alias("a"),
-                          F.lit(-1).cast("bigint").alias("b"),
-                          F.coalesce(F.col("nt"), F.lit(0)).cast("double").alias("s")))
-    edge_rows = (sims.join(todo, "image", "left_semi")
-                     .select("image", F.lit(1).alias("kind"), F.col("pos_a").alias("a"),
-                             F.col("pos_b").alias("b"), F.col("sim").alias("s")))
-    kept = (node_rows.unionByName(edge_rows).groupBy("image")
-                     .applyInPandas(_prune_groups(k_min, thr, drop_isolated), "image long, pos long"))
+    todo = c.groupBy("image").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k_min).select("image")
+    if not drop_isolated:
+        meet = prefixes(w, thr).groupBy("image", "token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        todo = todo.join(meet.select("image").distinct(), "image", "left_semi")
+    rows = (c.join(todo, "image", "left_semi").select("image", "pos")
+            .join(w.select("image", "pos", "token", "w"), ["image", "pos"], "left"))
+    kept = rows.groupBy("image").applyInPandas(_prune_groups(k_min, thr, drop_isolated), "image long, pos long")
     untouched = c.join(todo, "image", "left_anti").select("image", "pos")
     keep_keys = kept.unionByName(untouched)
-    return c.join(keep_keys, ["image", "pos"], "inner")
+    return c.join(keep_keys, ["image", "pos"], "inner").select("image", "pos", "text")
 
 
 def threshold_then_diversity(captions: DataFrame, sims_col: str = "sim", threshold: float = 0.2,

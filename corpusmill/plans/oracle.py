@@ -72,7 +72,8 @@ CAPS = ("caps AS (SELECT doc_id AS image, generate_subscripts(string_split(text,
         "unnest(string_split(text, chr(10))) AS text FROM documents), "
         "capsx AS (SELECT image, row_number() OVER (PARTITION BY image ORDER BY pos) - 1 AS pos, text "
         "FROM caps WHERE text <> '')")
-TFIDF = (CAPS + ", ndocs AS (SELECT image, count(*) AS n FROM capsx GROUP BY image), "
+# TF-IDF over the captions ``capsx`` of each image
+WEIGHTS = ("ndocs AS (SELECT image, count(*) AS n FROM capsx GROUP BY image), "
          "tok AS (SELECT image, pos, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS token FROM capsx), "
          "tf AS (SELECT image, pos, token, count(*) AS tf FROM tok GROUP BY ALL), "
          "dfq AS (SELECT image, token, count(*) AS df FROM tf GROUP BY ALL), "
@@ -80,6 +81,25 @@ TFIDF = (CAPS + ", ndocs AS (SELECT image, count(*) AS n FROM capsx GROUP BY ima
          "FROM tf JOIN dfq USING (image, token) JOIN ndocs n USING (image)), "
          "nrm AS (SELECT image, pos, sqrt(sum(raw * raw)) AS nrm FROM raw GROUP BY ALL), "
          "w AS (SELECT raw.image, raw.pos, raw.token, raw.raw / nrm.nrm AS w FROM raw JOIN nrm USING (image, pos))")
+TFIDF = f"{CAPS}, {WEIGHTS}"
+
+# Greedy pruning over ``capsx`` and ``w``, one removal a step: ``alive`` has the captions left after each step.
+PRUNE = ("sims AS (SELECT a.image, a.pos AS u, b.pos AS v, sum(a.w * b.w) AS sim FROM w a JOIN w b "
+         "ON a.image = b.image AND a.token = b.token AND a.pos <> b.pos GROUP BY ALL), "
+         "bare AS (SELECT image, pos FROM capsx EXCEPT SELECT image, pos FROM w), "
+         "alive AS (SELECT image, pos, 0 AS step FROM capsx "
+         "UNION ALL SELECT image, pos, step + 1 FROM ("
+         "SELECT image, pos, step, strong, count(*) OVER (PARTITION BY image) AS n, "
+         "row_number() OVER (PARTITION BY image ORDER BY round(cost, 9) DESC, pos) AS rn FROM ("
+         "SELECT image, pos, step, cost, sum(near) OVER (PARTITION BY image) AS strong FROM ("
+         "SELECT a.image, a.pos, a.step, coalesce(sum(s.sim) FILTER (WHERE b.pos IS NOT NULL), 0) "
+         "- max(CASE WHEN e.pos IS NULL THEN 0 ELSE 1 END) AS cost, "
+         "count(*) FILTER (WHERE b.pos IS NOT NULL AND s.sim > 0.3) AS near FROM alive a "
+         "LEFT JOIN sims s ON s.image = a.image AND s.u = a.pos "
+         "LEFT JOIN alive b ON b.image = s.image AND b.pos = s.v "
+         "LEFT JOIN bare e ON e.image = a.image AND e.pos = a.pos GROUP BY a.image, a.pos, a.step))) "
+         "WHERE strong > 0 AND n > 3 AND rn > 1), "
+         "kept AS (SELECT image, pos FROM (SELECT *, max(step) OVER (PARTITION BY image) AS last FROM alive) WHERE step = last)")
 
 ORACLE["d1_l2_normalize"] = """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -139,6 +159,20 @@ FROM w a JOIN w b ON a.image = b.image AND a.token = b.token AND a.pos < b.pos
 GROUP BY a.image, a.pos, b.pos
 """
 
+ORACLE["d9_similar_pairs"] = f"""
+WITH {TFIDF}
+SELECT a.image, a.pos AS pos_a, b.pos AS pos_b, round(sum(a.w * b.w), 6) AS sim
+FROM w a JOIN w b ON a.image = b.image AND a.token = b.token AND a.pos < b.pos
+GROUP BY a.image, a.pos, b.pos HAVING sum(a.w * b.w) > 0.3
+"""
+
+ORACLE["d10_diversity_pruning"] = f"WITH RECURSIVE {TFIDF}, {PRUNE} SELECT image, pos FROM kept"
+
+ORACLE["d11_threshold_diversity"] = f"""
+WITH RECURSIVE {IMG}, {CAP}, {D3}, capsx AS (SELECT image_id AS image, pos, text FROM d3 WHERE round(sim, 9) >= 0.15),
+{WEIGHTS}, {PRUNE} SELECT image, pos FROM kept
+"""
+
 ORACLE["d15_batches"] = """
 WITH h AS (SELECT doc_id, ('0x' || substr(md5(concat_ws('|', doc_id, 3, 0)), 1, 8))::BIGINT AS h FROM documents),
 i AS (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) - 1 AS idx FROM h)

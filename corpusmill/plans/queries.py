@@ -147,9 +147,16 @@ def d9_caption_pair_similarity(spark, d):
     return p.select("image", "pos_a", "pos_b", _r("sim").alias("sim"))
 
 
+@register("d9_similar_pairs")
+def d9_similar_pairs(spark, d):
+    """The caption pairs above the pruning threshold, by a prefix-filtered join."""
+    p = DV.similar_pairs(DV.tfidf(views.caps(spark, d), n_col="n_captions"), thr=0.3)
+    return p.select("image", "pos_a", "pos_b", _r("sim").alias("sim"))
+
+
 @register("d10_diversity_pruning")
 def d10_diversity_pruning(spark, d):
-    """Greedy loop: no SQL form; checked by rows and against numpy in tests."""
+    """Captions left by the greedy loop."""
     return DV.prune_similar(views.caps(spark, d), k_min=3, thr=0.3, n_col="n_captions").select("image", "pos")
 
 

@@ -1,5 +1,8 @@
 """Caption selection quirks (D5-D7, D10) and the greedy loop against a
 restatement of the rule."""
+import re
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +104,50 @@ def test_greedy_prune_matches_dense_loop(spark, seed):
     assert got == expected
 
 
+@pytest.mark.parametrize("drop_isolated", [False, True])
+def test_sum_vector_loop_matches_dense_loop(drop_isolated):
+    """The loop alone, on more and longer captions, with repeated ones and captions without tokens."""
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        caps = [" ".join(rng.choice(WORDS, size=int(rng.integers(0, 6)))) for _ in range(int(rng.integers(1, 40)))]
+        dense, has = _tfidf_dense(caps)
+        lines = [sorted(set(re.findall(r"\b\w\w+\b", c))) for c in caps]
+        n, df = len(caps), {t: sum(t in x for x in lines) for x in lines for t in x}
+        rows = []
+        for i, c in enumerate(caps):
+            raw = {t: c.split().count(t) * (np.log((1 + n) / (1 + df[t])) + 1) for t in lines[i]}
+            norm = np.sqrt(sum(v * v for v in raw.values()))
+            rows += [(i, sorted(df).index(t), v / norm) for t, v in raw.items()]
+        caption, token, w = (np.array([r[k] for r in rows], dtype=kind) for k, kind in enumerate((int, int, float)))
+        keep = DV.greedy_prune(n, caption, token, w, 3, 0.3, drop_isolated)
+        assert np.flatnonzero(keep).tolist() == _pruned(caps, drop_isolated=drop_isolated)
+
+
+def test_hot_image_in_linear_memory():
+    """100,000 captions that share a word, some of them alike: all pairs would be 5 x 10^9."""
+    n = 100_000
+    group = np.arange(n) // 2 * (np.arange(n) < 40)               # the first 40 are 20 pairs of equal captions
+    own = np.where(np.arange(n) < 40, group, np.arange(n)) + 1
+    caption, token = np.repeat(np.arange(n), 2), np.stack([np.zeros(n, np.int64), own], 1).ravel()
+    w = np.tile([0.1, np.sqrt(0.99)], n)
+    tracemalloc.start()
+    keep = DV.greedy_prune(n, caption, token, w)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert np.flatnonzero(~keep).tolist() == list(range(0, 40, 2))
+
+
+def test_similar_pairs_equal_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(img, p, " ".join(rng.choice(WORDS + ["the"] * 20, size=int(rng.integers(0, 7))))) for img in range(6) for p in range(30)]
+    w = DV.tfidf(spark.createDataFrame(rows, "image long, pos long, text string"))
+    for thr in (0.1, 0.3, 0.7):
+        got = {(r.image, r.pos_a, r.pos_b): round(r.sim, 9) for r in DV.similar_pairs(w, thr).collect()}
+        assert got == {(r.image, r.pos_a, r.pos_b): round(r.sim, 9) for r in DV.pair_similarity(w).filter(f"sim > {thr}").collect()}
+    many = DV.prefixes(w, 0.7).groupBy("image", "token").count().filter("token = 'the'").agg({"count": "max"}).first()[0] or 0
+    assert many < 30
+
+
 def test_drop_isolated_reproduces_reference_final_step(spark):
     caps = ["red cat on sofa", "red cat on a sofa", "blue house", "green tree"]
     df = spark.createDataFrame([(0, i, c) for i, c in enumerate(caps)], "image long, pos long, text string")
