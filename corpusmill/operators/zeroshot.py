@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import vectors as V
+from corpusmill.operators import pruned_topk
 from corpusmill.operators import similarity as S
 from corpusmill.operators.partitioning import broadcast_if_small
 
@@ -238,13 +239,15 @@ def topk_accuracy(scores: DataFrame, targets: DataFrame, ks=(1, 5, 10), image_id
 # ---------------------------------------------------------------- E7 / E8
 
 def retrieval_list(queries: DataFrame, candidates: DataFrame, k: int, q_id: str, c_id: str,
-                   vec: str = "vec", normalize: bool = True) -> DataFrame:
+                   vec: str = "vec", normalize: bool = True, prune: bool = False) -> DataFrame:
     """For every query its k best candidates, descending:
-    (q_id, rank, c_id, score).  All queries at once, keyed by query."""
+    (q_id, rank, c_id, score).  All queries at once, keyed by query.  ``prune`` skips
+    block pairs that cannot reach a query's k-th score: worth its two passes for many, clustered candidates."""
     q, c = queries.select(q_id, vec), candidates.select(c_id, vec)
     if normalize:
         q, c = S.l2_normalize(q, vec).select(q_id, vec), S.l2_normalize(c, vec).select(c_id, vec)
-    return S.topk_scores(q, c, k, q_id=q_id, c_id=c_id, vec=vec)
+    topk = pruned_topk.topk_scores if prune else S.topk_scores
+    return topk(q, c, k, q_id=q_id, c_id=c_id, vec=vec)
 
 
 def retrieve_by_text(texts: DataFrame, encoder_factory, candidates: DataFrame, k: int,

@@ -265,6 +265,9 @@ r AS (SELECT image_id, text_id, score, row_number() OVER (PARTITION BY image_id
 SELECT image_id, rnk AS rank, text_id, round(score, 6) AS score FROM r WHERE rnk <= 5
 """
 
+ORACLE["e7_text_to_image_pruned"] = ORACLE["e7_text_to_image"]
+ORACLE["e8_image_to_text_pruned"] = ORACLE["e8_image_to_text"]
+
 ORACLE["e12_topk_accuracy"] = f"""
 WITH {CLS}, ks AS (SELECT unnest([1, 5, 10])::BIGINT AS k),
 h AS (SELECT t.image_id, s.rnk FROM ti t LEFT JOIN scr s ON s.image_id = t.image_id AND s.class_idx = t.target),

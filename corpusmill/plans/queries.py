@@ -276,6 +276,18 @@ def e8_image_to_text(spark, d):
     return r.select("image_id", "rank", "text_id", _r("score").alias("score"))
 
 
+@register("e7_text_to_image_pruned")
+def e7_text_to_image_pruned(spark, d):
+    r = Z.retrieval_list(views.txt(spark, d), views.img(spark, d), 5, "text_id", "image_id", prune=True)
+    return r.select("text_id", "rank", "image_id", _r("score").alias("score"))
+
+
+@register("e8_image_to_text_pruned")
+def e8_image_to_text_pruned(spark, d):
+    r = Z.retrieval_list(views.img(spark, d), views.txt(spark, d), 5, "image_id", "text_id", prune=True)
+    return r.select("image_id", "rank", "text_id", _r("score").alias("score"))
+
+
 @register("e12_topk_accuracy")
 def e12_topk_accuracy(spark, d):
     acc = Z.topk_accuracy(ST.true_ranks(_states(spark, d)), views.test_images(spark, d), ks=(1, 5, 10))
