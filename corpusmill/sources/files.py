@@ -3,13 +3,17 @@ annotations, metric and prediction sinks, the dataset registry."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions import text as TX
-from corpusmill.operators.indexing import file_order_index, global_index
+from corpusmill.operators.indexing import global_index
 from corpusmill.operators.partitioning import broadcast_if_small
+from corpusmill.session import reliable_checkpoint
+from corpusmill.sources.records import fields_of, read_record_texts
 
 # Column layouts of the translation tables, by dataset.
 TRANSLATION_LAYOUTS = {
@@ -25,12 +29,11 @@ def _string_schema(cols) -> T.StructType:
 
 
 def read_delimited(spark: SparkSession, path: str, cols, sep: str = ",") -> DataFrame:
-    """Header-less delimited file(s) with the given string columns.  Quoted
-    fields may hold separators, line breaks and doubled quotes.  A file with
-    quoted line breaks cannot be split, so one file is one task: hand over a
-    large table as many part files."""
-    return spark.read.csv(path, schema=_string_schema(cols), sep=sep, header=False, quote='"', escape='"',
-                          multiLine=True)
+    """Header-less delimited file(s) with the given string columns, and ``rec``, the number of
+    each record in file order.  Quoted fields may hold separators, line breaks and doubled quotes; a file
+    of any size is read by many tasks all the same (``records``).  Empty fields are null."""
+    schema = ", ".join(f"`{c}` string" for c in cols)
+    return fields_of(read_record_texts(spark, path, sep), schema, sep).select("rec", "f.*")
 
 
 # ---------------------------------------------------------------- A4
@@ -40,29 +43,23 @@ def read_translation_table(spark: SparkSession, path: str, layout: str, sep: str
     its dataset (``cc12m``, ``wit``, anything else, or ``second``), plus
     ``row`` = record number in file order (the lookup key of B5)."""
     cols = TRANSLATION_LAYOUTS.get(layout, TRANSLATION_LAYOUTS["other"])
-    return file_order_index(read_delimited(spark, path, cols, sep), col="row")
+    return read_delimited(spark, path, cols, sep).withColumnRenamed("rec", "row")
 
 
 # ---------------------------------------------------------------- A5 / A6
 
 def read_records(spark: SparkSession, path: str, sep: str = ",", rec: str = "rec") -> DataFrame:
     """(rec, fields array<string>): the records of delimited file(s) with all
-    their fields, however many each has; ``rec`` counts records in file order.
-
-    A first pass reads one column and keeps the raw text of every longer
-    record; its separators bound the width of the second pass."""
-    opts = dict(sep=sep, header=False, quote='"', escape='"', multiLine=True, nullValue="\0",
-                columnNameOfCorruptRecord="__raw")
-    raw = spark.read.csv(path, schema=_string_schema(["c0", "__raw"]), **opts)
-    seps = F.length("__raw") - F.length(F.replace("__raw", F.lit(sep), F.lit("")))
-    width = (raw.agg(F.max(F.coalesce(seps, F.length("c0") * 0))).first()[0] or 0) + 1
-    cols = [f"c{i}" for i in range(width)]
-    wide = spark.read.csv(path, schema=_string_schema(cols + ["__raw"]), **opts)
-    # a record of another width comes with its raw text: count the separators outside quoted fields
-    bare = F.regexp_replace("__raw", f'(^|{sep})"([^"]|"")*"', "$1")
-    n = F.coalesce(F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1, F.lit(width))
-    fields = F.transform(F.slice(F.array(*cols), F.lit(1), n), lambda x: F.coalesce(x, F.lit("")))
-    return file_order_index(wide, col=rec).select(rec, fields.alias("fields"))
+    their fields, however many each has; ``rec`` counts records in file order.  The separators outside of quoted
+    fields give the number of fields, and the largest one the width of the one parse."""
+    q = re.escape(sep)
+    bare = F.regexp_replace("text", f'(^|{q})"([^"]|"")*+"', "$1")
+    texts = reliable_checkpoint(read_record_texts(spark, path, sep).withColumn(
+        "n", F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1))
+    width = texts.agg(F.max("n")).first()[0] or 1
+    wide = fields_of(texts, ", ".join(f"c{i} string" for i in range(width)), sep, keep_empty=True)
+    fields = F.slice(F.array(*[F.col(f"f.c{i}") for i in range(width)]), F.lit(1), F.col("n"))
+    return wide.select(F.col("rec").alias(rec), F.transform(fields, lambda x: F.coalesce(x, F.lit(""))).alias("fields"))
 
 
 def tsv_line(fields, sep: str = "\t"):
@@ -113,7 +110,7 @@ def read_coco(spark: SparkSession, path: str) -> DataFrame:
 
 def read_csv_captions(spark: SparkSession, path: str) -> DataFrame:
     """A second translation as a one-column CSV: (pos, caption) in file order."""
-    return file_order_index(read_delimited(spark, path, ["caption"]), col="pos")
+    return read_delimited(spark, path, ["caption"]).withColumnRenamed("rec", "pos")
 
 
 def read_karpathy(spark: SparkSession, path: str) -> DataFrame:
@@ -158,7 +155,7 @@ def read_split_keyed(spark: SparkSession, path: str, size: int | None = None) ->
 
 def read_translation_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Karpathy translation TSV (image#n, caption) with its file ``row``."""
-    return file_order_index(read_delimited(spark, path, ["image", "caption"], "\t"), col="row")
+    return read_delimited(spark, path, ["image", "caption"], "\t").withColumnRenamed("rec", "row")
 
 
 # ---------------------------------------------------------------- A8
