@@ -63,7 +63,7 @@ def mean_per_class(preds: DataFrame, pred: str = "pred", target: str = "target",
 # ---------------------------------------------------------------- F3
 
 def map_11_point(scores: DataFrame, labels: DataFrame | None = None, item: str = "image_id", cls: str = "class_idx",
-                 score: str = "prob", label: str = "present") -> DataFrame:
+                 score: str = "prob", label: str = "present", group_cols=()) -> DataFrame:
     """11-point interpolated average precision per class, averaged over
     the classes with at least one positive.
 
@@ -72,47 +72,53 @@ def map_11_point(scores: DataFrame, labels: DataFrame | None = None, item: str =
     {0, 0.1, .., 1} of the largest precision with recall >= t (0 if none).
     recall >= t is tested in integers (10 * tp >= i * P).
     Without ``labels`` the score rows carry ``label`` themselves.
-    Returns (map, classes)."""
-    j = (scores.select(item, cls, score, label) if labels is None
-         else scores.select(item, cls, score).join(labels.select(item, cls, label), [item, cls], "inner"))
+    Returns (group..., map, classes)."""
+    g = list(group_cols)
+    j = (scores.select(*g, item, cls, score, label) if labels is None
+         else scores.select(*g, item, cls, score).join(labels.select(*g, item, cls, label), [*g, item, cls], "inner"))
     j = j.withColumn("__pos", F.col(label).cast("bigint")).withColumn("__one", F.lit(1).cast("bigint"))
-    order = [F.col(cls), F.desc(F.round(score, 9)), F.col(item)]
+    order = [*map(F.col, g), F.col(cls), F.desc(F.round(score, 9)), F.col(item)]
     j = prefix_sum(j, order, ["__pos", "__one"], ["__cum_tp", "__cum_n"])
-    base = j.groupBy(cls).agg(F.min(F.col("__cum_tp") - F.col("__pos")).alias("__tp0"),
+    base = j.groupBy(*g, cls).agg(F.min(F.col("__cum_tp") - F.col("__pos")).alias("__tp0"),
                               F.min(F.col("__cum_n") - 1).alias("__n0"),
                               F.sum("__pos").alias("__P"))
-    r = (j.join(broadcast_if_small(base), cls)
+    r = (j.join(broadcast_if_small(base), [*g, cls])
           .withColumn("__tp", F.col("__cum_tp") - F.col("__tp0"))
           .withColumn("__rank", F.col("__cum_n") - F.col("__n0"))
           .filter(F.col("__P") > 0)
           .withColumn("__prec", F.col("__tp") / F.col("__rank"))
           # largest i with 10 * tp >= i * P
           .withColumn("__tmax", F.floor(F.col("__tp") * 10 / F.col("__P")).cast("int")))
-    best = r.groupBy(cls, "__tmax").agg(F.max("__prec").alias("__p"))
+    best = r.groupBy(*g, cls, "__tmax").agg(F.max("__prec").alias("__p"))
     # interpolated precision at t_i = max over t_max >= i; one row per (class, i)
-    grid = best.select(cls, "__tmax", "__p",
+    grid = best.select(*g, cls, "__tmax", "__p",
                        F.explode(F.sequence(F.lit(0), F.col("__tmax"))).alias("__i"))
-    interp = grid.groupBy(cls, "__i").agg(F.max("__p").alias("__ip"))
-    ap = interp.groupBy(cls).agg((F.sum("__ip") / F.lit(11.0)).alias("ap"))
-    return ap.agg(F.avg("ap").alias("map"), F.count(F.lit(1)).alias("classes"))
+    interp = grid.groupBy(*g, cls, "__i").agg(F.max("__p").alias("__ip"))
+    ap = interp.groupBy(*g, cls).agg((F.sum("__ip") / F.lit(11.0)).alias("ap"))
+    return ap.groupBy(*g).agg(F.avg("ap").alias("map"), F.count(F.lit(1)).alias("classes"))
 
 
 # ---------------------------------------------------------------- F4
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score", group_cols=()) -> DataFrame:
     """binary ROC AUC (ties count one half).  Counts per distinct score,
     an exact distributed prefix sum of negatives, then
-    sum(pos * (neg_below + neg_here / 2)) / (P * N).  Returns (auc)."""
-    labels = df.select(F.col(label).cast("int").alias("__y"), F.col(score).cast("double").alias("__s"))
+    sum(pos * (neg_below + neg_here / 2)) / (P * N).  Returns (group..., auc); null for a group
+    with labels of one kind only."""
+    by = list(group_cols)
+    labels = df.select(*by, F.col(label).cast("int").alias("__y"), F.col(score).cast("double").alias("__s"))
     bad = labels.filter(~F.col("__y").isin(0, 1)).limit(1).count()
     if bad:
         raise ValueError("roc_auc supports binary labels only (0/1)")
-    g = labels.groupBy("__s").agg(F.sum(F.when(F.col("__y") == 1, 1).otherwise(0)).cast("bigint").alias("__p"),
-                                  F.sum(F.when(F.col("__y") == 0, 1).otherwise(0)).cast("bigint").alias("__n"))
-    c = prefix_sum(g, ["__s"], "__n", "__cn")
-    part = c.select((F.col("__p") * (F.col("__cn") - F.col("__n") + F.col("__n") / 2.0)).alias("__a"),
-                    "__p", "__n")
-    return part.agg((F.sum("__a") / (F.sum("__p").cast("double") * F.sum("__n").cast("double"))).alias("auc"))
+    g = labels.groupBy(*by, "__s").agg(F.sum(F.when(F.col("__y") == 1, 1).otherwise(0)).cast("bigint").alias("__p"),
+                                       F.sum(F.when(F.col("__y") == 0, 1).otherwise(0)).cast("bigint").alias("__n"))
+    c = prefix_sum(g, [*by, "__s"], "__n", "__cn")
+    # the running count goes on over the groups: a group's own begins with its first score
+    base = F.min(F.struct("__s", (F.col("__cn") - F.col("__n")).alias("b")))["b"]
+    part = c.groupBy(*by).agg(
+        F.sum(F.col("__p") * (F.col("__cn") - F.col("__n") + F.col("__n") / 2.0)).alias("__a"), base.alias("__b"),
+        F.sum("__p").cast("double").alias("__pos"), F.sum("__n").cast("double").alias("__neg"))
+    return part.select(*by, F.try_divide(F.col("__a") - F.col("__b") * F.col("__pos"), F.col("__pos") * F.col("__neg")).alias("auc"))
 
 
 # ---------------------------------------------------------------- F5

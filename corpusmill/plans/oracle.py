@@ -7,6 +7,8 @@ arithmetic; ranks use scores rounded to 9 decimals, outputs 6.
 
 from __future__ import annotations
 
+from corpusmill.operators.metrics import DATASET_METRIC
+
 # ---- binding CTEs (same definitions as plans/views.py)
 IMG = "img AS (SELECT vec_id // 6 AS image_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id % 6 = 0)"
 TXT = ("txt AS (SELECT vec_id AS text_id, vec_id // 6 AS image_id, vec_id % 6 - 1 AS pos, "
@@ -347,15 +349,46 @@ ORACLE["f3_map_11_point"] = f"WITH {CLS}, {MAP} SELECT round(map, 6) AS map, cla
 
 ORACLE["f4_roc_auc"] = f"WITH {AUC} SELECT round(auc, 6) AS auc FROM aucr"
 
+# The metric of each dataset, as in operators/metrics.py.
+METRIC_OF = ("meta AS (SELECT unnest(map_keys(m)) AS dataset, unnest(map_values(m)) AS metric FROM (SELECT MAP {"
+             + ", ".join(f"'{k}': '{v}'" for k, v in sorted(DATASET_METRIC.items())) + "} AS m))")
+NAMES = "[" + ", ".join(f"'{k}'" for k in sorted(DATASET_METRIC)) + "]"
+BY_DATASET = (f"{METRIC_OF}, {PR}, {TI}, prd AS (SELECT *, {NAMES}[(prompt_id // 5) % 20 + 1] AS dataset FROM pr), "
+              f"tid AS (SELECT image_id, target, {NAMES}[(image_id // 5) % 20 + 1] AS dataset, "
+              "list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec FROM ti), "
+              f"{proto_cte('a', src='prd', keys='dataset, class_idx')}, "
+              "sc AS (SELECT t.dataset, t.image_id, t.target, p.class_idx, 100.0 * list_dot_product(t.vec, p.vec) AS logit "
+              "FROM tid t JOIN proto p ON p.dataset = t.dataset), "
+              "pd AS (SELECT dataset, image_id, any_value(target) AS target, "
+              "arg_max(class_idx, (round(logit, 9), -class_idx)) AS pred FROM sc GROUP BY dataset, image_id), "
+              "lp AS (SELECT *, logit - max(logit) OVER w - ln(sum(exp(logit - 100.0)) OVER w) - 100.0 + max(logit) OVER w AS log_prob "
+              "FROM sc WINDOW w AS (PARTITION BY dataset, image_id)), "
+              "lab AS (SELECT dataset, image_id, class_idx, log_prob, CASE WHEN class_idx = target THEN 1 ELSE 0 END AS present FROM lp), "
+              "o AS (SELECT dataset, class_idx, row_number() OVER w AS rnk, sum(present) OVER w AS tp, "
+              "sum(present) OVER (PARTITION BY dataset, class_idx) AS npos FROM lab "
+              "WINDOW w AS (PARTITION BY dataset, class_idx ORDER BY round(log_prob, 9) DESC, image_id ROWS UNBOUNDED PRECEDING)), "
+              "r AS (SELECT dataset, class_idx, CAST(tp AS DOUBLE) / rnk AS prec, (tp * 10) // npos AS tmax FROM o WHERE npos > 0), "
+              "ts AS (SELECT unnest(range(0, 11)) AS i), "
+              "ip AS (SELECT r.dataset, r.class_idx, ts.i, max(prec) AS p FROM r JOIN ts ON r.tmax >= ts.i GROUP BY ALL), "
+              "ap AS (SELECT dataset, class_idx, sum(p) / 11.0 AS ap FROM ip GROUP BY dataset, class_idx)")
+
 ORACLE["f5_metric_dispatch"] = f"""
-WITH {CLS}, {MAP}, {AUC},
-res AS (SELECT 'cifar-10' AS dataset, 'accuracy' AS metric, avg(CASE WHEN pred = target THEN 1.0 ELSE 0.0 END) AS value FROM preds
+WITH {BY_DATASET}, {AUC.replace("JOIN documents d USING (doc_id))", "JOIN documents d USING (doc_id) WHERE doc_id % 3 = 0)")},
+res AS (SELECT dataset, 'accuracy' AS metric, avg(CASE WHEN pred = target THEN 1.0 ELSE 0.0 END) AS value FROM pd GROUP BY dataset
         UNION ALL
-        SELECT 'caltech-101', 'mean-per-class', avg(r) FROM
-          (SELECT target, avg(CASE WHEN pred = target THEN 1.0 ELSE 0.0 END) AS r FROM preds GROUP BY target)
-        UNION ALL SELECT 'voc-2007-classification', '11point_mAP', map FROM mapr
+        SELECT dataset, 'mean-per-class', avg(r) FROM
+          (SELECT dataset, target, avg(CASE WHEN pred = target THEN 1.0 ELSE 0.0 END) AS r FROM pd GROUP BY dataset, target) GROUP BY dataset
+        UNION ALL SELECT dataset, '11point_mAP', avg(ap) FROM ap GROUP BY dataset
         UNION ALL SELECT 'hateful-memes', 'roc_auc', auc FROM aucr)
-SELECT dataset, metric, round(value * 100.0, 6) AS result FROM res
+SELECT dataset, metric, round(value * 100.0, 6) AS result FROM meta JOIN res USING (dataset, metric)
+"""
+
+ORACLE["f6_dataset_registry"] = f"""
+WITH e AS (SELECT {NAMES}[(vec_id // 5) % 20 + 1] AS name, label, vec_id % 5 = 0 AS prompt FROM embeddings),
+n AS (SELECT name, 'classification' AS type, count(DISTINCT label) AS num_classes,
+             count(*) FILTER (WHERE prompt) AS train, count(*) FILTER (WHERE NOT prompt) AS test FROM e GROUP BY name)
+SELECT name, type, num_classes, 'train' AS split, train AS num_images FROM n
+UNION ALL SELECT name, type, num_classes, 'test', test FROM n
 """
 
 INB = ("pi AS (SELECT vec_id // 2 AS pair_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id % 2 = 0), "
@@ -517,6 +550,10 @@ pr AS (SELECT generate_subscripts(l, 1) - 1 AS prompt_idx, unnest(l) AS prompt F
 SELECT pg.page_id AS image, pr.prompt_idx, pr.prompt || ' ' || trim(pg.caption, {STRIP}) AS caption FROM pg, pr
 """
 
+ORACLE["c2_caption_lists"] = (
+    "SELECT image, count(*) AS n, md5(string_agg(caption, '|' ORDER BY prompt_idx)) AS captions_md5 FROM ("
+    + ORACLE["c2_caption_fanout"] + ") GROUP BY image")
+
 ORACLE["c3_translate_memory"] = """
 SELECT concat_ws('_', conv_id, turn) AS key, md5(text) AS original_md5, md5('>>por<< ' || text) AS translated_md5,
        'conversations' AS dataset_name FROM conversations
@@ -574,6 +611,10 @@ g AS (SELECT d.doc_id, r.dim FROM (SELECT DISTINCT doc_id FROM t) d, (SELECT unn
 SELECT g.doc_id, g.dim, round(coalesce(c.cnt, 0.0) / n.nrm, 6) AS x
 FROM g JOIN n USING (doc_id) LEFT JOIN c USING (doc_id, dim)
 """
+# the encoder's vectors are floats
+ORACLE["c1_embed_column"] = ORACLE["c1_hashed_bow_native"].replace(
+    "round(coalesce(c.cnt, 0.0) / n.nrm, 6)", "round(CAST(CAST(coalesce(c.cnt, 0.0) / n.nrm AS FLOAT) AS DOUBLE), 6)")
+
 
 ORACLE["a10_metric_lines"] = "SELECT 'run-1' AS id, dataset, metric, result FROM (" + ORACLE["f5_metric_dispatch"] + ")"
 
@@ -594,8 +635,8 @@ SELECT split, row_number() OVER (PARTITION BY source, split ORDER BY filename) -
 """
 
 ORACLE["a8_labelled_folder"] = """
-WITH c AS (SELECT DISTINCT 'kind=' || regexp_extract(url, '\\.(com|net|org)', 1) AS class_name FROM pages)
-SELECT class_name, row_number() OVER (ORDER BY class_name) - 1 AS class_idx FROM c
+WITH p AS (SELECT page_id, 'kind=' || regexp_extract(url, '\\.(com|net|org)', 1) AS class_name FROM pages)
+SELECT page_id, class_name, dense_rank() OVER (ORDER BY class_name) - 1 AS class_idx FROM p
 """
 
 ORACLE["a9_split_list"] = "SELECT 'doc' || doc_id AS image FROM labels"

@@ -393,21 +393,54 @@ def f4_roc_auc(spark, d):
     return M.roc_auc(views.bin_scores(spark, d)).select(_r("auc").alias("auc"))
 
 
+DATASETS = sorted(M.DATASET_METRIC)
+BINARY_EVERY = 3     # every third document belongs to the binary task
+
+
+def _dataset_of(vec_id):
+    """The dataset of a vector: blocks of one prompt and its images go round the datasets."""
+    names = F.array(*map(F.lit, DATASETS))
+    return F.get(names, F.pmod(F.floor(F.col(vec_id) / views.PROMPT_EVERY), F.lit(len(DATASETS))).cast("int"))
+
+
 @register("f5_metric_dispatch")
 def f5_metric_dispatch(spark, d):
-    """All classification metrics of every dataset; the metadata picks one."""
-    names = ["cifar-10", "caltech-101", "voc-2007-classification", "hateful-memes"]
-    probs = reliable_checkpoint(_probs(spark, d))          # scored once, read by three metrics
-    preds = Z.predictions(probs, views.test_images(spark, d))
-    computed = [("accuracy", "accuracy", M.accuracy(preds)), ("mean-per-class", "mean_per_class", M.mean_per_class(preds)),
-                ("11point_mAP", "map", _map(spark, d, probs)), ("roc_auc", "auc", M.roc_auc(views.bin_scores(spark, d)))]
-    values = None
+    """The metric that its metadata names, of every dataset, over that dataset's images, classes and scores."""
+    g = ["dataset"]
+    meta = reliable_checkpoint(M.metadata_table(spark, DATASETS))
+    wants = lambda df, metric: df.join(F.broadcast(meta.filter(F.col("metric") == metric).select("dataset")), "dataset", "left_semi")
+    im = views.test_images(spark, d).withColumn("dataset", _dataset_of("image_id"))
+    protos = reliable_checkpoint(Z.class_prototypes(views.prompts(spark, d).withColumn("dataset", _dataset_of("prompt_id")), "a", group_cols=g))
+    preds = reliable_checkpoint(ST.predictions(ST.class_states(im, protos, scale=100.0, group_cols=g), group_cols=g))
+    metric = "11point_mAP"
+    scores = Z.class_scores(wants(im, metric), wants(protos, metric), scale=100.0, group_cols=g, target="target")
+    marked = Z.softmax(scores, group_cols=g).withColumn("present", F.col("is_pos").cast("int"))
+    # the binary task: every BINARY_EVERY-th document
+    name = next(n for n in DATASETS if M.DATASET_METRIC[n] == "roc_auc")
+    binary = views.bin_scores(spark, d).filter(F.col("doc_id") % BINARY_EVERY == 0).withColumn("dataset", F.lit(name))
+    computed = [("accuracy", "accuracy", M.accuracy(wants(preds, "accuracy"), group_cols=g)),
+                ("mean-per-class", "mean_per_class", M.mean_per_class(wants(preds, "mean-per-class"), group_cols=g)),
+                (metric, "map", M.map_11_point(marked, score="log_prob", group_cols=g)),
+                ("roc_auc", "auc", M.roc_auc(binary, group_cols=g))]
+    results = None
     for metric, column, frame in computed:
-        one = frame.select(F.lit(metric).alias("metric"), F.col(column).cast("double").alias("value"))
-        values = one if values is None else values.unionByName(one)
-    # one row per dataset and metric; the datasets share the test table's scores
-    results = values.withColumn("dataset", F.explode(F.array(*[F.lit(n) for n in names])))
-    return M.dispatch(results, M.metadata_table(spark, names)).select("dataset", "metric", _r("result").alias("result"))
+        one = frame.select("dataset", F.lit(metric).alias("metric"), F.col(column).cast("double").alias("value"))
+        results = one if results is None else results.unionByName(one)
+    return M.dispatch(results, meta).select("dataset", "metric", _r("result").alias("result"))
+
+
+@register("f6_dataset_registry")
+def f6_dataset_registry(spark, d):
+    """The registry of the datasets, with the classes and images they have, written and read back."""
+    with scratch_folder(spark) as tmp:
+        e = views.table(spark, d, "embeddings").select(
+            _dataset_of("vec_id").alias("name"), "label", (F.col("vec_id") % views.PROMPT_EVERY == 0).alias("prompt"))
+        images = lambda keep: F.struct(F.sum(keep.cast("bigint")).alias("num_images"))
+        rows = (e.groupBy("name").agg(F.countDistinct("label").alias("num_classes"), images(F.col("prompt")).alias("train"),
+                                      images(~F.col("prompt")).alias("test"))
+                .withColumn("type", F.lit("classification")).withColumn("val", F.lit(None).cast("struct<num_images:bigint>")))
+        FS.write_registry(rows, f"{tmp}/r")
+        return reliable_checkpoint(FS.read_registry(spark, f"{tmp}/r"))
 
 
 def _pairs(spark, d):
@@ -623,7 +656,9 @@ def c1_embed_column(spark, d):
     (a hashed bag-of-tokens stands in for the text model)."""
     docs = views.documents(spark, d).select("doc_id", "text")
     return INF.embed(docs, "text", lambda: INF.hashed_bow_encoder(64), cache_key="hashed_bow_64") \
-              .select("doc_id", "vec")
+              .filter(F.exists("vec", lambda x: x != 0)) \
+              .select("doc_id", F.posexplode("vec").alias("dim", "x")) \
+              .select("doc_id", F.col("dim").cast("bigint").alias("dim"), _r(F.col("x").cast("double")).alias("x"))
 
 
 @register("c1_hashed_bow_native")
@@ -643,6 +678,14 @@ def c2_caption_fanout(spark, d):
     return out.select("image", "prompt_idx", "caption")
 
 
+@register("c2_caption_lists")
+def c2_caption_lists(spark, d):
+    """The fanned out captions regrouped into one list per image, in prompt order."""
+    imgs = views.tsv_pages(spark, d).select(F.col("page_id").alias("image"), "caption")
+    lists = INF.caption_lists(INF.caption_fanout(imgs, _identity_captioner), out="captions")
+    return lists.select("image", F.size("captions").cast("bigint").alias("n"), F.md5(F.array_join("captions", "|")).alias("captions_md5"))
+
+
 @register("c3_translate_memory")
 def c3_translate_memory(spark, d):
     rows = views.turns(spark, d).select(F.concat_ws("_", "conv_id", "turn").alias("key"),
@@ -739,15 +782,21 @@ def a7_split_manifest(spark, d):
 
 @register("a8_labelled_folder")
 def a8_labelled_folder(spark, d):
-    """Pages written to one folder per domain ending, many files each, all of
-    them scanned as labelled files."""
+    """Pages written to one folder per domain ending, many files each; all of them scanned as labelled
+    files, and every page found in its file with the file's class."""
     with scratch_folder(spark) as tmp:
         p = views.table(spark, d, "pages")
         kind = F.regexp_extract("url", r"\.(com|net|org)", 1)
-        (p.select(kind.alias("kind"), F.col("url").alias("value"))
+        (p.select(kind.alias("kind"), F.col("page_id").cast("string").alias("value"))
          .write.option("maxRecordsPerFile", FOLDER_FILE_ROWS).partitionBy("kind").text(f"{tmp}/c"))
         found = FS.scan_labelled_folder(spark, f"{tmp}/c")
-        return reliable_checkpoint(found.select("class_name", "class_idx").distinct())
+        # by file name alone: the two readers write the scheme of a path differently
+        name = lambda path: F.substring_index(path, "/", -1)
+        lines = (spark.read.option("recursiveFileLookup", "true").text(f"{tmp}/c")
+                 .select(F.col("value").cast("bigint").alias("page_id"), F.col("_metadata.file_path").alias("in_path")))
+        key = lambda path: F.concat_ws("/", F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1), name(path))
+        back = lines.withColumn("f", key("in_path")).join(found.withColumn("f", key("path")).select("f", "class_name", "class_idx"), "f")
+        return reliable_checkpoint(back.select("page_id", "class_name", "class_idx"))
 
 
 @register("a9_split_list")

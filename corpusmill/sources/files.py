@@ -198,8 +198,9 @@ def read_objects(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------- A10 / A11
 
 def append_metrics(results: DataFrame, path: str, run_id: str) -> None:
-    """A10: one line per (run, dataset, metric) appended to a JSON sink."""
-    results.withColumn("id", F.lit(run_id)).write.mode("append").json(path)
+    """A10: one line per (run, dataset, metric) added to a JSON sink, in the run's own folder ``id=<run>``.  A
+    repeated run replaces its lines, so each run is there once; reading ``path`` gives ``id`` back."""
+    results.write.mode("overwrite").json(f"{path}/id={run_id}")
 
 
 def export_predictions(probs: DataFrame, path: str, meta: dict, row_idx: str = "row_idx",
@@ -226,6 +227,13 @@ REGISTRY_SCHEMA = T.StructType(
     + [T.StructField(s, REGISTRY_SPLIT) for s in ("train", "val", "test")])
 
 
+def write_registry(datasets: DataFrame, path: str) -> None:
+    """F6 sink: one JSON array with a document per row of ``datasets``: name, type, num_classes, and per
+    split train, val and test a struct with num_images, or null.  One row per dataset: a registry is small."""
+    document = F.struct("name", "type", "num_classes", "train", "val", "test")
+    datasets.agg(F.to_json(F.array_sort(F.collect_list(document))).alias("value")).write.text(path)
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """the dataset registry as (name, type, num_classes, split,
     num_images); a missing split gives no row."""
