@@ -216,7 +216,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                              F.col(text_col).cast("string").alias("text"))
     given = (labels.filter(F.col(label_id).isNotNull() & F.col(label_col).isNotNull())
              .groupBy(F.col(label_id).alias("_id")).agg(F.avg(F.col(label_col).cast("double")).alias("label")))
-    known = cut(features(src).join(given, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    # by a shuffle at every size: labels grow with the documents
+    known = cut(features(src).join(given.hint("merge"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
                 .withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")))
     # a few numbers a row from here on
     rows = cut(_word_scored(known, word_model(known)).select(
