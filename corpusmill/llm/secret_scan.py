@@ -11,19 +11,25 @@ complementary part lies within the scope, ``scope`` code points on either side:
     secret      needs an identifier part or an endpoint: access, identifier, endpoint
     endpoint    needs a secret part: assign, hex or secret
 
-This is an interval join of candidates and complements.  A scope never leaves its
-document, so the join runs inside the row by binary search over the sorted parts,
+This is an interval join of candidates and complements, which must not overlap: a token in the path of
+an URL is no second part beside it.  Parts of an URL are candidates of their own: its user (an
+identifier), its password and the values of its query (secrets), and the rest up to the query.  A scope
+never leaves its document, so the join runs inside the row by binary search over the sorted parts,
 in n log n for n parts, and nothing is shuffled.
 
-Cases: a null or empty text has no spans.  Base spans of different kinds may
-overlap and all stay; a weak candidate that overlaps a base span, or a weak one
-further left, is dropped.  Spans count code points, end exclusive.  Repeated rows
+All candidates are linked first.  Overlaps are resolved among the linked ones only, so that no part
+hides another: base spans of different kinds may overlap and all stay; then secrets, identifiers and
+endpoints, in this order and from the left, report what no earlier one has covered, if at least
+``LEAST_PIECE`` letters or digits of it are left.
+
+Cases: a null or empty text has no spans.  Spans count code points, end exclusive.  Repeated rows
 are scanned alike, null ids are passed through, other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -36,6 +42,8 @@ from corpusmill.llm.common import ready
 SCOPE = 200
 BASE = ("assign", "access", "hex")
 WEAK = ("identifier", "secret", "endpoint")
+PRIORITY = ("secret", "identifier", "endpoint")
+LEAST_PIECE = 3
 ORDER = {kind: i for i, kind in enumerate(BASE + WEAK)}
 NEEDS = {"identifier": ("assign", "hex", "secret"), "secret": ("access", "identifier", "endpoint"),
          "endpoint": ("assign", "hex", "secret")}
@@ -49,7 +57,9 @@ _USER = re.compile(r"""(?:user(?:name)?|login|client_?id|account_?id|key_?id)["'
                    re.IGNORECASE | re.ASCII)
 # A token may start right after "=", as in NAME=VALUE; at its end "=" is padding.
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
-_URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"'<>]+""")
+# scheme, user, password, and the rest up to the query
+_URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{1,15}://(?:([^\s"'<>/?#@:]*)(?::([^\s"'<>/?#@]*))?@)?([^\s"'<>?#]+)""")
+_QUERY = re.compile(r"""[?&][A-Za-z0-9_.~-]+=([A-Za-z0-9+/_.~%=-]{20,})""")
 _IPV4 = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?(?![\d.])")
 
 
@@ -70,43 +80,69 @@ def _candidates(text: str) -> list[tuple[int, int, str]]:
     out = [(m.start(), m.end(), "identifier") for rx in (_KEY_ID, _USER) for m in rx.finditer(text)]
     out += [(m.start(), m.end(), "secret") for m in _TOKEN.finditer(text) if _mixed(m[0])]
     if "://" in text:
-        out += [(m.start(), m.end(), "endpoint") for m in _URL.finditer(text)]
+        for m in _URL.finditer(text):
+            if m[1]:
+                out.append((*m.span(1), "identifier"))
+            if m[2]:
+                out.append((*m.span(2), "secret"))
+            out.append((m.start() if m[1] is None else m.start(3), m.end(), "endpoint"))
+        out += [(*m.span(1), "secret") for m in _QUERY.finditer(text) if _mixed(m[1])]
     return out + [(m.start(), m.end(), "endpoint") for m in _IPV4.finditer(text)]
 
 
 def _near(spans, others, scope):
-    """For each span, whether one of ``others`` lies within ``scope`` of it."""
+    """For each span, whether one of ``others`` lies beside it, at most ``scope`` away."""
     if not others:
         return [False] * len(spans)
-    o = np.array(sorted((s, e) for s, e, _ in others))
-    last_end = np.maximum.accumulate(o[:, 1])
+    starts, ends = (np.sort([x[i] for x in others]) for i in (0, 1))
     s, e = (np.array([x[i] for x in spans]) for i in (0, 1))
-    upto = np.searchsorted(o[:, 0], e + scope, "right")  # others that start early enough
-    return list((upto > 0) & (last_end[upto - 1] >= s - scope))
+    behind = np.searchsorted(starts, e + scope, "right") > np.searchsorted(starts, e, "left")
+    before = np.searchsorted(ends, s, "right") > np.searchsorted(ends, s - scope, "left")
+    return list(behind | before)
+
+
+def _merged(spans) -> list[list[int]]:
+    """The union of spans, as ascending disjoint intervals."""
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def _uncovered(spans, covered):
+    """What ``covered`` (disjoint, ascending) and spans further left leave of each span, in order."""
+    ends, done = [e for _, e in covered], 0
+    for s, e in sorted(spans):
+        s, done = max(s, done), max(done, e)
+        i = bisect_right(ends, s)
+        while s < e:
+            upto = min(e, covered[i][0]) if i < len(covered) else e
+            if upto > s:
+                yield s, upto
+            s = covered[i][1] if i < len(covered) else e
+            i += 1
 
 
 def linked_spans(text: str | None, scope: int = SCOPE) -> list[tuple[int, int, str]]:
     """All spans of one text, by start and kind."""
     if not text:
         return []
-    base = base_spans(text)
-    weak, end = [], -1
-    for c in sorted(_candidates(text), key=lambda x: (x[0], ORDER[x[2]])):
-        if c[0] >= end:
-            weak.append(c)
-            end = c[1]
-    if weak and base:
-        b = np.array(sorted((s, e) for s, e, _ in base))
-        reach = np.maximum.accumulate(b[:, 1])
-        before = [np.searchsorted(b[:, 0], c[1], "left") for c in weak]
-        weak = [c for c, i in zip(weak, before) if i == 0 or reach[i - 1] <= c[0]]
-    parts = base + weak
-    out = list(base)
-    for kind in WEAK:
+    out = base_spans(text)
+    weak = sorted(set(_candidates(text)))
+    parts = out + weak
+    covered = [(s, e) for s, e, _ in out]
+    for kind in PRIORITY:
         mine = [c for c in weak if c[2] == kind]
         if mine:
             ok = _near(mine, [p for p in parts if p[2] in NEEDS[kind]], scope)
-            out += [c for c, near in zip(mine, ok) if near]
+            linked = [c[:2] for c, near in zip(mine, ok) if near]
+            pieces = [(s, e) for s, e in _uncovered(linked, _merged(covered))
+                      if sum(map(str.isalnum, text[s:e])) >= LEAST_PIECE]
+            out += [(s, e, kind) for s, e in pieces]
+            covered += linked
     return sorted(out, key=lambda x: (x[0], ORDER[x[2]]))
 
 
