@@ -10,9 +10,12 @@
    changed, left out or put in has a hit.  A hit names a template and a diagonal (place
    in the document less place in the template); hits on near diagonals form one
    candidate.  A candidate around which too few of the template's words occur is dropped.
-3. Each candidate is aligned word by word, locally, in a band around its diagonals:
-   a match gains 1, a difference or a gap costs 1, and of equal scores the one with more
-   matches stays.  The alignment gives the matched words,
+3. Each candidate is aligned word by word, locally, in a band around its diagonals: a match gains
+   ``GAIN``, every other word of the document inside the alignment costs 1, and words of the
+   template that are left out cost nothing but their match, so a run of words put in or
+   left out is bridged when more than one in GAIN of its length match on either side.  Of equal
+   scores the one with more matches stays.  The band is as wide as the edits that the template
+   allows, ``BAND`` at least, on either side.  The alignment gives the matched words,
    the coverage (their share of the template) and the span in the document.
 4. Of overlapping spans the one with the most matched words is reported (then the
    highest coverage, the earliest start, the first name), if its coverage reaches
@@ -44,8 +47,10 @@ from corpusmill.llm.common import gram_hashes, ready, word_hashes
 GRAM = 3
 WINDOW = 2
 BAND = 8
+GAIN = 8
 MIN_PERCENT = 80
 MAX_TEMPLATE_WORDS = 1_000_000
+MAX_WORDS = 100_000
 
 # The usual wording of public license notices and of short license texts.
 _AS_IS = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
@@ -155,40 +160,43 @@ def build_index(templates: dict[str, str], min_percent: int = MIN_PERCENT) -> di
             n, window = gram_and_window(len(w), min_percent)
             h = gram_hashes(word_hashes(w), n)
             posts += [(int(h[p]), t, p, n) for p in winnow(h, window)]
-    if sum(map(len, words)) > MAX_TEMPLATE_WORDS:
-        raise ValueError("the templates exceed MAX_TEMPLATE_WORDS")
+    if sum(map(len, words)) > MAX_TEMPLATE_WORDS or max(map(len, words), default=0) > MAX_WORDS:
+        raise ValueError("the templates exceed MAX_TEMPLATE_WORDS, or one exceeds MAX_WORDS")
     posts.sort()
     return {"names": names, "words": words, "posts": posts, "counts": [Counter(w) for w in words],
             "hashes": {n: np.array(sorted({p[0] for p in posts if p[3] == n}), np.uint64) for n in range(1, GRAM + 1)}}
 
 
+# An alignment is one number that compares as (score, matched words, earlier start).
+_SCORE, _MATCH = 1 << 42, 1 << 21
+_NOTHING = -(1 << 61)
+
+
 def _align(doc: list[bytes], template: list[bytes], low: int, high: int) -> tuple[int, int, int]:
     """Best local alignment within the diagonals ``low ... high`` (doc place less
     template place): matched words, first and last word in ``doc``."""
-    width, best = high - low + 1, (0, 0, 0, 0)
-    prev: list = [(0, 0, -1)] * (width + 1)  # score, matched, start; one column of padding
+    number = {w: i for i, w in enumerate(dict.fromkeys(template))}
+    width = high - low + 1
+    # the words of the band; -1 stands for any word outside of the template or the text
+    own = np.full(width + len(template), -1, np.int64)
+    inside = range(max(0, low), min(len(doc), low + len(own)))
+    own[inside.start - low:inside.stop - low] = [number.get(w, -1) for w in doc[inside.start:inside.stop]]
+    step = np.arange(width, dtype=np.int64) * _SCORE
+    fresh = GAIN * _SCORE + 2 * _MATCH - 1 - np.arange(len(own), dtype=np.int64)  # starts at each place
+    prev, best, last = np.full(width + 1, _NOTHING), _NOTHING, 0
     for j, word in enumerate(template):
-        cur: list = []
-        for c in range(width):
-            i = j + low + c
-            if not 0 <= i < len(doc):
-                cur.append((0, 0, -1))
-                continue
-            s, m, a = prev[c]  # one word back in both
-            cell = (s + 1, m + 1, a if m else i) if doc[i] == word else (s - 1, m, a)
-            up = prev[c + 1]  # a template word is left out
-            if (up[0] - 1, up[1]) > cell[:2]:
-                cell = (up[0] - 1, up[1], up[2])
-            if cur and (cur[-1][0] - 1, cur[-1][1]) > cell[:2]:  # a document word is left out
-                cell = (cur[-1][0] - 1, cur[-1][1], cur[-1][2])
-            if cell[0] < 0 or not cell[1]:
-                cell = (0, 0, -1)
-            elif (cell[0], cell[1]) > best[:2]:
-                best = (cell[0], cell[1], cell[2], i)
-            cur.append(cell)
-        cur.append((0, 0, -1))
-        prev = cur
-    return best[1], best[2], best[3]
+        hit = own[j:j + width] == number[word]
+        cell = np.where(hit, np.maximum(prev[:-1] + (GAIN * _SCORE + _MATCH), fresh[j:j + width]), prev[:-1] - _SCORE)
+        cell = np.maximum(cell, prev[1:])  # the template word is left out
+        top = int(np.where(hit, cell, _NOTHING).argmax())
+        if hit[top] and cell[top] > best:
+            best, last = int(cell[top]), j + top
+        cell = np.maximum.accumulate(cell + step) - step  # words of the document are left out
+        prev[:-1] = np.where(cell < _SCORE, _NOTHING, cell)
+    if best == _NOTHING:
+        return 0, 0, 0
+    matched, start = divmod(best % _SCORE, _MATCH)
+    return matched, low + _MATCH - 1 - start, low + last
 
 
 def find_notices(text: bytes | None, index: dict, min_percent: int = MIN_PERCENT) -> list[tuple]:
@@ -219,14 +227,15 @@ def find_notices(text: bytes | None, index: dict, min_percent: int = MIN_PERCENT
     for t, places in hits.items():
         template, count, run = index["words"][t], index["counts"][t], []
         need = needed(len(template), min_percent)
+        band = max(BAND, len(template) - need)
         for hit in [*sorted(places), None]:
-            if run and (hit is None or hit[0] - run[-1][0] > BAND or hit[0] - run[0][0] > len(template)):
+            if run and (hit is None or hit[0] - run[-1][0] > band or hit[0] - run[0][0] > len(template)):
                 free = words
                 while run:  # once more for the hits outside of what was found
-                    near = free[max(0, run[0][0] - BAND):max(0, run[-1][0] + BAND + len(template))]
+                    near = free[max(0, run[0][0] - band):max(0, run[-1][0] + band + len(template))]
                     if sum(min(count[w], k) for w, k in Counter(filter(count.__contains__, near)).items()) < need:
                         break
-                    m, a, b = _align(free, template, run[0][0] - BAND, run[-1][0] + BAND)
+                    m, a, b = _align(free, template, run[0][0] - band, run[-1][0] + band)
                     if not m or m < need:
                         break
                     found.append((-m, -m / len(template), a, index["names"][t], b, len(template)))

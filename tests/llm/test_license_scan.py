@@ -52,21 +52,82 @@ def test_edited_copies_are_aligned():
             assert [x for x in got if x[0] == name and x[1] >= 0.85 * x[2]], (name, w)
 
 
+def full_alignment(doc, template):
+    """(score, matched) of the best local alignment, over the whole table."""
+    none = (0, 0)
+    prev, best = [none] * (len(doc) + 1), none
+    for word in template:
+        cur = [none]
+        for i, w in enumerate(doc):
+            s, m = prev[i]
+            cell = (s + L.GAIN, m + 1) if w == word else (s - 1, m)
+            cell = max(cell, prev[i + 1], (cur[i][0] - 1, cur[i][1]))
+            cur.append(cell if cell[0] > 0 else none)
+        prev, best = cur, max(best, *cur)
+    return best
+
+
 def test_alignment_equals_full_local_alignment():
-    """In a band as wide as the texts the alignment is the plain Smith-Waterman one."""
+    """In a band as wide as the texts nothing is lost, and the span holds the alignment."""
     rnd = random.Random(2)
-    for _ in range(100):
-        a = [rnd.choice("abcd").encode() for _ in range(rnd.randrange(1, 12))]
+    for _ in range(300):
+        a = [rnd.choice("abcdef").encode() for _ in range(rnd.randrange(1, 30))]
         b = [rnd.choice("abcd").encode() for _ in range(rnd.randrange(1, 9))]
-        table, best = [[0] * (len(a) + 1) for _ in range(len(b) + 1)], 0
-        for j in range(1, len(b) + 1):
-            for i in range(1, len(a) + 1):
-                table[j][i] = max(0, table[j - 1][i - 1] + (1 if a[i - 1] == b[j - 1] else -1), table[j - 1][i] - 1, table[j][i - 1] - 1)
-                best = max(best, table[j][i])
-        matched, first, last = L._align(a, b, -len(b) - 1, len(a) + 1)
-        assert (matched > 0) == (best > 0) and matched >= best
+        score, matched = full_alignment(a, b)
+        got, first, last = L._align(a, b, -len(b) - 1, len(a) + 1)
+        assert got == matched
         if matched:
-            assert 0 <= first <= last < len(a)
+            assert 0 <= first <= last < len(a) and full_alignment(a[first:last + 1], b) == (score, matched)
+
+
+def test_runs_of_words_put_in_or_left_out():
+    """As many words in one run as the template allows, at every place."""
+    for name in ("mit-text", "bsd-3-clause-text", "isc-text", "apache-2.0-header", "gpl-notice"):
+        w, own = L.TEMPLATES[name].split(), L.build_index({name: L.TEMPLATES[name]})
+        n = len(own["words"][0])
+        edits = n - L.needed(n, L.MIN_PERCENT)
+        for run in {9, 12, edits // 2, edits}:
+            if run > edits:
+                continue
+            for at in range(0, n - run, 11):
+                for doc in (w[:at] + [f"extra{i}" for i in range(run)] + w[at:], w[:at] + w[at + run:]):
+                    got = L.find_notices(("lead words here " + " ".join(doc) + " trailing words").encode(), own)
+                    assert [x[1] >= L.needed(n, L.MIN_PERCENT) for x in got] == [True], (name, run, at, len(doc))
+
+
+def test_scattered_edits():
+    """Changed, left out and put in words together, up to what the template allows."""
+    rnd = random.Random(7)
+    for name in ("mit-text", "mit-permission", "bsd-clause", "isc-text", "mpl-2.0"):
+        n = len(L._words(L.TEMPLATES[name].encode())[0])
+        for _ in range(25):
+            w = L.TEMPLATES[name].split()
+            for _ in range(rnd.randrange(1, n - L.needed(n, L.MIN_PERCENT) + 1)):
+                i = rnd.randrange(len(w))
+                w[i:i + 1] = rnd.choice([["zz"], [], [w[i], "zz"]])
+            assert name in {x[0] for x in find("some lead " + " ".join(w) + " and more")}, (name, w)
+
+
+def test_query_equals_brute_force(spark, sf, documents):
+    """Every template aligned with every whole document, without index, band or candidates."""
+    from corpusmill.llm.queries import op9_license_scan
+    got = {}
+    for r in op9_license_scan(spark, sf).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.start, r.end))
+    names = {}
+    for i, text in documents:
+        doc, _ = L._words((text or "").encode())
+        if not 0 < len(doc) < 600:
+            continue
+        vocabulary = set(doc)
+        for name, words in zip(INDEX["names"], INDEX["words"]):
+            need = L.needed(len(words), L.MIN_PERCENT)
+            if sum(w in vocabulary for w in words) >= need and full_alignment(doc, words)[1] >= need:
+                names.setdefault(i, set()).add(name)
+    small = {i for i, t in documents if t and 0 < len(L._words(t.encode())[0]) < 600}
+    # the query reports the best of overlapping notices, so it has one wherever there is any
+    assert {i for i in got if i in small} == set(names)
+    assert all({x[0] for x in got[i]} <= names[i] for i in names)
 
 
 def test_frames(make_docs):
