@@ -14,9 +14,9 @@ that reach the threshold are content as well, and so are headings; if the path r
 through an ``article`` or ``main`` element, all of that element is.  Directly in the
 body, runs of nothing but links are left out.
 
-Elements that never hold article text (scripts, styles, menus, forms, ...) and hidden
-ones are taken out before the counts.  So are those whose class, id or role names a
-side part (adverts, notices, comments, ...), unless they hold an ``article`` or
+Elements that never hold article text (scripts, styles, menus, headers, also those of an article,
+...) and hidden ones are taken out before the counts.  So are forms and elements whose class, id or role
+names a side part (adverts, notices, comments, ...), unless they hold an ``article`` or
 ``main`` or more than half of the text: these count with a tenth of their density,
 and go only if the content lies elsewhere.  Names that say what a page has, or has not
 (``has-sidebar``, ``comments-open``), name no part, and if hardly any text is outside
@@ -49,7 +49,7 @@ from corpusmill.llm.common import ready
 # Element names of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp template".split())
-DROPPED = set("head script style noscript template iframe object svg math canvas nav header footer aside form "
+DROPPED = set("head script style noscript template iframe object svg math canvas nav header footer aside "
               "button select textarea input dialog menu title audio video map".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
              "strike strong sub sup time tt u var wbr img".split())
@@ -100,9 +100,11 @@ def _is_gone(tag: str, attrs: list[tuple[str, str]]) -> bool:
 
 
 def _is_side(tag: str, attrs: list[tuple[str, str]]) -> bool:
-    """Whether the names of an element are those of a side part."""
+    """Whether an element is a side part by its names, or as a form (some pages wrap all they have in one)."""
     if tag in ROOT_LIKE:
         return False
+    if tag == "form":
+        return True
     for attr, value in attrs:
         if attr in ("class", "id", "role"):
             for name in value.split():

@@ -110,3 +110,17 @@ def test_frames(spark):
                                "page_id bigint, url string, html string, text int")
     assert [(r.page_id, r.url, r.text) for r in H.extract_main_text(df).collect()] == [(1, "u", "a"), (1, "u", "a"), (None, None, "")]
     assert H.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_a_form_around_the_page():
+    """Some pages wrap all they have in one form; a small form beside the article goes."""
+    text = "This is a long paragraph of the article that goes on and on, with many words in it. "
+    body = f"<nav><a href=/>Home</a></nav><div class=story><h1>Title</h1><p>{text * 3}</p><p>{text * 2}</p></div><footer>F</footer>"
+    want = H.main_text(f"<body>{body}</body>")
+    assert want.startswith("Title This is")
+    side = "<form><label>Your mail</label><input name=m><p>Sign up now for our letter</p><button>Send</button></form>"
+    for page in (f"<body><form action=/x method=post><input type=hidden name=state value=1>{body}</form></body>",
+                 f"<body><form><article>{body}</article></form></body>", f"<body><form>{body}</form>{side}</body>",
+                 f"<body>{side}{body}{side}</body>"):
+        assert H.main_text(page) == want, page
+    assert H.main_text("<body><article><header><p>By a person</p></header><p>Words of the article.</p></article></body>") == "Words of the article."
