@@ -58,7 +58,6 @@ _STARTS = [x for x, _ in SCRIPT_RANGES]
 SCRIPTS = sorted({name for _, name in SCRIPT_RANGES})
 NO_LETTER = len(SCRIPTS)
 _LATIN = SCRIPTS.index("latin")
-_LETTER = re.compile(r"[^\W\d_]")
 _HASH = np.uint32(0x9E3779B1)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _scripts_of: dict[bytes, int] = {}
@@ -115,15 +114,25 @@ def _counted(batches):
     """Rows ``lang, bucket, n``: trigram counts, and word counts per script in the
     buckets after BUCKETS."""
     counts: dict[str, np.ndarray] = {}
+    waiting: dict[str, tuple[list[bytes], int]] = {}  # words of short texts, and their texts' characters
+
+    def add(lang, words):
+        own = counts.setdefault(lang, np.zeros(BUCKETS + 1 + len(SCRIPTS) + 1, np.int64))
+        for part in _chunks(words):
+            own[:BUCKETS + 1] += np.bincount(_trigrams(part)[0], minlength=BUCKETS + 1)
+            own[BUCKETS + 1:] += np.bincount(_scripts(part), minlength=len(SCRIPTS) + 1)
+
     for rb in batches:
-        by_lang: dict[str, list[bytes]] = {}
         for text, lang in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
-            by_lang.setdefault(lang, []).extend(_words(text))
-        for lang, words in by_lang.items():
-            own = counts.setdefault(lang, np.zeros(BUCKETS + 1 + len(SCRIPTS) + 1, np.int64))
-            for part in _chunks(words):
-                own[:BUCKETS + 1] += np.bincount(_trigrams(part)[0], minlength=BUCKETS + 1)
-                own[BUCKETS + 1:] += np.bincount(_scripts(part), minlength=len(SCRIPTS) + 1)
+            words, size = waiting.get(lang, ([], 0))
+            words.extend(_words(text))
+            if size + len(text) > CHUNK_BYTES:
+                add(lang, words)
+                words, text = [], ""
+                size = 0
+            waiting[lang] = words, size + len(text)
+    for lang, (words, _) in waiting.items():
+        add(lang, words)
     for lang, own in counts.items():
         at = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays(
@@ -215,7 +224,7 @@ def _labelled(texts: list, model: dict, penalty: float) -> list[tuple]:
         return out
     live, scores, letters = [], [], []
     for i, text in enumerate(texts):
-        if text and _LETTER.search(text):
+        if text and any(map(str.isalpha, text)):
             s, n = _word_scores(_words(text), model)
             live.append(i)
             scores.append(s)

@@ -49,3 +49,19 @@ def test_scripts():
     names = [L.SCRIPTS[L._script(w.encode())] for w in ("abcé", "кот", "ελ", "日本", "かな", "한국", "שלום", "ไทย", "xкот")]
     assert names == ["latin", "cyrillic", "greek", "han", "kana", "hangul", "hebrew", "thai", "cyrillic"]
     assert L._script("12!".encode()) == L.NO_LETTER
+
+
+def test_numerals_are_no_letters(make_docs, spark):
+    """Digits, superscripts, fractions and circled numbers: no language, wherever they stand."""
+    model = L.learn(make_docs([(1, "the cat"), (2, "a dog")], "en"))
+    docs = make_docs(list(enumerate(["½ 12", "² 3", "① ②", "Ⅷ 8", "12 ½ cat", "_ - .", "١٢"])))
+    got = {r.doc_id: (r.lang_pred, r.score > 0) for r in L.predict(docs, model).collect()}
+    assert {i for i, x in got.items() if x == ("und", False)} == {i for i in got if i != 4}
+    assert got[4] == ("en", True)
+
+
+def test_counts_do_not_depend_on_the_chunk(make_docs, monkeypatch):
+    rows = [(i, f"word{i} some text {'x' * i}") for i in range(40)]
+    whole = L.learn(make_docs(rows, "en"))
+    monkeypatch.setattr(L, "CHUNK_BYTES", 10)
+    assert (L.learn(make_docs(rows, "en"))["logp"] == whole["logp"]).all()
