@@ -2,7 +2,9 @@
 
 Every text is a bag of hashed word unigrams and bigrams.  Two multinomials over
 the hash buckets are counted, one of the trusted documents and one of the whole
-corpus, both smoothed with the same share of prior mass.  A document's score is the mean over its n-grams of
+corpus, both smoothed with a prior mass in proportion to their n-grams, so that scores mean
+the same however large the corpus grows.  A small trusted corpus has not met most good words,
+so there is a least mass a bucket, which keeps the scores of good documents near 0.  A document's score is the mean over its n-grams of
 ``ln p_trusted(bucket) - ln p_corpus(bucket)``, so it does not depend on the
 length.  Every document with ``score < threshold`` is rejected, as is every one
 that fails a base rule.
@@ -25,8 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
-#: Expected trusted n-grams that every bucket gets in both multinomials.
-SMOOTHING = 10.0
+#: Prior mass of both multinomials: this share of the trusted n-grams, ...
+PRIOR_SHARE = 0.25
+#: ... and at least so many expected n-grams a bucket.
+LEAST_PRIOR = 10.0
 THRESHOLD = -0.10
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -84,7 +88,8 @@ def _hashed(df: DataFrame) -> DataFrame:
 
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
+                   buckets: int = BUCKETS, prior_share: float = PRIOR_SHARE,
+                   least_prior: float = LEAST_PRIOR) -> DataFrame:
     """One row, ``weights array<double>``: the log ratio of every bucket.
     ``trusted`` has the ids of the trusted documents in its first column."""
     ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).filter("_id is not null").distinct()
@@ -99,7 +104,8 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id",
     one = full.agg(F.sum("raw").alias("R"), F.sum("tgt").alias("T"),
                    F.array_sort(F.collect_list(F.struct("b", "raw", "tgt"))).alias("c"))
     # the same prior mass in proportion to either corpus, so the totals cancel
-    ratio = F.transform("c", lambda x: F.log((x["tgt"] + smoothing) / (x["raw"] * F.col("T") / F.col("R") + smoothing)))
+    prior = F.greatest(F.lit(least_prior), F.col("T") * prior_share / buckets)
+    ratio = F.transform("c", lambda x: F.log((x["tgt"] + prior) / (x["raw"] * F.col("T") / F.col("R") + prior)))
     return one.select(F.when(F.col("T") > 0, ratio).otherwise(
         F.transform("c", lambda x: F.lit(0.0))).alias("weights"))
 
@@ -108,9 +114,9 @@ def judge(docs: DataFrame, weights: DataFrame, text_col: str = "text", threshold
           buckets: int = BUCKETS) -> DataFrame:
     """``row`` (a struct of the columns of ``docs``) and ``rules`` (a struct of
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    score, kept) per row of ``docs``, and its ``place``.  A filter that names the
-    place stays above the rules; Spark would else copy the rules into the filter,
-    and the word hashes into every step of their loops."""
+    score, kept) per row of ``docs``.  Spark copies deterministic expressions into a later filter, and would
+    copy the word hashes into every step of the rules' loops; a row number that is
+    filtered here keeps every later filter, join and aggregate above the rules."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, "[\\x20\\x09-\\x0D]+", "") != "")
     score = _let(grams(F.col("h"), buckets), lambda f: F.when(F.size(f) > 0, F.aggregate(
@@ -128,7 +134,7 @@ def judge(docs: DataFrame, weights: DataFrame, text_col: str = "text", threshold
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         F.col("rep").alias("n_repeat_words"), F.col("failed").alias("base_failed"), "score",
         (~F.col("failed") & (F.col("score") >= threshold)).alias("kept")).alias("rules"),
-        F.monotonically_increasing_id().alias("place"))
+        F.monotonically_increasing_id().alias("place")).filter("place >= 0").drop("place")
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -144,4 +150,4 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns."""
     weights = bucket_weights(docs, trusted, id_col, text_col)
-    return judge(docs, weights, text_col).filter("rules.kept and place >= 0").select("row.*")
+    return judge(docs, weights, text_col).filter("rules.kept").select("row.*")

@@ -1,10 +1,12 @@
 """Base rules and score against a plain restatement."""
 import math
 import re
+import time
 from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from corpusmill.llm import quality_rules as Q
 
@@ -42,7 +44,7 @@ def scores(rows, good):
         if i in good:
             tgt.update(buckets(t))
     share = sum(tgt.values()) / max(1, sum(raw.values()))
-    c = Q.SMOOTHING
+    c = max(Q.LEAST_PRIOR, sum(tgt.values()) * Q.PRIOR_SHARE / Q.BUCKETS)
     w = {b: math.log((tgt[b] + c) / (n * share + c)) if tgt else 0.0 for b, n in raw.items()}
     return {i: sum(w[b] for b in buckets(t)) / max(1, len(buckets(t))) for i, t in rows}
 
@@ -63,6 +65,32 @@ def test_test_table(spark, sf, documents):
     check(Q.quality_rules(spark.read.parquet(f"{sf}/documents.parquet"), labels), documents, {r[0] for r in labels.collect()})
 
 
+def test_large_corpora_have_a_proportional_prior(spark, make_docs):
+    """Ten times the same corpus gives the same weights once the share is above the least mass."""
+    rows = [(i, " ".join(f"w{j % (i + 3)}" for j in range(60))) for i in range(30)]
+    trusted = spark.createDataFrame([(i,) for i in range(10)], "doc_id bigint")
+    once, often = (Q.bucket_weights(make_docs(r), trusted, least_prior=0.0).first().weights for r in (rows, rows * 10))
+    assert once == pytest.approx(often, abs=1e-12) and max(once) > 0.1
+
+
+def test_result_can_be_filtered_joined_and_grouped(spark, sf, documents):
+    """Spark must not copy the rules into later conditions; each of these once ran for minutes."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rules = Q.quality_rules(docs, labels.filter("quality = 1").select("doc_id"))
+    rows = rules.collect()
+    began = time.time()
+    assert rules.filter("kept").count() == sum(r.kept for r in rows)
+    assert rules.filter("not base_failed and n_words > 30 and score > -0.05").count() == sum(
+        not r.base_failed and r.n_words > 30 and r.score > -0.05 for r in rows)
+    joined = rules.filter("not base_failed").join(docs.filter("length(text) > 10"), "doc_id").filter("score < 0.5")
+    assert joined.count() == sum(not r.base_failed and r.score < 0.5 for r in rows)
+    groups = {r.kept: r.n for r in rules.groupBy("kept").agg(F.count("*").alias("n"), F.max("score")).filter("n > 0").collect()}
+    assert groups == Counter(r.kept for r in rows)
+    assert rules.orderBy("score").filter("kept").select("doc_id").count() == sum(r.kept for r in rows)
+    assert time.time() - began < 90
+
+
 @pytest.mark.parametrize("few", [0, 2_000_000])
 def test_defined_cases(spark, make_docs, monkeypatch, few):
     monkeypatch.setattr(Q, "BROADCAST_IDS", few)  # the trusted ids by shuffle and by broadcast
