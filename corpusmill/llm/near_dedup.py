@@ -6,7 +6,7 @@
 2. Inverted lists of the retained values give the overlaps.  Let a pair be
    similar (Jaccard >= t).  The k smallest values of the union are a random
    sample of it, so at least ``c = ceil(share * k)`` of them lie in both sketches,
-   but for a chance of 8e-9 at t = 0.85, k = 64, share = 0.5625.  Two sketches with c
+   but for a chance of LOSS, from which ``share`` follows for any t and k.  Two sketches with c
    values in common must meet in the lists of all but their c - 1 most frequent
    values.  So values held by one document alone, and values of passages that
    many documents share, bring no candidates unless most of a sketch is made
@@ -27,6 +27,8 @@ nothing, has a null component and is kept.  Other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -38,7 +40,7 @@ from corpusmill.llm.common import cut, ready, shingles, signed
 from corpusmill.llm.graph import connected_components
 
 SKETCH = 64           # values kept per document
-SHARE = 0.5625        # share of the union sketch that a similar pair has in common
+LOSS = 1e-8           # chance that the sketches of a similar pair share too few values
 SHORT_LIST = 64       # members of a list that are joined directly
 BLOCK = 512           # documents per block of a cluster of longer lists
 
@@ -130,6 +132,20 @@ def _cell_links(pdf: pd.DataFrame, percent: int, k: int, share: float) -> pd.Dat
     return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
 
+def share_of(percent: int, k: int, loss: float = LOSS) -> float:
+    """Largest share of a sketch such that a pair at ``percent`` similarity shares fewer than that
+    of its k values with a chance of at most ``loss`` (binomial)."""
+    p, below, least = percent / 100, 0.0, 0
+    for c in range(k + 1):
+        below += math.comb(k, c) * p ** c * (1 - p) ** (k - c)
+        if below > loss:
+            break
+        least = c + 1
+    if not least:
+        raise ValueError(f"sketches of {k} values cannot find pairs at {percent} percent; take a larger k")
+    return least / k
+
+
 def _least_shared(n, share: float):
     return F.greatest(F.lit(1), F.ceil(F.lit(share) * n)).cast("int")
 
@@ -184,9 +200,10 @@ def _long_list_links(lab: DataFrame, texts: DataFrame, percent: int, k: int, sha
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    percent: int = 80, k: int = SKETCH, share: float = SHARE) -> DataFrame:
+                    percent: int = 80, k: int = SKETCH, loss: float = LOSS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row of ``docs``; linked at
     ``100 * intersection >= percent * union``.  See the module text."""
+    share = share_of(percent, k, loss)
     src = ready(docs).select(F.col(id_col).cast("bigint").alias("doc_id"),
                              F.col(text_col).cast("string").cast("binary").alias("text"))
     feats = cut(src.mapInArrow(lambda it: _features(it, k),

@@ -97,3 +97,16 @@ def test_components(spark):
     c = {r.node: r.component for r in connected_components(df).collect()}
     assert c == {**{i: 0 for i in range(51)}, 100: 100, 200: 100, 300: 100}
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_share_follows_from_percent():
+    """The chance that a pair's sketches share fewer values, by simulation-free binomials."""
+    import math
+    import pytest
+    for percent in (95, 85, 80, 60, 50):
+        c = round(64 * N.share_of(percent, 64))
+        tail = lambda c: sum(math.comb(64, i) * (percent / 100) ** i * (1 - percent / 100) ** (64 - i) for i in range(c))
+        assert tail(c) <= N.LOSS < tail(c + 1)
+    assert N.share_of(85, 64) == 0.5625
+    with pytest.raises(ValueError):
+        N.share_of(10, 64)
