@@ -52,7 +52,7 @@ ROUNDS = 4
 SCALE = 1024
 #: Vectors of a block, and parts of a leaf.
 BLOCK = 4096
-LEAF = 32
+LEAF = 64
 _EXACT = 2 ** 53
 
 
