@@ -1,4 +1,5 @@
 """The pipeline, stage by stage, against restatements of every stage, and the entry."""
+import os
 import re
 import zlib
 from collections import Counter
@@ -43,7 +44,6 @@ def test_stages(spark, sf, documents, tmp_path):
             assert all(r.n_chars == len(r.text) for r in got)
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     pieces = Counter()
     for i, t in want[-1]:
         ids = tok.encode(t, add_special_tokens=False).ids + [1]
@@ -58,7 +58,12 @@ def test_stages(spark, sf, documents, tmp_path):
 
 
 def test_run(spark, sf):
+    """The result, and only the folder of the last stage left."""
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(base))
     assert P.run(spark, sf).count() > 0
+    (new,) = [x for x in os.listdir(base) if x.startswith("pipeline-") and x not in before]
+    assert os.listdir(os.path.join(base, new)) == [f"{len(P.STAGES) - 1}_{P.STAGES[-1][0]}"]
 
 
 @pytest.mark.parametrize("stage", [0, 1, 2, 3, 4])
@@ -76,7 +81,7 @@ def test_stages_on_empty_and_odd_rows(spark, sf, make_docs, stage):
 def test_every_operator_is_registered():
     names = set(E.queries())
     assert set(REGISTRY) | {"pipeline"} <= names
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in REGISTRY) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in REGISTRY) == list(range(1, 14))
 
 
 def test_op5_and_op8_and_op10_digests(spark, sf, documents):
