@@ -634,6 +634,18 @@ WITH s AS (SELECT doc_id, source, text, ['train', 'validation', 'test'][doc_id %
 SELECT split, row_number() OVER (PARTITION BY source, split ORDER BY filename) - 1 AS pos, filename, md5(text) AS caption_md5 FROM s
 """
 
+ORACLE["a7_coco_manifest"] = "WITH " + CAPS + """
+SELECT image AS image_id, count(*) AS n_captions, md5(string_agg(text, chr(10) ORDER BY pos)) AS captions_md5
+FROM capsx GROUP BY image
+"""
+
+ORACLE["a7_karpathy_manifest"] = "WITH " + CAPS + """,
+l AS (SELECT image, count(*) AS n, string_agg(text, chr(10) ORDER BY pos) AS t FROM capsx GROUP BY image)
+SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.jpg' AS filename, ['train', 'val', 'test', 'restval'][doc_id % 4 + 1] AS split,
+       coalesce(n, 0) AS n_sentences, md5(coalesce(t, '')) AS sentences_md5
+FROM documents LEFT JOIN l ON image = doc_id
+"""
+
 ORACLE["a8_labelled_folder"] = """
 WITH p AS (SELECT page_id, 'kind=' || regexp_extract(url, '\\.(com|net|org)', 1) AS class_name FROM pages)
 SELECT page_id, class_name, dense_rank() OVER (ORDER BY class_name) - 1 AS class_idx FROM p

@@ -16,6 +16,7 @@ from corpusmill.operators import zeroshot as Z
 from corpusmill.plans import views
 from corpusmill.session import reliable_checkpoint, scratch_folder
 from corpusmill.sources import files as FS
+from corpusmill.sources.json_arrays import write_arrays
 
 REGISTRY: dict = {}
 
@@ -780,6 +781,34 @@ def a7_split_manifest(spark, d):
         return reliable_checkpoint(back.select("split", "pos", "filename", F.md5("caption").alias("caption_md5")))
 
 
+@register("a7_coco_manifest")
+def a7_coco_manifest(spark, d):
+    """Every caption of every image as an annotation of COCO-style documents, one per partition, read back in
+    splits; the captions of each image in the order of their annotations."""
+    with scratch_folder(spark) as tmp:
+        note = F.to_json(F.struct(F.col("image").alias("image_id"), F.col("text").alias("caption")))
+        write_arrays(views.caps(spark, d).select(note.alias("element")), f"{tmp}/m", "annotations", head={"info": {"year": 2020}})
+        back = reliable_checkpoint(FS.read_coco(spark, f"{tmp}/m"))
+    lists = CP.ordered_list(back, "image_id", "pos", "caption", "captions")
+    return lists.select("image_id", F.size("captions").cast("bigint").alias("n_captions"),
+                        F.md5(F.array_join("captions", "\n")).alias("captions_md5"))
+
+
+@register("a7_karpathy_manifest")
+def a7_karpathy_manifest(spark, d):
+    """Every document as an image with its sentences in Karpathy-style documents, read back in splits."""
+    with scratch_folder(spark) as tmp:
+        split = F.element_at(F.array(*map(F.lit, ("train", "val", "test", "restval"))), (F.col("image") % 4 + 1).cast("int"))
+        item = F.struct(F.concat(F.lpad(F.col("image").cast("string"), 12, "0"), F.lit(".jpg")).alias("filename"), split.alias("split"),
+                        F.transform("captions", lambda x: F.struct(x.alias("raw"))).alias("sentences"))
+        write_arrays(views.caption_lists(spark, d).select(F.to_json(item).alias("element")), f"{tmp}/m", "images",
+                     head={"dataset": "documents"})
+        back = reliable_checkpoint(FS.read_karpathy(spark, f"{tmp}/m"))
+    raws = F.coalesce(F.transform("sentences", lambda x: x["raw"]), F.array().cast("array<string>"))
+    return back.select("filename", "split", F.size(raws).cast("bigint").alias("n_sentences"),
+                       F.md5(F.array_join(raws, "\n")).alias("sentences_md5"))
+
+
 @register("a8_labelled_folder")
 def a8_labelled_folder(spark, d):
     """Pages written to one folder per domain ending, many files each; all of them scanned as labelled

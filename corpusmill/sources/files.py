@@ -13,6 +13,7 @@ from corpusmill.functions import text as TX
 from corpusmill.operators.indexing import global_index
 from corpusmill.operators.partitioning import broadcast_if_small
 from corpusmill.session import reliable_checkpoint
+from corpusmill.sources.json_arrays import read_array
 from corpusmill.sources.records import fields_of, read_record_texts
 
 # Column layouts of the translation tables, by dataset.
@@ -91,21 +92,19 @@ def export_caption_url(df: DataFrame, dst: str, caption: str = "caption", url: s
 
 # ---------------------------------------------------------------- A7
 
-COCO_SCHEMA = T.StructType([T.StructField("annotations", T.ArrayType(T.StructType([
-    T.StructField("image_id", T.LongType()), T.StructField("caption", T.StringType())])))])
-KARPATHY_SCHEMA = T.StructType([T.StructField("images", T.ArrayType(T.StructType([
+# The fields of a COCO annotation and of a Karpathy image.
+COCO_ANNOTATION = T.StructType([T.StructField("image_id", T.LongType()), T.StructField("caption", T.StringType())])
+KARPATHY_IMAGE = T.StructType([
     T.StructField("filename", T.StringType()), T.StructField("split", T.StringType()),
-    T.StructField("sentences", T.ArrayType(T.StructType([T.StructField("raw", T.StringType())])))])))])
+    T.StructField("sentences", T.ArrayType(T.StructType([T.StructField("raw", T.StringType())])))])
 _SPLIT_ITEM = T.ArrayType(T.StructType([T.StructField("filename", T.StringType()),
                                         T.StructField("caption", T.StringType())]))
 SPLIT_KEYED_SCHEMA = T.StructType([T.StructField(s, _SPLIT_ITEM) for s in ("train", "validation", "test")])
 
 
 def read_coco(spark: SparkSession, path: str) -> DataFrame:
-    """A7 COCO-style: (pos, image_id, caption), pos = position in the list."""
-    j = spark.read.schema(COCO_SCHEMA).json(path, multiLine=True)
-    return j.select(F.posexplode("annotations").alias("pos", "a")).select(
-        F.col("pos").cast("bigint").alias("pos"), "a.image_id", "a.caption")
+    """A7 COCO-style: (pos, image_id, caption), pos = position in the document's list.  A document of any size is many tasks."""
+    return read_array(spark, path, "annotations", COCO_ANNOTATION).select("pos", "e.image_id", "e.caption")
 
 
 def read_csv_captions(spark: SparkSession, path: str) -> DataFrame:
@@ -114,9 +113,8 @@ def read_csv_captions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_karpathy(spark: SparkSession, path: str) -> DataFrame:
-    """A7 Karpathy-style: (filename, split, sentences array<struct<raw>>)."""
-    j = spark.read.schema(KARPATHY_SCHEMA).json(path, multiLine=True)
-    return j.select(F.explode("images").alias("i")).select("i.filename", "i.split", "i.sentences")
+    """A7 Karpathy-style: (filename, split, sentences array<struct<raw>>); read as ``read_coco``."""
+    return read_array(spark, path, "images", KARPATHY_IMAGE).select("e.filename", "e.split", "e.sentences")
 
 
 SPLITS = ("train", "validation", "test")

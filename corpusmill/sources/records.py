@@ -46,8 +46,8 @@ def after_line(line: str, inside: bool, sep: str) -> bool:
             return False
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.text(path, lineSep="\n")
+def _lines(spark: SparkSession, path: str, end: str = "\n") -> DataFrame:
+    rows = spark.read.text(path, lineSep=end)
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
 
 
