@@ -625,6 +625,22 @@ SELECT 'sample' || lpad(CAST(idx AS VARCHAR), 5, '0') AS key, lpad(CAST(idx // 1
        image, n_captions FROM o
 """
 
+def _planned(size: int) -> str:
+    return f"""
+WITH i AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS image, len({LINES}) AS n_captions FROM documents),
+o AS (SELECT image, n_captions, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM i)
+SELECT 'sample' || lpad(CAST(idx AS VARCHAR), 5, '0') AS key, lpad(CAST(idx // {size} AS VARCHAR), 5, '0') || '.tar' AS shard,
+       image, n_captions, true AS ok FROM o
+"""
+
+
+ORACLE["a2_planned_shards"] = _planned(10_000)
+ORACLE["a3_resumed_shards"] = _planned(500)
+ORACLE["b9_written_parts"] = f"""
+WITH {B8}, i AS (SELECT image, pos, caption, row_number() OVER (ORDER BY image, pos) - 1 AS idx FROM b8)
+SELECT image, pos, md5(caption) AS caption_md5, idx // 5000 AS part FROM i
+"""
+
 ORACLE["a4_translation_table"] = """
 SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row, md5(text) AS caption_md5, source AS url FROM documents
 """

@@ -15,7 +15,10 @@ from corpusmill.operators import similarity as S
 from corpusmill.operators import zeroshot as Z
 from corpusmill.plans import views
 from corpusmill.session import reliable_checkpoint, scratch_folder
+from corpusmill.operators.partitioning import broadcast_if_small
 from corpusmill.sources import files as FS
+from corpusmill.sources import shard_plan as SP
+from corpusmill.sources import shards as SH
 from corpusmill.sources.json_arrays import write_arrays
 
 REGISTRY: dict = {}
@@ -709,6 +712,8 @@ def c4_masked_mean_pool(spark, d):
 # ---------------------------------------------------------------- A: sinks and profiling
 
 SHARD_SIZE = 10_000   # fixed value: samples per shard
+RESUMED_SHARD_SIZE = 500
+PART_SIZE = 5_000
 
 
 @register("a2_sharded_sink")
@@ -727,6 +732,46 @@ def a3_resume(spark, d):
     return chunk(e, "idx", SHARD_SIZE, "shard").select("idx", "shard", TX.sample_key("idx").alias("key"), "image")
 
 
+def _planned_samples(spark, d):
+    lists = views.caption_lists(spark, d).select(F.col("image").alias("id"), F.col("image").cast("string").alias("image"), "captions")
+    return SH.sample_json(lists, {"image": "image", "captions": "captions-pt"})
+
+
+def _read_planned(spark, path, plan):
+    """The samples of planned shards, with the shard's state in the ledger."""
+    back = SH.read_shards(spark, path + "/{00000..%05d}.tar" % max(0, plan.pieces - 1), include_images=False)
+    ok = reliable_checkpoint(SP.check_shards(spark, path).select(F.format_string("%05d.tar", "shard").alias("shard"), "ok"))
+    return back.join(broadcast_if_small(ok), "shard", "left").select(
+        "key", "shard", F.col("sample.image").alias("image"), F.size("sample.`captions-pt`").cast("bigint").alias("n_captions"), "ok")
+
+
+@register("a2_planned_shards")
+def a2_planned_shards(spark, d):
+    """Every document's caption list in tar shards that a plan of the ids alone cuts; read back."""
+    with scratch_folder(spark) as path:
+        plan = SP.write_planned(_planned_samples(spark, d), path, "id", size=SHARD_SIZE)
+        return reliable_checkpoint(_read_planned(spark, path, plan))
+
+
+@register("a3_resumed_shards")
+def a3_resumed_shards(spark, d):
+    """As ``a2_planned_shards``, in two runs: one that may write every other shard only, and one that resumes."""
+    with scratch_folder(spark) as path:
+        samples = _planned_samples(spark, d)
+        for only in (range(0, samples.count(), 2), None):
+            plan = SP.write_planned(samples, path, "id", size=RESUMED_SHARD_SIZE, only=only)
+        return reliable_checkpoint(_read_planned(spark, path, plan))
+
+
+@register("b9_written_parts")
+def b9_written_parts(spark, d):
+    """The captions to translate, written in parts of fixed size and read back."""
+    with scratch_folder(spark) as path:
+        SP.write_parts(_b8(spark, d), f"{path}/p", ["image", "pos"], PART_SIZE)
+        back = spark.read.parquet(f"{path}/p")
+        return reliable_checkpoint(back.select("image", "pos", F.md5("caption").alias("caption_md5"), F.col("part").cast("bigint").alias("part")))
+
+
 def _written_captions(spark, d, folder):
     """The page captions as a CSV of several part files in page order."""
     p = global_index(views.tsv_pages(spark, d), ["page_id"], col="record")
@@ -882,7 +927,6 @@ def a1_shard_roundtrip(spark, d):
     (key, shard, image, n_captions) of the samples read."""
     import math
 
-    from corpusmill.sources import shards as SH
     lists = views.caption_lists(spark, d).select(F.col("image").cast("string").alias("image"), "captions")
     numbered = SH.number_samples(lists, ["image"], shard_size=SHARD_SIZE)
     numbered = SH.sample_json(numbered, {"image": "image", "captions": "captions-pt"})
