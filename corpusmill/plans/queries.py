@@ -833,7 +833,7 @@ def a7_coco_manifest(spark, d):
     with scratch_folder(spark) as tmp:
         note = F.to_json(F.struct(F.col("image").alias("image_id"), F.col("text").alias("caption")))
         write_arrays(views.caps(spark, d).select(note.alias("element")), f"{tmp}/m", "annotations", head={"info": {"year": 2020}})
-        back = reliable_checkpoint(FS.read_coco(spark, f"{tmp}/m"))
+        back = FS.read_coco(spark, f"{tmp}/m")     # read by now, and checkpointed
     lists = CP.ordered_list(back, "image_id", "pos", "caption", "captions")
     return lists.select("image_id", F.size("captions").cast("bigint").alias("n_captions"),
                         F.md5(F.array_join("captions", "\n")).alias("captions_md5"))
@@ -848,7 +848,7 @@ def a7_karpathy_manifest(spark, d):
                         F.transform("captions", lambda x: F.struct(x.alias("raw"))).alias("sentences"))
         write_arrays(views.caption_lists(spark, d).select(F.to_json(item).alias("element")), f"{tmp}/m", "images",
                      head={"dataset": "documents"})
-        back = reliable_checkpoint(FS.read_karpathy(spark, f"{tmp}/m"))
+        back = FS.read_karpathy(spark, f"{tmp}/m")     # read by now, and checkpointed
     raws = F.coalesce(F.transform("sentences", lambda x: x["raw"]), F.array().cast("array<string>"))
     return back.select("filename", "split", F.size(raws).cast("bigint").alias("n_sentences"),
                        F.md5(F.array_join(raws, "\n")).alias("sentences_md5"))

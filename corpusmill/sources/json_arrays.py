@@ -180,14 +180,14 @@ def _piece_batch(rows):
 def _in_file_order(df: DataFrame):
     """Rows of a table with one row per split, each with whether it starts its file."""
     last = None
-    for r in df.orderBy("file", "start").collect():
+    for r in sorted(df.collect(), key=lambda r: (r.file, r.start)):
         yield r, r.file != last
         last = r.file
 
 
 def read_array_texts(spark: SparkSession, path: str, field: str) -> DataFrame:
     """(file, pos, text): the JSON text of every element of the top-level array ``field`` of the document(s), numbered
-    within its document."""
+    within its document.  The elements are checkpointed; the documents are not read again."""
     ship_package(spark)
     pieces = _lines(spark, path, ",")
     numbers = lambda names: "file string, start long, " + ", ".join(f"{n} long" for n in names)
