@@ -126,7 +126,7 @@ def read_record_texts(spark: SparkSession, path: str, sep: str = ",") -> DataFra
     rows = lines.mapInArrow(_summaries(sep), "file string, start long, out0 long, out1 long, n0 long, n1 long")
     # one row per split; a split whose rows came in several runs is one run of one task all the same
     known, state, base, last = {}, 0, 0, None
-    for i, r in enumerate(rows.orderBy("file", "start").collect()):
+    for i, r in enumerate(sorted(rows.collect(), key=lambda r: (r.file, r.start))):
         if r.file != last:
             state, last = 0, r.file            # a quote left open ends with its file
         known[r.file, r.start] = (bool(state), base, i)
