@@ -791,8 +791,8 @@ def _written_captions(spark, d, folder):
 def a4_translation_table(spark, d):
     """Every document as a record of a translation table, read back with its row."""
     with scratch_folder(spark) as tmp:
-        rows = global_index(views.table(spark, d, "documents").select("doc_id", "text", "source"), ["doc_id"], col="r")
-        rows.orderBy("r").select(FS.tsv_line(F.array("text", "source")).alias("value")).write.text(f"{tmp}/t")
+        rows = views.table(spark, d, "documents").select("doc_id", "text", "source")
+        rows.orderBy("doc_id").select(FS.tsv_line(F.array("text", "source")).alias("value")).write.text(f"{tmp}/t")
         back = FS.read_translation_table(spark, f"{tmp}/t", "other")
         return reliable_checkpoint(back.select("row", F.md5("caption").alias("caption_md5"), "url"))
 
