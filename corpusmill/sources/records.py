@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import reliable_checkpoint, ship_package
 
+USUAL_FIELDS = 20_000
+MOST_FIELDS = 2_000_000
+
 # up to the quote that closes a field
 _CLOSE = re.compile(r'(?:[^"]++|"")*+"')
 
@@ -141,8 +144,11 @@ def read_record_texts(spark: SparkSession, path: str, sep: str = ",") -> DataFra
 
 def fields_of(records: DataFrame, schema: str, sep: str = ",", keep_empty: bool = False) -> DataFrame:
     """``records`` with their texts parsed into the struct ``f`` of ``schema``; empty fields are null, or stay
-    empty with ``keep_empty``."""
-    options = {"sep": sep, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "maxColumns": "2000000"}
+    empty with ``keep_empty``.  The parser allocates for the most fields it may meet, so the wide one is only made by a
+    task that meets a record of more than ``USUAL_FIELDS`` separators."""
+    options = {"sep": sep, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
     if keep_empty:
         options["nullValue"] = "\0"
-    return records.withColumn("f", F.from_csv("text", schema, options))
+    parsed = lambda most: F.from_csv("text", schema, {**options, "maxColumns": str(most)})
+    many = F.length("text") - F.length(F.replace("text", F.lit(sep), F.lit(""))) >= USUAL_FIELDS * len(sep)
+    return records.withColumn("f", F.when(many, parsed(MOST_FIELDS)).otherwise(parsed(USUAL_FIELDS)))
