@@ -227,6 +227,11 @@ def read_shards(spark: SparkSession, pattern: str, include_images: bool = True)
     register(spark)
     raw = (spark.read.format("tarshards").option("paths", pattern)
                 .option("includeImages", str(include_images).lower()).load())
+    return parse_samples(raw)
+
+
+def parse_samples(raw: DataFrame) -> DataFrame:
+    """``raw`` with its JSON parsed into ``SAMPLE_JSON``."""
     known = [f.name for f in SAMPLE_JSON.fields]
     other = F.map_filter(F.from_json("json", "map<string,string>"), lambda k, _: ~k.isin(*known))
     return raw.withColumn("sample", F.from_json("json", SAMPLE_JSON).withField("extra", other))
