@@ -576,6 +576,12 @@ SELECT concat_ws('_', conv_id, turn) AS key, md5(text) AS original_md5, md5('>>p
        'conversations' AS dataset_name FROM conversations
 """
 
+ORACLE["c3_kept_memory"] = """
+SELECT concat_ws('_', conv_id, turn) AS key, md5(text) AS original_md5, md5('>>por<< ' || text) AS translated_md5,
+       CASE WHEN text IS NULL THEN NULL WHEN text IN (SELECT text FROM conversations WHERE role = 'user' AND text IS NOT NULL)
+            THEN 'users' ELSE 'all' END AS run FROM conversations
+"""
+
 ORACLE["c4_masked_mean_pool"] = f"""
 WITH {TXT},
 d AS (SELECT image_id AS id, CASE WHEN pos < 4 THEN 1.0 ELSE 0.0 END AS m, generate_subscripts(vec, 1) - 1 AS dim,
@@ -658,6 +664,8 @@ WITH {B8}, i AS (SELECT image, pos, caption, row_number() OVER (ORDER BY image,
 SELECT image, pos, md5(caption) AS caption_md5, idx // 5000 AS part FROM i
 """
 
+ORACLE["a1_indexed_shards"] = _planned(10000).replace(", true AS ok", "")
+
 ORACLE["a4_translation_table"] = """
 SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row, md5(text) AS caption_md5, source AS url FROM documents
 """

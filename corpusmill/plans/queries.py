@@ -17,6 +17,7 @@ from corpusmill.plans import views
 from corpusmill.session import reliable_checkpoint, scratch_folder
 from corpusmill.operators.partitioning import broadcast_if_small
 from corpusmill.sources import files as FS
+from corpusmill.sources import shard_index as SI
 from corpusmill.sources import shard_plan as SP
 from corpusmill.sources import shards as SH
 from corpusmill.sources.json_arrays import write_arrays
@@ -493,6 +494,7 @@ def f10_run_summary(spark, d):
 from corpusmill.functions import text as TX  # noqa: E402
 from corpusmill.operators import corpus as CP  # noqa: E402
 from corpusmill.operators import infer as INF  # noqa: E402
+from corpusmill.operators import translation_memory as TM  # noqa: E402
 from corpusmill.operators.indexing import chunk  # noqa: E402
 
 
@@ -708,6 +710,22 @@ def c3_translate_memory(spark, d):
                     F.md5("translated_sentence").alias("translated_md5"), "dataset_name")
 
 
+@register("c3_kept_memory")
+def c3_kept_memory(spark, d):
+    """All turns translated with a kept memory, after a run over the users' turns: whose run translated each."""
+    rows = views.turns(spark, d).select(F.concat_ws("_", "conv_id", "turn").alias("key"), "role",
+                                        F.col("text").alias("original_sentence"))
+    with scratch_folder(spark) as path:
+        memory = TM.open_memory(spark, path)
+        try:
+            TM.translate_kept(rows.filter("role = 'user'"), _identity_translator, memory, "users")
+            t = TM.translate_kept(rows, _identity_translator, memory, "all", run_col="run")
+            return reliable_checkpoint(t.select("key", F.md5("original_sentence").alias("original_md5"),
+                                                F.md5("translated_sentence").alias("translated_md5"), "run"))
+        finally:
+            spark.sql(f"DROP TABLE {memory}")
+
+
 @register("c4_masked_mean_pool")
 def c4_masked_mean_pool(spark, d):
     tok = views.txt(spark, d).select(F.col("image_id").alias("id"), "pos",
@@ -945,3 +963,17 @@ def a1_shard_roundtrip(spark, d):
         back = SH.read_shards(spark, path + "/{00000..%05d}.tar" % last, include_images=False)
         return reliable_checkpoint(back.select("key", "shard", F.col("sample.image").alias("image"),
                                                F.size("sample.`captions-pt`").cast("bigint").alias("n_captions")))
+
+
+INDEX_SPLIT_BYTES = 4 << 20   # fixed value: bytes of a tar that one task fetches
+
+
+@register("a1_indexed_shards")
+def a1_indexed_shards(spark, d):
+    """As ``a2_planned_shards``, read back through an index of the shards, every shard by several tasks."""
+    with scratch_folder(spark) as path:
+        plan = SP.write_planned(_planned_samples(spark, d), path, "id", size=SHARD_SIZE)
+        pattern = "::".join(f"{path}/{i:05d}.tar" for i in range(plan.pieces))
+        back = SI.fetch(SI.write_index(spark, pattern, f"{path}/index"), False, INDEX_SPLIT_BYTES)
+        return reliable_checkpoint(back.select("key", "shard", F.col("sample.image").alias("image"),
+                                               F.size("sample.`captions-pt`").cast("bigint").alias("n_captions")))
