@@ -2,7 +2,7 @@
 
 The memory is a Parquet table bucketed by the md5 of the sentence.  A run counts its sentences by their hash, finds those
 that the memory lacks, translates them once each, appends them, and joins all rows to the memory.  The memory
-is never shuffled: Spark plans both joins on its buckets, and only hashes and rows of the run move to them.
+is never shuffled: Spark plans both joins on its buckets, and only sentences and rows of the run move to them.
 
 Sentences that make up a large share of the run's rows (greetings, empty captions) would fall to one bucket's task; there
 are few of them by their count, and they are joined by a broadcast.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators.infer import PT_TOKEN, _model
 from corpusmill.operators.partitioning import broadcast_if_small
-from corpusmill.session import reliable_checkpoint, ship_package
+from corpusmill.session import ship_package
 
 MEMORY = "h binary, source string, target string, run string"
 # a sentence is hot above this share of a bucket's mean number of rows
@@ -75,11 +75,10 @@ def translate_kept(rows: DataFrame, translator_factory: Callable, memory: str, r
     buckets = _buckets(spark, memory)
     kept = rows.filter(F.col(text).isNotNull()).select(_h(text).alias("h"), F.col(text).alias("source"))
 
-    # only hashes are counted; a hot sentence is one row per map task
+    # both aggregates combine before they shuffle: a hot sentence is one row per map task
     counts = kept.groupBy("h").count()
-    known = spark.table(memory).select("h")
-    new_hashes = reliable_checkpoint(counts.join(known, "h", "left_anti"))
-    new = kept.join(new_hashes.select("h"), "h", "left_semi").groupBy("h").agg(F.min("source").alias("source"))
+    sentences = kept.groupBy("h").agg(F.min("source").alias("source"))
+    new = sentences.join(spark.table(memory).select("h"), "h", "left_anti")
     made = new.mapInPandas(_translated(translator_factory, cache_key, token), "h binary, source string, target string")
     (made.withColumn("run", F.lit(run)).repartition(buckets, "h").write.mode("append").format("parquet")
          .bucketBy(buckets, "h").saveAsTable(memory))
