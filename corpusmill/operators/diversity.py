@@ -16,6 +16,8 @@ the threshold shares a token in both prefixes, since all others together cannot
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -27,6 +29,34 @@ from corpusmill.session import reliable_checkpoint, ship_package
 # Defaults of the reference's diversity pruning.
 DEFAULT_K_MIN = 3
 DEFAULT_THR = 0.3
+#: Caption text of one task; its tokens are some 20 times as large in memory.
+TASK_BYTES = 8 << 20
+
+
+def _by_image(captions: DataFrame) -> DataFrame:
+    """``captions`` dealt by image, about ``TASK_BYTES`` of text to a task: the one shuffle of all that follows
+    here.  Their tokens, weights and pairs take many times the space of the text, and groups and windows within an
+    image need no shuffle of their own after this one."""
+    size = captions.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    tasks = max(captions.sparkSession.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES))
+    return captions.repartition(tasks, "image")
+
+
+def _weights(captions: DataFrame, image: str, pos: str, text: str, n_col: str | None, bare: bool = False) -> DataFrame:
+    """``tfidf``; with ``bare`` a caption without tokens has one row with a null token and weight."""
+    c = _by_image(captions.select(F.col(image).alias("image"), F.col(pos).alias("pos"), F.col(text).alias("text"),
+                                  *([F.col(n_col).alias("n")] if n_col else [])))
+    if not n_col:
+        c = c.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("image")))
+    explode = F.explode_outer if bare else F.explode
+    tok = c.select("image", "pos", "n", explode(TX.tokens("text")).alias("token"))
+    tf = tok.groupBy("image", "pos", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("n").alias("n"))
+    df_ = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("image", "token")))
+    raw = df_.select("image", "pos", "token", "df", F.when(
+        F.col("token").isNotNull(),
+        F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)).alias("raw"))
+    nrm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("image", "pos")))
+    return raw.select("image", "pos", "token", (F.col("raw") / nrm).alias("w"), "df")
 
 
 def tfidf(captions: DataFrame, image: str = "image", pos: str = "pos", text: str = "text",
@@ -36,27 +66,10 @@ def tfidf(captions: DataFrame, image: str = "image", pos: str = "pos", text: str
     (``df``: captions of the image containing the token).
 
     ``n_col`` names a column that already holds the image's caption count
-    (the length of its caption list); then nothing is keyed by image alone.
-    Without it the count is a partial aggregate joined at caption level.
-    Document frequencies are a partial aggregate on (image, token), so a
-    token frequent in a huge image is combined map-side; the norm of a
-    caption is a window over that one caption's tokens."""
-    if n_col:
-        cn = captions.select(F.col(image).alias("image"), F.col(pos).alias("pos"), F.col(text).alias("text"),
-                             F.col(n_col).alias("n"))
-    else:
-        c = captions.select(F.col(image).alias("image"), F.col(pos).alias("pos"), F.col(text).alias("text"))
-        n_docs = c.groupBy("image").agg(F.count(F.lit(1)).alias("n"))
-        cn = c.join(n_docs, "image")
-    tok = cn.select("image", "pos", "n", F.explode(TX.tokens("text")).alias("token"))
-    tf = tok.groupBy("image", "pos", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("n").alias("n"))
-    df_ = tf.groupBy("image", "token").agg(F.count("tf").alias("df"))
-    raw = tf.join(df_, ["image", "token"]).select(
-        "image", "pos", "token", "df",
-        (F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)).alias("raw"))
-    w = Window.partitionBy("image", "pos")
-    nrm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(w))
-    return raw.select("image", "pos", "token", (F.col("raw") / nrm).alias("w"), "df")
+    (the length of its caption list).  The captions are shuffled once, as text, by image;
+    term counts are grouped, document frequencies and norms are windows over one token of an image and
+    one caption, within the task of the image, and spill if an image is large."""
+    return _weights(captions, image, pos, text, n_col)
 
 
 def pair_similarity(weights: DataFrame) -> DataFrame:

@@ -180,3 +180,27 @@ def test_drop_isolated_matches_dense_loop(spark, seed):
     df = spark.createDataFrame(rows, "image long, pos long, text string")
     got = {(r.image, r.pos) for r in DV.prune_similar(df, 3, 0.3, drop_isolated=True).collect()}
     assert got == expected
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(")
+
+
+def _some_captions(spark, seed):
+    rng = np.random.default_rng(seed)
+    return spark.createDataFrame([(img, p, " ".join(rng.choice(WORDS, size=int(rng.integers(0, 7)))))
+                                  for img in range(9) for p in range(12)], "image long, pos long, text string")
+
+
+def test_tfidf_shuffles_captions_once_and_no_tokens(spark):
+    df = _some_captions(spark, 21)
+    w = DV.tfidf(df)
+    assert _shuffles(w) == 1
+    assert _shuffles(DV.tfidf(df.withColumn("n", F.lit(12)), n_col="n")) == 1
+    mine = [r for r in w.collect() if r.image == 4]
+    caps = [r.text for r in df.filter("image = 4").orderBy("pos").collect()]
+    dense, has = _tfidf_dense(caps)
+    got = np.zeros((len(caps), len(WORDS)))
+    for r in mine:
+        got[r.pos, WORDS.index(r.token)] = r.w
+    assert np.allclose(got @ got.T, dense) and {r.pos for r in mine} == set(np.flatnonzero(has))
