@@ -76,14 +76,16 @@ def pair_similarity(weights: DataFrame) -> DataFrame:
     """(image, pos_a, pos_b, sim) for caption pairs of the same image
     that share at least one token, pos_a < pos_b.  Pairs sharing nothing
     have similarity 0 and are not listed.  A token found in one caption
-    only (``df`` = 1) cannot join two captions and is left out of the
-    self-join."""
+    only (``df`` = 1) cannot join two captions and is left out.  Every caption of a token meets the later ones of
+    the token's list, so weights dealt by image (as ``tfidf`` leaves them) are not shuffled again."""
     if "df" in weights.columns:
         weights = weights.filter(F.col("df") >= 2)
-    a = weights.select("image", "token", F.col("pos").alias("pos_a"), F.col("w").alias("w_a"))
-    b = weights.select("image", "token", F.col("pos").alias("pos_b"), F.col("w").alias("w_b"))
-    return (a.join(b, ["image", "token"]).filter(F.col("pos_a") < F.col("pos_b"))
-             .groupBy("image", "pos_a", "pos_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("sim")))
+    lists = weights.groupBy("image", "token").agg(F.collect_list(F.struct("pos", "w")).alias("of"))
+    a = lists.select("image", "of", F.explode("of").alias("a"))
+    later = F.filter("of", lambda x: x["pos"] > F.col("a")["pos"])
+    both = a.select("image", "a", F.explode(later).alias("b"))
+    return (both.groupBy("image", F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"))
+            .agg(F.sum(F.col("a.w") * F.col("b.w")).alias("sim")))
 
 
 def prefixes(weights: DataFrame, thr: float = DEFAULT_THR) -> DataFrame:

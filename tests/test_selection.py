@@ -204,3 +204,14 @@ def test_tfidf_shuffles_captions_once_and_no_tokens(spark):
     for r in mine:
         got[r.pos, WORDS.index(r.token)] = r.w
     assert np.allclose(got @ got.T, dense) and {r.pos for r in mine} == set(np.flatnonzero(has))
+
+
+def test_pair_similarity_shuffles_nothing_more(spark):
+    df = _some_captions(spark, 22)
+    pairs = DV.pair_similarity(DV.tfidf(df))
+    assert _shuffles(pairs) == 1
+    caps = [r.text for r in df.filter("image = 4").orderBy("pos").collect()]
+    dense, _ = _tfidf_dense(caps)
+    got = {(r.pos_a, r.pos_b): r.sim for r in pairs.collect() if r.image == 4}
+    assert got.keys() == {(i, j) for i in range(12) for j in range(i + 1, 12) if dense[i, j] > 0}
+    assert all(abs(v - dense[k]) < 1e-9 for k, v in got.items())
