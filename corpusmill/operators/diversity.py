@@ -17,9 +17,11 @@ the threshold shares a token in both prefixes, since all others together cannot
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ DEFAULT_K_MIN = 3
 DEFAULT_THR = 0.3
 #: Caption text of one task; its tokens are some 20 times as large in memory.
 TASK_BYTES = 8 << 20
+#: Entries of one array where the pairs of an image are worked off in pieces.
+PIECE = 1 << 20
 
 
 def _by_image(captions: DataFrame) -> DataFrame:
@@ -102,17 +106,48 @@ def prefixes(weights: DataFrame, thr: float = DEFAULT_THR) -> DataFrame:
 def similar_pairs(weights: DataFrame, thr: float = DEFAULT_THR) -> DataFrame:
     """D9 above a threshold: (image, pos_a, pos_b, sim) for the pairs with ``sim > thr`` only.  Candidates share
     a prefix token; they are verified on all their tokens.  A word that many captions share is in few prefixes, so it
-    does not bring together all captions that have it."""
-    w = reliable_checkpoint(weights)
-    p = prefixes(w, thr)
-    a = p.select("image", "token", F.col("pos").alias("pos_a"))
-    b = p.select("image", "token", F.col("pos").alias("pos_b"))
-    cand = a.join(b, ["image", "token"]).filter(F.col("pos_a") < F.col("pos_b")).select("image", "pos_a", "pos_b").distinct()
-    bag = w.groupBy("image", "pos").agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("m"))  # one caption
-    both = (cand.join(bag.select("image", F.col("pos").alias("pos_a"), F.map_entries("m").alias("ta")), ["image", "pos_a"])
-            .join(bag.select("image", F.col("pos").alias("pos_b"), F.col("m").alias("mb")), ["image", "pos_b"]))
-    sim = F.aggregate("ta", F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(F.try_element_at("mb", x["key"]), F.lit(0.0)))
-    return both.select("image", "pos_a", "pos_b", sim.alias("sim")).filter(F.col("sim") > thr)
+    does not bring together all captions that have it.  The captions of an image meet within the task that has its
+    weights (no shuffle follows ``tfidf``), in memory linear in the image's tokens; pairs leave in pieces."""
+    ship_package(weights.sparkSession)
+    schema = weights.select("image", F.col("pos").alias("pos_a"), F.col("pos").alias("pos_b"), F.lit(0.0).alias("sim")).schema
+    return (weights.filter("token is not null").select("image", "pos", "token", "w")
+            .groupBy("image").applyInArrow(_near_groups(thr), schema))
+
+
+def _numbered(batches) -> tuple:
+    """The rows of one image as arrays: image, caption positions, and number of the caption, number of the token
+    and weight of every row with a token."""
+    t = pa.Table.from_batches(batches)
+    pos, caption = np.unique(t["pos"].to_numpy(), return_inverse=True)
+    words = t["token"].is_valid().to_numpy()
+    token = t["token"].combine_chunks().dictionary_encode()
+    token = token.combine_chunks() if isinstance(token, pa.ChunkedArray) else token
+    token = token.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return t.slice(0, 1)["image"], pos, caption[words], token[words], t["w"].to_numpy()[words].astype(np.float64)
+
+
+def _near_groups(thr: float):
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image, pos, caption, token, w = _numbered(batches)
+        for a, b, sim in _Captions(len(pos), caption, token, w, thr).near(thr):
+            yield pa.RecordBatch.from_arrays([image.take(pa.array(np.zeros(len(a), np.int64))).combine_chunks(),
+                                              pa.array(pos[a]), pa.array(pos[b]), pa.array(sim)],
+                                             ["image", "pos_a", "pos_b", "sim"])
+    return fn
+
+
+def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``start[i], start[i] + 1, ...``, ``count[i]`` numbers for every i."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+
+def _pieces(count: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges over ``count`` whose sums are about ``PIECE``; one that is larger stands alone."""
+    ends, i = np.cumsum(count), 0
+    while i < len(count):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PIECE, "right")))
+        yield i, j
+        i = j
 
 
 class _Captions:
@@ -131,6 +166,7 @@ class _Captions:
         by_token = np.argsort(self.prefix_token, kind="stable")
         self.prefix_start = np.searchsorted(self.prefix_token[by_token], np.arange(self.n_tokens + 1))
         self.prefix_caption = caption[order][at][by_token]
+        self.prefix_place = np.argsort(by_token, kind="stable")   # of each prefix token in ``prefix_caption``
         self.own = np.searchsorted(caption[order], np.arange(n + 1))
         self.token, self.w = token[order], w[order]
         post = np.argsort(self.token, kind="stable")
@@ -139,6 +175,29 @@ class _Captions:
         self.has_tokens = np.diff(self.own) > 0
         self.alive = np.ones(n, dtype=bool)
 
+    def near(self, thr: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The pairs (a, b, similarity) above ``thr``, a < b, in pieces by ``a``."""
+        keys = np.repeat(np.arange(self.n), np.diff(self.own)) * self.n_tokens + self.token
+        by_key = np.argsort(keys, kind="stable")
+        keys, key_w = keys[by_key], self.w[by_key]
+        later = self.prefix_start[self.prefix_token + 1] - self.prefix_place - 1
+        met = np.diff(np.r_[0, np.cumsum(later)][self.prefix_own])
+        for i, j in _pieces(met):
+            e = slice(self.prefix_own[i], self.prefix_own[j])
+            first = np.repeat(np.repeat(np.arange(i, j), np.diff(self.prefix_own[i:j + 1])), later[e])
+            pair = np.unique(first * self.n + self.prefix_caption[_spans(self.prefix_place[e] + 1, later[e])])
+            size = np.diff(self.own)[pair // self.n]
+            for p, q in _pieces(size):
+                a, b = pair[p:q] // self.n, pair[p:q] % self.n
+                mine = _spans(self.own[a], size[p:q])
+                key = np.repeat(b, size[p:q]) * self.n_tokens + self.token[mine]
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                sim = np.bincount(np.repeat(np.arange(q - p), size[p:q]),
+                                  np.where(keys[at] == key, self.w[mine] * key_w[at], 0.0), q - p)
+                found = sim > thr
+                if found.any():
+                    yield a[found], b[found], sim[found]
+
     def products(self, i: int) -> np.ndarray:
         """Similarity of caption ``i`` to every caption."""
         out = np.zeros(self.n)

@@ -215,3 +215,46 @@ def test_pair_similarity_shuffles_nothing_more(spark):
     got = {(r.pos_a, r.pos_b): r.sim for r in pairs.collect() if r.image == 4}
     assert got.keys() == {(i, j) for i in range(12) for j in range(i + 1, 12) if dense[i, j] > 0}
     assert all(abs(v - dense[k]) < 1e-9 for k, v in got.items())
+
+
+def test_similar_pairs_shuffles_and_writes_nothing_more(spark):
+    assert _shuffles(DV.similar_pairs(DV.tfidf(_some_captions(spark, 23)))) == 1
+
+
+def _entries(rng, n, most):
+    """Random unit weights of ``n`` captions: arrays caption, token, w; and as a matrix."""
+    dense = np.zeros((n, len(WORDS)))
+    for i in range(n):
+        t = rng.choice(len(WORDS), size=int(rng.integers(0, most)), replace=False)
+        dense[i, t] = rng.random(len(t)) + 0.01
+    norm = np.linalg.norm(dense, axis=1, keepdims=True)
+    dense = np.divide(dense, norm, out=dense, where=norm > 0)
+    caption, token = np.nonzero(dense)
+    return caption, token, dense[caption, token], dense
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+def test_near_pairs_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr(DV, "PIECE", piece)
+    rng = np.random.default_rng(24)
+    for n in (1, 2, 17, 40):
+        caption, token, w, dense = _entries(rng, n, 6)
+        if not len(token):
+            continue
+        got = {(a, b): s for x in DV._Captions(n, caption, token, w, 0.3).near(0.3) for a, b, s in zip(*x)}
+        sim = dense @ dense.T
+        assert got.keys() == {(i, j) for i in range(n) for j in range(i + 1, n) if sim[i, j] > 0.3}
+        assert all(abs(s - sim[k]) < 1e-12 for k, s in got.items())
+
+
+def test_near_pairs_of_hot_image_in_linear_memory():
+    """50,000 captions that share a word: its 1.25 x 10^9 pairs are not met."""
+    n = 50_000
+    own = np.arange(n) - (np.arange(n) < 40) * (np.arange(n) % 2) + 1     # the first 40 are 20 pairs of equal captions
+    caption, token = np.repeat(np.arange(n), 2), np.stack([np.zeros(n, np.int64), own], 1).ravel()
+    w = np.tile([0.1, np.sqrt(0.99)], n)
+    tracemalloc.start()
+    got = [(int(a), int(b)) for x in DV._Captions(n, caption, token, w, 0.3).near(0.3) for a, b in zip(x[0], x[1])]
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert got == [(i, i + 1) for i in range(0, 40, 2)]
