@@ -9,9 +9,10 @@ similarity of a caption to the others is the dot product of its weights with the
 the captions left (less its own), and shrinks by the removed caption's products along the postings of
 its tokens.  Whether some pair is still above the threshold is kept as one witness pair, looked for
 again only when one of the two goes.  Memory is linear in the tokens of the image.  The loop
-runs in ``applyInPandas``, and only for images in which two captions share a *prefix* token: the tokens of a
-caption from the rarest on, until the norm of the rest is within the threshold.  A pair above
-the threshold shares a token in both prefixes, since all others together cannot reach it.
+runs per image in ``applyInArrow``.  A pair above the threshold shares a *prefix* token: the prefix of a caption
+is its tokens from the rarest on, until the norm of the rest is within the threshold, and all tokens
+outside both prefixes together cannot reach it.  An image with few enough captions and tokens has its similarities as one
+matrix instead; the loop is the same.
 """
 
 from __future__ import annotations
@@ -20,20 +21,20 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as TX
-from corpusmill.session import reliable_checkpoint, ship_package
+from corpusmill.session import ship_package
 
 # Defaults of the reference's diversity pruning.
 DEFAULT_K_MIN = 3
 DEFAULT_THR = 0.3
 #: Caption text of one task; its tokens are some 20 times as large in memory.
 TASK_BYTES = 8 << 20
-#: Entries of one array where the pairs of an image are worked off in pieces.
+#: Entries of one array where the pairs of an image are worked off in pieces, and of its caption x token and
+#: caption x caption matrices where the greedy loop uses them.
 PIECE = 1 << 20
 
 
@@ -225,6 +226,28 @@ class _Captions:
         return int(found.min()) if len(found) else -1
 
 
+def _prune_matrix(n: int, with_tokens: np.ndarray, caption: np.ndarray, token: np.ndarray, w: np.ndarray,
+                  k_min: int, thr: float) -> np.ndarray:
+    """``greedy_prune`` over the matrix of similarities; tokens of one caption only are left out."""
+    m = np.zeros((n, int(token.max()) + 1))
+    m[caption, token] = w
+    sim = m @ m.T
+    np.fill_diagonal(sim, 0.0)
+    near = sim > thr
+    degree, cost, alive, left = near.sum(1), np.full(n, -1.0), np.ones(n, dtype=bool), n
+    cost[with_tokens] = 0.0
+    cost += sim.sum(1)
+    pairs = int(degree.sum()) // 2
+    while left > k_min and pairs:
+        i = int(np.argmax(np.where(alive, np.round(cost, 9), -np.inf)))   # 9 decimals: see ``greedy_prune``
+        alive[i] = False
+        left -= 1
+        pairs -= int(degree[i])
+        degree = degree - near[i]
+        cost -= sim[i]
+    return alive
+
+
 def greedy_prune(n: int, caption: np.ndarray, token: np.ndarray, w: np.ndarray, k_min: int = DEFAULT_K_MIN,
                  thr: float = DEFAULT_THR, drop_isolated: bool = False) -> np.ndarray:
     """The greedy loop for one image with captions 0..n-1 and their unit token weights; a keep mask.
@@ -235,6 +258,13 @@ def greedy_prune(n: int, caption: np.ndarray, token: np.ndarray, w: np.ndarray,
     survivors that share no token with any other survivor."""
     if n < k_min or not len(token):
         return np.ones(n, dtype=bool)
+    shared = np.bincount(token)[token] > 1
+    if not shared.any() and not drop_isolated:
+        return np.ones(n, dtype=bool)
+    if not drop_isolated:
+        met, column = np.unique(token[shared], return_inverse=True)
+        if n * max(n, len(met)) <= PIECE:
+            return _prune_matrix(n, caption, caption[shared], column, w[shared], k_min, thr)
     c = _Captions(n, caption, token, w, thr)
     cost = c.costs()
     left, first, second = n, 0, -1
@@ -260,12 +290,11 @@ def greedy_prune(n: int, caption: np.ndarray, token: np.ndarray, w: np.ndarray,
 
 
 def _prune_groups(k_min: int, thr: float, drop_isolated: bool):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = pdf["token"].notna().to_numpy()
-        pos, caption = np.unique(pdf["pos"].to_numpy(dtype=np.int64), return_inverse=True)
-        token = np.unique(pdf["token"].to_numpy()[words], return_inverse=True)[1] if words.any() else np.empty(0, np.int64)
-        keep = greedy_prune(len(pos), caption[words], token, pdf["w"].to_numpy(dtype=np.float64)[words], k_min, thr, drop_isolated)
-        return pd.DataFrame({"image": np.full(int(keep.sum()), pdf["image"].iloc[0], dtype=np.int64), "pos": pos[keep]})
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image, pos, caption, token, w = _numbered(batches)
+        left = pos[greedy_prune(len(pos), caption, token, w, k_min, thr, drop_isolated)]
+        yield pa.RecordBatch.from_arrays([image.take(pa.array(np.zeros(len(left), np.int64))).combine_chunks(), pa.array(left)],
+                                         ["image", "pos"])
     return fn
 
 
@@ -273,25 +302,14 @@ def prune_similar(captions: DataFrame, k_min: int = DEFAULT_K_MIN, thr: float =
                   drop_isolated: bool = False, image: str = "image", pos: str = "pos",
                   text: str = "text", n_col: str | None = None) -> DataFrame:
     """Captions kept after greedy diversity pruning, as (image, pos,
-    text) rows.  Images need the loop only when two captions share a prefix
-    token (or ``drop_isolated`` asks for the final step); all others are kept
-    whole without leaving the JVM.  The weights of one image are one group: linear in its tokens."""
+    text) rows.  The weights go to the loop image by image from the task that computed them; the texts are
+    joined to the kept positions.  The weights of one image are one group: linear in its tokens."""
     ship_package(captions.sparkSession)
     c = captions.select(F.col(image).cast("bigint").alias("image"), F.col(pos).cast("bigint").alias("pos"),
                         F.col(text).alias("text"), *([F.col(n_col).alias("__n")] if n_col else []))
-    # the weights feed several branches below: computed once, cut
-    # from the lineage in the shared checkpoint folder
-    w = reliable_checkpoint(tfidf(c, n_col="__n" if n_col else None))
-    todo = c.groupBy("image").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k_min).select("image")
-    if not drop_isolated:
-        meet = prefixes(w, thr).groupBy("image", "token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        todo = todo.join(meet.select("image").distinct(), "image", "left_semi")
-    rows = (c.join(todo, "image", "left_semi").select("image", "pos")
-            .join(w.select("image", "pos", "token", "w"), ["image", "pos"], "left"))
-    kept = rows.groupBy("image").applyInPandas(_prune_groups(k_min, thr, drop_isolated), "image long, pos long")
-    untouched = c.join(todo, "image", "left_anti").select("image", "pos")
-    keep_keys = kept.unionByName(untouched)
-    return c.join(keep_keys, ["image", "pos"], "inner").select("image", "pos", "text")
+    w = _weights(c, "image", "pos", "text", "__n" if n_col else None, bare=True).select("image", "pos", "token", "w")
+    kept = w.groupBy("image").applyInArrow(_prune_groups(k_min, thr, drop_isolated), "image long, pos long")
+    return c.join(kept, ["image", "pos"], "inner").select("image", "pos", "text")
 
 
 def threshold_then_diversity(captions: DataFrame, sims_col: str = "sim", threshold: float = 0.2,

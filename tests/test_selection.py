@@ -258,3 +258,19 @@ def test_near_pairs_of_hot_image_in_linear_memory():
     assert tracemalloc.get_traced_memory()[1] < 200e6
     tracemalloc.stop()
     assert got == [(i, i + 1) for i in range(0, 40, 2)]
+
+
+def test_prune_cuts_no_weights_and_shuffles_no_tokens(spark):
+    kept = DV.prune_similar(_some_captions(spark, 25)).select("image", "pos")
+    assert _shuffles(kept) == 3      # the texts by image, then only the positions of captions for the last join
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_matrix_and_sum_vector_loops_agree(monkeypatch, seed):
+    rng = np.random.default_rng(200 + seed)
+    for n in (3, 9, 40):
+        caption, token, w, _ = _entries(rng, n, 5)
+        a = DV.greedy_prune(n, caption, token, w)
+        with monkeypatch.context() as m:
+            m.setattr(DV, "PIECE", 0)
+            assert np.array_equal(a, DV.greedy_prune(n, caption, token, w))
