@@ -17,7 +17,7 @@ join of the images with the prototypes on the target.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,39 +27,33 @@ from corpusmill.operators.partitioning import broadcast_if_small
 from corpusmill.session import ship_package
 
 
-def _block_state(qrows, crows, scale: float) -> dict:
-    """State columns of the images of one block against one block of classes."""
-    field = lambda rows, name, kind: np.array([x[name] for x in rows], dtype=kind)
-    cids = field(crows, "id", np.int64)
+def _block_state(queries, candidates, scale: float) -> dict:
+    """State columns of the images of one block against one block of classes (both from ``similarity.block_of``)."""
+    (qids, keys, true, Q), (cids, _, _, C) = queries, candidates
     order = np.argsort(cids, kind="stable")
     cids = cids[order]
-    Q = np.stack([np.asarray(x["v"], dtype=np.float64) for x in qrows])
-    C = np.stack([np.asarray(crows[i]["v"], dtype=np.float64) for i in order])
-    logits = (Q @ C.T) * scale
+    logits = (Q @ C[order].T) * scale
     rounded = np.round(logits, V.RANK_DECIMALS)
     best = rounded.argmax(axis=1)                     # the first of equals: the smallest class
     m = logits.max(axis=1)
-    target, true = field(qrows, "key", float), field(qrows, "x", float)
+    target = keys.to_numpy(zero_copy_only=False).astype(np.float64)
     own = np.round(true, V.RANK_DECIMALS)[:, None]
     ahead = (rounded > own) | ((rounded == own) & (cids < target[:, None]))
     above = (ahead & (cids != target[:, None])).sum(axis=1)
-    rows = np.arange(len(qrows))
-    return {"q": field(qrows, "id", np.int64), "target": [x["key"] for x in qrows], "true_logit": true,
-            "best": cids[best], "best_score": rounded[rows, best], "m": m,
-            "z": np.exp(logits - m[:, None]).sum(axis=1), "above": above.astype(np.int64)}
+    rows = np.arange(len(qids))
+    return {"q": pa.array(qids), "target": keys, "true_logit": pa.array(true), "best": pa.array(cids[best]),
+            "best_score": pa.array(rounded[rows, best]), "m": pa.array(m),
+            "z": pa.array(np.exp(logits - m[:, None]).sum(axis=1)), "above": pa.array(above.astype(np.int64))}
 
 
 def _states_fn(scale: float, group_cols):
     def fn(batches):
-        for pdf in batches:
-            for r in range(len(pdf)):
-                qrows, crows = pdf["q_rows"].iat[r], pdf["c_rows"].iat[r]
-                if len(qrows) and len(crows):
-                    part = _block_state(qrows, crows, scale)
-                    part.update({c: [pdf[c].iat[r]] * len(qrows) for c in group_cols})
-                    out = pd.DataFrame(part)
-                    out["target"] = out["target"].astype("Int64")
-                    yield out
+        for batch in batches:
+            for r in range(batch.num_rows):
+                queries, candidates = S.block_of(batch, "q_rows", r), S.block_of(batch, "c_rows", r)
+                if len(queries[0]) and len(candidates[0]):
+                    yield pa.RecordBatch.from_pydict({**S.repeated(batch, group_cols, r, len(queries[0])),
+                                                      **_block_state(queries, candidates, scale)})
     return fn
 
 
@@ -82,7 +76,7 @@ def block_states(images: DataFrame, prototypes: DataFrame, scale: float = 100.0,
     schema = g + ("q long, target long, true_logit double, best long, best_score double, m double, z double, above long")
     if pairs is None:
         return images.sparkSession.createDataFrame([], schema).withColumnRenamed("q", image_id), 1
-    return pairs.mapInPandas(_states_fn(float(scale), group_cols), schema).withColumnRenamed("q", image_id), n_cb
+    return pairs.mapInArrow(_states_fn(float(scale), group_cols), schema).withColumnRenamed("q", image_id), n_cb
 
 
 def merge_states(states: DataFrame, keys) -> DataFrame:

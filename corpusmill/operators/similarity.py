@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,38 +115,48 @@ def block_pairs(queries: DataFrame, candidates: DataFrame, q_id: str, c_id: str,
     return pairs.select(*group_cols, "q_rows", "c_rows"), n_cb
 
 
+def block_of(batch: pa.RecordBatch, name: str, r: int) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Block ``r`` of a batch of ``block_pairs``: its ids, keys, ``x`` values (nan for null) and vectors as a
+    matrix.  The arrays are views of the batch wherever they have no nulls: no vector becomes a Python object."""
+    rows = batch.column(name)[r].values
+    vecs = rows.field("v")
+    sizes = np.unique(vecs.value_lengths().to_numpy(zero_copy_only=False))
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of different lengths in a block: {sizes.tolist()}")
+    numbers = lambda a: a.to_numpy(zero_copy_only=False)
+    return (numbers(rows.field("id")), rows.field("key"), numbers(rows.field("x")).astype(np.float64),
+            numbers(vecs.flatten()).astype(np.float64, copy=False).reshape(len(rows), -1))
+
+
+def repeated(batch: pa.RecordBatch, names, r: int, n: int) -> dict:
+    """Row ``r`` of the columns ``names``, ``n`` times."""
+    return {c: batch.column(c).take(pa.array(np.full(n, r))) for c in names}
+
+
 def _block_topk_fn(k: int, scale: float, group_cols=()):
     group_cols = list(group_cols)
 
     def fn(batches):
-        for pdf in batches:
-            parts = []
-            for r in range(len(pdf)):
-                qrows, crows = pdf["q_rows"].iat[r], pdf["c_rows"].iat[r]
-                if len(qrows) == 0 or len(crows) == 0:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                qids, qkeys, _, Q = block_of(batch, "q_rows", r)
+                cids, ckeys, _, C = block_of(batch, "c_rows", r)
+                if len(qids) == 0 or len(cids) == 0:
                     continue
-                qids = np.fromiter((x["id"] for x in qrows), dtype=np.int64, count=len(qrows))
-                cids = np.fromiter((x["id"] for x in crows), dtype=np.int64, count=len(crows))
-                qkeys = np.array([x["key"] for x in qrows], dtype=object)
-                ckeys = np.array([x["key"] for x in crows], dtype=object)
-                Q = np.stack([np.asarray(x["v"], dtype=np.float64) for x in qrows])
-                C = np.stack([np.asarray(x["v"], dtype=np.float64) for x in crows])
                 order = np.argsort(cids, kind="stable")
-                cids, C, ckeys = cids[order], C[order], ckeys[order]
-                S = (Q @ C.T) * scale
+                S = (Q @ C[order].T) * scale
                 R = np.round(S, V.RANK_DECIMALS)
                 kk = min(k, len(cids))
                 # stable sort on -score keeps ascending candidate id among ties
                 top = np.argsort(-R, axis=1, kind="stable")[:, :kk]
                 rows = np.repeat(np.arange(len(qids)), kk)
                 cols = top.reshape(-1)
-                part = {c: np.repeat(pdf[c].iat[r], len(rows)) for c in group_cols}
-                part.update(q=qids[rows], c=cids[cols], score=S[rows, cols],
-                            rank=np.tile(np.arange(1, kk + 1, dtype=np.int64), len(qids)),
-                            q_key=qkeys[rows], c_key=ckeys[cols])
-                parts.append(pd.DataFrame(part))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+                part = repeated(batch, group_cols, r, len(rows))
+                part.update(q=pa.array(qids[rows]), c=pa.array(cids[order[cols]]), score=pa.array(S[rows, cols]),
+                            rank=pa.array(np.tile(np.arange(1, kk + 1, dtype=np.int64), len(qids))),
+                            q_key=qkeys.take(pa.array(rows)), c_key=ckeys.take(pa.array(order[cols])))
+                # one pair of blocks at a time leaves the task
+                yield pa.RecordBatch.from_pydict(part)
     return fn
 
 
@@ -188,8 +198,8 @@ def topk_scores(queries: DataFrame, candidates: DataFrame, k: int,
         return spark.createDataFrame([], out_schema)
     gschema = "".join(f"{queries.schema[c].name} {queries.schema[c].dataType.simpleString()}, "
                       for c in group_cols)
-    local = pairs.mapInPandas(_block_topk_fn(k, float(scale), group_cols),
-                              schema=gschema + "q long, c long, score double, rank long, q_key long, c_key long")
+    local = pairs.mapInArrow(_block_topk_fn(k, float(scale), group_cols),
+                             schema=gschema + "q long, c long, score double, rank long, q_key long, c_key long")
     g = [F.col(c) for c in group_cols]
     extra = [(F.col("q_key") == F.col("c_key")).alias("is_pos")] if (q_key and c_key) else []
     if n_cb == 1:

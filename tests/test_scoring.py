@@ -170,3 +170,39 @@ def test_broadcast_and_grid_sides_agree(spark):
     rows = lambda b: sorted((r.query_id, r["rank"], r.cand_id) for r in
                             S.topk_scores(q, c, 5, block_size=16, broadcast_bytes=b).collect())
     assert rows(0) == rows(1 << 20) and len(rows(0)) == 450
+
+
+def test_blocks_are_scored_without_python_objects():
+    """One batch of 40 pairs of blocks: what Python holds at once is that of one pair, and the result is exact."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from corpusmill.operators import similarity as S
+    rng = np.random.default_rng(12)
+    n, d, pairs = 256, 32, 40
+
+    def blocks():
+        X = rng.normal(size=(pairs * n, d))
+        rows = pa.StructArray.from_arrays(
+            [pa.array(rng.permutation(pairs * n)), pa.array([None if i % 9 == 0 else i for i in range(pairs * n)], pa.int64()),
+             pa.nulls(pairs * n, pa.float64()), pa.FixedSizeListArray.from_arrays(pa.array(X.ravel()), d).cast(pa.list_(pa.float64()))],
+            ["id", "key", "x", "v"])
+        return X.reshape(pairs, n, d), pa.ListArray.from_arrays(pa.array(np.arange(pairs + 1) * n, pa.int32()), rows)
+
+    (Q, q), (C, c) = blocks(), blocks()
+    batch = pa.RecordBatch.from_arrays([q, c], ["q_rows", "c_rows"])
+    out, most = [], 0
+    tracemalloc.start()
+    for part in S._block_topk_fn(3, 1.0)(iter([batch])):
+        out.append(part.select(["q", "c", "score", "rank", "q_key"]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == pairs and most < 8e6
+    for r in (0, 7, 39):
+        scores = Q[r] @ C[r].T
+        ids = q[r].values.field("id").to_numpy()
+        cids = c[r].values.field("id").to_numpy()
+        best = np.argsort(-scores, axis=1)[:, :3]
+        assert out[r]["q"].to_numpy().tolist() == np.repeat(ids, 3).tolist()
+        assert out[r]["c"].to_numpy().tolist() == cids[best].ravel().tolist()
+        assert out[r]["q_key"].to_pylist() == np.repeat(np.array(q[r].values.field("key").to_pylist(), dtype=object), 3).tolist()
