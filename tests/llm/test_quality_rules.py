@@ -110,3 +110,14 @@ def test_keep_good_keeps_columns(spark, make_docs):
     out = Q.keep_good(docs, spark.createDataFrame([(1,)], "doc_id bigint"))
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} == {1, None}
+
+
+def test_lines_of_white_space_are_tested_without_rewriting_them(spark):
+    """Whether a line has a word needs a look at its first word, not a copy of the line without its white space."""
+    from corpusmill.llm.quality_rules import quality_rules
+    text = "a b\n \t\n\n \t\na b\n\x0b\x0c\r\n\u00a0\n\u00a0\nc"       # a no-break space is part of a word
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    out = quality_rules(docs, spark.createDataFrame([(1,)], "doc_id long"))
+    assert {r.doc_id: r.n_dup_lines for r in out.collect()} == {1: 2, 2: 0}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1          # the count of symbols
