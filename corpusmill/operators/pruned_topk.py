@@ -125,8 +125,8 @@ def topk_scores(queries: DataFrame, candidates: DataFrame, k: int, q_id: str = "
     def scored(plan):
         pairs = (plan.join(qb.select(F.col("block").alias("q_block"), F.col("rows").alias("q_rows")), "q_block")
                  .join(cb.select(F.col("block").alias("c_block"), F.col("rows").alias("c_rows")), "c_block").select("q_rows", "c_rows"))
-        return pairs.mapInPandas(S._block_topk_fn(k, float(scale)),
-                                 "q long, c long, score double, rank long, q_key long, c_key long").select("q", "c", "score")
+        return pairs.mapInArrow(S._block_topk_fn(k, float(scale)),
+                                "q long, c long, score double, rank long, q_key long, c_key long").select("q", "c", "score")
 
     pair = "q_block string, c_block string"
     plan1 = reliable_checkpoint(qb.mapInPandas(start, pair))

@@ -4,6 +4,7 @@ import pytest
 
 from corpusmill.operators import pruned_topk as P
 from corpusmill.operators import similarity as S
+from corpusmill.operators import zeroshot as Z
 
 
 def frame(spark, vectors, name, first=0):
@@ -49,3 +50,26 @@ def test_empty_sides(spark):
     assert P.topk_scores(q, none, 2).count() == 0 and P.topk_scores(q.limit(0), some, 2).count() == 0
     with pytest.raises(ValueError):
         P.topk_scores(q, some, 0)
+
+
+def lists_by_definition(queries, candidates, k):
+    """{query: [(rank, candidate)]}: cosine of every pair, ties to the smaller id."""
+    unit = lambda rows: {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    q, c = unit(queries), unit(candidates)
+    return {i: [(n + 1, j) for n, j in enumerate(sorted(c, key=lambda j: (-round(float(q[i] @ c[j]), 10), j))[:k])] for i in q}
+
+
+def pruned_lists(queries, candidates, q_id, c_id):
+    out = {}
+    for r in Z.retrieval_list(queries, candidates, 3, q_id, c_id, prune=True).collect():
+        out.setdefault(r[q_id], []).append((r["rank"], r[c_id]))
+    return {i: sorted(x) for i, x in out.items()}
+
+
+def test_texts_to_images(spark):
+    """The pruned list of every text, blocks read as they leave the join."""
+    rnd = np.random.default_rng(3)
+    texts, images = list(enumerate(rnd.normal(size=(9, 4)).tolist(), 50)), list(enumerate(rnd.normal(size=(14, 4)).tolist()))
+    got = pruned_lists(spark.createDataFrame(texts, "text_id bigint, vec array<double>"),
+                       spark.createDataFrame(images, "image_id bigint, vec array<double>"), "text_id", "image_id")
+    assert got == lists_by_definition(texts, images, 3)
