@@ -36,6 +36,22 @@ def cut(df: DataFrame) -> DataFrame:
     return reliable_checkpoint(df)
 
 
+def cut_anew(df: DataFrame) -> DataFrame:
+    """``cut``, and Spark's size estimate of the result starts anew from its default.
+
+    A checkpoint keeps the estimate of the plan it replaces, and a join multiplies those of its two sides.
+    In a loop that joins what it has cut before, the number of digits grows by a factor in every round, up to
+    single numbers that fill the driver's memory.  Rows, partitioning and order are those of ``cut``.
+    """
+    done = cut(df)
+    jvm, query = df.sparkSession._jvm, done._jdf.queryExecution()
+    plan, session = query.analyzed(), done._jdf.sparkSession()
+    anew = jvm.org.apache.spark.sql.execution.LogicalRDD(
+        plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(),
+        session, jvm.scala.Option.empty(), jvm.scala.Option.apply(plan.constraints()))
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, anew), df.sparkSession)
+
+
 def word_hashes(words: list) -> np.ndarray:
     """64-bit hash of each word (bytes)."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))

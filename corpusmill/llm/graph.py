@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut
+from corpusmill.llm.common import cut_anew
 
 
 #: Edges or nodes per task: small frames are not spread over the session's partitions.
@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     relabelling is a plain join, so a node with any number of edges is never
     gathered in one task.
     """
-    cur = cut(edges.select("a", "b").filter("a <> b").distinct())
+    cur = cut_anew(edges.select("a", "b").filter("a <> b").distinct())
     done = cur.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
     rounds, tasks = 0, None
     while n := cur.agg(F.count(F.lit(1))).first()[0]:
@@ -42,16 +42,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
             up = near.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("up"))
         up = up.coalesce(tasks)
         far = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
-        step = cut(up.join(far, "up").select("node", "far").coalesce(tasks))
+        step = cut_anew(up.join(far, "up").select("node", "far").coalesce(tasks))
         done = (done.join(step.withColumnRenamed("node", "component"), "component", "left")
                 .select("node", F.coalesce("far", "component").alias("component")))
-        cur = cut(cur.join(step.select(F.col("node").alias("a"), F.col("far").alias("_a")), "a")
+        cur = cut_anew(cur.join(step.select(F.col("node").alias("a"), F.col("far").alias("_a")), "a")
                   .join(step.select(F.col("node").alias("b"), F.col("far").alias("_b")), "b")
                   .filter("_a <> _b")
                   .select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct().coalesce(tasks))
         rounds += 1
-    done = cut(done.coalesce(tasks or 1))
+    done = cut_anew(done.coalesce(tasks or 1))
     if rounds < 2:  # the ids' order alone leaves the smallest node as the label
         return done
     least = done.groupBy("component").agg(F.min("node").alias("least"))
-    return cut(done.join(least, "component").select("node", F.col("least").alias("component")).coalesce(tasks))
+    return cut_anew(done.join(least, "component").select("node", F.col("least").alias("component")).coalesce(tasks))

@@ -110,3 +110,24 @@ def test_share_follows_from_percent():
     assert N.share_of(85, 64) == 0.5625
     with pytest.raises(ValueError):
         N.share_of(10, 64)
+
+
+def windows(n, seed):
+    """``[(id, text)]`` in mixed order: every text is like the next few of a long chain only."""
+    rnd = random.Random(seed)
+    words, ids = [f"w{rnd.randrange(10 ** 6)}" for _ in range(200 + 6 * n)], rnd.sample(range(10 * n), n)
+    return [(ids[i], " ".join(words[6 * i:6 * i + 200])) for i in range(n)]
+
+
+def estimate_bits(df):
+    """Binary digits of Spark's size estimate of a frame."""
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+
+
+def test_estimate_of_components(spark):
+    """Rounds of joins on what was cut before do not multiply up the size estimate in the driver."""
+    ids = random.Random(5).sample(range(1000), 100)
+    df = spark.createDataFrame(list(zip(ids, ids[1:])), "a bigint, b bigint")
+    comp = connected_components(df)
+    assert estimate_bits(comp) < 100
+    assert {(r.node, r.component) for r in comp.collect()} == {(i, min(ids)) for i in ids}

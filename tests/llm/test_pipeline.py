@@ -14,6 +14,7 @@ from corpusmill.llm.queries import REGISTRY, tokenizer_path
 
 from test_decontaminate import by_definition as contained
 from test_near_dedup import by_definition as duplicates
+from test_near_dedup import estimate_bits, windows
 from test_quality_rules import base, scores
 from corpusmill.llm.quality_rules import THRESHOLD
 
@@ -57,6 +58,21 @@ def test_stages(spark, sf, documents, tmp_path):
     assert max(used.values()) <= 4096 and len(used) <= 1.03 * -(-sum(used.values()) // 4096) + 1
 
 
+def test_near_dedup_estimate(spark, sf, make_docs, monkeypatch):
+    """A chain of near copies takes several rounds; the size estimates in the driver stay short numbers."""
+    cut, bits, docs = P.near_dedup.cut, [], windows(50, 4)
+
+    def noted(df):
+        out = cut(df)
+        bits.append(estimate_bits(out))
+        return out
+
+    monkeypatch.setattr(P.near_dedup, "cut", noted)
+    left = P.drop_near_duplicates(spark, make_docs(docs), sf)
+    assert max(bits) < 2000
+    assert [r.doc_id for r in left.collect()] == [min(i for i, _ in docs)]
+
+
 def test_run(spark, sf):
     """The result, and only the folder of the last stage left."""
     base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
