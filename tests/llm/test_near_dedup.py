@@ -131,3 +131,11 @@ def test_estimate_of_components(spark):
     comp = connected_components(df)
     assert estimate_bits(comp) < 100
     assert {(r.node, r.component) for r in comp.collect()} == {(i, min(ids)) for i in ids}
+
+
+def test_estimate_of_result(spark, make_docs):
+    """The same for the whole of op 6, where three such loops follow each other."""
+    docs = windows(50, 4)
+    df = N.near_duplicates(make_docs(docs), percent=85)
+    assert estimate_bits(df) < 2000
+    assert {r.component_id for r in df.collect()} == {min(i for i, _ in docs)}
