@@ -73,3 +73,13 @@ def test_texts_to_images(spark):
     got = pruned_lists(spark.createDataFrame(texts, "text_id bigint, vec array<double>"),
                        spark.createDataFrame(images, "image_id bigint, vec array<double>"), "text_id", "image_id")
     assert got == lists_by_definition(texts, images, 3)
+
+
+def test_images_to_texts(spark):
+    """The other direction, several texts alike for one image: ties go to the smaller id."""
+    rnd = np.random.default_rng(4)
+    images = list(enumerate(rnd.normal(size=(11, 4)).tolist()))
+    texts = [(100 + 2 * i + j, v) for i, v in images for j in (0, 1)]
+    got = pruned_lists(spark.createDataFrame(images, "image_id bigint, vec array<double>"),
+                       spark.createDataFrame(texts, "text_id bigint, vec array<double>"), "image_id", "text_id")
+    assert got == lists_by_definition(images, texts, 3)
